@@ -79,7 +79,7 @@ def project(x: Column, y: Column, matrix: Sequence[str | Column] = MATRIX, usabl
     safe = F.when(F.abs(w) > 1e-9, w)
     fx = (m[0] * x + m[1] * y + m[2]) / safe
     fy = (m[3] * x + m[4] * y + m[5]) / safe
-    on_field = finite(fx, fy) & fx.between(0.0, FIELD_LENGTH_YARDS) & fy.between(0.0, FIELD_WIDTH_YARDS)
+    on_field = fx.between(0.0, FIELD_LENGTH_YARDS) & fy.between(0.0, FIELD_WIDTH_YARDS)  # false for NaN as well
     if usable is not None:
         on_field = usable & on_field
     return F.when(on_field, F.struct(F.bround(fx, 12).alias("x"), F.bround(fy, 12).alias("y")))
@@ -89,12 +89,29 @@ def projection_sensitivity(
     x: Column, y: Column, radius: float = 1.0, matrix: Sequence[str | Column] = MATRIX, usable: Column | None = None
 ) -> Column:
     """Largest yard shift over four pixel offsets; 0 when no neighbour projects, null without a base."""
-    base = project(x, y, matrix, usable)
-    shifts = []
-    for dx, dy in ((radius, 0.0), (-radius, 0.0), (0.0, radius), (0.0, -radius)):
-        near = project(x + F.lit(dx), y + F.lit(dy), matrix, usable)
-        shifts.append(F.hypot(near["x"] - base["x"], near["y"] - base["y"]))
-    return F.when(base.isNotNull(), F.coalesce(F.array_max(F.array_compact(F.array(*shifts))), F.lit(0.0)))
+    offsets = F.array(*[
+        F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+        for dx, dy in ((0.0, 0.0), (radius, 0.0), (-radius, 0.0), (0.0, radius), (0.0, -radius))
+    ])
+    m = cols(matrix)
+    raw = F.transform(offsets, lambda o: F.struct(
+        (m[0] * (x + o["dx"]) + m[1] * (y + o["dy"]) + m[2]).alias("nx"),
+        (m[3] * (x + o["dx"]) + m[4] * (y + o["dy"]) + m[5]).alias("ny"),
+        (m[6] * (x + o["dx"]) + m[7] * (y + o["dy"]) + m[8]).alias("w"),
+    ))
+    mapped = F.transform(raw, lambda r: F.when(
+        F.abs(r["w"]) > 1e-9, F.struct(F.bround(r["nx"] / r["w"], 12).alias("x"), F.bround(r["ny"] / r["w"], 12).alias("y"))
+    ))
+    inside = lambda p: p["x"].between(0.0, FIELD_LENGTH_YARDS) & p["y"].between(0.0, FIELD_WIDTH_YARDS)
+    points = F.transform(mapped, lambda p: F.when(inside(p) if usable is None else usable & inside(p), p))
+    shift = lambda points: F.transform(
+        F.slice(points, 2, 4), lambda p: F.hypot(p["x"] - F.get(points, F.lit(0))["x"], p["y"] - F.get(points, F.lit(0))["y"])
+    )
+    largest = F.transform(
+        F.array(points),
+        lambda ps: F.when(F.get(ps, F.lit(0)).isNotNull(), F.coalesce(F.array_max(F.array_compact(shift(ps))), F.lit(0.0))),
+    )
+    return F.get(largest, F.lit(0))
 
 
 def in_polygon(x: Column, y: Column, polygon: str | Column) -> Column:

@@ -1,11 +1,534 @@
+"""Scores of tracks, identities, teams and positions against reviewed truth."""
+
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.geometry import BOX, iou
+from trackspark.functions.scalars import meaningful_id, shot_of
+from trackspark.operators.assignment import match_edges
+from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, last_known, positions, running_sum
+
+FRAME = ["shot_id", "frame_index"]
+SOLVE_FRAMES = 256
+MIN_PURITY = 0.75
+
 
 def restrict_to_window(frames: DataFrame, start_frame: int, end_frame: int) -> DataFrame:
     """Frames of ``[start, end)``; a plain predicate, so it reaches a Parquet scan."""
     if start_frame < 0 or end_frame <= start_frame:
         raise ValueError("invalid frame window")
     return frames.filter((F.col("frame_index") >= start_frame) & (F.col("frame_index") < end_frame))
+
+
+def evaluated_frames(frames: DataFrame) -> DataFrame:
+    return frames.filter(F.col("labeled") & ~F.col("ignore_frame")).select(*FRAME)
+
+
+def reference_edges(objects: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(shot, frame, object, tracklet, iou) with enough overlap; the join never leaves a frame."""
+    left = objects.select(*FRAME, "object_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
+    right = rows.select(*FRAME, "tracklet_id", *BOX)
+    return (
+        left.join(right, FRAME)
+        .withColumn("iou", iou([f"r_{c}" for c in BOX], BOX))
+        .filter(F.col("iou") >= threshold)
+        .select(*FRAME, "object_id", "tracklet_id", "iou")
+    )
+
+
+def _solve_frames(pdf: pd.DataFrame) -> pd.DataFrame:
+    kept = []
+    for _, frame in pdf.groupby(["shot_id", "frame_index"], sort=False):
+        frame = frame.sort_values(["object_id", "tracklet_id"])
+        picks = match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), frame.iou.tolist())
+        kept.append(frame.iloc[picks])
+    return pd.concat(kept)[["shot_id", "frame_index", "object_id", "tracklet_id", "iou"]]
+
+
+def injective_matches(edges: DataFrame) -> DataFrame:
+    """One-to-one match of largest total IoU per frame.
+
+    An edge whose both ends have no other edge is final. Only contested edges
+    reach the solver, in groups of a few hundred frames.
+    """
+    per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
+    marked = edges.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
+    final = marked.filter("_degree = 1").drop("_degree")
+    contested = marked.filter("_degree > 1").drop("_degree").withColumn("_bucket", frame_bucket("frame_index", SOLVE_FRAMES))
+    schema = "shot_id string, frame_index bigint, object_id string, tracklet_id string, iou double"
+    solved = contested.groupBy("shot_id", "_bucket").applyInPandas(_solve_frames, schema)
+    return final.unionByName(solved)
+
+
+def matches(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Matches over labelled, not ignored frames."""
+    scored = evaluated_frames(frames)
+    return injective_matches(reference_edges(objects.join(scored, FRAME, "left_semi"), rows, threshold))
+
+
+def reference_votes(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("tracklet_id", "object_id").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def dominant_objects(votes: DataFrame, min_purity: float = MIN_PURITY) -> DataFrame:
+    """Most voted object per tracklet (ties to the smaller id), with its purity."""
+    best = votes.groupBy("tracklet_id").agg(
+        F.max("votes").alias("_top"), F.sum("votes").alias("total_votes"),
+        F.min_by("object_id", F.struct(-F.col("votes"), F.col("object_id"))).alias("object_id"),
+    )
+    purity = F.col("_top") / F.col("total_votes")
+    return best.select("tracklet_id", "object_id", "total_votes", purity.alias("purity"), (purity >= min_purity).alias("pure"))
+
+
+def identity_steps(objects: DataFrame, matched: DataFrame, frames: DataFrame) -> DataFrame:
+    """Each evaluated reference box with its matched track, the last earlier one, and the step flags."""
+    base = objects.join(evaluated_frames(frames), FRAME, "left_semi").select(*FRAME, "object_id")
+    joined = base.join(matched.select(*FRAME, "object_id", "tracklet_id"), [*FRAME, "object_id"], "left")
+    joined = joined.withColumn("_bucket", frame_bucket("frame_index")).withColumn("_hit", F.col("tracklet_id").isNotNull())
+    keys = ["shot_id", "object_id"]
+    known = last_known(joined, keys, ["frame_index"], "_bucket", "tracklet_id", "previous_tracklet_id")
+    near = adjacent_row(known, keys, ["frame_index"], "_bucket", {"_previous_hit": "_hit"})
+    seen = F.col("_hit") & F.col("previous_tracklet_id").isNotNull()
+    return near.select(
+        *FRAME, "object_id", "tracklet_id", "previous_tracklet_id",
+        seen.alias("edge"),
+        (seen & (F.col("tracklet_id") == F.col("previous_tracklet_id"))).alias("stable"),
+        (seen & (F.col("tracklet_id") != F.col("previous_tracklet_id"))).alias("switched"),
+        (seen & ~F.coalesce("_previous_hit", F.lit(False))).alias("resumed"),
+    )
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a / b).otherwise(0.0)
+
+
+def shot_metrics(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Diagnostic tracking metrics per shot; not the standard HOTA."""
+    scored = evaluated_frames(frames)
+    matched = matches(objects, rows, frames, threshold)
+    steps = identity_steps(objects, matched, frames).groupBy("shot_id").agg(
+        F.count(F.lit(1)).alias("ground_truth_detections"),
+        F.count("tracklet_id").alias("matched_detections"),
+        F.count_if("edge").alias("_edges"), F.count_if("stable").alias("_stable"),
+        F.count_if("switched").alias("id_switches"), F.count_if("resumed").alias("fragmentation"),
+    )
+    predicted = rows.join(scored, FRAME, "left_semi").groupBy("shot_id").agg(F.count(F.lit(1)).alias("_predicted"))
+    counts = scored.groupBy("shot_id").agg(F.count(F.lit(1)).alias("evaluated_frames"))
+    zero = F.lit(0).cast("bigint")
+    joined = frames.select("shot_id").distinct().join(counts, "shot_id", "left").join(steps, "shot_id", "left").join(predicted, "shot_id", "left")
+    full = joined.select("shot_id", *[
+        F.coalesce(c, zero).alias(c)
+        for c in ("evaluated_frames", "ground_truth_detections", "matched_detections", "_predicted", "_edges", "_stable", "id_switches", "fragmentation")
+    ]).withColumn("false_positives", F.col("_predicted") - F.col("matched_detections"))
+    return with_ratios(full.withColumn(
+        "AssA", F.when(F.col("_edges") > 0, F.col("_stable") / F.col("_edges")).otherwise((F.col("matched_detections") > 0).cast("double"))
+    ).drop("_predicted", "_edges", "_stable"))
+
+
+def with_ratios(counts: DataFrame) -> DataFrame:
+    gt, hit, extra = F.col("ground_truth_detections"), F.col("matched_detections"), F.col("false_positives")
+    deta = _ratio(hit, gt + extra)
+    return (
+        counts.withColumn("coverage", _ratio(hit, gt)).withColumn("DetA", deta)
+        .withColumn("HOTA", F.sqrt(F.col("DetA") * F.col("AssA")))
+        .withColumn("detection_f1", F.when(gt > 0, 2 * hit / (2 * hit + extra + (gt - hit))).otherwise(0.0))
+    )
+
+
+def aggregate_metrics(per_shot: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over shots; ratios recomputed, AssA weighted by matches."""
+    sums = ["evaluated_frames", "ground_truth_detections", "matched_detections", "false_positives", "id_switches", "fragmentation"]
+    summed = per_shot.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum(F.col("AssA") * F.col("matched_detections")).alias("_weighted")
+    )
+    return with_ratios(summed.withColumn("AssA", _ratio(F.col("_weighted"), F.col("matched_detections")))).drop("detection_f1", "_weighted")
+
+
+def _with_total(per_row: DataFrame, value: str) -> DataFrame:
+    """Each row once for its shot and once for the total (null shot)."""
+    return per_row.withColumn("shot_id", F.explode(F.array(F.col("shot_id"), F.lit(None).cast("string"))))
+
+
+def contact_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5, min_confidence: float = 0.5) -> DataFrame:
+    """Reviewed contacts of evaluated frames with the error of the matched position (null: missing or invalid)."""
+    held = F.col("contact_x").isNotNull()
+    sure = F.col("contact_confidence").isNull() | (F.col("contact_confidence") >= min_confidence)
+    contacts = objects.filter(held & sure).join(evaluated_frames(frames), FRAME, "left_semi")
+    matched = injective_matches(reference_edges(contacts, rows, threshold))
+    placed = matched.join(rows.select(*FRAME, "tracklet_id", "field_x", "field_y"), [*FRAME, "tracklet_id"])
+    error = F.sqrt(F.pow(F.col("field_x") - F.col("contact_x"), 2) + F.pow(F.col("field_y") - F.col("contact_y"), 2))
+    return contacts.select(*FRAME, "object_id", "contact_x", "contact_y").join(
+        placed.select(*FRAME, "object_id", "tracklet_id", "field_x", "field_y"), [*FRAME, "object_id"], "left"
+    ).select(*FRAME, "object_id", "tracklet_id", error.alias("error_yards"))
+
+
+def contact_report(contacts: DataFrame) -> DataFrame:
+    """Position error per shot and in total (null shot), with gates."""
+    doubled = _with_total(contacts, "error_yards").withColumn("shot_id", F.coalesce("shot_id", F.lit("*")))
+    counts = doubled.groupBy("shot_id").agg(
+        F.count("error_yards").alias("evaluated_contacts"), F.count_if(F.col("error_yards").isNull()).alias("invalid_or_missing")
+    )
+    errors = exact_quantiles(doubled, ["shot_id"], "error_yards", {"median_error_yards": 0.5, "p95_error_yards": 0.95})
+    n, bad = F.col("evaluated_contacts"), F.col("invalid_or_missing")
+    joined = counts.join(errors, "shot_id", "left").withColumn("valid_fraction", F.when(n > 0, n / (n + bad)))
+    gated = joined.withColumn("median_at_most_1_5_yards", F.col("median_error_yards") <= 1.5).withColumn(
+        "valid_fraction_at_least_0_90", F.col("valid_fraction") >= 0.9
+    ).withColumn("status", F.when(n > 0, "evaluated").otherwise("not_evaluated"))
+    passing = F.coalesce(F.col("median_at_most_1_5_yards") & F.col("valid_fraction_at_least_0_90"), F.lit(False))
+    every = gated.filter("shot_id <> '*'").agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_every"))
+    return gated.crossJoin(every).withColumn("every_shot_gate_passes", F.when(F.col("shot_id") == "*", F.col("_every"))).drop("_every")
+
+
+def team_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Reviewed objects with a known team and the team of the matched track."""
+    known = objects.filter(F.col("team").isNotNull() & (F.col("team") != "unknown")).join(evaluated_frames(frames), FRAME, "left_semi")
+    matched = injective_matches(reference_edges(known, rows, threshold))
+    labelled = matched.join(rows.select(*FRAME, "tracklet_id", F.col("team").alias("predicted_team")), [*FRAME, "tracklet_id"])
+    return known.select(*FRAME, "object_id", F.col("team").alias("expected_team")).join(
+        labelled.select(*FRAME, "object_id", "tracklet_id", "predicted_team"), [*FRAME, "object_id"], "left"
+    )
+
+
+def team_report(labelled: DataFrame) -> DataFrame:
+    """Team accuracy and coverage per shot and in total (``*``), with gates."""
+    hit = F.col("tracklet_id").isNotNull()
+    doubled = _with_total(labelled, "expected_team").withColumn("shot_id", F.coalesce("shot_id", F.lit("*")))
+    counts = doubled.groupBy("shot_id").agg(
+        F.count_if(hit).alias("assigned"),
+        F.count_if(hit & F.col("predicted_team").eqNullSafe(F.col("expected_team"))).alias("correct"),
+        F.count_if(~hit).alias("unknown_or_missing"),
+    )
+    n = F.col("assigned")
+    rated = counts.withColumn("accuracy", F.when(n > 0, F.col("correct") / n)).withColumn(
+        "coverage", F.when(n > 0, n / (n + F.col("unknown_or_missing")))
+    )
+    gated = rated.withColumn("accuracy_at_least_0_98", F.col("accuracy") >= 0.98).withColumn(
+        "coverage_at_least_0_95", F.col("coverage") >= 0.95
+    ).withColumn("status", F.when(n > 0, "evaluated").otherwise("not_evaluated"))
+    passing = F.coalesce(F.col("accuracy_at_least_0_98") & F.col("coverage_at_least_0_95"), F.lit(False))
+    every = gated.filter("shot_id <> '*'").agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_every"))
+    return gated.crossJoin(every).withColumn("every_shot_gate_passes", F.when(F.col("shot_id") == "*", F.col("_every"))).drop("_every")
+
+
+def truth_of_tracklets(dominant: DataFrame, global_map: DataFrame) -> DataFrame:
+    """Pure tracklets with the reviewed player behind their dominant object. global_map(shot_id, object_id, global_id)"""
+    pure = dominant.filter("pure").withColumn("shot_id", shot_of("tracklet_id"))
+    return pure.join(global_map, ["shot_id", "object_id"]).select("tracklet_id", "shot_id", "object_id", "global_id")
+
+
+def _cross_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Unordered pairs from different shots inside each key, by counting, one total row."""
+    per_shot = rows.groupBy(*keys, "shot_id").agg(F.count(F.lit(1)).alias("n"))
+    per_key = per_shot.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    return per_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).cast("bigint").alias("pairs"))
+
+
+def cross_shot_report(
+    identities: DataFrame, rows: DataFrame, objects: DataFrame, frames: DataFrame, global_map: DataFrame, threshold: float = 0.5
+) -> DataFrame:
+    """One row of cross-shot identity scores; pair totals come from counts, never from pairs.
+
+    identities(tracklet_id, player_id), global_map(shot_id, object_id, global_id)
+    """
+    matched = matches(objects, rows, frames, threshold)
+    dominant = dominant_objects(reference_votes(matched))
+    truth = truth_of_tracklets(dominant, global_map)
+    owned = identities.withColumn("shot_id", shot_of("tracklet_id"))
+    attributed = truth.join(identities, "tracklet_id", "left")
+
+    visible = objects.join(evaluated_frames(frames), FRAME, "left_semi").select("shot_id", "object_id").distinct()
+    shared = (
+        global_map.filter(meaningful_id(F.col("global_id"))).join(visible, ["shot_id", "object_id"], "left_semi")
+        .groupBy(F.trim("global_id").alias("global_id")).agg(F.count_distinct("shot_id").alias("shots")).filter("shots >= 2")
+    )
+    per_player = attributed.groupBy("global_id").agg(
+        F.count_distinct("shot_id").alias("seen_shots"), F.count_distinct("player_id").alias("ids")
+    )
+    covered = shared.join(per_player, "global_id", "left").agg(
+        F.count(F.lit(1)).alias("eligible_shared_players"),
+        F.count_if((F.col("seen_shots") >= 2) & (F.col("ids") == 1)).alias("correct_shared_players"),
+    )
+    named = attributed.filter("player_id is not null")
+    resolvable = _cross_pairs(attributed, ["global_id"]).withColumnRenamed("pairs", "resolvable_tracklet_pairs")
+    merged = _cross_pairs(named, ["player_id"]).withColumnRenamed("pairs", "merged_pairs")
+    true_merges = _cross_pairs(named, ["player_id", "global_id"]).withColumnRenamed("pairs", "true_merges")
+    accepted = _cross_pairs(owned, ["player_id"]).withColumnRenamed("pairs", "_accepted")
+    both_known = _cross_pairs(owned.join(truth.select("tracklet_id"), "tracklet_id", "left_semi"), ["player_id"]).withColumnRenamed("pairs", "_known")
+
+    in_frame = rows.select("tracklet_id", "frame_index").distinct().join(owned, "tracklet_id")
+    collided = (
+        in_frame.groupBy("player_id", "shot_id", "frame_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("player_id", "shot_id").distinct()
+    )
+    two_players = (
+        owned.join(truth.select("tracklet_id", "global_id"), "tracklet_id").groupBy("player_id", "shot_id")
+        .agg(F.count_distinct("global_id").alias("n")).filter("n > 1").select("player_id", "shot_id")
+    )
+    contaminated = collided.unionByName(two_players).agg(F.count_distinct("player_id").alias("contaminated_players"))
+    mixed = dominant.agg(F.count_if(~F.col("pure")).alias("mixed_tracklets"))
+    found = truth.agg(F.count(F.lit(1)).alias("attributed_tracklets"))
+    unattributed = identities.join(truth, "tracklet_id", "left_anti").agg(F.count(F.lit(1)).alias("unattributed_tracklets"))
+
+    row = covered
+    for part in (resolvable, merged, true_merges, accepted, both_known, contaminated, mixed, found, unattributed):
+        row = row.crossJoin(part)  # one row each
+    row = row.withColumn("false_merges", F.col("merged_pairs") - F.col("true_merges")).withColumn(
+        "accepted_unattributed_pairs", F.col("_accepted") - F.col("_known")
+    )
+    eligible = F.col("eligible_shared_players") > 0
+    coverage = F.when(eligible, F.col("correct_shared_players") / F.col("eligible_shared_players"))
+    return row.select(
+        F.when(eligible, "evaluated").otherwise("not_evaluated").alias("status"),
+        "attributed_tracklets", "eligible_shared_players", "correct_shared_players", coverage.alias("coverage"),
+        "resolvable_tracklet_pairs", "merged_pairs", "true_merges", "false_merges",
+        F.when(F.col("merged_pairs") > 0, F.col("true_merges") / F.col("merged_pairs")).alias("precision"),
+        "accepted_unattributed_pairs", "contaminated_players", "mixed_tracklets", "unattributed_tracklets",
+        (F.col("false_merges") == 0).alias("false_merges_zero"),
+        ((F.col("contaminated_players") == 0) & (F.col("accepted_unattributed_pairs") == 0) & (F.col("mixed_tracklets") == 0)).alias("components_clean"),
+        (coverage >= 0.8).alias("coverage_at_least_0_80"),
+    )
+
+
+def false_merge_examples(attributed: DataFrame, limit: int = 20) -> DataFrame:
+    """First ``limit`` (left, right) pairs of one player id and two reviewed players, in pair order.
+
+    Only the first ``limit`` left tracklets that have such a partner are joined.
+    attributed(tracklet_id, shot_id, global_id, player_id)
+    """
+    named = attributed.filter("player_id is not null")
+    # a partner to the right exists when the largest id of another player and shot is larger
+    tops = named.groupBy("player_id", "global_id", "shot_id").agg(F.max("tracklet_id").alias("_top"))
+    left = named.alias("l").join(tops.alias("t"), "player_id").filter(
+        (F.col("t.global_id") != F.col("l.global_id")) & (F.col("t.shot_id") != F.col("l.shot_id")) & (F.col("t._top") > F.col("l.tracklet_id"))
+    ).select("player_id", F.col("l.tracklet_id").alias("left"), F.col("l.shot_id").alias("_ls"), F.col("l.global_id").alias("left_player")).distinct()
+    first = left.orderBy("left").limit(limit)
+    right = named.select("player_id", F.col("tracklet_id").alias("right"), F.col("shot_id").alias("_rs"), F.col("global_id").alias("right_player"))
+    return (
+        right.join(F.broadcast(first), "player_id")  # at most ``limit`` rows
+        .filter((F.col("right") > F.col("left")) & (F.col("_ls") != F.col("_rs")) & (F.col("left_player") != F.col("right_player")))
+        .orderBy("left", "right").limit(limit).select("left", "right", "left_player", "right_player")
+    )
+
+
+def first_examples(rows: DataFrame, keys: list[str], order: list[str], limit: int = 20) -> DataFrame:
+    """First ``limit`` rows per report in a stated order; map tasks already cut to ``limit``."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("example_no", F.row_number().over(window)).filter(F.col("example_no") <= limit)
+
+
+# --- standard metrics ------------------------------------------------------
+
+ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
+EPSILON = 2.220446049250313e-16
+
+
+def _pair_frames(objects: DataFrame, rows: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    scored = evaluated_frames(frames)
+    left = objects.join(scored, FRAME, "left_semi").select(*keys, *[c for c in FRAME if c not in keys], "object_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
+    right = rows.join(scored, FRAME, "left_semi").select(*FRAME, "tracklet_id", *BOX)
+    return left.join(right, FRAME).withColumn("iou", iou([f"r_{c}" for c in BOX], BOX)).select(*FRAME, "object_id", "tracklet_id", "iou")
+
+
+def _solve_scores(pdf: pd.DataFrame) -> pd.DataFrame:
+    kept = []
+    for _, frame in pdf.groupby(["shot_id", "frame_index"], sort=False):
+        frame = frame.sort_values(["object_id", "tracklet_id"])
+        kept.append(frame.iloc[match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), frame.score.tolist())])
+    return pd.concat(kept)[["shot_id", "frame_index", "object_id", "tracklet_id", "iou"]]
+
+
+def _scored_matches(scored: DataFrame) -> DataFrame:
+    """Best total-score match per frame over positive scores; keeps the IoU."""
+    schema = "shot_id string, frame_index bigint, object_id string, tracklet_id string, iou double"
+    bucketed = scored.filter("score > 0").withColumn("_bucket", frame_bucket("frame_index", SOLVE_FRAMES))
+    per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
+    marked = bucketed.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
+    final = marked.filter("_degree = 1").select(*FRAME, "object_id", "tracklet_id", "iou")
+    solved = marked.filter("_degree > 1").groupBy("shot_id", "_bucket").applyInPandas(_solve_scores, schema)
+    return final.unionByName(solved)
+
+
+def hota(objects: DataFrame, rows: DataFrame, frames: DataFrame, combined: bool = False) -> DataFrame:
+    """HOTA, DetA and AssA averaged over 19 thresholds, per shot or over all shots with disjoint ids."""
+    scored = evaluated_frames(frames)
+    pairs = _pair_frames(objects, rows, frames, ["shot_id"]).filter("iou > 0")
+    by_object, by_track = Window.partitionBy(*FRAME, "object_id"), Window.partitionBy(*FRAME, "tracklet_id")
+    overlap = pairs.withColumn(
+        "_share", F.col("iou") / (F.sum("iou").over(by_object) + F.sum("iou").over(by_track) - F.col("iou"))
+    )
+    ids = ["shot_id", "object_id", "tracklet_id"]
+    potential = overlap.groupBy(*ids).agg(F.sum("_share").alias("_potential"))
+    object_counts = objects.join(scored, FRAME, "left_semi").groupBy("shot_id", "object_id").agg(F.count(F.lit(1)).alias("_gt"))
+    track_counts = rows.join(scored, FRAME, "left_semi").groupBy("shot_id", "tracklet_id").agg(F.count(F.lit(1)).alias("_tr"))
+    aligned = potential.join(object_counts, ["shot_id", "object_id"]).join(track_counts, ["shot_id", "tracklet_id"]).withColumn(
+        "_align", F.col("_potential") / (F.col("_gt") + F.col("_tr") - F.col("_potential"))
+    )
+    matched = _scored_matches(pairs.join(aligned.select(*ids, "_align"), ids).withColumn("score", F.col("_align") * F.col("iou")))
+    alphas = F.array(*[F.lit(a) for a in ALPHAS])
+    levels = matched.select(*ids, F.explode(F.filter(alphas, lambda a: F.col("iou") >= a - EPSILON)).alias("alpha"))
+    counts = levels.groupBy(*ids, "alpha").agg(F.count(F.lit(1)).alias("_c"))
+    joined = counts.join(object_counts, ["shot_id", "object_id"]).join(track_counts, ["shot_id", "tracklet_id"])
+    group = [] if combined else ["shot_id"]
+    ass = joined.withColumn("_a", F.col("_c") * F.col("_c") / F.greatest(F.lit(1), F.col("_gt") + F.col("_tr") - F.col("_c")))
+    per_alpha = ass.groupBy(*group, "alpha").agg(F.sum("_c").alias("_tp"), F.sum("_a").alias("_ass"))
+    totals = object_counts.groupBy(*group).agg(F.sum("_gt").alias("_gts")) if group else object_counts.agg(F.sum("_gt").alias("_gts"))
+    tracked = track_counts.groupBy(*group).agg(F.sum("_tr").alias("_trs")) if group else track_counts.agg(F.sum("_tr").alias("_trs"))
+    base = totals.join(tracked, group, "left") if group else totals.crossJoin(tracked)
+    base = base.withColumn("alpha", F.explode(alphas))
+    full = base.join(per_alpha, [*group, "alpha"], "left")
+    tp = F.coalesce("_tp", F.lit(0))
+    det = tp / F.greatest(F.lit(1), F.col("_gts") + F.coalesce("_trs", F.lit(0)) - tp)
+    ass_a = F.coalesce("_ass", F.lit(0.0)) / F.greatest(F.lit(1), tp)
+    out = full.withColumn("_det", det).withColumn("_assa", ass_a)
+    agg = [F.avg(F.sqrt(F.col("_det") * F.col("_assa"))).alias("HOTA"), F.avg("_det").alias("DetA"), F.avg("_assa").alias("AssA")]
+    return out.groupBy(*group).agg(*agg) if group else out.agg(*agg)
+
+
+def _solve_sequence(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["object_id", "tracklet_id"])
+    picks = match_edges(pdf.object_id.tolist(), pdf.tracklet_id.tolist(), pdf.n.astype(float).tolist())
+    return pd.DataFrame({"shot_id": [pdf.shot_id.iloc[0]], "idtp": [int(pdf.n.iloc[picks].sum())]})
+
+
+def idf1(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5, combined: bool = False) -> DataFrame:
+    """Identity F1: the id-to-id assignment that keeps most matched boxes of a shot.
+
+    The assignment table has one row per id pair of a shot, not per box. Ids
+    never cross shots, so the combined score sums the shots.
+    """
+    scored = evaluated_frames(frames)
+    pairs = _pair_frames(objects, rows, frames, ["shot_id"]).filter(F.col("iou") >= threshold)
+    counts = pairs.groupBy("shot_id", "object_id", "tracklet_id").agg(F.count(F.lit(1)).alias("n"))
+    tp = counts.groupBy("shot_id").applyInPandas(_solve_sequence, "shot_id string, idtp bigint")
+    gts = objects.join(scored, FRAME, "left_semi").groupBy("shot_id").agg(F.count(F.lit(1)).alias("_gt"))
+    trs = rows.join(scored, FRAME, "left_semi").groupBy("shot_id").agg(F.count(F.lit(1)).alias("_tr"))
+    per = gts.join(trs, "shot_id", "full").join(tp, "shot_id", "left")
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("idtp", "_gt", "_tr")]
+    out = per.agg(*sums) if combined else per.groupBy("shot_id").agg(*sums)
+    # IDTP / (IDTP + (IDFN + IDFP) / 2) with IDFN = gt - IDTP and IDFP = tracks - IDTP
+    return out.select(*([] if combined else ["shot_id"]), (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("_gt") + F.col("_tr"))).alias("IDF1"))
+
+
+def _solve_run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Frames of one run in order: keeping the previous partner beats any overlap."""
+    previous: dict = {}
+    last_no = None
+    kept = []
+    for number, frame in pdf.sort_values(["frame_no", "object_id", "tracklet_id"]).groupby("frame_no", sort=True):
+        if last_no is not None and number != last_no + 1:
+            previous = {}
+        weight = [
+            s + 1000.0 if (previous.get(o) == t if previous else p == t) else s
+            for o, t, s, p in zip(frame.object_id, frame.tracklet_id, frame.iou, frame.held)
+        ]
+        picks = match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), weight)
+        chosen = frame.iloc[picks]
+        previous = dict(zip(chosen.object_id, chosen.tracklet_id))
+        last_no = number
+        kept.append(chosen)
+    return pd.concat(kept)[["shot_id", "frame_index", "frame_no", "object_id", "tracklet_id"]]
+
+
+def clear_switches(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Identity switches and fragmentations by the CLEAR rule, per shot.
+
+    A frame's matching depends on the previous one only while edges are
+    contested. Frames without a contested edge are decided on their own and cut
+    the rest into independent runs.
+    """
+    scored = evaluated_frames(frames)
+    both = (
+        objects.join(scored, FRAME, "left_semi").select(*FRAME).distinct()
+        .join(rows.select(*FRAME).distinct(), FRAME, "left_semi").withColumn("_bucket", frame_bucket("frame_index"))
+    )
+    numbered = positions(both, ["shot_id"], ["frame_index"], "_bucket", "frame_no").select(*FRAME, "frame_no")
+    edges = _pair_frames(objects, rows, frames, ["shot_id"]).filter(F.col("iou") >= threshold - EPSILON).join(numbered, FRAME)
+    per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
+    marked = edges.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
+    # a whole frame is contested when any of its edges is
+    contested_frame = F.max("_degree").over(Window.partitionBy(*FRAME)) > 1
+    marked = marked.withColumn("_contested", contested_frame)
+    final = marked.filter(~F.col("_contested")).select(*FRAME, "frame_no", "object_id", "tracklet_id")
+    open_frames = marked.filter("_contested").select("shot_id", "frame_no").distinct().withColumn("_bucket", frame_bucket("frame_no"))
+    near = adjacent_row(open_frames, ["shot_id"], ["frame_no"], "_bucket", {"_before": "frame_no"})
+    starts = F.coalesce((F.col("frame_no") != F.col("_before") + 1).cast("int"), F.lit(1))
+    runs = running_sum(near, ["shot_id"], ["frame_no"], "_bucket", starts, "run_no").select("shot_id", "frame_no", "run_no")
+    held = final.select("shot_id", (F.col("frame_no") + 1).alias("frame_no"), "object_id", F.col("tracklet_id").alias("held"))
+    work = (
+        marked.filter("_contested").join(runs, ["shot_id", "frame_no"]).join(held, ["shot_id", "frame_no", "object_id"], "left")
+        .select(*FRAME, "frame_no", "object_id", "tracklet_id", "iou", F.coalesce("held", F.lit("")).alias("held"), "run_no")
+    )
+    schema = "shot_id string, frame_index bigint, frame_no bigint, object_id string, tracklet_id string"
+    solved = work.groupBy("shot_id", "run_no").applyInPandas(_solve_run, schema)
+    matched = final.unionByName(solved).withColumn("_bucket", frame_bucket("frame_no"))
+    steps = adjacent_row(matched, ["shot_id", "object_id"], ["frame_no"], "_bucket", {"_track": "tracklet_id", "_no": "frame_no"})
+    return frames.select("shot_id").distinct().join(
+        steps.groupBy("shot_id").agg(
+            F.count_if(F.col("_track") != F.col("tracklet_id")).alias("id_switches"),
+            F.count_if(F.col("_no") + 1 != F.col("frame_no")).alias("fragmentation"),
+        ), "shot_id", "left",
+    ).select("shot_id", F.coalesce("id_switches", F.lit(0)).alias("id_switches"), F.coalesce("fragmentation", F.lit(0)).alias("fragmentation"))
+
+
+def standard_metrics(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Published-definition metrics per shot plus a combined row (``*``)."""
+    clear = clear_switches(objects, rows, frames, threshold)
+    per = hota(objects, rows, frames).join(idf1(objects, rows, frames, threshold), "shot_id", "left").join(clear, "shot_id", "left")
+    total = hota(objects, rows, frames, combined=True).crossJoin(idf1(objects, rows, frames, threshold, combined=True)).crossJoin(
+        clear.agg(F.sum("id_switches").alias("id_switches"), F.sum("fragmentation").alias("fragmentation"))
+    )
+    return per.unionByName(total.withColumn("shot_id", F.lit("*")))
+
+
+# --- promotion -------------------------------------------------------------
+
+def promotion_gate(
+    runs: DataFrame, min_idf1: float = 0.9, max_id_switches_per_shot: int = 1, min_cross_shot_coverage: float = 0.8
+) -> DataFrame:
+    """Passed, failed or not evaluated per run, with the reasons in order; missing evidence beats failure.
+
+    One row per run; null columns mean that evidence was not supplied. Optional
+    reports count only when ``contact_supplied``/``team_supplied`` is true.
+    """
+    c = F.col
+    standard = c("standard_status") == "evaluated"
+    cross = c("cross_status") == "evaluated"
+    pending = c("calibration_status").isNull() | c("calibration_status").isin("not_provided", "unvalidated", "partial")
+    usable = c("shared_eligible").isNotNull() & (c("shared_eligible") > 0) & (c("shared_correct") >= 0) & (c("shared_correct") <= c("shared_eligible"))
+    coverage = F.when(usable, c("shared_correct") / c("shared_eligible")).otherwise(F.coalesce(c("coverage"), F.lit(0.0)))
+    yes = lambda condition: F.coalesce(condition, F.lit(False))
+    no = lambda condition: ~yes(condition)
+    rules: list[tuple[Column, str | Column, bool]] = [
+        (yes(c("proxy_detector")), "proxy detector results cannot satisfy the promotion gate", True),
+        (no(standard), "standard tracking metrics are unavailable", True),
+        (yes(standard) & no(c("idf1") >= min_idf1), "IDF1 is below the promotion gate", False),
+        (yes(standard) & no(c("worst_shot_idf1") >= min_idf1), "a shot is below the per-shot IDF1 gate", False),
+        (yes(standard) & yes(c("worst_shot_switches") > max_id_switches_per_shot), "a shot exceeds the identity-switch gate", False),
+        (pending, F.concat(F.lit("calibration status is "), F.coalesce("calibration_status", F.lit("missing"))), True),
+        (~pending & no(c("calibration_status") == "valid"), F.concat(F.lit("calibration status is "), F.coalesce("calibration_status", F.lit("missing"))), False),
+        (yes(c("calibration_status") == "valid") & c("calibration_median_ok").isNull(), "calibration gate evidence is missing", True),
+        (yes(c("calibration_status") == "valid") & c("calibration_median_ok").isNotNull() & no(c("calibration_median_ok") & c("calibration_p95_ok")), "calibration error is below the promotion gate", False),
+        (no(cross), "cross-shot identity is not evaluated", True),
+        (yes(cross) & c("false_merges_zero").isNull(), "cross-shot false-merge gate evidence is missing", True),
+        (yes(cross) & c("false_merges_zero").isNotNull() & no(c("false_merges_zero") & (c("false_merges") == 0)), "cross-shot identity has false merges", False),
+        (yes(cross) & c("components_clean").isNull(), "identity component gate evidence is missing", True),
+        (yes(cross) & c("components_clean").isNotNull() & no(c("components_clean")), "identity components are contaminated or unattributed", False),
+        (yes(cross) & c("shared_eligible").isNull(), "cross-shot shared-player denominator is missing", True),
+        (yes(cross) & c("shared_eligible").isNotNull() & no(usable), "cross-shot shared-player denominator is invalid", True),
+        (yes(cross) & (coverage < min_cross_shot_coverage), "cross-shot coverage is below the promotion gate", False),
+        (yes(c("contact_supplied")) & no(c("contact_status") == "evaluated"), "ground-contact position error is not evaluated", True),
+        (yes(c("contact_supplied")) & yes(c("contact_status") == "evaluated") & no(c("contact_gate")), "ground-contact position error is below the promotion gate", False),
+        (yes(c("team_supplied")) & no(c("team_status") == "evaluated"), "team assignment is not evaluated", True),
+        (yes(c("team_supplied")) & yes(c("team_status") == "evaluated") & no(c("team_gate")), "team assignment is below the promotion gate", False),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(hit, text if isinstance(text, Column) else F.lit(text)) for hit, text, _ in rules]))
+    missing = F.lit(False)
+    for hit, _, is_missing in rules:
+        if is_missing:
+            missing = missing | hit
+    return runs.withColumn("reasons", reasons).withColumn(
+        "gate_status", F.when(F.size("reasons") == 0, "passed").when(missing, "not_evaluated").otherwise("failed")
+    )

@@ -135,6 +135,8 @@ def with_views(names: str, body: str, spark_tables: str | None = None) -> str:
         text = " ".join(parts) + body
         base = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
         parts = [f"{t} AS (SELECT * FROM parquet.`{spark_tables}/{t}.parquet`)" for t in base] + parts
+    if body.startswith(","):  # the body brings common table expressions of its own
+        return f"WITH {', '.join(parts)}{body}"
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
 
 
