@@ -10,6 +10,7 @@ from trackspark.functions.geometry import BOX, iou
 from trackspark.functions.scalars import meaningful_id, shot_of
 from trackspark.operators.assignment import match_edges
 from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, last_known, positions, running_sum
+from trackspark.session import cut_lineage
 
 FRAME = ["shot_id", "frame_index"]
 SOLVE_FRAMES = 256
@@ -325,11 +326,8 @@ ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
 EPSILON = 2.220446049250313e-16
 
 
-def _pair_frames(objects: DataFrame, rows: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    scored = evaluated_frames(frames)
-    left = objects.join(scored, FRAME, "left_semi").select(*keys, *[c for c in FRAME if c not in keys], "object_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
-    right = rows.join(scored, FRAME, "left_semi").select(*FRAME, "tracklet_id", *BOX)
-    return left.join(right, FRAME).withColumn("iou", iou([f"r_{c}" for c in BOX], BOX)).select(*FRAME, "object_id", "tracklet_id", "iou")
+def _pair_frames(objects: DataFrame, rows: DataFrame, frames: DataFrame) -> DataFrame:
+    return reference_edges(objects.join(evaluated_frames(frames), FRAME, "left_semi"), rows, 0.0)
 
 
 def _solve_scores(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -351,40 +349,54 @@ def _scored_matches(scored: DataFrame) -> DataFrame:
     return final.unionByName(solved)
 
 
-def hota(objects: DataFrame, rows: DataFrame, frames: DataFrame, combined: bool = False) -> DataFrame:
-    """HOTA, DetA and AssA averaged over 19 thresholds, per shot or over all shots with disjoint ids."""
+def _per_shot_and_total(df: DataFrame) -> DataFrame:
+    """Each per-shot row once for its shot and once for ``*``."""
+    return df.withColumn("shot_id", F.explode(F.array(F.col("shot_id"), F.lit("*"))))
+
+
+def box_counts(objects: DataFrame, rows: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evaluated boxes per reference id and per tracklet."""
     scored = evaluated_frames(frames)
-    pairs = _pair_frames(objects, rows, frames, ["shot_id"]).filter("iou > 0")
+    per_object = objects.join(scored, FRAME, "left_semi").groupBy("shot_id", "object_id").agg(F.count(F.lit(1)).alias("_gt"))
+    per_track = rows.join(scored, FRAME, "left_semi").groupBy("shot_id", "tracklet_id").agg(F.count(F.lit(1)).alias("_tr"))
+    return per_object, per_track
+
+
+def hota(pairs: DataFrame, per_object: DataFrame, per_track: DataFrame) -> DataFrame:
+    """HOTA, DetA and AssA averaged over 19 thresholds, per shot and over all shots (``*``, ids disjoint).
+
+    pairs(shot_id, frame_index, object_id, tracklet_id, iou) of evaluated frames
+    """
+    pairs = pairs.filter("iou > 0")
     by_object, by_track = Window.partitionBy(*FRAME, "object_id"), Window.partitionBy(*FRAME, "tracklet_id")
     overlap = pairs.withColumn(
         "_share", F.col("iou") / (F.sum("iou").over(by_object) + F.sum("iou").over(by_track) - F.col("iou"))
     )
     ids = ["shot_id", "object_id", "tracklet_id"]
     potential = overlap.groupBy(*ids).agg(F.sum("_share").alias("_potential"))
-    object_counts = objects.join(scored, FRAME, "left_semi").groupBy("shot_id", "object_id").agg(F.count(F.lit(1)).alias("_gt"))
-    track_counts = rows.join(scored, FRAME, "left_semi").groupBy("shot_id", "tracklet_id").agg(F.count(F.lit(1)).alias("_tr"))
-    aligned = potential.join(object_counts, ["shot_id", "object_id"]).join(track_counts, ["shot_id", "tracklet_id"]).withColumn(
+    aligned = potential.join(per_object, ["shot_id", "object_id"]).join(per_track, ["shot_id", "tracklet_id"]).withColumn(
         "_align", F.col("_potential") / (F.col("_gt") + F.col("_tr") - F.col("_potential"))
     )
     matched = _scored_matches(pairs.join(aligned.select(*ids, "_align"), ids).withColumn("score", F.col("_align") * F.col("iou")))
     alphas = F.array(*[F.lit(a) for a in ALPHAS])
-    levels = matched.select(*ids, F.explode(F.filter(alphas, lambda a: F.col("iou") >= a - EPSILON)).alias("alpha"))
-    counts = levels.groupBy(*ids, "alpha").agg(F.count(F.lit(1)).alias("_c"))
-    joined = counts.join(object_counts, ["shot_id", "object_id"]).join(track_counts, ["shot_id", "tracklet_id"])
-    group = [] if combined else ["shot_id"]
-    ass = joined.withColumn("_a", F.col("_c") * F.col("_c") / F.greatest(F.lit(1), F.col("_gt") + F.col("_tr") - F.col("_c")))
-    per_alpha = ass.groupBy(*group, "alpha").agg(F.sum("_c").alias("_tp"), F.sum("_a").alias("_ass"))
-    totals = object_counts.groupBy(*group).agg(F.sum("_gt").alias("_gts")) if group else object_counts.agg(F.sum("_gt").alias("_gts"))
-    tracked = track_counts.groupBy(*group).agg(F.sum("_tr").alias("_trs")) if group else track_counts.agg(F.sum("_tr").alias("_trs"))
-    base = totals.join(tracked, group, "left") if group else totals.crossJoin(tracked)
-    base = base.withColumn("alpha", F.explode(alphas))
-    full = base.join(per_alpha, [*group, "alpha"], "left")
-    tp = F.coalesce("_tp", F.lit(0))
-    det = tp / F.greatest(F.lit(1), F.col("_gts") + F.coalesce("_trs", F.lit(0)) - tp)
-    ass_a = F.coalesce("_ass", F.lit(0.0)) / F.greatest(F.lit(1), tp)
-    out = full.withColumn("_det", det).withColumn("_assa", ass_a)
-    agg = [F.avg(F.sqrt(F.col("_det") * F.col("_assa"))).alias("HOTA"), F.avg("_det").alias("DetA"), F.avg("_assa").alias("AssA")]
-    return out.groupBy(*group).agg(*agg) if group else out.agg(*agg)
+    # one counter per threshold, so a match travels as one row
+    counts = matched.groupBy(*ids).agg(F.array(*[F.count_if(F.col("iou") >= a - EPSILON) for a in ALPHAS]).alias("_cs"))
+    levels = counts.join(per_object, ["shot_id", "object_id"]).join(per_track, ["shot_id", "tracklet_id"]).select(
+        "shot_id", "_gt", "_tr", F.explode(F.arrays_zip(alphas.alias("alpha"), F.col("_cs").alias("c"))).alias("_l")
+    ).select("shot_id", "_gt", "_tr", F.col("_l.alpha").alias("alpha"), F.col("_l.c").alias("_c"))
+    ass = levels.withColumn("_a", F.col("_c") * F.col("_c") / F.greatest(F.lit(1), F.col("_gt") + F.col("_tr") - F.col("_c")))
+    per_alpha = ass.groupBy("shot_id", "alpha").agg(F.sum("_c").alias("_tp"), F.sum("_a").alias("_ass"))
+    gts = per_object.groupBy("shot_id").agg(F.sum("_gt").alias("_gts"))
+    trs = per_track.groupBy("shot_id").agg(F.sum("_tr").alias("_trs"))
+    base = gts.join(trs, "shot_id", "full").withColumn("alpha", F.explode(alphas)).join(per_alpha, ["shot_id", "alpha"], "left")
+    summed = _per_shot_and_total(base).groupBy("shot_id", "alpha").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("_tp", "_ass", "_gts", "_trs")]
+    )
+    det = F.col("_tp") / F.greatest(F.lit(1), F.col("_gts") + F.col("_trs") - F.col("_tp"))
+    out = summed.withColumn("_det", det).withColumn("_assa", F.col("_ass") / F.greatest(F.lit(1), F.col("_tp")))
+    return out.groupBy("shot_id").agg(
+        F.avg(F.sqrt(F.col("_det") * F.col("_assa"))).alias("HOTA"), F.avg("_det").alias("DetA"), F.avg("_assa").alias("AssA")
+    )
 
 
 def _solve_sequence(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -393,23 +405,20 @@ def _solve_sequence(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shot_id": [pdf.shot_id.iloc[0]], "idtp": [int(pdf.n.iloc[picks].sum())]})
 
 
-def idf1(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5, combined: bool = False) -> DataFrame:
-    """Identity F1: the id-to-id assignment that keeps most matched boxes of a shot.
+def idf1(pairs: DataFrame, per_object: DataFrame, per_track: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Identity F1 per shot and in total: the id-to-id assignment that keeps most matched boxes of a shot.
 
-    The assignment table has one row per id pair of a shot, not per box. Ids
-    never cross shots, so the combined score sums the shots.
+    The assignment table has one row per id pair of a shot, not per box, and is
+    solved per connected component of ids. Ids never cross shots, so the total sums the shots.
     """
-    scored = evaluated_frames(frames)
-    pairs = _pair_frames(objects, rows, frames, ["shot_id"]).filter(F.col("iou") >= threshold)
-    counts = pairs.groupBy("shot_id", "object_id", "tracklet_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = pairs.filter(F.col("iou") >= threshold).groupBy("shot_id", "object_id", "tracklet_id").agg(F.count(F.lit(1)).alias("n"))
     tp = counts.groupBy("shot_id").applyInPandas(_solve_sequence, "shot_id string, idtp bigint")
-    gts = objects.join(scored, FRAME, "left_semi").groupBy("shot_id").agg(F.count(F.lit(1)).alias("_gt"))
-    trs = rows.join(scored, FRAME, "left_semi").groupBy("shot_id").agg(F.count(F.lit(1)).alias("_tr"))
-    per = gts.join(trs, "shot_id", "full").join(tp, "shot_id", "left")
-    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("idtp", "_gt", "_tr")]
-    out = per.agg(*sums) if combined else per.groupBy("shot_id").agg(*sums)
+    gts = per_object.groupBy("shot_id").agg(F.sum("_gt").alias("_gts"))
+    trs = per_track.groupBy("shot_id").agg(F.sum("_tr").alias("_trs"))
+    per = _per_shot_and_total(gts.join(trs, "shot_id", "full").join(tp, "shot_id", "left"))
+    out = per.groupBy("shot_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("idtp", "_gts", "_trs")])
     # IDTP / (IDTP + (IDFN + IDFP) / 2) with IDFN = gt - IDTP and IDFP = tracks - IDTP
-    return out.select(*([] if combined else ["shot_id"]), (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("_gt") + F.col("_tr"))).alias("IDF1"))
+    return out.select("shot_id", (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("_gts") + F.col("_trs"))).alias("IDF1"))
 
 
 def _solve_run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -432,8 +441,10 @@ def _solve_run(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(kept)[["shot_id", "frame_index", "frame_no", "object_id", "tracklet_id"]]
 
 
-def clear_switches(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Identity switches and fragmentations by the CLEAR rule, per shot.
+def clear_switches(
+    pairs: DataFrame, objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5
+) -> DataFrame:
+    """Identity switches and fragmentations by the CLEAR rule, per shot and in total.
 
     A frame's matching depends on the previous one only while edges are
     contested. Frames without a contested edge are decided on their own and cut
@@ -445,7 +456,7 @@ def clear_switches(objects: DataFrame, rows: DataFrame, frames: DataFrame, thres
         .join(rows.select(*FRAME).distinct(), FRAME, "left_semi").withColumn("_bucket", frame_bucket("frame_index"))
     )
     numbered = positions(both, ["shot_id"], ["frame_index"], "_bucket", "frame_no").select(*FRAME, "frame_no")
-    edges = _pair_frames(objects, rows, frames, ["shot_id"]).filter(F.col("iou") >= threshold - EPSILON).join(numbered, FRAME)
+    edges = pairs.filter(F.col("iou") >= threshold - EPSILON).join(numbered, FRAME)
     per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
     marked = edges.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
     # a whole frame is contested when any of its edges is
@@ -465,22 +476,25 @@ def clear_switches(objects: DataFrame, rows: DataFrame, frames: DataFrame, thres
     solved = work.groupBy("shot_id", "run_no").applyInPandas(_solve_run, schema)
     matched = final.unionByName(solved).withColumn("_bucket", frame_bucket("frame_no"))
     steps = adjacent_row(matched, ["shot_id", "object_id"], ["frame_no"], "_bucket", {"_track": "tracklet_id", "_no": "frame_no"})
-    return frames.select("shot_id").distinct().join(
-        steps.groupBy("shot_id").agg(
-            F.count_if(F.col("_track") != F.col("tracklet_id")).alias("id_switches"),
-            F.count_if(F.col("_no") + 1 != F.col("frame_no")).alias("fragmentation"),
-        ), "shot_id", "left",
-    ).select("shot_id", F.coalesce("id_switches", F.lit(0)).alias("id_switches"), F.coalesce("fragmentation", F.lit(0)).alias("fragmentation"))
+    flags = steps.groupBy("shot_id").agg(
+        F.count_if(F.col("_track") != F.col("tracklet_id")).alias("id_switches"),
+        F.count_if(F.col("_no") + 1 != F.col("frame_no")).alias("fragmentation"),
+    )
+    full = frames.select("shot_id").distinct().join(flags, "shot_id", "left")
+    return _per_shot_and_total(full).groupBy("shot_id").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("id_switches", "fragmentation")]
+    )
 
 
 def standard_metrics(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Published-definition metrics per shot plus a combined row (``*``)."""
-    clear = clear_switches(objects, rows, frames, threshold)
-    per = hota(objects, rows, frames).join(idf1(objects, rows, frames, threshold), "shot_id", "left").join(clear, "shot_id", "left")
-    total = hota(objects, rows, frames, combined=True).crossJoin(idf1(objects, rows, frames, threshold, combined=True)).crossJoin(
-        clear.agg(F.sum("id_switches").alias("id_switches"), F.sum("fragmentation").alias("fragmentation"))
+    pairs = cut_lineage(_pair_frames(objects, rows, frames).filter("iou > 0"))  # read by three scores
+    per_object, per_track = box_counts(objects, rows, frames)
+    return (
+        hota(pairs, per_object, per_track)
+        .join(idf1(pairs, per_object, per_track, threshold), "shot_id", "left")
+        .join(clear_switches(pairs, objects, rows, frames, threshold), "shot_id", "left")
     )
-    return per.unionByName(total.withColumn("shot_id", F.lit("*")))
 
 
 # --- promotion -------------------------------------------------------------

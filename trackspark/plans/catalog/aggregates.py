@@ -247,10 +247,10 @@ PIXELS = """SELECT CAST(floor(l_orderkey/32.0) AS BIGINT) AS crop_id, CAST(l_ord
 @query("a25_crop_colour", "", f"""
 WITH torso AS (SELECT * FROM ({PIXELS}) WHERE px >= 6 AND px < 25 AND py >= 1 AND py < 6),
  cuts AS (SELECT crop_id, quantile_cont(r,0.2) AS r1, quantile_cont(r,0.8) AS r2, quantile_cont(g,0.2) AS g1, quantile_cont(g,0.8) AS g2, quantile_cont(b,0.2) AS b1, quantile_cont(b,0.8) AS b2 FROM torso GROUP BY 1)
-SELECT t.crop_id, round(coalesce(avg(CASE WHEN ok THEN r END), avg(r)),8) AS r, round(coalesce(avg(CASE WHEN ok THEN g END), avg(g)),8) AS g, round(coalesce(avg(CASE WHEN ok THEN b END), avg(b)),8) AS b
+SELECT t.crop_id, round(coalesce(avg(CASE WHEN ok THEN r END), avg(r)),11) AS r, round(coalesce(avg(CASE WHEN ok THEN g END), avg(g)),11) AS g, round(coalesce(avg(CASE WHEN ok THEN b END), avg(b)),11) AS b
 FROM (SELECT t.*, r BETWEEN r1 AND r2 AND g BETWEEN g1 AND g2 AND b BETWEEN b1 AND b2 AS ok FROM torso t JOIN cuts c ON c.crop_id = t.crop_id) t GROUP BY 1""")
 def a25(v):
     from trackspark.plans.views import with_views
 
     pixels = v.spark.sql(with_views("", f"SELECT * FROM ({PIXELS})", v.sf_dir))
-    return TE.crop_colours(pixels).select("crop_id", *[F.round(c, 8).alias(c) for c in "rgb"])
+    return TE.crop_colours(pixels).select("crop_id", *[F.round(c, 11).alias(c) for c in "rgb"])
