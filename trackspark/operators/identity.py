@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from trackspark.functions.scalars import shot_of
 from trackspark.operators.assignment import best_matching, best_total, components
 from trackspark.operators.pairs import eligible_scores, pair_evidence
-from trackspark.scale import connected_components, positions
+from trackspark.scale import connected_components, fresh, positions
+from trackspark.session import cut_lineage
 
 SHOTS = ["play_id", "left_shot", "right_shot"]
 LINK_FIELDS = ["left_key", "right_key", "decision", "score", "alternative_score", "ambiguity_margin", "rejection_reason"]
@@ -160,7 +161,7 @@ def safe_links(links: DataFrame, attributes: DataFrame, overlaps: DataFrame) ->
     inside = overlaps.join(parts.select(F.col("id").alias("a"), "component"), "a").join(
         parts.select(F.col("id").alias("b"), F.col("component").alias("_other")), "b"
     ).filter("component = _other").select("component", "a", "b")
-    return keyed.groupBy("component").cogroup(inside.groupBy("component")).applyInPandas(
+    return fresh(keyed).groupBy("component").cogroup(fresh(inside).groupBy("component")).applyInPandas(
         lambda l, o: _accept_in_order(l, o) if len(l) else pd.DataFrame(columns=["play_id", "left_key", "right_key", "accepted"]),
         "play_id string, left_key string, right_key string, accepted boolean",
     )
@@ -229,9 +230,9 @@ def resolve_plays(
 
     plays(play_id, shot_id) lists the aligned shots; a shot without samples cannot take part.
     """
-    tracks = samples.select("play_id", "shot_id", "tracklet_id").distinct()
+    tracks = cut_lineage(samples.select("play_id", "shot_id", "tracklet_id").distinct())
     lefts, pairs = shot_pair_tracks(tracks)
-    evidence = pair_evidence(pairs, samples, teams, cues, **limits)
+    evidence = cut_lineage(pair_evidence(pairs, samples, teams, cues, **limits))  # one row per tracklet pair, read often
     scores = eligible_scores(evidence)
     links = match_tracklets(lefts, scores, threshold, margin)
     agreed = evidence.filter("reviewed_jersey_agreement").select("play_id", "left_key", "right_key", F.lit(True).alias("_agreed"))
@@ -239,12 +240,14 @@ def resolve_plays(
         F.lit("team_agreement"), F.lit("calibrated_field_position"), F.lit("trajectory_shape"), F.when(F.col("_agreed"), "reviewed_jersey_agreement"),
     )))
     links = links.join(agreed, ["play_id", "left_key", "right_key"], "left").withColumn("evidence_keys", keys).drop("_agreed")
+    links = cut_lineage(links)
     overlaps = same_shot_overlaps(rows, tracks)
     decided = safe_links(links, attributes, overlaps)
     joined = links.join(decided, ["play_id", "left_key", "right_key"], "left")
     final = joined.withColumn("decision", F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "insufficient_evidence").otherwise(F.col("decision"))).withColumn(
         "rejection_reason", F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "component_conflict").otherwise(F.col("rejection_reason"))
     ).drop("accepted")
+    final = cut_lineage(final)
     return {"evidence": evidence, "links": final, "status": play_status(plays, tracks, scores, final)}
 
 

@@ -1 +1,425 @@
-"""Queries."""
+"""Scans of logs and documents that Spark first derives from the tables, and exports."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from trackspark.functions import geometry as G
+from trackspark.operators import calibrate as CAL
+from trackspark.plans.catalog import query
+from trackspark.plans.catalog.aggregates import PROTOTYPES
+from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE, USABLE
+from trackspark.plans.catalog.joins import splits, SPLITS
+from trackspark.plans.catalog.windows import FUSED
+from trackspark.plans.views import with_views
+from trackspark.scale import frame_bucket, positions
+from trackspark.session import shared_dir
+from trackspark.sinks import tables as K
+from trackspark.sources import calibration as SC
+from trackspark.sources import documents as D
+from trackspark.sources import logs as L
+from trackspark.sources import observations as O
+
+DOC_FRAMES = 500  # frames per derived document, so no document holds a whole source
+
+
+def scratch(v, name: str) -> str:
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def packed_frames(dets):
+    box = F.array("x1", "y1", "x2", "y2")
+    det = F.struct(box.alias("box_xyxy"), "score", "class_name", "class_id")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("det_index", det.alias("d")))), lambda e: e["d"])
+    return dets.groupBy(F.col("source_id").alias("log_id"), "frame_index").agg(listed.alias("detections"))
+
+
+def log_lines(v):
+    """One log per source; every third source has no provenance."""
+    frames = packed_frames(v.dets)
+    number = F.substring_index("log_id", "-", -1).cast("int")
+    logs = frames.select("log_id").distinct().select(
+        "log_id", F.col("log_id").alias("source_hash"), F.lit("cfg-1").alias("detector_config_hash"),
+        F.when(number % 3 != 2, F.create_map(F.lit("proxy"), (number % 2 == 0).cast("string"), F.lit("checkpoint"), F.concat(F.lit("ck-"), "log_id"))).alias("provenance"),
+    )
+    return K.detection_log_lines(frames, logs).select(F.col("log_id").alias("file_path"), "value")
+
+
+@query("s1_detection_log_scan", "dets", """
+SELECT source_id AS source_hash, frame_index, CAST(row_number() OVER (PARTITION BY source_id, frame_index ORDER BY det_index) - 1 AS INT) AS det_index, x1, y2, score, class_name, class_id FROM dets WHERE source_id <> 'src-1'""")
+def s1(v):
+    # a log with another hash is dropped whole
+    parsed = L.parse_logs(log_lines(v))
+    kept = parsed["detections"].filter("source_hash <> 'src-1'")
+    return kept.select("source_hash", "frame_index", "det_index", "x1", "y2", "score", "class_name", "class_id")
+
+
+@query("s2_detection_log_provenance", "dets", """
+SELECT source_id AS file_path, CASE WHEN k % 3 <> 2 THEN CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END END AS proxy, CASE WHEN k % 3 <> 2 THEN concat('ck-', source_id) END AS checkpoint, n AS frames FROM (SELECT source_id, CAST(substr(source_id, 5) AS INT) AS k, count(DISTINCT frame_index) AS n FROM dets GROUP BY 1)""")
+def s2(v):
+    parsed = L.parse_logs(log_lines(v))
+    counts = parsed["frames"].groupBy("file_path").agg(F.count("*").alias("frames"))
+    return parsed["logs"].join(counts, "file_path").select(
+        "file_path", F.try_element_at("provenance", F.lit("proxy")).alias("proxy"), F.try_element_at("provenance", F.lit("checkpoint")).alias("checkpoint"), "frames"
+    )
+
+
+@query("s3_log_completeness", "dets", """
+, want AS (SELECT s.source_id, f.frame_index FROM (SELECT DISTINCT source_id, CAST(substr(source_id, 5) AS INT)*5000 AS a FROM dets) s, LATERAL (SELECT unnest(range(s.a, s.a + 5000)) AS frame_index) f),
+ gap AS (SELECT source_id, frame_index FROM want EXCEPT SELECT source_id, frame_index FROM dets)
+SELECT source_id AS file_path, CAST(count(*) AS BIGINT) AS missing, array_to_string(list_sort(list(frame_index))[1:5], ',') AS first_missing FROM gap GROUP BY 1""")
+def s3(v):
+    parsed = L.parse_logs(log_lines(v))
+    start = (F.substring_index("file_path", "-", -1).cast("bigint") * 5000)
+    ranges = parsed["logs"].select("file_path", start.alias("frame_start"), (start + 5000).alias("frame_end"))
+    out = L.completeness(parsed["frames"], ranges, ["file_path"])
+    return out.select("file_path", "missing", F.concat_ws(",", F.transform("first_missing", lambda x: x.cast("string"))).alias("first_missing"))
+
+
+@query("s4_log_strict_check", "dets", """
+, fr AS (SELECT DISTINCT source_id, frame_index FROM dets), again AS (SELECT source_id, frame_index FROM dets GROUP BY 1, 2 HAVING min(score) > 0.9), lim AS (SELECT DISTINCT source_id, CAST(substr(source_id, 5) AS INT) AS k, CAST(substr(source_id, 5) AS INT)*5000 + 4900 AS n FROM dets)
+SELECT source_id AS file_path, 'duplicate_frame' AS rule, CAST(count(*) AS BIGINT) AS n FROM again GROUP BY 1
+UNION ALL SELECT source_id, 'provenance_missing', 1 FROM lim WHERE k % 3 = 2 UNION ALL SELECT source_id, 'provenance_mismatch', 1 FROM lim WHERE k % 3 <> 2 AND k % 2 <> 0
+UNION ALL SELECT f.source_id, 'out_of_range', count(*) FROM fr f JOIN lim l ON l.source_id = f.source_id WHERE f.frame_index >= l.n GROUP BY 1
+UNION ALL SELECT l.source_id, 'missing_frame', l.n - count(f.frame_index) FROM lim l JOIN fr f ON f.source_id = l.source_id AND f.frame_index < l.n GROUP BY l.source_id, l.n""")
+def s4(v):
+    lines = log_lines(v)
+    again = packed_frames(v.dets).join(
+        v.dets.groupBy(F.col("source_id").alias("log_id"), "frame_index").agg(F.min("score").alias("m")).filter("m > 0.9"), ["log_id", "frame_index"], "left_semi"
+    ).select(F.col("log_id").alias("file_path"), F.to_json(F.struct("detections", "frame_index")).alias("value"))
+    parsed = L.parse_logs(lines.unionByName(again))
+    counts = parsed["logs"].select("file_path", (F.substring_index("file_path", "-", -1).cast("bigint") * 5000 + 4900).alias("frame_count"))
+    out = L.strict_violations(parsed["frames"], parsed["logs"], counts, {"proxy": "true"})
+    return out.groupBy("file_path", "rule").agg(F.count("*").alias("n"))
+
+
+def dense_parts(v):
+    """Frames renumbered densely per source, cut into parts; one more frame is declared for odd sources."""
+    frames = packed_frames(v.dets).withColumn("_bucket", frame_bucket("frame_index"))
+    dense = positions(frames, ["log_id"], ["frame_index"], "_bucket", "dense_no")
+    parts = dense.select(
+        F.concat("log_id", F.lit("/part-"), F.floor(F.col("dense_no") / 1000).cast("string")).alias("file_path"), F.col("log_id").alias("source_hash"), F.lit("cfg-1").alias("detector_config_hash"),
+        F.col("dense_no").cast("bigint").alias("frame_index"), "detections",
+    )
+    number = F.substring_index("source_hash", "-", -1).cast("int")
+    logs = parts.select("file_path", "source_hash", "detector_config_hash").distinct().withColumn("provenance", F.create_map(F.lit("proxy"), F.lit("false")))
+    targets = parts.groupBy("source_hash", "detector_config_hash").agg((F.max("frame_index") + 1).alias("_n")).select(
+        "source_hash", "detector_config_hash", (F.col("_n") + F.when(number % 2 == 1, 1).otherwise(0)).alias("frame_count")
+    )
+    return parts, logs, targets
+
+
+@query("k2_strict_merge", "dets", """
+SELECT source_id AS source_hash, CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END AS violations, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS merged_frames FROM (SELECT source_id, CAST(substr(source_id,5) AS INT) AS k, count(DISTINCT frame_index) AS n FROM dets GROUP BY 1)""")
+def k2(v):
+    parts, logs, targets = dense_parts(v)
+    out = L.merge_parts(parts, logs, targets, {"proxy": "false"})
+    bad = out["violations"].groupBy("source_hash").agg(F.count("*").alias("violations"))
+    good = out["merged"].groupBy("source_hash").agg(F.count("*").alias("merged_frames"))
+    zero = F.lit(0).cast("bigint")
+    return targets.select("source_hash").join(bad, "source_hash", "left").join(good, "source_hash", "left").select("source_hash", F.coalesce("violations", zero).cast("bigint").alias("violations"), F.coalesce("merged_frames", zero).alias("merged_frames"))
+
+
+@query("u1_union_of_parts", "dets", """
+SELECT source_id AS source_hash, CAST(row_number() OVER (PARTITION BY source_id ORDER BY frame_index) - 1 AS BIGINT) AS frame_index, CAST(n AS INT) AS detections FROM (SELECT source_id, frame_index, count(*) AS n FROM dets WHERE CAST(substr(source_id,5) AS INT) % 2 = 0 GROUP BY 1, 2)""")
+def u1(v):
+    parts, logs, targets = dense_parts(v)
+    return L.merge_parts(parts, logs, targets, {"proxy": "false"})["merged"].select("source_hash", "frame_index", F.size("detections").alias("detections"))
+
+
+@query("k1_detection_log_write")
+def k1(v):
+    path = scratch(v, "detections")
+    dets = v.dets.select(F.col("source_id").alias("source_sha256"), F.lit("cfg-1").alias("detector_config_hash"), "frame_index", "det_index", "x1", "y1", "x2", "y2", "score", "class_name", "class_id")
+    K.write_detection_table(dets, dets.groupBy("source_sha256", "detector_config_hash").agg(F.count("*").alias("rows")), path)
+    back = v.spark.read.parquet(f"{path}/detections")
+    return back.groupBy("source_sha256", "detector_config_hash").agg(F.count("*").alias("detections"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"))
+
+
+def fused(v):
+    return v.spark.sql(with_views("obs", FUSED, v.sf_dir))
+
+
+EXPORT = """SELECT 'run-1' AS run_id, shot_id, frame_index, pts, 1 AS tb_num, 30000 AS tb_den, tracklet_id, CASE WHEN frame_index % 6 = 0 THEN NULL ELSE concat('P', right(tracklet_id, 1)) END AS player_id, play_id, x1, y1, x2, y2, score AS detection_score,
+ 'A' AS team, 0.5E0 AS team_score, CAST(NULL AS INT) AS jersey_number, CASE WHEN frame_index % 3 = 0 THEN NULL ELSE x1*0.5E0 END AS field_x, CASE WHEN frame_index % 3 = 0 THEN NULL ELSE y1*0.25E0 END AS field_y, 'bottom_center' AS position_source, 'c1' AS calibration_id, 2 AS identity_version,
+ 'valid' AS calibration_status, CAST(NULL AS STRING) AS calibration_reason, 0.5E0 AS position_uncertainty_yards, play_time_s, 'play-time-map' AS time_map_id, tracklet_id AS source_tracklet_id FROM obs"""
+
+
+def export_rows(v):
+    return v.spark.sql(with_views("obs", EXPORT, v.sf_dir))
+
+
+@query("k3_observation_csv", "obs", f"""
+SELECT frame_index, tracklet_id, player_id, concat('[', tb_num, ', ', tb_den, ']') AS time_base, concat('[', CAST(x1 AS STRING), ', ', CAST(y1 AS STRING), ', ', CAST(x2 AS STRING), ', ', CAST(y2 AS STRING), ']') AS bbox_xyxy_px,
+ CASE WHEN field_x IS NOT NULL THEN concat('[', CAST(field_x AS STRING), ', ', CAST(field_y AS STRING), ']') END AS field_xy_yards, detection_score FROM ({EXPORT})""")
+def k3(v):
+    return K.observation_csv_rows(export_rows(v)).select("frame_index", "tracklet_id", "player_id", "time_base", "bbox_xyxy_px", "field_xy_yards", "detection_score")
+
+
+@query("k4_observation_parquet", "obs", f"""
+SELECT shot_id, CAST(count(*) AS BIGINT) AS n, CAST(count(field_x) AS BIGINT) AS placed, round(sum(x2), 6) AS sum_x2, CAST(sum(tb_den) AS BIGINT) AS sum_den FROM ({EXPORT}) GROUP BY 1""")
+def k4(v):
+    path = scratch(v, "observations")
+    K.write_observations_parquet(export_rows(v), path)
+    back = v.spark.read.parquet(path)
+    return back.groupBy("shot_id").agg(
+        F.count("*").alias("n"), F.count("field_xy_yards").alias("placed"), F.round(F.sum(F.get("bbox_xyxy_px", F.lit(2))), 6).alias("sum_x2"), F.sum(F.get("time_base", F.lit(1))).alias("sum_den")
+    )
+
+
+@query("k5_trajectory_export", "obs", f"""
+SELECT player_id, shot_id, frame_index, pts, (x1+x2)/2.0E0 AS x_px, y2 AS y_px, field_x AS x_yards, field_y AS y_yards, play_time_s FROM ({EXPORT}) WHERE player_id IS NOT NULL""")
+def k5(v):
+    return K.trajectories(export_rows(v)).select("player_id", "shot_id", "frame_index", "pts", "x_px", "y_px", "x_yards", "y_yards", "play_time_s")
+
+
+@query("k6_play_trajectory_export", "obs", f"""
+, r AS (SELECT *, CAST(round_even(play_time_s*2.0E0, 0) AS BIGINT) AS bin FROM ({EXPORT}) WHERE field_y IS NOT NULL AND player_id IS NOT NULL)
+SELECT player_id, play_id, bin/2.0E0 AS play_time_s, field_x AS x_yards, frame_index FROM (SELECT *, row_number() OVER (PARTITION BY play_id, player_id, bin ORDER BY position_uncertainty_yards, -detection_score, shot_id, frame_index, tracklet_id) AS rn FROM r) WHERE rn = 1""")
+def k6(v):
+    path = scratch(v, "play-trajectories")
+    K.write_play_trajectories_csv(export_rows(v), path, 2.0)
+    back = v.spark.read.option("header", True).schema(K.play_trajectories(export_rows(v)).schema).csv(path)
+    return back.select("player_id", "play_id", "play_time_s", "x_yards", "frame_index")
+
+
+@query("k7_calibration_export", "keyframes", f""", {CLOSED}
+SELECT shot_id, keyframe_id, json_extract_string(doc, '$.status') AS status, CAST(json_extract(doc, '$.pts_start') AS BIGINT) AS pts_start, overall FROM (SELECT k.shot_id, keyframe_id, concat('{{"status":"', k.status, '","pts_start":', pts_start, '}}') AS doc, o.overall FROM closed k
+ JOIN (SELECT shot_id, CASE WHEN bool_and(status = 'valid') THEN 'valid' WHEN bool_and(status = 'invalid') THEN 'invalid' WHEN bool_or(status = 'invalid') OR count(DISTINCT status) > 1 THEN 'partial' ELSE 'unvalidated' END AS overall FROM keyframes GROUP BY 1) o ON o.shot_id = k.shot_id)""")
+def k7(v):
+    docs = calibration_documents(CAL.close_intervals(v.keyframes))
+    overall = v.keyframes.groupBy("shot_id").agg(CAL.status_rollup().alias("overall"))
+    return docs.join(overall, "shot_id").select(
+        "shot_id", "keyframe_id", F.get_json_object("document", "$.status").alias("status"), F.get_json_object("document", "$.pts_start").cast("bigint").alias("pts_start"), "overall"
+    )
+
+
+def calibration_documents(closed):
+    """One JSON document per keyframe with its serialized fit."""
+    matrix = F.array(*[F.array(*[F.col(f"m{r}{c}") for c in range(3)]) for r in range(3)])
+    fit = F.struct(
+        matrix.alias("matrix"), "inlier_count", "point_count", F.col("median_error_px").alias("fit_error_px"), "median_error_yards", "reprojection_threshold_px",
+        "withheld_point_count", "withheld_p95_error_yards", "status", F.concat(F.lit("homography-"), "keyframe_id").alias("calibration_id"),
+    )
+    return closed.select("shot_id", "keyframe_id", F.to_json(F.struct("keyframe_id", "pts_start", "pts_end", "status", fit.alias("homography"))).alias("document"))
+
+
+def timeline_docs(v):
+    """One timeline document per shot."""
+    matrix = F.array(*[F.array(*[F.col(f"m{r}{c}") for c in range(3)]) for r in range(3)])
+    keys = v.keyframes
+    fit = F.struct(
+        matrix.alias("matrix"), "inlier_count", "point_count", F.col("median_error_px").alias("fit_error_px"), "median_error_yards", "reprojection_threshold_px",
+        "withheld_point_count", "withheld_p95_error_yards", "status", F.concat(F.lit("homography-"), "keyframe_id").alias("calibration_id"),
+    )
+    polygon = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(9.0), F.lit(0.0)), F.array(F.lit(9.0), F.lit(9.0)))
+    frame = F.struct("keyframe_id", "pts_start", "pts_end", "status", fit.alias("homography"), F.when(F.col("key_no") % 2 == 0, polygon).alias("support_polygon_px"))
+    per = keys.groupBy("shot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pts_start", frame.alias("f")))), lambda e: e["f"]).alias("keyframes"))
+    doc = F.struct(F.lit(2).alias("schema_version"), F.lit("abc").alias("source_sha256"), F.create_map("shot_id", F.struct("keyframes")).alias("shots"))
+    return per.select(F.concat(F.lit("mem:/"), "shot_id").alias("file_path"), F.to_json(doc).alias("value"))
+
+
+@query("s6_static_calibration_scan", "keyframes", f"""
+SELECT shot_id, concat('homography-', keyframe_id) AS calibration_id, round(m00/m22, 9) AS m00, inlier_count, median_error_px, status, concat_ws(',', CASE WHEN inlier_count > point_count THEN 'point_counts' END) AS broken FROM keyframes k WHERE pts_start = (SELECT min(pts_start) FROM keyframes x WHERE x.shot_id = k.shot_id)""")
+def s6(v):
+    first = v.keyframes.groupBy("shot_id").agg(F.min_by(F.struct(*[c for c in v.keyframes.columns if c != "shot_id"]), "pts_start").alias("k")).select("shot_id", "k.*")
+    doc = F.struct(F.lit(1).alias("schema_version"), F.create_map("shot_id", F.struct(
+        F.array(*[F.array(*[F.col(f"m{r}{c}") for c in range(3)]) for r in range(3)]).alias("matrix"), "inlier_count", "point_count", F.col("median_error_px"), "median_error_yards",
+        "reprojection_threshold_px", "withheld_point_count", "withheld_p95_error_yards", "status", F.concat(F.lit("homography-"), "keyframe_id").alias("calibration_id"),
+    )).alias("shots"))
+    docs = first.select(F.concat(F.lit("mem:/"), "shot_id").alias("file_path"), F.to_json(doc).alias("value"))
+    fits = SC.parse_static(docs)["fits"]
+    return fits.select("shot_id", "calibration_id", F.round("m00", 9).alias("m00"), "inlier_count", "median_error_px", "status", F.concat_ws(",", "broken").alias("broken"))
+
+
+@query("s7_calibration_timeline_scan", "keyframes", f"""
+SELECT shot_id, keyframe_id, substring(sha256(concat(shot_id, ':', keyframe_id, ':homography-', keyframe_id)),1,16) AS calibration_id, pts_start, pts_end, status, {ELIGIBLE} AS eligible, CAST(CASE WHEN key_no % 2 = 0 THEN 3 ELSE 0 END AS INT) AS corners,
+ concat_ws(',', CASE WHEN status = 'valid' AND NOT {ELIGIBLE} THEN 'valid_without_evidence' END, CASE WHEN pts_end <= pts_start THEN 'interval' END) AS broken FROM keyframes""")
+def s7(v):
+    rows = SC.parse_timeline(timeline_docs(v))["keyframes"]
+    return rows.select("shot_id", "keyframe_id", "calibration_id", "pts_start", "pts_end", "status", "eligible", F.size("support_polygon").alias("corners"), F.concat_ws(",", "broken").alias("broken"))
+
+
+def alignment_docs(v, as_list: bool = True):
+    events = v.events_map
+    point = F.struct("shot_id", F.col("pts").alias("source_pts"), "play_time_s", "event")
+    anchors = events.groupBy("play_id", "shot_id").agg(F.min_by(F.struct("shot_id", F.col("frame_index").alias("source_frame"), "event"), "pts").alias("a"), F.min("frame_index").alias("s"), F.max("frame_index").alias("e"))
+    per = events.groupBy("play_id").agg(F.collect_list(point).alias("correspondences"), F.collect_list(F.when(F.col("n") > 249, point)).alias("validation_correspondences")).join(
+        anchors.groupBy("play_id").agg(F.collect_list("a").alias("anchors"), F.map_from_entries(F.collect_list(F.struct("shot_id", F.array("s", "e")))).alias("shot_ranges")), "play_id"
+    )
+    play = F.struct("play_id", "anchors", "correspondences", "validation_correspondences", "shot_ranges")
+    doc = F.struct((F.substring_index("play_id", "-", -1).cast("int") >= 0).alias("reviewed"), F.lit("hash-1").alias("source_sha256"), F.array(play).alias("plays"))
+    return per.select(F.concat(F.lit("mem:/"), "play_id").alias("file_path"), F.to_json(doc).alias("value"))
+
+
+@query("s8_alignment_scan", "events_map", """
+SELECT play_id, shot_id, 'fit' AS role, pts, round(play_time_s, 6) AS play_time_s, event FROM events_map
+UNION ALL SELECT play_id, shot_id, 'check', pts, round(play_time_s, 6), event FROM events_map WHERE n > 249
+UNION ALL SELECT play_id, shot_id, 'range', min(frame_index), max(frame_index)*1.0E0, NULL FROM events_map GROUP BY 1, 2
+UNION ALL SELECT play_id, shot_id, 'anchor', min(frame_index), NULL, arg_min(event, pts) FROM events_map GROUP BY 1, 2""")
+def s8(v):
+    t = D.parse_alignments(alignment_docs(v))
+    role = lambda df, name, a, b, e: df.select("play_id", "shot_id", F.lit(name).alias("role"), a.alias("pts"), b.alias("play_time_s"), e.alias("event"))
+    c = F.col
+    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    return (
+        role(t["correspondences"], "fit", c("pts"), F.round("play_time_s", 6), c("event")).unionByName(role(t["checks"], "check", c("pts"), F.round("play_time_s", 6), c("event")))
+        .unionByName(role(t["ranges"], "range", c("start_frame"), c("end_frame").cast("double"), none_s)).unionByName(role(t["anchors"], "anchor", c("source_frame"), none_d, c("event")))
+    )
+
+
+@query("k9_alignment_export", "events_map", """
+SELECT source_no, CAST(count(DISTINCT play_id) AS BIGINT) AS plays, CASE WHEN count(DISTINCT h) = 1 THEN min(h) END AS source_sha256, CAST(sum(n) AS BIGINT) AS points FROM (SELECT floor(frame_index/15000.0) AS source_no, play_id, concat('h', CAST(CAST(floor(frame_index/12000.0) AS INT) AS STRING)) AS h, 1 AS n FROM events_map) GROUP BY 1""")
+def k9(v):
+    from trackspark.sinks.documents import alignment_sets
+
+    events = v.events_map.withColumn("source_no", F.floor(F.col("frame_index") / 15000.0).cast("double")).withColumn("source_sha256", F.concat(F.lit("h"), F.floor(F.col("frame_index") / 12000.0).cast("int").cast("string")))
+    sets = alignment_sets(events, ["source_no"])
+    return sets.select("source_no", F.size("plays").cast("bigint").alias("plays"), "source_sha256", F.aggregate("plays", F.lit(0).cast("bigint"), lambda a, p: a + F.size(p["correspondences"])).alias("points"))
+
+
+def reference_docs(v):
+    """One reference document per 500 frames of a shot."""
+    refs = v.ref_objects
+    obj = F.struct(
+        F.col("object_id").alias("id"), F.array("x1", "y1", F.when(F.col("contact_confidence") > 0.99, F.col("x1") - 1).otherwise(F.col("x2")), "y2").alias("bbox_xyxy"), "team",
+        F.when(F.col("contact_confidence") > 0.2, F.array("contact_x", F.when(F.col("contact_confidence") > 0.9, 99.0).otherwise(F.col("contact_y")))).alias("ground_contact_xy_yards"),
+        F.when(F.col("contact_confidence") > 0.4, F.col("contact_confidence")).alias("ground_contact_confidence"),
+    )
+    per = refs.groupBy("shot_id", "frame_index").agg(F.sort_array(F.collect_list(obj)).alias("objects"))
+    frames = v.frames.join(per, ["shot_id", "frame_index"], "left")
+    entry = F.struct(F.col("frame_index").cast("string").alias("key"), F.struct("labeled", F.col("ignore_frame").alias("ignore"), "pts", "objects").alias("value"))
+    chunk = F.floor(F.col("frame_index") / DOC_FRAMES)
+    docs = frames.groupBy("shot_id", chunk.alias("chunk")).agg(F.map_from_entries(F.collect_list(entry)).alias("frames"))
+    ids = refs.groupBy("shot_id", chunk.alias("chunk")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("object_id", F.when(F.col("object_id") == "p7", " ").otherwise(F.concat(F.lit("G"), "object_id")).alias("g"))))).alias("ids"))
+    doc = F.struct(
+        (F.col("chunk") % 9 != 8).alias("reviewed"), F.lit("hash-1").alias("source_sha256"), F.create_map("shot_id", F.struct("frames")).alias("sequences"),
+        F.when(F.col("chunk") % 2 == 0, F.create_map("shot_id", "ids")).alias("cross_shot_identity"),
+    )
+    return docs.join(ids, ["shot_id", "chunk"], "left").select(F.concat_ws("/", F.lit("mem:"), "shot_id", F.col("chunk").cast("string")).alias("file_path"), F.to_json(doc).alias("value"))
+
+
+@query("s9_reference_scan", "ref_objects frames", """
+, docs AS (SELECT r.*, floor(frame_index/500.0) AS chunk FROM ref_objects r)
+SELECT 'object' AS kind, object_id AS name, CAST(count(*) AS BIGINT) AS n, round(sum(x2), 6) AS total FROM docs WHERE chunk % 9 <> 8 AND contact_confidence <= 0.9 GROUP BY 2
+UNION ALL SELECT 'reject', CASE WHEN contact_confidence > 0.99 THEN 'box' ELSE 'ground_contact' END, count(*), NULL FROM docs WHERE chunk % 9 <> 8 AND contact_confidence > 0.9 GROUP BY 2
+UNION ALL SELECT 'reject', 'not_reviewed', count(DISTINCT floor(frame_index/500.0)), NULL FROM frames WHERE floor(frame_index/500.0) % 9 = 8
+UNION ALL SELECT 'frame', concat(labeled, '/', ignore_frame), count(*), sum(frame_index + 1)*1.0E0 FROM frames WHERE floor(frame_index/500.0) % 9 <> 8 GROUP BY 2""")
+def s9(v):
+    t = D.parse_references(reference_docs(v))
+    objects = t["objects"].groupBy(F.lit("object").alias("kind"), F.col("object_id").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("x2"), 6).alias("total"))
+    rejects = t["rejects"].groupBy(F.lit("reject").alias("kind"), F.col("rule").alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+    frames = t["frames"].groupBy(F.lit("frame").alias("kind"), F.concat(F.col("labeled").cast("string"), F.lit("/"), F.col("ignore_frame").cast("string")).alias("name")).agg(F.count("*").alias("n"), F.sum("evaluator_frame").cast("double").alias("total"))
+    return objects.unionByName(rejects).unionByName(frames)
+
+
+@query("s10_global_identity_scan", "ref_objects", """
+SELECT shot_id, object_id, CASE WHEN object_id = 'p7' THEN NULL ELSE concat('G', object_id) END AS global_id, CAST(count(DISTINCT floor(frame_index/500.0)) AS BIGINT) AS documents FROM ref_objects WHERE floor(frame_index/500.0) % 9 <> 8 AND floor(frame_index/500.0) % 2 = 0 GROUP BY 1, 2""")
+def s10(v):
+    t = D.parse_global_identity(reference_docs(v))
+    rows = t["identities"].select("file_path", "shot_id", "object_id", "global_id").unionByName(t["rejects"].select("file_path", "shot_id", "object_id", F.lit(None).cast("string").alias("global_id")))
+    return rows.groupBy("shot_id", "object_id", "global_id").agg(F.count_distinct("file_path").alias("documents"))
+
+
+def cue_docs(v):
+    """One cue file per tracklet and block of 500 frames."""
+    chunk = F.floor(F.col("source_frame") / DOC_FRAMES)
+    box = F.array(F.lit(1.0), F.lit(2.0), F.lit(9.0), F.lit(20.0))
+    read = F.struct(
+        "source_frame", (F.col("source_frame") * 1001).alias("source_pts"), box.alias("bbox_xyxy_px"), "review_status", "accepted_number", F.struct((F.col("confidence") * 40).alias("crop_height_px")).alias("crop_quality"),
+        F.array(F.struct("number", "confidence"), F.struct(((F.col("number") + 1) % 101).alias("number"), (F.col("confidence") / 2).alias("confidence"))).alias("candidates"),
+    )
+    reads = v.reads.groupBy("tracklet_id", chunk.alias("chunk")).agg(F.collect_list(read).alias("jersey_reads"))
+    emb = F.struct("source_frame", (F.col("source_frame") * 1001).alias("source_pts"), box.alias("bbox_xyxy_px"), "review_status", F.when(F.col("source_frame") % 50 != 0, F.col("model")).alias("model"), "crop_quality_score", "vector")
+    embeds = v.embeds.groupBy("tracklet_id", chunk.alias("chunk")).agg(F.collect_list(emb).alias("appearance_embeddings"))
+    both = reads.join(embeds, ["tracklet_id", "chunk"], "full")
+    doc = F.struct(F.lit(1).alias("schema_version"), F.lit("hash-1").alias("source_sha256"), F.when(F.col("chunk") % 7 == 6, "short").otherwise("0123456789abcdef").alias("analysis_hash"), F.create_map("tracklet_id", F.struct("jersey_reads", "appearance_embeddings")).alias("tracklets"))
+    return both.select(F.concat_ws("/", F.lit("mem:"), "tracklet_id", F.col("chunk").cast("string")).alias("file_path"), F.to_json(doc).alias("value"))
+
+
+@query("s11_identity_cue_scan", "reads embeds", """
+, r AS (SELECT *, floor(source_frame/500.0) AS chunk FROM reads), e AS (SELECT *, floor(source_frame/500.0) AS chunk FROM embeds)
+SELECT 'read' AS kind, review_status AS name, CAST(count(*) AS BIGINT) AS n FROM r WHERE chunk % 7 <> 6 AND number <> 99 GROUP BY 2
+UNION ALL SELECT 'first', CAST(number AS STRING), count(*) FROM r WHERE chunk % 7 <> 6 AND number <> 99 AND confidence > 0 GROUP BY 2
+UNION ALL SELECT 'embedding', model, count(*) FROM e WHERE chunk % 7 <> 6 AND source_frame % 50 <> 0 GROUP BY 2
+UNION ALL SELECT 'reject', 'jersey/candidate', count(*) FROM r WHERE chunk % 7 <> 6 AND number = 99 HAVING count(*) > 0
+UNION ALL SELECT 'reject', 'embedding/metadata', count(*) FROM e WHERE chunk % 7 <> 6 AND source_frame % 50 = 0
+UNION ALL SELECT 'reject', 'file/analysis_hash', count(*) FROM (SELECT DISTINCT tracklet_id, chunk FROM (SELECT tracklet_id, chunk FROM r UNION SELECT tracklet_id, chunk FROM e) WHERE chunk % 7 = 6)""")
+def s11(v):
+    t = D.parse_cues(cue_docs(v))
+    g = lambda df, kind, name: df.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))
+    first = t["candidates"].filter("rank = 0 and confidence > 0")
+    return (
+        g(t["reads"], "read", F.col("review_status")).unionByName(g(first, "first", F.col("number").cast("string"))).unionByName(g(t["embeddings"], "embedding", F.col("model")))
+        .unionByName(g(t["rejects"], "reject", F.concat_ws("/", "kind", "rule")))
+    )
+
+
+@query("s13_small_dimension_scan", "obs crops", f""", {SPLITS}, means AS (SELECT shot_id, round(avg(r), 4) AS r, round(avg(g), 4) AS g, round(avg(b)*1.9, 4) AS b FROM crops GROUP BY 1)
+SELECT 'split' AS kind, tracklet_id AS owner, segment_id AS name, s*1.0E0 AS low, e*1.0E0 AS high FROM splits
+UNION ALL SELECT 'prototype', shot_id, CASE WHEN b > 1 THEN 'rgb_triple' ELSE 'ok' END, r, b FROM means
+UNION ALL SELECT 'class', shot_id, CAST(tracklets AS STRING), NULL, NULL FROM (SELECT shot_id, count(DISTINCT tracklet_id) AS tracklets FROM obs GROUP BY 1)""")
+def s13(v):
+    split = splits(v)
+    docs = split.groupBy("tracklet_id").agg(F.to_json(F.struct(F.lit(True).alias("reviewed"), F.create_map(F.first("tracklet_id"), F.collect_list(F.struct("segment_id", "start_frame", "end_frame"))).alias("splits"))).alias("value")).withColumn("file_path", F.col("tracklet_id"))
+    a = D.parse_splits(docs).select(F.lit("split").alias("kind"), F.col("tracklet_id").alias("owner"), F.col("segment_id").alias("name"), F.col("start_frame").cast("double").alias("low"), F.col("end_frame").cast("double").alias("high"))
+    protos = v.crops.groupBy("shot_id").agg(F.to_json(F.create_map(F.first("shot_id"), F.array(F.round(F.avg("r"), 4), F.round(F.avg("g"), 4), F.round(F.avg("b") * 1.9, 4)))).alias("value")).withColumn("file_path", F.col("shot_id"))
+    b = D.parse_prototypes(protos).select(F.lit("prototype").alias("kind"), F.col("team").alias("owner"), F.coalesce("rule", F.lit("ok")).alias("name"), F.col("r").alias("low"), F.col("b").alias("high"))
+    classes = v.obs.groupBy("shot_id").agg(F.to_json(F.create_map(F.first("shot_id"), F.count_distinct("tracklet_id").cast("string"))).alias("value")).withColumn("file_path", F.col("shot_id"))
+    none = F.lit(None).cast("double")
+    c = D.parse_class_mapping(classes).select(F.lit("class").alias("kind"), F.col("class_id").alias("owner"), F.col("class_name").alias("name"), none.alias("low"), none.alias("high"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("s5_observation_csv_scan", "obs", f"""
+, raw AS (SELECT *, CASE WHEN frame_index % 50 = 0 THEN 'frame_or_pts' WHEN frame_index % 51 = 0 THEN 'time_base_or_box' END AS bad FROM ({EXPORT}) WHERE frame_index % 53 <> 0)
+SELECT 'row' AS kind, tracklet_id AS name, CAST(count(*) AS BIGINT) AS n, round(sum(x1), 6) AS sum_x1, CAST(count(field_x) AS BIGINT) AS placed, CAST(count(CASE WHEN frame_index % 2 = 0 THEN 1 END) AS BIGINT) AS scored FROM raw WHERE bad IS NULL GROUP BY 2
+UNION ALL SELECT 'reject', bad, count(*), NULL, NULL, NULL FROM raw WHERE bad IS NOT NULL GROUP BY 2""")
+def s5(v):
+    text = K.observation_csv_rows(export_rows(v)).select(*[F.col(c).cast("string").alias(c) for c in K.OBSERVATION_COLUMNS])
+    f = F.col("frame_index").cast("bigint")
+    raw = text.withColumn("tracklet_id", F.when(f % 53 == 0, " ").otherwise(F.col("tracklet_id"))).withColumn("time_base", F.when(f % 51 == 0, "[1, 0]").otherwise(F.col("time_base"))).withColumn(
+        "detection_score", F.when(f % 2 == 0, F.col("detection_score")).otherwise("n/a")
+    ).withColumn("pts", F.when(f % 50 == 0, "late").otherwise(F.col("pts")))
+    t = O.parse_rows(raw)
+    none = F.lit(None).cast("bigint")
+    rows = t["rows"].groupBy(F.lit("row").alias("kind"), F.col("tracklet_id").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("x1"), 6).alias("sum_x1"), F.count("field_x").alias("placed"), F.count("detection_score").alias("scored"))
+    rejects = t["rejects"].groupBy(F.lit("reject").alias("kind"), F.col("rule").alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("sum_x1"), none.alias("placed"), none.alias("scored"))
+    return rows.unionByName(rejects)
+
+
+def task_docs(v):
+    """One task map per shot over its labelled frames; some maps break a rule."""
+    lab = v.frames.filter("labeled").withColumn("_bucket", frame_bucket("frame_index"))
+    placed = positions(lab, ["shot_id"], ["frame_index"], "_bucket", "no")
+    number = F.regexp_extract("shot_id", r"(\d+)", 1).cast("int")
+    entry = F.struct(
+        "no", F.struct((F.col("no") + F.when((number % 3 == 1) & (F.col("no") > 10), 1).otherwise(0)).alias("task_frame"), F.col("frame_index").alias("source_frame"), F.when((number % 3 == 2) & (F.col("no") == 20), 5).otherwise(F.col("pts")).alias("source_pts"),
+        F.lit(640).alias("task_width"), F.lit(360).alias("task_height"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1280.0), F.lit(720.0)).alias("crop_xyxy_px")).alias("f"),
+    )
+    per = placed.groupBy("shot_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["f"]).alias("frames"))
+    doc = F.struct(F.lit(1).alias("schema_version"), F.struct(F.sha2("shot_id", 256).alias("sha256"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit(10_000_000).cast("bigint").alias("frame_count"), F.array(F.lit(1), F.lit(30000)).alias("time_base")).alias("source"), "frames")
+    return per.select(F.col("shot_id").alias("file_path"), F.to_json(doc).alias("value"))
+
+
+@query("s15_task_map_scan", "frames", """
+, n AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY frame_index) - 1 AS no, CAST(substr(shot_id, 6) AS INT) AS k FROM frames WHERE labeled)
+SELECT shot_id AS file_path, CAST(count(*) AS BIGINT) AS frames, CAST(sum(no + CASE WHEN k % 3 = 1 AND no > 10 THEN 1 ELSE 0 END) AS BIGINT) AS task_sum, CASE k % 3 WHEN 1 THEN 'task_frame_not_dense' WHEN 2 THEN 'source_pts_not_increasing' ELSE '' END AS rules FROM n GROUP BY shot_id, k""")
+def s15(v):
+    t = D.parse_task_maps(task_docs(v))
+    rules = t["violations"].groupBy("file_path").agg(F.concat_ws(",", F.sort_array(F.collect_list("rule"))).alias("rules"))
+    counts = t["frames"].groupBy("file_path").agg(F.count("*").alias("frames"), F.sum("task_frame").alias("task_sum"))
+    return counts.join(rules, "file_path", "left").withColumn("rules", F.coalesce("rules", F.lit("")))
+
+
+@query("s16_task_map_build", "frames", """
+, w AS (SELECT shot_id, min(frame_index) + 100 AS s, min(frame_index) + 900 AS e FROM frames GROUP BY 1)
+SELECT f.shot_id AS source_id, CAST(row_number() OVER (PARTITION BY f.shot_id ORDER BY f.frame_index) - 1 AS BIGINT) AS task_frame, f.frame_index AS source_frame, f.pts AS source_pts, CAST(round_even(95.0E0 - 2.5E0, 0) AS INT) AS task_width, count(*) OVER (PARTITION BY f.shot_id) = 800 AS complete FROM frames f JOIN w ON w.shot_id = f.shot_id AND f.frame_index >= s AND f.frame_index < e WHERE f.frame_index % 1 = 0 AND f.pts IS NOT NULL""".replace(" WHERE f.frame_index % 1 = 0 AND f.pts IS NOT NULL", ""))
+def s16(v):
+    index = v.frames.select(F.col("shot_id").alias("source_id"), "frame_index", "pts")
+    windows = v.frames.groupBy(F.col("shot_id").alias("source_id")).agg((F.min("frame_index") + 100).alias("start_frame"), (F.min("frame_index") + 900).alias("end_frame")).select(
+        "*", F.lit(1280).alias("source_width"), F.lit(720).alias("source_height"), F.lit(2.5).alias("cx1"), F.lit(0.0).alias("cy1"), F.lit(95.0).alias("cx2"), F.lit(50.0).alias("cy2"), F.lit(None).cast("int").alias("task_width"), F.lit(None).cast("int").alias("task_height"),
+    )
+    return D.build_task_map(index, windows).select("source_id", "task_frame", "source_frame", "source_pts", "task_width", "complete")

@@ -24,6 +24,11 @@ def frame_bucket(column: str | Column, width: int = FRAME_BUCKET) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """Same columns under new ids, so both sides of a cogroup stay apart."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _carried(df: DataFrame, keys: Sequence[str], bucket: str, summary: Column, chain: Callable) -> DataFrame:
     """One summary row per (keys, bucket), chained along the buckets of a key."""
     edges = df.groupBy(*keys, bucket).agg(summary.alias("_edge"))
