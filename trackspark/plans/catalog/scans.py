@@ -271,11 +271,11 @@ def s8(v):
 
 
 @query("k9_alignment_export", "events_map", """
-SELECT source_no, CAST(count(DISTINCT play_id) AS BIGINT) AS plays, CASE WHEN count(DISTINCT h) = 1 THEN min(h) END AS source_sha256, CAST(sum(n) AS BIGINT) AS points FROM (SELECT floor(frame_index/15000.0) AS source_no, play_id, concat('h', CAST(CAST(floor(frame_index/12000.0) AS INT) AS STRING)) AS h, 1 AS n FROM events_map) GROUP BY 1""")
+SELECT source_no, CAST(count(DISTINCT play_id) AS BIGINT) AS plays, CASE WHEN count(DISTINCT h) = 1 THEN min(h) END AS source_sha256, CAST(sum(n) AS BIGINT) AS points FROM (SELECT floor(frame_index/5000.0) AS source_no, play_id, concat('h', CAST(CAST(floor(frame_index/6000.0) AS INT) AS STRING)) AS h, 1 AS n FROM events_map) GROUP BY 1""")
 def k9(v):
     from trackspark.sinks.documents import alignment_sets
 
-    events = v.events_map.withColumn("source_no", F.floor(F.col("frame_index") / 15000.0).cast("double")).withColumn("source_sha256", F.concat(F.lit("h"), F.floor(F.col("frame_index") / 12000.0).cast("int").cast("string")))
+    events = v.events_map.withColumn("source_no", F.floor(F.col("frame_index") / 5000.0).cast("double")).withColumn("source_sha256", F.concat(F.lit("h"), F.floor(F.col("frame_index") / 6000.0).cast("int").cast("string")))
     sets = alignment_sets(events, ["source_no"])
     return sets.select("source_no", F.size("plays").cast("bigint").alias("plays"), "source_sha256", F.aggregate("plays", F.lit(0).cast("bigint"), lambda a, p: a + F.size(p["correspondences"])).alias("points"))
 
