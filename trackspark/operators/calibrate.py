@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from trackspark.functions import geometry as G
 from trackspark.functions.scalars import short_hash
-from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, interval_join
+from trackspark.session import cut_lineage
+from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, interval_join, spread
 
 PTS_BUCKET = 4_096_000
 MEDIAN_GATE_YARDS = 1.0
@@ -266,7 +267,7 @@ def fit_keyframes(landmarks: DataFrame, threshold_px: float = 3.0) -> DataFrame:
 
     landmarks(shot_id, pts, landmark_no, role, image_x, image_y, field_x, field_y)
     """
-    raw = landmarks.withColumn("threshold_px", F.lit(threshold_px)).groupBy("shot_id", "pts").applyInPandas(_fit_keyframe, FIT_SCHEMA)
+    raw = spread(landmarks.withColumn("threshold_px", F.lit(threshold_px)), "shot_id", "pts").groupBy("shot_id", "pts").applyInPandas(_fit_keyframe, FIT_SCHEMA)
     sorted_at = lambda name, p: F.expr(
         f"CASE WHEN size({name}) > 0 THEN "
         f"element_at(array_sort({name}), cast(floor((size({name})-1)*{p}) as int)+1) + ((size({name})-1)*{p} - floor((size({name})-1)*{p})) * "
@@ -375,7 +376,8 @@ def propagate_timeline(timeline: DataFrame, motions: DataFrame, max_gap_pts: int
     gaps = near.withColumn("_gap", F.col("pts") - F.coalesce("_before", "_first"))
     stop = gaps.filter(F.col("_gap") > max_gap_pts).groupBy("keyframe_id").agg(F.min("pts").alias("_stop"))
     taken = gaps.join(stop, "keyframe_id", "left").filter(F.col("_stop").isNull() | (F.col("pts") < F.col("_stop")))
-    products = taken.select("keyframe_id", "block", "pts", "motion").groupBy("keyframe_id", "block").applyInPandas(_block_products, _CHAIN_SCHEMA)
+    products = spread(taken.select("keyframe_id", "block", "pts", "motion"), "keyframe_id", "block").groupBy("keyframe_id", "block").applyInPandas(_block_products, _CHAIN_SCHEMA)
+    products = cut_lineage(products)  # read by the chain of totals and by the steps
     totals = products.groupBy("keyframe_id", "block").agg(F.first("total").alias("total"))
     entries = totals.groupBy("keyframe_id").applyInPandas(_chain_blocks, "keyframe_id string, block bigint, entry array<double>")
     moved = products.join(entries, ["keyframe_id", "block"]).select("keyframe_id", "pts", _matmul("entry", "step").alias("_m"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.geometry import BOX, iou
 from trackspark.functions.scalars import meaningful_id, shot_of
 from trackspark.operators.assignment import match_edges
-from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, last_known, positions, running_sum
+from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, last_known, positions, running_sum, spread
 from trackspark.session import cut_lineage
 
 FRAME = ["shot_id", "frame_index"]
@@ -60,7 +60,7 @@ def injective_matches(edges: DataFrame) -> DataFrame:
     final = marked.filter("_degree = 1").drop("_degree")
     contested = marked.filter("_degree > 1").drop("_degree").withColumn("_bucket", frame_bucket("frame_index", SOLVE_FRAMES))
     schema = "shot_id string, frame_index bigint, object_id string, tracklet_id string, iou double"
-    solved = contested.groupBy("shot_id", "_bucket").applyInPandas(_solve_frames, schema)
+    solved = spread(contested, "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_frames, schema)
     return final.unionByName(solved)
 
 
@@ -345,7 +345,7 @@ def _scored_matches(scored: DataFrame) -> DataFrame:
     per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
     marked = bucketed.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
     final = marked.filter("_degree = 1").select(*FRAME, "object_id", "tracklet_id", "iou")
-    solved = marked.filter("_degree > 1").groupBy("shot_id", "_bucket").applyInPandas(_solve_scores, schema)
+    solved = spread(marked.filter("_degree > 1"), "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_scores, schema)
     return final.unionByName(solved)
 
 
@@ -473,7 +473,7 @@ def clear_switches(
         .select(*FRAME, "frame_no", "object_id", "tracklet_id", "iou", F.coalesce("held", F.lit("")).alias("held"), "run_no")
     )
     schema = "shot_id string, frame_index bigint, frame_no bigint, object_id string, tracklet_id string"
-    solved = work.groupBy("shot_id", "run_no").applyInPandas(_solve_run, schema)
+    solved = spread(work, "shot_id", "run_no").groupBy("shot_id", "run_no").applyInPandas(_solve_run, schema)
     matched = final.unionByName(solved).withColumn("_bucket", frame_bucket("frame_no"))
     steps = adjacent_row(matched, ["shot_id", "object_id"], ["frame_no"], "_bucket", {"_track": "tracklet_id", "_no": "frame_no"})
     flags = steps.groupBy("shot_id").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.scalars import shot_of
 from trackspark.operators.assignment import best_matching, best_total, components
 from trackspark.operators.pairs import eligible_scores, pair_evidence
+from trackspark.operators.teams import team_eligible
 from trackspark.scale import connected_components, fresh, positions
 from trackspark.session import cut_lineage
 
@@ -222,16 +223,33 @@ def shot_pair_tracks(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left.withColumn("comparable", F.lit(True)), left.join(right, ["play_id", "right_shot"])
 
 
+def comparable_pairs(samples: DataFrame, teams: DataFrame, tolerance_s: float) -> DataFrame:
+    """Cross-shot pairs that can still be eligible: same eligible team and overlapping play time.
+
+    Every other pair fails a gate without any measurement, so leaving it out
+    changes no score and keeps the pair table close to the candidates.
+    """
+    rated = teams.filter(team_eligible()).select("tracklet_id", "team")
+    spans = samples.groupBy("play_id", "shot_id", "tracklet_id").agg(F.min("play_time_s").alias("_lo"), F.max("play_time_s").alias("_hi")).join(rated, "tracklet_id")
+    left = spans.select("play_id", "team", F.col("shot_id").alias("left_shot"), F.col("tracklet_id").alias("left_key"), F.col("_lo").alias("_llo"), F.col("_hi").alias("_lhi"))
+    right = spans.select("play_id", "team", F.col("shot_id").alias("right_shot"), F.col("tracklet_id").alias("right_key"), "_lo", "_hi")
+    met = (F.col("left_shot") < F.col("right_shot")) & (F.col("_llo") <= F.col("_hi") + tolerance_s) & (F.col("_lo") <= F.col("_lhi") + tolerance_s)
+    return left.join(right, ["play_id", "team"]).filter(met).select("play_id", "left_shot", "right_shot", "left_key", "right_key")
+
+
 def resolve_plays(
     plays: DataFrame, samples: DataFrame, teams: DataFrame, rows: DataFrame, attributes: DataFrame,
-    cues: DataFrame | None = None, threshold: float = 0.65, margin: float = 0.1, **limits,
+    cues: DataFrame | None = None, threshold: float = 0.65, margin: float = 0.1, full_evidence: bool = True, **limits,
 ) -> dict[str, DataFrame]:
     """All shot pairs of every play at once: evidence, links, accepted links and one status row per play.
 
     plays(play_id, shot_id) lists the aligned shots; a shot without samples cannot take part.
+    ``full_evidence`` keeps a record for every pair; without it only pairs that can be eligible are formed.
     """
     tracks = cut_lineage(samples.select("play_id", "shot_id", "tracklet_id").distinct())
     lefts, pairs = shot_pair_tracks(tracks)
+    if not full_evidence:
+        pairs = comparable_pairs(samples, teams, limits.get("sample_tolerance_s", 0.05))
     evidence = cut_lineage(pair_evidence(pairs, samples, teams, cues, **limits))  # one row per tracklet pair, read often
     scores = eligible_scores(evidence)
     links = match_tracklets(lefts, scores, threshold, margin)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.operators.teams import team_eligible
-from trackspark.scale import adjacent_row, exact_quantiles, fresh
+from trackspark.scale import adjacent_row, exact_quantiles, fresh, spread
 from trackspark.session import cut_lineage
 
 PAIR = ["play_id", "left_key", "right_key"]
@@ -138,7 +138,7 @@ def paired_samples(pairs: DataFrame, samples: DataFrame, tolerance_s: float = 0.
     )
     key = [*PAIR, "block"]
     walked = cut_lineage(
-        fresh(left).groupBy(*key).cogroup(fresh(right).groupBy(*key)).applyInPandas(_pair_block(tolerance_s, block_s), _OUT)
+        spread(fresh(left), *key).groupBy(*key).cogroup(spread(fresh(right), *key).groupBy(*key)).applyInPandas(_pair_block(tolerance_s, block_s), _OUT)
     )
     entries = walked.filter("summary").select(*key, "entry", "exit", "merge_s").groupBy(*PAIR).applyInPandas(
         _chain_entries, "play_id string, left_key string, right_key string, block bigint, chosen double, merge_at double"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackspark.scale import connected_components, frame_bucket, positions
+from trackspark.scale import connected_components, frame_bucket, positions, spread
 from trackspark.session import cut_lineage
 
 SHOT = ["source_id", "shot_id"]
@@ -167,8 +167,10 @@ def track_shots(
     is only the set of live tracks. Every block first guesses that set from the
     frames just before it and all blocks run at once. A block whose guess
     differs from what its predecessor really left is run again from the real
-    set; blocks whose guess holds are final. The result equals one pass over
-    the whole shot, while no task ever holds more than one block.
+    set; blocks whose guess holds are final. Creation order only decides exact
+    ties, so only blocks that met such a tie are checked against the real
+    order. The result equals one pass over the whole shot, while no task ever
+    holds more than one block.
 
     detections(source_id, shot_id, frame_index, det_index, x1, y1, x2, y2, ..)
     """
@@ -178,38 +180,58 @@ def track_shots(
     ahead = home.withColumn("block", F.col("block") + 1).filter(F.col("frame_index") >= F.col("block") * block_frames - warm_frames)
     both = home.withColumn("warm", F.lit(False)).unionByName(ahead.withColumn("warm", F.lit(True)))
     key = [*SHOT, "block"]
-    done = cut_lineage(both.groupBy(*key).applyInPandas(_first_run(lost_track_buffer, iou_threshold), _BLOCK))
+    done = cut_lineage(spread(both, *key).groupBy(*key).applyInPandas(_first_run(lost_track_buffer, iou_threshold), _BLOCK))
+
+    def replay(done: DataFrame, wrong: DataFrame) -> DataFrame:
+        again = spread(home.join(wrong, key), *key).groupBy(*key).applyInPandas(_rerun(lost_track_buffer, iou_threshold), _BLOCK)
+        return cut_lineage(done.join(wrong.select(*key), key, "left_anti").unionByName(again))
+
     for _ in range(max_rounds):
-        along = Window.partitionBy(*SHOT).orderBy("block")
-        links = done.filter("summary").select(*key, "first_frame", "entry", "tied", F.lag("leaving").over(along).alias("_before"))
+        along = Window.partitionBy(*SHOT).orderBy("block")  # one row per block
+        links = done.filter("summary").select(*key, "first_frame", "entry", F.lag("leaving").over(along).alias("_before"))
         still = lambda name: F.filter(F.coalesce(F.col(name), F.array().cast(_STATE)), lambda t: F.col("first_frame") - t["f"] <= lost_track_buffer + 1)
-        links = links.select(*key, "tied", still("_before").alias("alive"), still("entry").alias("_guess"))
-        same_set = F.array_sort("alive") == F.array_sort("_guess")
-        wrong = cut_lineage(links.filter(~(same_set & ((F.col("alive") == F.col("_guess")) | ~F.col("tied")))).select(*key, "alive"))
+        links = links.select(*key, still("_before").alias("alive"), still("entry").alias("_guess"))
+        wrong = cut_lineage(links.filter(F.array_sort("alive") != F.array_sort("_guess")).select(*key, "alive"))
         if wrong.isEmpty():
-            break
-        again = home.join(wrong, key).groupBy(*key).applyInPandas(_rerun(lost_track_buffer, iou_threshold), _BLOCK)
-        done = cut_lineage(done.join(wrong.select(*key), key, "left_anti").unionByName(again))
-    else:
-        raise RuntimeError("blocks did not settle")
-    return _number_tracks(done.filter(~F.col("summary")), detections)
-
-
-def _number_tracks(rows: DataFrame, detections: DataFrame) -> DataFrame:
-    """Join the pieces of a track across blocks and number the tracks by first detection."""
+            wrong = _misordered(done, key)
+            if wrong is None:
+                return _number_tracks(done.filter(~F.col("summary")), detections)
+        done = replay(done, wrong)
+    raise RuntimeError("blocks did not settle")
+
+
+def _misordered(done: DataFrame, key: list[str]) -> DataFrame | None:
+    """Blocks that met an exact tie while their inherited tracks were not in creation order."""
+    tied = done.filter(F.col("summary") & F.col("tied") & (F.size("entry") > 1)).select(*key, "entry")
+    if tied.isEmpty():
+        return None
+    owners = _tracks_of(done.filter(~F.col("summary"))).select(*SHOT, F.col("frame_index").alias("f"), F.col("det_index").alias("d"), "track")
+    parts = tied.select(*key, F.explode("entry").alias("t")).withColumn("f", F.col("t.f")).withColumn("d", F.col("t.d")).join(owners, [*SHOT, "f", "d"])
+    ordered = parts.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("track", "t"))), lambda e: e["t"]).alias("alive"))
+    wrong = cut_lineage(tied.join(ordered, key).filter(F.col("alive") != F.col("entry")).select(*key, "alive"))
+    return None if wrong.isEmpty() else wrong
+
+
+def _tracks_of(rows: DataFrame) -> DataFrame:
+    """Each detection with its track, named by the track's first detection so that names sort by creation."""
     text = lambda frame, det: F.concat_ws("|", *SHOT, F.lpad(F.col(frame).cast("string"), 12, "0"), F.lpad(F.col(det).cast("string"), 6, "0"))
     named = rows.select(*SHOT, "frame_index", "det_index", text("piece_frame", "piece_det").alias("piece"), "piece_frame", "piece_det", "prev_frame", "prev_det")
-    heads = named.filter((F.col("frame_index") == F.col("piece_frame")) & (F.col("det_index") == F.col("piece_det")))
-    carried = heads.filter("prev_frame is not null").select(*SHOT, "piece", F.col("prev_frame").alias("frame_index"), F.col("prev_det").alias("det_index"))
+    is_head = (F.col("frame_index") == F.col("piece_frame")) & (F.col("det_index") == F.col("piece_det"))
+    named = named.withColumn("is_start", is_head & F.col("prev_frame").isNull())
+    carried = named.filter(is_head & F.col("prev_frame").isNotNull()).select(*SHOT, "piece", F.col("prev_frame").alias("frame_index"), F.col("prev_det").alias("det_index"))
     bonds = carried.withColumnRenamed("piece", "src").join(named.select(*SHOT, "frame_index", "det_index", F.col("piece").alias("dst")), [*SHOT, "frame_index", "det_index"]).select("src", "dst")
-    bonds = cut_lineage(bonds)
+    bonds = cut_lineage(bonds)  # one row per track and block border it crosses
     if bonds.isEmpty():
-        whole = named.withColumn("track", F.col("piece"))
-    else:
-        ends = bonds.select(F.col("src").alias("id")).union(bonds.select(F.col("dst").alias("id"))).distinct()
-        roots = connected_components(ends, bonds).select(F.col("id").alias("piece"), F.col("component").alias("_root"))
-        whole = named.join(roots, "piece", "left").withColumn("track", F.coalesce("_root", "piece"))
-    starts = heads.filter("prev_frame is null").select(*SHOT, "frame_index", "det_index", F.col("piece").alias("track"), frame_bucket("frame_index").alias("_bucket"))
+        return named.withColumn("track", F.col("piece"))
+    ends = bonds.select(F.col("src").alias("id")).union(bonds.select(F.col("dst").alias("id"))).distinct()
+    roots = connected_components(ends, bonds).select(F.col("id").alias("piece"), F.col("component").alias("_root"))
+    return named.join(roots, "piece", "left").withColumn("track", F.coalesce("_root", "piece"))
+
+
+def _number_tracks(rows: DataFrame, detections: DataFrame) -> DataFrame:
+    """Number the tracks of a shot by their first detection and put the ids on the detections."""
+    whole = _tracks_of(rows)
+    starts = whole.filter("is_start").select(*SHOT, "frame_index", "det_index", "track", frame_bucket("frame_index").alias("_bucket"))
     numbered = positions(starts, SHOT, ["frame_index", "det_index"], "_bucket", "_no").select("track", (F.col("_no") + 1).alias("track_no"))
     assigned = whole.join(numbered, "track").select(*SHOT, "frame_index", "det_index", F.concat_ws(":t", "shot_id", F.col("track_no").cast("string")).alias("tracklet_id"))
     return detections.withColumn("det_index", F.col("det_index").cast("int")).join(assigned, [*SHOT, "frame_index", "det_index"])
@@ -254,21 +276,27 @@ def run_tracker(detections: DataFrame, name: str) -> DataFrame:
             return out.assign(source_id=current[0], shot_id=current[1])[["source_id", "shot_id", "frame_index", "det_index", "tracklet_id"]]
 
         for batch in batches:
-            for (source, shot, _), frame in batch.groupby(["source_id", "shot_id", "frame_index"], sort=False):
-                if held is not None and (source, shot) == current and frame.frame_index.iloc[0] == held.frame_index.iloc[0]:
+            sources, shots, frames = (batch[c].to_numpy() for c in ("source_id", "shot_id", "frame_index"))
+            turns = (sources[1:] != sources[:-1]) | (shots[1:] != shots[:-1]) | (frames[1:] != frames[:-1])
+            edges = [0, *(np.flatnonzero(turns) + 1).tolist(), len(batch)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                frame, owner = batch.iloc[low:high], (sources[low], shots[low])
+                if held is not None and owner == current and frames[low] == held.frame_index.iloc[0]:
                     held = pd.concat([held, frame])  # one frame split over two batches
                     continue
                 if held is not None:
                     yield flush(held)
-                if (source, shot) != current:
-                    current = (source, shot)
-                    tracker.reset(shot)
+                if owner != current:
+                    current = owner
+                    tracker.reset(owner[1])
                 held = frame
         if held is not None:
             yield flush(held)
 
     columns = [*SHOT, "frame_index", "det_index", *BOX, "score"]
-    ordered = detections.select(*columns).repartition(*SHOT).sortWithinPartitions(*SHOT, "frame_index", "det_index")
+    ordered = spread(detections.select(*columns), *SHOT).sortWithinPartitions(*SHOT, "frame_index", "det_index")
     return ordered.mapInPandas(stream, TRACK_SCHEMA)
 
 

@@ -29,6 +29,11 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions for Python-heavy groups: small rows that take long must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _carried(df: DataFrame, keys: Sequence[str], bucket: str, summary: Column, chain: Callable) -> DataFrame:
     """One summary row per (keys, bucket), chained along the buckets of a key."""
     edges = df.groupBy(*keys, bucket).agg(summary.alias("_edge"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(app: str = "trackspark", cores: str = "8", **conf: str) -> SparkSession:
     """Session for tests and benches; a cluster brings its own."""
     builder = (
@@ -39,13 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
+    if not folder:
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and read them back.
+
+    The result survives the loss of any executor, has a known size for the
+    optimizer and carries no plan history into the next round of a loop.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
