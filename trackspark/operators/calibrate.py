@@ -55,8 +55,8 @@ def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame |
     if shot_fits is None:
         return found
     own = shot_fits.select("shot_id", F.col("fit").alias("_own"))
-    shared = shot_fits.filter("shot_id = '*'").select(F.col("fit").alias("_shared"), F.lit(1).alias("_one"))
-    joined = found.join(own, "shot_id", "left").withColumn("_one", F.lit(1)).join(shared, "_one", "left")
+    shared = shot_fits.filter("shot_id = '*'").select(F.col("fit").alias("_shared"), F.lit(1).alias("_one")).limit(1)
+    joined = found.join(own, "shot_id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one", "left")  # one row
     return joined.withColumn("fit", F.coalesce("fit", "_own", "_shared")).drop("_own", "_shared", "_one")
 
 

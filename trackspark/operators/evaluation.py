@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.geometry import BOX, iou
 from trackspark.functions.scalars import meaningful_id, shot_of
 from trackspark.operators.assignment import match_edges
-from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, last_known, positions, running_sum, spread
+from trackspark.scale import adjacent_row, exact_quantiles, frame_bucket, edge_components, last_known, one_row, positions, running_sum, spread
 from trackspark.session import cut_lineage
 
 FRAME = ["shot_id", "frame_index"]
@@ -89,6 +90,7 @@ def identity_steps(objects: DataFrame, matched: DataFrame, frames: DataFrame) ->
     base = objects.join(evaluated_frames(frames), FRAME, "left_semi").select(*FRAME, "object_id")
     joined = base.join(matched.select(*FRAME, "object_id", "tracklet_id"), [*FRAME, "object_id"], "left")
     joined = joined.withColumn("_bucket", frame_bucket("frame_index")).withColumn("_hit", F.col("tracklet_id").isNotNull())
+    joined = cut_lineage(joined)  # the matching is read by two chained lookups
     keys = ["shot_id", "object_id"]
     known = last_known(joined, keys, ["frame_index"], "_bucket", "tracklet_id", "previous_tracklet_id")
     near = adjacent_row(known, keys, ["frame_index"], "_bucket", {"_previous_hit": "_hit"})
@@ -167,7 +169,8 @@ def contact_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, thresho
 
 
 def contact_report(contacts: DataFrame) -> DataFrame:
-    """Position error per shot and in total (null shot), with gates."""
+    """Position error per shot and in total (``*``), with gates."""
+    contacts = cut_lineage(contacts.select("shot_id", "error_yards"))  # the matching is read by counts and percentiles
     doubled = _with_total(contacts, "error_yards").withColumn("shot_id", F.coalesce("shot_id", F.lit("*")))
     counts = doubled.groupBy("shot_id").agg(
         F.count("error_yards").alias("evaluated_contacts"), F.count_if(F.col("error_yards").isNull()).alias("invalid_or_missing")
@@ -179,8 +182,8 @@ def contact_report(contacts: DataFrame) -> DataFrame:
         "valid_fraction_at_least_0_90", F.col("valid_fraction") >= 0.9
     ).withColumn("status", F.when(n > 0, "evaluated").otherwise("not_evaluated"))
     passing = F.coalesce(F.col("median_at_most_1_5_yards") & F.col("valid_fraction_at_least_0_90"), F.lit(False))
-    every = gated.filter("shot_id <> '*'").agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_every"))
-    return gated.crossJoin(every).withColumn("every_shot_gate_passes", F.when(F.col("shot_id") == "*", F.col("_every"))).drop("_every")
+    every = gated.filter("shot_id <> '*'").groupBy(F.lit("*").alias("shot_id")).agg(F.bool_and(passing).alias("every_shot_gate_passes"))
+    return gated.join(every, "shot_id", "left")
 
 
 def team_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -194,7 +197,10 @@ def team_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, threshold:
 
 
 def team_report(labelled: DataFrame) -> DataFrame:
-    """Team accuracy and coverage per shot and in total (``*``), with gates."""
+    """Team accuracy and coverage per shot and in total (``*``), with gates.
+
+    One pass: a row counts for its shot and for the total.
+    """
     hit = F.col("tracklet_id").isNotNull()
     doubled = _with_total(labelled, "expected_team").withColumn("shot_id", F.coalesce("shot_id", F.lit("*")))
     counts = doubled.groupBy("shot_id").agg(
@@ -210,8 +216,8 @@ def team_report(labelled: DataFrame) -> DataFrame:
         "coverage_at_least_0_95", F.col("coverage") >= 0.95
     ).withColumn("status", F.when(n > 0, "evaluated").otherwise("not_evaluated"))
     passing = F.coalesce(F.col("accuracy_at_least_0_98") & F.col("coverage_at_least_0_95"), F.lit(False))
-    every = gated.filter("shot_id <> '*'").agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_every"))
-    return gated.crossJoin(every).withColumn("every_shot_gate_passes", F.when(F.col("shot_id") == "*", F.col("_every"))).drop("_every")
+    every = gated.filter("shot_id <> '*'").groupBy(F.lit("*").alias("shot_id")).agg(F.bool_and(passing).alias("every_shot_gate_passes"))
+    return gated.join(every, "shot_id", "left")
 
 
 def truth_of_tracklets(dominant: DataFrame, global_map: DataFrame) -> DataFrame:
@@ -235,8 +241,8 @@ def cross_shot_report(
     identities(tracklet_id, player_id), global_map(shot_id, object_id, global_id)
     """
     matched = matches(objects, rows, frames, threshold)
-    dominant = dominant_objects(reference_votes(matched))
-    truth = truth_of_tracklets(dominant, global_map)
+    dominant = cut_lineage(dominant_objects(reference_votes(matched)))  # one row per tracklet, read often
+    truth = cut_lineage(truth_of_tracklets(dominant, global_map))
     owned = identities.withColumn("shot_id", shot_of("tracklet_id"))
     attributed = truth.join(identities, "tracklet_id", "left")
 
@@ -273,9 +279,7 @@ def cross_shot_report(
     found = truth.agg(F.count(F.lit(1)).alias("attributed_tracklets"))
     unattributed = identities.join(truth, "tracklet_id", "left_anti").agg(F.count(F.lit(1)).alias("unattributed_tracklets"))
 
-    row = covered
-    for part in (resolvable, merged, true_merges, accepted, both_known, contaminated, mixed, found, unattributed):
-        row = row.crossJoin(part)  # one row each
+    row = one_row(covered, resolvable, merged, true_merges, accepted, both_known, contaminated, mixed, found, unattributed)
     row = row.withColumn("false_merges", F.col("merged_pairs") - F.col("true_merges")).withColumn(
         "accepted_unattributed_pairs", F.col("_accepted") - F.col("_known")
     )
@@ -412,7 +416,9 @@ def idf1(pairs: DataFrame, per_object: DataFrame, per_track: DataFrame, threshol
     solved per connected component of ids. Ids never cross shots, so the total sums the shots.
     """
     counts = pairs.filter(F.col("iou") >= threshold).groupBy("shot_id", "object_id", "tracklet_id").agg(F.count(F.lit(1)).alias("n"))
-    tp = counts.groupBy("shot_id").applyInPandas(_solve_sequence, "shot_id string, idtp bigint")
+    grouped = edge_components(cut_lineage(counts), ["shot_id", "object_id"], ["shot_id", "tracklet_id"])
+    solved = grouped.groupBy("component").applyInPandas(_solve_sequence, "shot_id string, idtp bigint")
+    tp = solved.groupBy("shot_id").agg(F.sum("idtp").alias("idtp"))
     gts = per_object.groupBy("shot_id").agg(F.sum("_gt").alias("_gts"))
     trs = per_track.groupBy("shot_id").agg(F.sum("_tr").alias("_trs"))
     per = _per_shot_and_total(gts.join(trs, "shot_id", "full").join(tp, "shot_id", "left"))
@@ -421,24 +427,40 @@ def idf1(pairs: DataFrame, per_object: DataFrame, per_track: DataFrame, threshol
     return out.select("shot_id", (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("_gts") + F.col("_trs"))).alias("IDF1"))
 
 
-def _solve_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Frames of one run in order: keeping the previous partner beats any overlap."""
-    previous: dict = {}
-    last_no = None
-    kept = []
-    for number, frame in pdf.sort_values(["frame_no", "object_id", "tracklet_id"]).groupby("frame_no", sort=True):
-        if last_no is not None and number != last_no + 1:
-            previous = {}
+RUN_COLUMNS = ["shot_id", "frame_index", "frame_no", "object_id", "tracklet_id"]
+
+
+def _solve_runs(batches):
+    """Sorted frames of many runs, one frame at a time: keeping the previous partner beats any overlap."""
+    state: dict = {"run": None, "previous": {}, "last": None}
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        run, number = (frame.shot_id.iloc[0], frame.run_no.iloc[0]), frame.frame_no.iloc[0]
+        if run != state["run"] or number != state["last"] + 1:
+            state["previous"] = {}
+        previous = state["previous"]
         weight = [
             s + 1000.0 if (previous.get(o) == t if previous else p == t) else s
             for o, t, s, p in zip(frame.object_id, frame.tracklet_id, frame.iou, frame.held)
         ]
-        picks = match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), weight)
-        chosen = frame.iloc[picks]
-        previous = dict(zip(chosen.object_id, chosen.tracklet_id))
-        last_no = number
-        kept.append(chosen)
-    return pd.concat(kept)[["shot_id", "frame_index", "frame_no", "object_id", "tracklet_id"]]
+        chosen = frame.iloc[match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), weight)]
+        state.update(run=run, last=number, previous=dict(zip(chosen.object_id, chosen.tracklet_id)))
+        return chosen[RUN_COLUMNS]
+
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if batch.empty:
+            continue
+        turns = (batch[["shot_id", "run_no", "frame_no"]] != batch[["shot_id", "run_no", "frame_no"]].shift()).any(axis=1).to_numpy()
+        edges = [*np.flatnonzero(turns).tolist(), len(batch)]
+        held = batch.iloc[edges[-2]:]  # the last frame may go on in the next batch
+        done = [solve(batch.iloc[low:high]) for low, high in zip(edges[:-2], edges[1:-1])]
+        if done:
+            yield pd.concat(done)
+    if held is not None and len(held):
+        yield solve(held)
 
 
 def clear_switches(
@@ -473,7 +495,8 @@ def clear_switches(
         .select(*FRAME, "frame_no", "object_id", "tracklet_id", "iou", F.coalesce("held", F.lit("")).alias("held"), "run_no")
     )
     schema = "shot_id string, frame_index bigint, frame_no bigint, object_id string, tracklet_id string"
-    solved = spread(work, "shot_id", "run_no").groupBy("shot_id", "run_no").applyInPandas(_solve_run, schema)
+    ordered = spread(work, "shot_id", "run_no").sortWithinPartitions("shot_id", "run_no", "frame_no", "object_id", "tracklet_id")
+    solved = ordered.mapInPandas(_solve_runs, schema)
     matched = final.unionByName(solved).withColumn("_bucket", frame_bucket("frame_no"))
     steps = adjacent_row(matched, ["shot_id", "object_id"], ["frame_no"], "_bucket", {"_track": "tracklet_id", "_no": "frame_no"})
     flags = steps.groupBy("shot_id").agg(

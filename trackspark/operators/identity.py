@@ -11,7 +11,7 @@ from trackspark.functions.scalars import shot_of
 from trackspark.operators.assignment import best_matching, best_total, components
 from trackspark.operators.pairs import eligible_scores, pair_evidence
 from trackspark.operators.teams import team_eligible
-from trackspark.scale import connected_components, fresh, positions
+from trackspark.scale import connected_components, edge_components, fresh, positions
 from trackspark.session import cut_lineage
 
 SHOTS = ["play_id", "left_shot", "right_shot"]
@@ -69,7 +69,9 @@ def match_tracklets(tracks: DataFrame, scores: DataFrame, threshold: float = 0.6
         "play_id string, left_shot string, right_shot string, left_key string, right_key string, score double, "
         "alternative_score double, ambiguity_margin double, ambiguous boolean"
     )
-    solved = marked.filter("_degree > 1").select(*SHOTS, "left_key", "right_key", "score").groupBy(*SHOTS).applyInPandas(_solve_links(margin), schema)
+    contested = cut_lineage(marked.filter("_degree > 1").select(*SHOTS, "left_key", "right_key", "score"))
+    grouped = edge_components(contested, [*SHOTS, "left_key"], [*SHOTS, "right_key"])
+    solved = grouped.groupBy("component").applyInPandas(_solve_links(margin), schema)
     with_edge = edges.select(*SHOTS, "left_key").distinct().withColumn("_has_edge", F.lit(True))
     joined = tracks.join(with_edge, [*SHOTS, "left_key"], "left").join(alone.unionByName(solved), [*SHOTS, "left_key"], "left")
     found = F.col("right_key").isNotNull()

@@ -211,15 +211,15 @@ def stride_throttle(rows: DataFrame, stride: int, block: int = FRAME_BUCKET) ->
     return frames.join(entries, ["tracklet_id", "_block"]).select("tracklet_id", F.explode(kept["kept"]).alias("frame_index"))
 
 
-def variant_comparison(rows: DataFrame, frames: DataFrame) -> DataFrame:
+def variant_comparison(rows: DataFrame, frames: DataFrame, variants: list[str]) -> DataFrame:
     """Per tracker variant and shot over the same frames: rows, tracklets, median boxes, empty frames.
 
-    rows(variant, shot_id, tracklet_id, frame_index), frames(shot_id, frame_index)
+    A variant without rows stays in as incomplete. rows(variant, shot_id, tracklet_id, frame_index), frames(shot_id, frame_index)
     """
     from trackspark.scale import exact_quantiles
 
     per_frame = rows.groupBy("variant", "shot_id", "frame_index").agg(F.count(F.lit(1)).alias("boxes"))
-    cells = rows.select("variant").distinct().join(frames.groupBy("shot_id").agg(F.count(F.lit(1)).alias("frames")), how="cross")
+    cells = frames.groupBy("shot_id").agg(F.count(F.lit(1)).alias("frames")).withColumn("variant", F.explode(F.array(*[F.lit(x) for x in variants])))
     medians = exact_quantiles(per_frame, ["variant", "shot_id"], "boxes", {"median_boxes": 0.5})
     filled = per_frame.groupBy("variant", "shot_id").agg(F.count(F.lit(1)).alias("filled"), F.sum("boxes").alias("row_count"))
     tracks = rows.groupBy("variant", "shot_id").agg(F.count_distinct("tracklet_id").alias("tracklets"))

@@ -12,7 +12,7 @@ from trackspark.operators import timing as TM
 from trackspark.operators import tracks as TR
 from trackspark.plans.catalog import query
 from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE
-from trackspark.plans.catalog.joins import SEGMENTS
+from trackspark.plans.catalog.joins import RANGES, SEGMENTS
 
 PROTOTYPES = {"A": (0.75, 0.125, 0.25), "B": (0.25, 0.125, 0.75)}
 
@@ -219,13 +219,15 @@ def v5(v):
     return TM.alignment_violations(events.select("play_id").distinct(), anchors, events, events.filter("n > 249"), spans)
 
 
-@query("v5_anchor_shots", "boundaries dets", None)
+@query("v5_anchor_shots", "boundaries dets", f""", {RANGES}, a AS (SELECT *, start_frame + shot_no*500 AS f FROM ranges)
+SELECT a.source_id, concat('play-shot-', CAST(a.shot_no AS STRING)) AS play_id, concat('shot-', CAST(a.shot_no AS STRING)) AS named_shot, 'shot-' || CAST(r.shot_no AS STRING) AS actual_shot, CASE WHEN r.shot_no IS NULL THEN 'outside_source' ELSE 'wrong_shot' END AS rule
+FROM a LEFT JOIN ranges r ON r.source_id = a.source_id AND a.f >= r.start_frame AND a.f < r.end_frame WHERE r.shot_no IS NULL OR r.shot_no <> a.shot_no""")
 def v5_anchors(v):
     from trackspark.plans.catalog.joins import source_ranges
 
     ranges = source_ranges(v)
     anchors = ranges.select("source_id", F.concat(F.lit("play-"), "shot_id").alias("play_id"), "shot_id", (F.col("start_frame") + F.col("shot_no") * 500).alias("source_frame"))
-    return TM.anchor_shot_violations(anchors, ranges)
+    return TM.anchor_shot_violations(anchors, ranges).select("source_id", "play_id", "named_shot", "actual_shot", "rule")
 
 
 @query("a22_variant_comparison", "obs frames", """
@@ -238,7 +240,7 @@ def a22(v):
     obs = v.obs
     rows = obs.withColumn("variant", F.explode(F.array_compact(F.array(
         F.lit("all"), F.when(F.col("score") > 0.4, "strict"), F.when(F.col("x2") < 70, "wide")))))
-    return TR.variant_comparison(rows, v.frames)
+    return TR.variant_comparison(rows, v.frames, ["all", "strict", "wide"])
 
 
 PIXELS = """SELECT CAST(floor(l_orderkey/32.0) AS BIGINT) AS crop_id, CAST(l_orderkey % 32 AS INT) AS px, CAST(l_linenumber AS INT) AS py, 32 AS width, 8 AS height, min(l_quantity)/64.0E0 AS r, max(l_discount) AS g, (min(l_partkey) % 256)/256.0E0 AS b FROM lineitem GROUP BY l_orderkey, l_linenumber"""

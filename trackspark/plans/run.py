@@ -22,6 +22,7 @@ from trackspark.operators import tracks as TR
 from trackspark.operators.runs import batch_status, readiness
 from trackspark.operators.tracking import track_shots
 from trackspark.functions.scalars import split_rejects
+from trackspark.scale import one_row
 from trackspark.session import cut_lineage
 
 
@@ -88,14 +89,15 @@ def score_run(observations: DataFrame, ids: DataFrame, references: DataFrame, fr
     total = standard.filter("shot_id = '*'").select(F.col("IDF1").alias("idf1"))
     worst = standard.filter("shot_id <> '*'").agg(F.min("IDF1").alias("worst_shot_idf1"), F.max("id_switches").alias("worst_shot_switches"))
     one = lambda df, **cols: df.select(*[F.col(v).alias(k) for k, v in cols.items()])
-    gate_in = (
-        total.crossJoin(worst)  # one row each
-        .crossJoin(one(quality, calibration_status="status", calibration_median_ok="median_at_most_1_yard", calibration_p95_ok="p95_at_most_2_yards"))
-        .crossJoin(one(cross, cross_status="status", false_merges="false_merges", false_merges_zero="false_merges_zero", components_clean="components_clean", shared_eligible="eligible_shared_players", shared_correct="correct_shared_players", coverage="coverage"))
-        .crossJoin(contact.filter("shot_id = '*'").select(F.col("status").alias("contact_status"), (F.col("median_at_most_1_5_yards") & F.col("valid_fraction_at_least_0_90") & F.col("every_shot_gate_passes")).alias("contact_gate")))
-        .crossJoin(team.filter("shot_id = '*'").select(F.col("status").alias("team_status"), (F.col("accuracy_at_least_0_98") & F.col("coverage_at_least_0_95") & F.col("every_shot_gate_passes")).alias("team_gate")))
-        .select("*", F.lit(False).alias("proxy_detector"), F.lit("evaluated").alias("standard_status"), F.lit(True).alias("contact_supplied"), F.lit(True).alias("team_supplied"))
-    )
+    passed = lambda df, *columns: df.filter("shot_id = '*'").select(F.col("status").alias("_status"), (F.col(columns[0]) & F.col(columns[1]) & F.col("every_shot_gate_passes")).alias("_gate"))
+    named = lambda df, kind: df.select(F.col("_status").alias(f"{kind}_status"), F.col("_gate").alias(f"{kind}_gate"))
+    gate_in = one_row(
+        total, worst,
+        one(quality, calibration_status="status", calibration_median_ok="median_at_most_1_yard", calibration_p95_ok="p95_at_most_2_yards"),
+        one(cross, cross_status="status", false_merges="false_merges", false_merges_zero="false_merges_zero", components_clean="components_clean", shared_eligible="eligible_shared_players", shared_correct="correct_shared_players", coverage="coverage"),
+        named(passed(contact, "median_at_most_1_5_yards", "valid_fraction_at_least_0_90"), "contact"),
+        named(passed(team, "accuracy_at_least_0_98", "coverage_at_least_0_95"), "team"),
+    ).select("*", F.lit(False).alias("proxy_detector"), F.lit("evaluated").alias("standard_status"), F.lit(True).alias("contact_supplied"), F.lit(True).alias("team_supplied"))
     return {"shot_metrics": shots, "standard": standard, "contact": contact, "team": team, "cross_shot": cross, "calibration_quality": quality, "gate": EV.promotion_gate(gate_in)}
 
 

@@ -251,3 +251,21 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         if labels.filter(F.col("component") != F.col("_old")).isEmpty():
             return labels.select("id", "component")
     raise RuntimeError("components did not settle")
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row tables side by side, without a cross join: stacked, then folded by ``max``."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def edge_components(edges: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """Bipartite edges with the connected ``component`` they belong to."""
+    name = lambda side, columns: F.concat_ws("|", F.lit(side), *[F.col(c) for c in columns])
+    keyed = edges.withColumn("_src", name("l", left)).withColumn("_dst", name("r", right))
+    bonds = cut_lineage(keyed.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+    ends = bonds.select(F.col("src").alias("id")).union(bonds.select(F.col("dst").alias("id"))).distinct()
+    parts = connected_components(ends, bonds).select(F.col("id").alias("_src"), "component")
+    return keyed.join(parts, "_src").drop("_src", "_dst")
