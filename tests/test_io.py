@@ -126,3 +126,13 @@ def test_registry_covers_the_survey(spark):
 
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_window_and_columns_reach_the_scan(spark):
+    from trackspark.operators.evaluation import restrict_to_window
+    from trackspark.plans.views import Views
+
+    kept = restrict_to_window(Views(spark, "/root/testdata/sf0.001").frames, 100, 200).select("frame_index", "labeled")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "LessThan(o_orderkey,200)" in plan
+    assert "o_custkey" not in plan and "o_totalprice" not in plan

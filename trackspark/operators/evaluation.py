@@ -41,13 +41,23 @@ def reference_edges(objects: DataFrame, rows: DataFrame, threshold: float) -> Da
     )
 
 
-def _solve_frames(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept = []
-    for _, frame in pdf.groupby(["shot_id", "frame_index"], sort=False):
-        frame = frame.sort_values(["object_id", "tracklet_id"])
-        picks = match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), frame.iou.tolist())
-        kept.append(frame.iloc[picks])
-    return pd.concat(kept)[["shot_id", "frame_index", "object_id", "tracklet_id", "iou"]]
+MATCH_COLUMNS = ["shot_id", "frame_index", "object_id", "tracklet_id", "iou"]
+
+
+def _solve_by_frame(weight: str):
+    """Best one-to-one match of every frame in a group, over one sort of the whole group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame_index", "object_id", "tracklet_id"])  # a group holds one shot
+        frames = pdf.frame_index.to_numpy()
+        objects, tracks, weights = pdf.object_id.tolist(), pdf.tracklet_id.tolist(), pdf[weight].tolist()
+        edges = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(pdf)]
+        kept: list[int] = []
+        for low, high in zip(edges, edges[1:]):
+            kept += [low + i for i in match_edges(objects[low:high], tracks[low:high], weights[low:high])]
+        return pdf[MATCH_COLUMNS].iloc[kept]
+
+    return run
 
 
 def injective_matches(edges: DataFrame) -> DataFrame:
@@ -61,7 +71,7 @@ def injective_matches(edges: DataFrame) -> DataFrame:
     final = marked.filter("_degree = 1").drop("_degree")
     contested = marked.filter("_degree > 1").drop("_degree").withColumn("_bucket", frame_bucket("frame_index", SOLVE_FRAMES))
     schema = "shot_id string, frame_index bigint, object_id string, tracklet_id string, iou double"
-    solved = spread(contested, "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_frames, schema)
+    solved = spread(contested, "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_by_frame("iou"), schema)
     return final.unionByName(solved)
 
 
@@ -334,14 +344,6 @@ def _pair_frames(objects: DataFrame, rows: DataFrame, frames: DataFrame) -> Data
     return reference_edges(objects.join(evaluated_frames(frames), FRAME, "left_semi"), rows, 0.0)
 
 
-def _solve_scores(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept = []
-    for _, frame in pdf.groupby(["shot_id", "frame_index"], sort=False):
-        frame = frame.sort_values(["object_id", "tracklet_id"])
-        kept.append(frame.iloc[match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), frame.score.tolist())])
-    return pd.concat(kept)[["shot_id", "frame_index", "object_id", "tracklet_id", "iou"]]
-
-
 def _scored_matches(scored: DataFrame) -> DataFrame:
     """Best total-score match per frame over positive scores; keeps the IoU."""
     schema = "shot_id string, frame_index bigint, object_id string, tracklet_id string, iou double"
@@ -349,7 +351,7 @@ def _scored_matches(scored: DataFrame) -> DataFrame:
     per = lambda end: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, end))
     marked = bucketed.withColumn("_degree", F.greatest(per("object_id"), per("tracklet_id")))
     final = marked.filter("_degree = 1").select(*FRAME, "object_id", "tracklet_id", "iou")
-    solved = spread(marked.filter("_degree > 1"), "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_scores, schema)
+    solved = spread(marked.filter("_degree > 1"), "shot_id", "_bucket").groupBy("shot_id", "_bucket").applyInPandas(_solve_by_frame("score"), schema)
     return final.unionByName(solved)
 
 

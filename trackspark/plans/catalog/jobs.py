@@ -11,6 +11,7 @@ from trackspark.operators import tracking as TK
 from trackspark.plans import run as RUN
 from trackspark.plans.catalog import query
 from trackspark.plans.catalog.aggregates import PROTOTYPES
+from trackspark.plans.catalog.identity import RAW_LINKS
 from trackspark.plans.catalog.scans import scratch
 from trackspark.plans.views import with_views
 from trackspark.scale import frame_bucket
@@ -297,11 +298,13 @@ def e3(v):
     return result
 
 
-@query("k8_run_documents")
+@query("k8_run_documents", "obs_sep frames", f"""
+SELECT 'run-1' AS run_id, 'identities' AS kind, CAST(count(*) AS BIGINT) AS documents, min(tracklet_id) AS first_item FROM (SELECT DISTINCT tracklet_id FROM obs_sep)
+UNION ALL SELECT 'run-1', 'identity-links', count(*), min(concat_ws('|', left_key, right_key)) FROM ({RAW_LINKS}) UNION ALL SELECT 'run-1', 'metrics', count(*), min(shot_id) FROM (SELECT DISTINCT shot_id FROM frames)
+UNION ALL SELECT 'run-1', 'review', 1, 'gate' UNION ALL SELECT 'run-1', 'run-manifest', 1, 'manifest'""")
 def k8(v):
     from trackspark.operators.evaluation import shot_metrics
     from trackspark.plans.catalog.evaluation import identities
-    from trackspark.plans.catalog.identity import RAW_LINKS
     from trackspark.sinks.documents import run_documents, write_run_documents
 
     run = lambda df: df.withColumn("run_id", F.lit("run-1"))

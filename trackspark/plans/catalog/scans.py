@@ -129,7 +129,8 @@ def u1(v):
     return L.merge_parts(parts, logs, targets, {"proxy": "false"})["merged"].select("source_hash", "frame_index", F.size("detections").alias("detections"))
 
 
-@query("k1_detection_log_write")
+@query("k1_detection_log_write", "dets", """
+SELECT source_id AS source_sha256, 'cfg-1' AS detector_config_hash, CAST(count(*) AS BIGINT) AS detections, min(frame_index) AS first_frame, max(frame_index) AS last_frame FROM dets GROUP BY 1""")
 def k1(v):
     path = scratch(v, "detections")
     dets = v.dets.select(F.col("source_id").alias("source_sha256"), F.lit("cfg-1").alias("detector_config_hash"), "frame_index", "det_index", "x1", "y1", "x2", "y2", "score", "class_name", "class_id")
@@ -391,22 +392,22 @@ def s5(v):
 
 
 def task_docs(v):
-    """One task map per shot over its labelled frames; some maps break a rule."""
-    lab = v.frames.filter("labeled").withColumn("_bucket", frame_bucket("frame_index"))
-    placed = positions(lab, ["shot_id"], ["frame_index"], "_bucket", "no")
+    """One task map per 500 frames of a shot over its labelled frames; some maps break a rule."""
+    lab = v.frames.filter("labeled").withColumn("chunk", F.floor(F.col("frame_index") / DOC_FRAMES))
+    placed = positions(lab.withColumn("_bucket", F.col("chunk")), ["shot_id", "chunk"], ["frame_index"], "_bucket", "no")
     number = F.regexp_extract("shot_id", r"(\d+)", 1).cast("int")
     entry = F.struct(
         "no", F.struct((F.col("no") + F.when((number % 3 == 1) & (F.col("no") > 10), 1).otherwise(0)).alias("task_frame"), F.col("frame_index").alias("source_frame"), F.when((number % 3 == 2) & (F.col("no") == 20), 5).otherwise(F.col("pts")).alias("source_pts"),
         F.lit(640).alias("task_width"), F.lit(360).alias("task_height"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1280.0), F.lit(720.0)).alias("crop_xyxy_px")).alias("f"),
     )
-    per = placed.groupBy("shot_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["f"]).alias("frames"))
+    per = placed.groupBy("shot_id", "chunk").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["f"]).alias("frames"))
     doc = F.struct(F.lit(1).alias("schema_version"), F.struct(F.sha2("shot_id", 256).alias("sha256"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit(10_000_000).cast("bigint").alias("frame_count"), F.array(F.lit(1), F.lit(30000)).alias("time_base")).alias("source"), "frames")
-    return per.select(F.col("shot_id").alias("file_path"), F.to_json(doc).alias("value"))
+    return per.select(F.concat_ws("/", "shot_id", F.col("chunk").cast("string")).alias("file_path"), F.to_json(doc).alias("value"))
 
 
 @query("s15_task_map_scan", "frames", """
-, n AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY frame_index) - 1 AS no, CAST(substr(shot_id, 6) AS INT) AS k FROM frames WHERE labeled)
-SELECT shot_id AS file_path, CAST(count(*) AS BIGINT) AS frames, CAST(sum(no + CASE WHEN k % 3 = 1 AND no > 10 THEN 1 ELSE 0 END) AS BIGINT) AS task_sum, CASE k % 3 WHEN 1 THEN 'task_frame_not_dense' WHEN 2 THEN 'source_pts_not_increasing' ELSE '' END AS rules FROM n GROUP BY shot_id, k""")
+, n AS (SELECT *, row_number() OVER (PARTITION BY shot_id, floor(frame_index/500.0) ORDER BY frame_index) - 1 AS no, CAST(substr(shot_id, 6) AS INT) AS k, CAST(floor(frame_index/500.0) AS BIGINT) AS chunk FROM frames WHERE labeled)
+SELECT concat(shot_id, '/', CAST(chunk AS STRING)) AS file_path, CAST(count(*) AS BIGINT) AS frames, CAST(sum(no + CASE WHEN k % 3 = 1 AND no > 10 THEN 1 ELSE 0 END) AS BIGINT) AS task_sum, CASE k % 3 WHEN 1 THEN 'task_frame_not_dense' WHEN 2 THEN 'source_pts_not_increasing' ELSE '' END AS rules FROM n GROUP BY shot_id, chunk, k""")
 def s15(v):
     t = D.parse_task_maps(task_docs(v))
     rules = t["violations"].groupBy("file_path").agg(F.concat_ws(",", F.sort_array(F.collect_list("rule"))).alias("rules"))
