@@ -178,6 +178,12 @@ def contact_rows(objects: DataFrame, rows: DataFrame, frames: DataFrame, thresho
     ).select(*FRAME, "object_id", "tracklet_id", error.alias("error_yards"))
 
 
+def excluded_contacts(objects: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """Reviewed contacts per shot that are too uncertain to be scored."""
+    low = F.col("contact_x").isNotNull() & (F.col("contact_confidence") < min_confidence)
+    return objects.groupBy("shot_id").agg(F.count_if(low).alias("excluded_low_confidence"))
+
+
 def contact_report(contacts: DataFrame) -> DataFrame:
     """Position error per shot and in total (``*``), with gates."""
     contacts = cut_lineage(contacts.select("shot_id", "error_yards"))  # the matching is read by counts and percentiles

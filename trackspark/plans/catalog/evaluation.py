@@ -108,6 +108,12 @@ def a10(v):
     )
 
 
+@query("a10_excluded_contacts", "ref_sep", """
+SELECT shot_id, CAST(count(CASE WHEN contact_x IS NOT NULL AND contact_confidence < 0.5 THEN 1 END) AS BIGINT) AS excluded_low_confidence FROM ref_sep GROUP BY 1""")
+def a10_excluded(v):
+    return EV.excluded_contacts(v.ref_sep)
+
+
 @query("a11_team_accuracy", "obs_sep ref_sep frames", f""", {EVALD}, placed AS ({PLACED}),
  l AS (SELECT r.shot_id, r.team AS expected, o.tracklet_id, o.team FROM (SELECT r.* FROM ref_sep r JOIN evald e ON e.shot_id = r.shot_id AND e.frame_index = r.frame_index) r LEFT JOIN placed o ON o.shot_id = r.shot_id AND o.frame_index = r.frame_index AND {iou_sql('r', 'o')} >= 0.5),
  per AS (SELECT shot_id, count(tracklet_id) AS n, sum(CASE WHEN team = expected THEN 1 ELSE 0 END) AS ok, count(*) - count(tracklet_id) AS miss FROM (SELECT * FROM l UNION ALL SELECT '*', expected, tracklet_id, team FROM l) GROUP BY 1)

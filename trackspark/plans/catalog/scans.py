@@ -112,7 +112,7 @@ def dense_parts(v):
 
 
 @query("k2_strict_merge", "dets", """
-SELECT source_id AS source_hash, CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END AS violations, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS merged_frames FROM (SELECT source_id, CAST(substr(source_id,5) AS INT) AS k, count(DISTINCT frame_index) AS n FROM dets GROUP BY 1)""")
+SELECT source_id AS source_hash, CAST(CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS violations, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS merged_frames FROM (SELECT source_id, CAST(substr(source_id,5) AS INT) AS k, count(DISTINCT frame_index) AS n FROM dets GROUP BY 1)""")
 def k2(v):
     parts, logs, targets = dense_parts(v)
     out = L.merge_parts(parts, logs, targets, {"proxy": "false"})
