@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from trackspark.operators import evaluation as EV
 from trackspark.operators import identity as ID

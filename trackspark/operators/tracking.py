@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackspark.scale import connected_components, frame_bucket, positions, spread
 from trackspark.session import cut_lineage

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackspark.operators import evaluation as EV
 from trackspark.operators import identity as ID
 from trackspark.operators import pairs as PR
 from trackspark.plans.catalog import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackspark.functions import geometry as G
 from trackspark.operators import calibrate as CAL
 from trackspark.operators import runs as RN
 from trackspark.operators import tracking as TK
@@ -14,7 +13,6 @@ from trackspark.plans.catalog.aggregates import PROTOTYPES
 from trackspark.plans.catalog.identity import RAW_LINKS
 from trackspark.plans.catalog.scans import scratch
 from trackspark.plans.views import with_views
-from trackspark.scale import frame_bucket
 from trackspark.session import cut_lineage
 from trackspark.sources.artifacts import REQUIRED, missing_artifacts
 from trackspark.streaming import stateful as ST
@@ -278,7 +276,6 @@ def e2(v):
 @query("e3_review_staging")
 def e3(v):
     from trackspark.plans.catalog.identity import evidence
-    from trackspark.plans.catalog.joins import source_ranges
     from trackspark.plans.catalog.review import simple_links
     from trackspark.plans.catalog.windows import motion
 

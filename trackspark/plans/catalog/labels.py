@@ -9,10 +9,9 @@ from trackspark.operators import calibrate as CAL
 from trackspark.operators import labels as LB
 from trackspark.operators import manifest as MF
 from trackspark.plans.catalog import query
-from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE, FX, FY, OK, _inside_sql, quad
+from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE, FX, OK, _inside_sql, quad
 from trackspark.plans.catalog.scans import DOC_FRAMES, scratch
 from trackspark.plans.views import with_views
-from trackspark.scale import frame_bucket, positions
 from trackspark.sources import label_xml as LX
 from trackspark.sources import manifest as SM
 

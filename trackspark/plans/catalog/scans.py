@@ -6,11 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackspark.functions import geometry as G
 from trackspark.operators import calibrate as CAL
 from trackspark.plans.catalog import query
-from trackspark.plans.catalog.aggregates import PROTOTYPES
-from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE, USABLE
+from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE
 from trackspark.plans.catalog.joins import splits, SPLITS
 from trackspark.plans.catalog.windows import FUSED
 from trackspark.plans.views import with_views
@@ -306,7 +304,7 @@ def reference_docs(v):
 , docs AS (SELECT r.*, floor(frame_index/500.0) AS chunk FROM ref_objects r)
 SELECT 'object' AS kind, object_id AS name, CAST(count(*) AS BIGINT) AS n, round(sum(x2), 6) AS total FROM docs WHERE chunk % 9 <> 8 AND contact_confidence <= 0.9 GROUP BY 2
 UNION ALL SELECT 'reject', CASE WHEN contact_confidence > 0.99 THEN 'box' ELSE 'ground_contact' END, count(*), NULL FROM docs WHERE chunk % 9 <> 8 AND contact_confidence > 0.9 GROUP BY 2
-UNION ALL SELECT 'reject', 'not_reviewed', count(DISTINCT floor(frame_index/500.0)), NULL FROM frames WHERE floor(frame_index/500.0) % 9 = 8
+UNION ALL SELECT 'reject', 'not_reviewed', count(DISTINCT floor(frame_index/500.0)), NULL FROM frames WHERE floor(frame_index/500.0) % 9 = 8 HAVING count(*) > 0
 UNION ALL SELECT 'frame', concat(labeled, '/', ignore_frame), count(*), sum(frame_index + 1)*1.0E0 FROM frames WHERE floor(frame_index/500.0) % 9 <> 8 GROUP BY 2""")
 def s9(v):
     t = D.parse_references(reference_docs(v))
@@ -346,8 +344,8 @@ SELECT 'read' AS kind, review_status AS name, CAST(count(*) AS BIGINT) AS n FROM
 UNION ALL SELECT 'first', CAST(number AS STRING), count(*) FROM r WHERE chunk % 7 <> 6 AND number <> 99 AND confidence > 0 GROUP BY 2
 UNION ALL SELECT 'embedding', model, count(*) FROM e WHERE chunk % 7 <> 6 AND source_frame % 50 <> 0 GROUP BY 2
 UNION ALL SELECT 'reject', 'jersey/candidate', count(*) FROM r WHERE chunk % 7 <> 6 AND number = 99 HAVING count(*) > 0
-UNION ALL SELECT 'reject', 'embedding/metadata', count(*) FROM e WHERE chunk % 7 <> 6 AND source_frame % 50 = 0
-UNION ALL SELECT 'reject', 'file/analysis_hash', count(*) FROM (SELECT DISTINCT tracklet_id, chunk FROM (SELECT tracklet_id, chunk FROM r UNION SELECT tracklet_id, chunk FROM e) WHERE chunk % 7 = 6)""")
+UNION ALL SELECT 'reject', 'embedding/metadata', count(*) FROM e WHERE chunk % 7 <> 6 AND source_frame % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'reject', 'file/analysis_hash', count(*) FROM (SELECT DISTINCT tracklet_id, chunk FROM (SELECT tracklet_id, chunk FROM r UNION SELECT tracklet_id, chunk FROM e) WHERE chunk % 7 = 6) HAVING count(*) > 0""")
 def s11(v):
     t = D.parse_cues(cue_docs(v))
     g = lambda df, kind, name: df.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.functions.scalars import is_player, shot_of
+from trackspark.functions.scalars import is_player, split_rejects
 from trackspark.operators import calibrate as CAL
 from trackspark.operators import contracts as C
 from trackspark.operators import evaluation as EV
@@ -21,7 +21,6 @@ from trackspark.operators import timing as TM
 from trackspark.operators import tracks as TR
 from trackspark.operators.runs import batch_status, readiness
 from trackspark.operators.tracking import track_shots
-from trackspark.functions.scalars import split_rejects
 from trackspark.scale import one_row
 from trackspark.session import cut_lineage
 

@@ -7,7 +7,6 @@ expression, the comparison SQL. Every view reads its whole base tables.
 from __future__ import annotations
 
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
