@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(app: str = "trackspark", cores: str = "8", **conf: str) -> SparkSession:
@@ -27,9 +30,22 @@ def local_session(app: str = "trackspark", cores: str = "8", **conf: str) -> Spa
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="spark-package-", dir="/tmp")  # read by the driver only, which serves it
+    archive = shutil.make_archive(f"{folder}/trackspark", "zip", root_dir=root, base_dir="trackspark")
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by the cluster.
 

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+import trackspark
 from trackspark.operators.tracking import BOX, LiveTracks, frames_of
 
 TRACK_OUT = "source_id string, shot_id string, frame_index bigint, det_index int, tracklet_id string"
@@ -21,7 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark) -> None:
-    """Stateful processors need the RocksDB store."""
+    """Stateful processors need the RocksDB store, and a planning process that gets no Python files."""
+    cloudpickle.register_pickle_by_value(trackspark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
