@@ -34,8 +34,10 @@ MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 4500, 12_288
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 18, 1 << 14
 LIFT, SIGMAS = 8.0, 3.0
 LONGEST, REMEMBERED = 256, 400_000
-#: Ends every window and dictionary part: zstandard stores blocks of a few bytes as they are.
+#: Ends every window and the dictionaries: zstandard stores blocks of a few bytes as they are.
 PAD = b" \x00\x01\x02\x03\x04\x05\x06\x07"
+#: In front of the ordinary part, so that no toxic window is followed by the padding.
+GAP = b"\xff"
 
 
 def windows(text: str | None) -> list[str]:
@@ -130,7 +132,7 @@ class Model:
             spread = np.sqrt(both * (1 - both) * (1 / n + 1 / m)) or 1e-9
             if held / m >= LIFT * (own[window] + 0.5) / n and held / m - own[window] / n >= SIGMAS * spread:
                 told[window] = held
-        base, extra = PAD + _content(own, ORDINARY_BYTES) + PAD, _content(told, TOXIC_BYTES)
+        base, extra = GAP + PAD + _content(own, ORDINARY_BYTES) + PAD, _content(told, TOXIC_BYTES)
         self.ordinary, self.toxic = base, extra + base
         distance = Distance(self.ordinary, self.toxic)
         texts, y = toxic[1::2] + ordinary[1::2], np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
