@@ -565,9 +565,11 @@ def promotion_gate(
         (yes(cross) & c("shared_eligible").isNotNull() & no(usable), "cross-shot shared-player denominator is invalid", True),
         (yes(cross) & (coverage < min_cross_shot_coverage), "cross-shot coverage is below the promotion gate", False),
         (yes(c("contact_supplied")) & no(c("contact_status") == "evaluated"), "ground-contact position error is not evaluated", True),
-        (yes(c("contact_supplied")) & yes(c("contact_status") == "evaluated") & no(c("contact_gate")), "ground-contact position error is below the promotion gate", False),
+        (yes(c("contact_supplied")) & yes(c("contact_status") == "evaluated") & c("contact_gate").isNull(), "ground-contact gate evidence is missing", True),
+        (yes(c("contact_supplied")) & yes(c("contact_status") == "evaluated") & c("contact_gate").isNotNull() & no(c("contact_gate")), "ground-contact position error is below the promotion gate", False),
         (yes(c("team_supplied")) & no(c("team_status") == "evaluated"), "team assignment is not evaluated", True),
-        (yes(c("team_supplied")) & yes(c("team_status") == "evaluated") & no(c("team_gate")), "team assignment is below the promotion gate", False),
+        (yes(c("team_supplied")) & yes(c("team_status") == "evaluated") & c("team_gate").isNull(), "team assignment gate evidence is missing", True),
+        (yes(c("team_supplied")) & yes(c("team_status") == "evaluated") & c("team_gate").isNotNull() & no(c("team_gate")), "team assignment is below the promotion gate", False),
     ]
     reasons = F.array_compact(F.array(*[F.when(hit, text if isinstance(text, Column) else F.lit(text)) for hit, text, _ in rules]))
     missing = F.lit(False)

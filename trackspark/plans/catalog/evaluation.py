@@ -193,7 +193,7 @@ GATES = """SELECT o_custkey AS run_id, max(o_orderstatus) = 'P' AND min(o_orderk
  CASE sum(o_orderkey) % 6 WHEN 0 THEN NULL WHEN 1 THEN 'unvalidated' WHEN 2 THEN 'invalid' ELSE 'valid' END AS calibration_status, CASE WHEN min(o_orderkey) % 5 = 0 THEN NULL ELSE max(o_orderkey) % 3 <> 0 END AS calibration_median_ok, max(o_orderkey) % 4 <> 0 AS calibration_p95_ok,
  CASE WHEN count(*) % 2 = 0 THEN 'evaluated' ELSE 'not_evaluated' END AS cross_status, CAST(sum(o_orderkey) % 4 AS BIGINT) AS false_merges, CASE WHEN min(o_orderkey) % 11 = 0 THEN NULL ELSE sum(o_orderkey) % 4 = 0 END AS false_merges_zero,
  CASE WHEN min(o_orderkey) % 13 = 0 THEN NULL ELSE max(o_orderkey) % 2 = 0 END AS components_clean, CASE WHEN count(*) = 6 THEN NULL ELSE CAST(count(*) % 8 AS BIGINT) END AS shared_eligible, CAST(count(*) % 6 AS BIGINT) AS shared_correct, 0.9E0 AS coverage,
- count(*) > 8 AS contact_supplied, CASE WHEN max(o_orderkey) % 3 = 0 THEN 'not_evaluated' ELSE 'evaluated' END AS contact_status, max(o_orderkey) % 5 < 4 AS contact_gate, count(*) > 10 AS team_supplied, CASE WHEN max(o_orderkey) % 4 = 0 THEN 'not_evaluated' ELSE 'evaluated' END AS team_status, max(o_orderkey) % 6 < 5 AS team_gate
+ count(*) > 8 AS contact_supplied, CASE WHEN max(o_orderkey) % 3 = 0 THEN 'not_evaluated' ELSE 'evaluated' END AS contact_status, CASE WHEN max(o_orderkey) % 7 = 0 THEN NULL ELSE max(o_orderkey) % 5 < 4 END AS contact_gate, count(*) > 10 AS team_supplied, CASE WHEN max(o_orderkey) % 4 = 0 THEN 'not_evaluated' ELSE 'evaluated' END AS team_status, CASE WHEN max(o_orderkey) % 9 = 0 THEN NULL ELSE max(o_orderkey) % 6 < 5 END AS team_gate
  FROM orders GROUP BY o_custkey"""
 
 
@@ -209,8 +209,8 @@ WITH r AS ({GATES}), s AS (SELECT *, standard_status = 'evaluated' AS st, cross_
  CASE WHEN cr AND components_clean IS NULL THEN '!identity component gate evidence is missing' WHEN cr AND NOT components_clean THEN 'identity components are contaminated or unattributed' END,
  CASE WHEN cr AND shared_eligible IS NULL THEN '!cross-shot shared-player denominator is missing' WHEN cr AND NOT usable THEN '!cross-shot shared-player denominator is invalid' END,
  CASE WHEN cr AND cov < 0.8 THEN 'cross-shot coverage is below the promotion gate' END,
- CASE WHEN contact_supplied AND contact_status <> 'evaluated' THEN '!ground-contact position error is not evaluated' WHEN contact_supplied AND NOT contact_gate THEN 'ground-contact position error is below the promotion gate' END,
- CASE WHEN team_supplied AND team_status <> 'evaluated' THEN '!team assignment is not evaluated' WHEN team_supplied AND NOT team_gate THEN 'team assignment is below the promotion gate' END] AS all_reasons FROM q)
+ CASE WHEN contact_supplied AND contact_status <> 'evaluated' THEN '!ground-contact position error is not evaluated' WHEN contact_supplied AND contact_gate IS NULL THEN '!ground-contact gate evidence is missing' WHEN contact_supplied AND NOT contact_gate THEN 'ground-contact position error is below the promotion gate' END,
+ CASE WHEN team_supplied AND team_status <> 'evaluated' THEN '!team assignment is not evaluated' WHEN team_supplied AND team_gate IS NULL THEN '!team assignment gate evidence is missing' WHEN team_supplied AND NOT team_gate THEN 'team assignment is below the promotion gate' END] AS all_reasons FROM q)
 SELECT run_id, replace(array_to_string(list_filter(all_reasons, lambda x: x IS NOT NULL), '; '), '!', '') AS reasons, CASE WHEN len(list_filter(all_reasons, lambda x: x IS NOT NULL)) = 0 THEN 'passed' WHEN len(list_filter(all_reasons, lambda x: x LIKE '!%')) > 0 THEN 'not_evaluated' ELSE 'failed' END AS gate_status FROM w""")
 def a13(v):
     runs = v.spark.sql(with_views("", f"SELECT * FROM ({GATES})", v.sf_dir))

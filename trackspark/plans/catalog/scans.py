@@ -151,8 +151,8 @@ def export_rows(v):
 
 
 @query("k3_observation_csv", "obs", f"""
-SELECT frame_index, tracklet_id, player_id, concat('[', tb_num, ', ', tb_den, ']') AS time_base, concat('[', CAST(x1 AS STRING), ', ', CAST(y1 AS STRING), ', ', CAST(x2 AS STRING), ', ', CAST(y2 AS STRING), ']') AS bbox_xyxy_px,
- CASE WHEN field_x IS NOT NULL THEN concat('[', CAST(field_x AS STRING), ', ', CAST(field_y AS STRING), ']') END AS field_xy_yards, detection_score FROM ({EXPORT})""")
+SELECT frame_index, tracklet_id, player_id, concat('[', tb_num, ',', tb_den, ']') AS time_base, concat('[', CAST(x1 AS STRING), ',', CAST(y1 AS STRING), ',', CAST(x2 AS STRING), ',', CAST(y2 AS STRING), ']') AS bbox_xyxy_px,
+ CASE WHEN field_x IS NOT NULL THEN concat('[', CAST(field_x AS STRING), ',', CAST(field_y AS STRING), ']') END AS field_xy_yards, detection_score FROM ({EXPORT})""")
 def k3(v):
     return K.observation_csv_rows(export_rows(v)).select("frame_index", "tracklet_id", "player_id", "time_base", "bbox_xyxy_px", "field_xy_yards", "detection_score")
 

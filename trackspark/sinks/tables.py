@@ -16,16 +16,11 @@ OBSERVATION_COLUMNS = (
 UNSETTLED = ("not_provided", "unvalidated", "partial", "invalid")
 
 
-def spaced_json(values: Column) -> Column:
-    """JSON array text with a space after each comma, as the CSV contract writes it."""
-    return F.replace(F.to_json(values), F.lit(","), F.lit(", "))
-
-
 def observation_csv_rows(rows: DataFrame) -> DataFrame:
     """The 23 export columns; arrays as JSON text, no field position as an empty cell."""
-    packed = rows.withColumn("time_base", spaced_json(F.array("tb_num", "tb_den"))).withColumn("bbox_xyxy_px", spaced_json(F.array("x1", "y1", "x2", "y2")))
+    packed = rows.withColumn("time_base", F.to_json(F.array("tb_num", "tb_den"))).withColumn("bbox_xyxy_px", F.to_json(F.array("x1", "y1", "x2", "y2")))
     packed = packed.withColumn(
-        "field_xy_yards", F.when(F.col("field_x").isNotNull() & F.col("field_y").isNotNull(), spaced_json(F.array("field_x", "field_y")))
+        "field_xy_yards", F.when(F.col("field_x").isNotNull() & F.col("field_y").isNotNull(), F.to_json(F.array("field_x", "field_y")))
     )
     return packed.select(*OBSERVATION_COLUMNS)
 

@@ -60,12 +60,14 @@ def merge_report(arrivals: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", for_each=None, timeout_s: int = 600) -> None:
-    """Run a stream over everything available into Parquet (or a batch function) and stop."""
+    """Run a stream over everything available into Parquet (or a batch function); raises if time runs out first."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(for_each).start() if for_each else writer.format("parquet").option("path", path).start()
     try:
-        query.awaitTermination(timeout_s)
+        ended = query.awaitTermination(timeout_s)
     finally:
         query.stop()
     if query.exception() is not None:
         raise query.exception()
+    if not ended:
+        raise TimeoutError(f"the stream had not taken in all its input after {timeout_s} seconds")
