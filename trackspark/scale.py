@@ -121,66 +121,47 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    direct_limit: int = 200_000,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key.
 
-    Equal values are merged first. A mergeable sketch then brackets the two
-    ranks each percentile needs, so only the bracket of a large key is ordered.
+    Equal values are merged first. Cuts from a mergeable sketch split each key's
+    values into ranges, narrow around the wanted ranks. Exact counts per range tell
+    which ranges hold those ranks, and only they are ordered; a cut that lies
+    off its rank makes a range longer, never wrong.
     """
-    names = list(probs)
     slack = 4.0 / accuracy
-    cuts = [min(1.0, max(0.0, p + side * slack)) for p in probs.values() for side in (-1, 1)]
+    near = {min(1.0, max(0.0, p + side * slack)) for p in probs.values() for side in (-1, 1)}
+    cuts = sorted(near | {i / 32 for i in range(1, 32)})
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if not keys:
         data = data.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
-    stats = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
-    )
-    whole = F.col("_n") <= F.lit(direct_limit)
-    specs = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.floor((F.col("_n") - 1) * F.lit(float(p))).cast("bigint").alias("rank"),
-            ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))).alias("part"),
-            F.when(whole | F.lit(cuts[2 * i] <= 0.0), F.col("_min")).otherwise(F.col("_cuts")[2 * i]).alias("low"),
-            F.when(whole | F.lit(cuts[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1]).alias("high"),
-        )
-        for i, p in enumerate(probs.values())
-    ])
-    stats = stats.select(*by, "_n", specs.alias("_specs"))
+    stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
     merged = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = merged.join(stats, by)
-    below = placed.groupBy(*by).agg(*[
-        F.sum(F.when(F.col("_v") < F.col("_specs")[i]["low"], F.col("_c")).otherwise(0)).alias(f"_below{i}")
-        for i in range(len(names))
-    ])
-    inside = placed.select(
-        *by, "_v", "_c", "_n",
-        F.explode(F.filter("_specs", lambda s: (F.col("_v") >= s["low"]) & (F.col("_v") <= s["high"]))).alias("_s"),
-    ).join(below, by)
-    start = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(names))]), F.col("_s.i") + 1)
-    order = Window.partitionBy(*by, "_s.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_i", F.col("_s.i")).withColumn("_upto", start + F.sum("_c").over(order))
-    upper_rank = F.least(F.col("_s.rank") + 1, F.col("_n") - 1)
-    found = ranked.groupBy(*by, "_i").agg(
-        F.min(F.when(F.col("_upto") > F.col("_s.rank"), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > upper_rank, F.col("_v"))).alias("_hi"),
-        F.first("_s.part").alias("_part"),
-        F.first(start).alias("_start"),
-        F.first("_s.rank").alias("_rank"),
+    placed = merged.join(stats, by).select(
+        *by, "_v", "_c", "_n", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))).alias("_range")
     )
-    missed = F.col("_lo").isNull() | F.col("_hi").isNull() | (F.col("_start") > F.col("_rank"))
-    value_at = F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+    along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_held"), F.max("_n").alias("_n"))
+    ranges = ranges.withColumn("_start", F.sum("_held").over(along) - F.col("_held"))
+    exact = {i: (F.col("_n") - 1) * F.lit(float(p)) for i, p in enumerate(probs.values())}
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.least(F.floor(at).cast("bigint") + side, F.col("_n") - 1).alias("rank"))
+        for i, at in exact.items() for side in (0, 1)
+    ])
+    wanted = F.filter(ranks, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_held")))
+    ranges = ranges.select(*by, "_range", "_start", wanted.alias("_ranks")).filter(F.size("_ranks") > 0)
+    order = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.join(ranges, [*by, "_range"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(order))
+    hits = F.filter("_ranks", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c")))
+    found = inside.select(*by, "_v", "_n", F.explode(hits).alias("_r")).groupBy(*by).agg(
+        F.max("_n").alias("_n"),
+        *[F.max(F.when((F.col("_r.i") == i) & (F.col("_r.side") == side), F.col("_v"))).alias(f"_v{i}_{side}") for i in exact for side in (0, 1)],
     )
-    result = found.withColumn("_q", value_at).groupBy(*by).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)
+    result = found.select(*by, *[
+        (F.col(f"_v{i}_0") + (F.col(f"_v{i}_1") - F.col(f"_v{i}_0")) * (at - F.floor(at))).alias(name)
+        for (i, at), name in zip(exact.items(), probs)
     ])
     return result if keys else result.drop("_all")
 
