@@ -124,6 +124,22 @@ def test_separated_picks_equal_the_greedy_walk(spark):
     assert got == taken
 
 
+def test_rows_that_share_a_frame_do_not_hide_later_picks(spark):
+    rows = [("a", 100, 9.0 - i / 10) for i in range(40)] + [("a", 200, 0.5)]
+    df = spark.createDataFrame(rows, "source_id string, frame_index bigint, score double")
+    assert [r.frame_index for r in RV.separated_top(df, ["source_id"], 2, 8).orderBy("pick_no").collect()] == [100, 200]
+
+
+def test_two_shared_fits_raise(spark):
+    rows = spark.createDataFrame([("s0", 5)], "shot_id string, pts bigint")
+    spans = spark.createDataFrame([], "shot_id string, pts_start bigint, pts_end bigint, fit struct<calibration_id:string>")
+    fits = lambda *ids: spark.createDataFrame([("*", (i,)) for i in ids], "shot_id string, fit struct<calibration_id:string>")
+    assert CAL.calibration_at(rows, spans, fits("a")).first().fit.calibration_id == "a"
+    assert CAL.calibration_at(rows, spans, fits()).first().fit is None
+    with pytest.raises(Exception, match="more than one shared fit"):
+        CAL.calibration_at(rows, spans, fits("a", "b")).collect()
+
+
 def test_suppression_keeps_the_strongest(spark):
     rows = [("s", 0, 10.0, 10.0, 0, 1, 9.0), ("s", 0, 15.0, 10.0, 0, 2, 8.0), ("s", 0, 40.0, 10.0, 1, 2, 7.0), ("s", 0, 22.0, 10.0, 1, 3, 6.0)]
     df = spark.createDataFrame(rows, "source_id string, frame_index bigint, x double, y double, first_line int, second_line int, support double")

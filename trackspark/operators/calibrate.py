@@ -48,6 +48,7 @@ def as_fit(df: DataFrame, id_column: str, extra: list[str] | None = None) -> Col
 def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame | None = None) -> DataFrame:
     """Adds ``fit``: the timeline estimate holding the PTS, else the shot's fit, else the shared ``*`` fit.
 
+    More than one shared fit raises: which one holds would be chance.
     timeline(shot_id, pts_start, pts_end, fit), shot_fits(shot_id, fit)
     """
     spans = timeline.select("shot_id", F.col("pts_start").alias("_s"), F.col("pts_end").alias("_e"), "fit")
@@ -55,7 +56,8 @@ def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame |
     if shot_fits is None:
         return found
     own = shot_fits.select("shot_id", F.col("fit").alias("_own"))
-    shared = shot_fits.filter("shot_id = '*'").select(F.col("fit").alias("_shared"), F.lit(1).alias("_one")).limit(1)
+    doubled = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one shared fit"))).otherwise(F.first("fit"))
+    shared = shot_fits.filter("shot_id = '*'").agg(doubled.alias("_shared")).withColumn("_one", F.lit(1))
     joined = found.join(own, "shot_id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one", "left")  # one row
     return joined.withColumn("fit", F.coalesce("fit", "_own", "_shared")).drop("_own", "_shared", "_one")
 

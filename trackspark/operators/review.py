@@ -72,9 +72,11 @@ def _priority(kind: Column, has_link: Column, has_evidence: Column) -> tuple[Col
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6), F.array_sort(F.array_distinct(reasons))
 
 
-def review_queue(links: DataFrame, evidence: DataFrame, rows: DataFrame, max_items: int = 100, samples_per_pair: int = 3) -> DataFrame:
+def review_queue(links: DataFrame, evidence: DataFrame, rows: DataFrame, max_items: int | None = 100, samples_per_pair: int = 3) -> DataFrame:
     """Ordered review items per play: every pair with a link or evidence, and every unmatched tracklet.
 
+    ``max_items`` of None emits all; each item carries its play's total and emitted count.
+
     links(play_id, left_key, right_key, decision, score, alternative_score, ambiguity_margin, rejection_reason),
     evidence as from ``pair_evidence``, rows(tracklet_id, frame_index, pts, play_time_s)
     """
@@ -108,7 +110,11 @@ def review_queue(links: DataFrame, evidence: DataFrame, rows: DataFrame, max_ite
     )
     # ordered before any sample is looked up: only emitted items need samples
     order = Window.partitionBy("play_id").orderBy(F.desc("priority"), "left_key", F.coalesce("right_key", F.lit("")), "review_item_id")
-    top = items.withColumn("queue_no", F.row_number().over(order)).filter(F.col("queue_no") <= max_items)
+    total = F.count(F.lit(1)).over(Window.partitionBy("play_id"))
+    emitted = F.col("total_item_count") if max_items is None else F.least("total_item_count", F.lit(max_items).cast("bigint"))
+    top = items.withColumns({"queue_no": F.row_number().over(order), "total_item_count": total}).withColumn("emitted_item_count", emitted)
+    if max_items is not None:
+        top = top.filter(F.col("queue_no") <= max_items)
     return top.join(_queue_samples(top, rows, samples_per_pair), "review_item_id", "left")
 
 
@@ -151,12 +157,16 @@ def _queue_samples(top: DataFrame, rows: DataFrame, samples_per_pair: int) -> Da
 def separated_top(scores: DataFrame, keys: list[str], min_gap_frames: int, picks: int = 8) -> DataFrame:
     """Highest scores first, dropping rows closer than ``min_gap_frames`` to a taken one, up to ``picks``.
 
-    With one row per frame a pick bars fewer than ``2 * gap`` rows, so the first
-    ``picks * 2 * gap`` rows by score hold every pick; map tasks cut to that many.
+    Rows of one frame bar each other, so the best of a frame stands for it. A pick then
+    bars fewer than ``2 * gap`` rows and the first ``picks * 2 * gap`` rows by score hold
+    every pick; map tasks cut to that many.
     """
     enough = picks * max(1, 2 * min_gap_frames)
     window = Window.partitionBy(*keys).orderBy(F.desc("score"), "frame_index")
-    best = scores.select(*keys, "score", "frame_index").withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= enough)
+    rows = scores.select(*keys, "score", "frame_index")
+    if min_gap_frames > 0:
+        rows = rows.groupBy(*keys, "frame_index").agg(F.max("score").alias("score"))
+    best = rows.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= enough)
     listed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", "frame_index", "score"))).alias("_rows"))
     empty = F.array().cast("array<struct<_rank:int,frame_index:bigint,score:double>>")
     taken = F.aggregate(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.sources.artifacts import missing_artifacts
 
 
+def _as_value(text: Column) -> Column:
+    """JSON text with sorted keys and no spaces, so that equal values are equal text."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def run_consistency(listing: DataFrame, documents: DataFrame, observation_counts: DataFrame) -> DataFrame:
     """One row per run: ``valid`` or ``invalid`` with the broken cross-file rules.
 
@@ -34,7 +39,7 @@ def run_consistency(listing: DataFrame, documents: DataFrame, observation_counts
         F.when(differs(get("links", "$.schema_version").try_cast("int"), F.lit(2)), "identity-links schema_version is not 2"),
         F.when(differs(get("links", "$.tracklet_count").try_cast("int"), F.coalesce(F.size(ids), F.lit(0))), "identity-links tracklet_count does not match identities"),
         F.when(differs(get("links", "$.player_id_count").try_cast("int"), F.coalesce(F.size(F.array_distinct(F.map_values(ids))), F.lit(0))), "identity-links player_id_count does not match identities"),
-        F.when(differs(get("evaluation", "$.promotion_gate"), get("review", "$.promotion_gate")), "review and tracking-evaluation promotion gates differ"),
+        F.when(differs(_as_value(get("evaluation", "$.promotion_gate")), _as_value(get("review", "$.promotion_gate"))), "review and tracking-evaluation promotion gates differ"),
         F.when(source.isNotNull() & get("calibration", "$.source_sha256").isNotNull() & differs(get("calibration", "$.source_sha256"), source), "calibration source_sha256 does not match manifest input_sha256"),
         F.when(differs(get("quality", "$.schema_version").try_cast("int"), F.lit(1)), "calibration-quality schema_version is not 1"),
     ))

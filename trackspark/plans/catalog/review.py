@@ -40,12 +40,13 @@ def simple_links(ev):
  v3 AS (SELECT *, round(greatest(0, least(1, p2)), 4) AS priority, array_to_string(list_sort(list_distinct(list_filter([CASE kind WHEN 'ambiguous' THEN 'assignment_ambiguity' WHEN 'accepted' THEN 'accepted_link_needs_audit' WHEN 'unmatched' THEN 'unmatched_tracklet' ELSE 'candidate_rejection' END,
    CASE WHEN margin < 0.1 THEN 'low_assignment_margin' END, CASE WHEN hl THEN why END, CASE WHEN rr IS NOT NULL THEN 'multi_cue_review_rank' END, CASE WHEN conflict THEN 'reviewed_jersey_conflict' END, CASE WHEN he AND lt = 'unknown' THEN 'missing_left_team' END, CASE WHEN he AND rt = 'unknown' THEN 'missing_right_team' END,
    CASE WHEN he AND pn = 0 THEN 'missing_paired_sample_count' END, CASE WHEN he AND coalesce(unc,0) = 0 THEN 'missing_combined_uncertainty_yards' END, CASE WHEN he AND span < 1 THEN 'short_overlap' END, CASE WHEN he THEN reason END], lambda x: x IS NOT NULL))), ',') AS reasons FROM v2)
-SELECT p.play_id, l AS left_key, r AS right_key, kind, priority, reasons, substring(sha256(concat_ws(chr(0), p.play_id, l, coalesce(r, ''), kind)),1,16) AS review_item_id, coalesce(why, reason) AS rejection_reason FROM v3 JOIN play p ON p.tracklet_id = l""")
+SELECT p.play_id, l AS left_key, r AS right_key, kind, priority, reasons, substring(sha256(concat_ws(chr(0), p.play_id, l, coalesce(r, ''), kind)),1,16) AS review_item_id, coalesce(why, reason) AS rejection_reason, count(*) OVER (PARTITION BY p.play_id) AS total_item_count, count(*) OVER (PARTITION BY p.play_id) AS emitted_item_count FROM v3 JOIN play p ON p.tracklet_id = l""")
 def t1(v):
     ev = cut_lineage(evidence(v))  # read by the links and the queue
-    queue = RV.review_queue(simple_links(ev), ev, v.obs, max_items=100_000)
+    queue = RV.review_queue(simple_links(ev), ev, v.obs, max_items=None)
     return queue.select(
-        "play_id", "left_key", "right_key", "kind", F.round("priority", 4).alias("priority"), F.concat_ws(",", "priority_reasons").alias("reasons"), "review_item_id", "rejection_reason"
+        "play_id", "left_key", "right_key", "kind", F.round("priority", 4).alias("priority"), F.concat_ws(",", "priority_reasons").alias("reasons"), "review_item_id", "rejection_reason",
+        "total_item_count", "emitted_item_count",
     )
 
 
