@@ -6,6 +6,7 @@ import re
 from base64 import b32encode
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,35 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels, queries.held_out(5, 0)).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    long = lambda i: prose(2600, "abcdefgh"[i % 8]) + f" end{i} "
+    texts = [(i, long(i) + ("grobian und schuft " * 120 if i % 2 else "")) for i in range(40)]
+    assert min(len(t) for _, t in texts) > toxicity.MOST_BYTES
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    told = toxicity.score_toxicity(docs, labels, queries.held_out(5, 0)).collect()
+    assert len(told) == 40 and sum(r["predicted"] == r["doc_id"] % 2 for r in told) >= 38
+
+
+class BadWords:
+    def all(self, found):
+        return [9 * (w == "bad") for w in found]
+
+
+def test_toxicity_limit_holds_in_a_small_group(monkeypatch):
+    monkeypatch.setattr(toxicity, "GROUPS", 2)  # the four texts below would be a group each
+    # 60 clean texts of a small kind hold three hits each, like the toxic texts of the large kind
+    text = lambda words, bad: " ".join([words] * 48 + ["bad"] * bad)
+    kinds = [(900, "aaaa bbbb", 0, 0), (300, "aaaa bbbb", 3, 1), (60, "xyxy zqzq", 3, 0), (20, "xyxy zqzq", 12, 1)]
+    rows = [(text(words, bad), toxic) for n, words, bad, toxic in kinds for _ in range(n)]
+    model = object.__new__(toxicity.Model)
+    model.calibrate(
+        np.array([toxicity.hits(t, BadWords()) for t, _ in rows]), np.array([toxicity.profile(t) for t, _ in rows]),
+        np.array([float(y) for _, y in rows]),
+    )
+    assert [model.score(text(words, bad), BadWords()) >= 0.5 for _, words, bad, _ in kinds] == [False, True, False, True]
+
+
 def test_language_on_held_out_rows(spark, empty):
     parts = {"en": "the and of that this with from ", "de": "der die und das nicht mit eine ", "fr": "le la les est dans pour une "}
     rows = [(i, " ".join((parts[lang].split() * 4)[i % 7 : i % 7 + 12]), lang) for i, lang in enumerate(list(parts) * 40)]
