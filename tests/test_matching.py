@@ -207,6 +207,30 @@ def test_links_refuse_members_that_cannot_be_one_player(spark):
     assert got == {("shot-0:t1", "shot-1:t1"): True, ("shot-0:t2", "shot-1:t1"): False, ("shot-0:t3", "shot-1:t3"): False, ("shot-0:t4", "shot-1:t4"): True}
 
 
+def test_left_out_pairs_are_counted_by_gate(spark):
+    team = {f"shot-{s}:t{t}": "AABB?"[(t + s) % 5] for s in range(3) for t in range(5)}
+    teams = spark.createDataFrame(
+        [(i, t, 0.0 if t == "?" else 0.9, "rgb_prototype", 1.0, 0.0) for i, t in team.items() if i != "shot-2:t0"],
+        "tracklet_id string, team string, score double, source string, assignment_coverage double, ambiguity double",
+    )
+    # every other tracklet is seen late, so that times part some pairs of one team
+    rows = [("p", i.split(":")[0], i, float(k) * 0.1 + 500 * (int(i[-1]) % 2), 1.0, 2.0, 0.0) for i in team for k in range(40)]
+    samples = spark.createDataFrame(rows, "play_id string, shot_id string, tracklet_id string, play_time_s double, x double, y double, uncertainty double")
+    tracks = samples.select("play_id", "shot_id", "tracklet_id").distinct()
+    cues = spark.createDataFrame(
+        [("shot-0:t0", "shot-1:t0", True, False, None), ("shot-0:t0", "shot-1:t1", True, False, None), ("shot-0:t4", "shot-2:t3", True, False, None)],
+        "left_key string, right_key string, reviewed_jersey_conflict boolean, reviewed_jersey_agreement boolean, cue_rank_score double",
+    )
+    for used in (None, cues):
+        whole = ID.pair_evidence(ID.shot_pair_tracks(tracks)[1], samples, teams, used)
+        want = {tuple(r)[:5] for r in whole.groupBy(*ID.SHOTS, "rejection_reason").count().collect()}
+        part = ID.pair_evidence(ID.comparable_pairs(samples, teams, 0.05), samples, teams, used)
+        got = ID.evidence_counts(tracks, teams, part, used).collect()
+        assert {tuple(r)[:5] for r in got} == want and sum(r.pairs for r in got) == 75
+        assert sum(r.formed for r in got) == part.count() < 75
+        assert len({r.rejection_reason for r in got}) >= (4 if used is None else 5)
+
+
 def test_player_ids_follow_the_smallest_member(spark):
     tracklets = spark.createDataFrame([(f"shot-{s}:t1",) for s in (0, 1, 2, 10)], "tracklet_id string")
     pair = spark.createDataFrame([("shot-1:t1", "shot-2:t1")], "left_key string, right_key string")

@@ -239,6 +239,47 @@ def comparable_pairs(samples: DataFrame, teams: DataFrame, tolerance_s: float) -
     return left.join(right, ["play_id", "team"]).filter(met).select("play_id", "left_shot", "right_shot", "left_key", "right_key")
 
 
+def evidence_counts(tracks: DataFrame, teams: DataFrame, evidence: DataFrame, cues: DataFrame | None = None) -> DataFrame:
+    """(play_id, left_shot, right_shot, rejection_reason, pairs, formed): every cross-shot pair by the first gate it fails.
+
+    ``formed`` pairs are rows of ``evidence``; the others come from counts per team, as comparable pairs lack
+    nothing but an ineligible or another team, or any common time. A null reason means eligible.
+    """
+    rated = teams.filter(team_eligible()).select("tracklet_id", "team")
+    known = tracks.select("play_id", "shot_id", "tracklet_id").distinct().join(rated, "tracklet_id", "left")
+    per = known.groupBy("play_id", "shot_id").agg(F.count(F.lit(1)).alias("n"), F.count("team").alias("ok"))
+    on = lambda df, side: df.select("play_id", *[F.col(c).alias(f"{side}_shot" if c == "shot_id" else c if c == "team" else f"{side}_{c}") for c in df.columns if c != "play_id"])
+    both = on(per, "left").join(on(per, "right"), "play_id").filter("left_shot < right_shot")
+    by_team = known.filter("team is not null").groupBy("play_id", "shot_id", "team").agg(F.count(F.lit(1)).alias("n"))
+    same = on(by_team, "left").join(on(by_team, "right"), ["play_id", "team"]).filter("left_shot < right_shot").groupBy(*SHOTS).agg(
+        F.sum(F.col("left_n") * F.col("right_n")).alias("_same")
+    )
+    full = both.join(same, SHOTS, "left").withColumn("_same", F.coalesce("_same", F.lit(0).cast("bigint")))
+    part = lambda reason, n: F.struct(F.lit(reason).alias("rejection_reason"), n.alias("pairs"), F.lit(0).cast("bigint").alias("formed"))
+    l, lok, r, rok = (F.col(c) for c in ("left_n", "left_ok", "right_n", "right_ok"))
+    listed = full.select(*SHOTS, F.explode(F.array(
+        part("left_team_ineligible", (l - lok) * r), part("right_team_ineligible", lok * (r - rok)),
+        part("team_mismatch", lok * rok - F.col("_same")), part("insufficient_overlap_samples", F.col("_same")),
+    )).alias("_e")).select(*SHOTS, "_e.*")
+    # what evidence or a jersey conflict decides moves from the count that held it to its own reason
+    base = lambda rows: rows.join(rated.select(F.col("tracklet_id").alias("left_key"), F.col("team").alias("_l")), "left_key", "left").join(
+        rated.select(F.col("tracklet_id").alias("right_key"), F.col("team").alias("_r")), "right_key", "left"
+    ).withColumn("_held", F.when(F.col("_l").isNull(), "left_team_ineligible").when(F.col("_r").isNull(), "right_team_ineligible").when(
+        F.col("_l") != F.col("_r"), "team_mismatch").otherwise("insufficient_overlap_samples"))
+    moved = base(evidence.select(*SHOTS, "left_key", "right_key", "rejection_reason")).withColumn("_formed", F.lit(1).cast("bigint"))
+    if cues is not None:
+        at = lambda side: tracks.select("play_id", F.col("shot_id").alias(f"{side}_shot"), F.col("tracklet_id").alias(f"{side}_key"))
+        clash = cues.filter("reviewed_jersey_conflict").select("left_key", "right_key").distinct().join(at("left"), "left_key").join(
+            at("right"), ["play_id", "right_key"]).filter("left_shot < right_shot").join(evidence, [*SHOTS, "left_key", "right_key"], "left_anti")
+        moved = moved.unionByName(base(clash.select(*SHOTS, "left_key", "right_key", F.lit("reviewed_jersey_mismatch").alias("rejection_reason"))).withColumn("_formed", F.lit(0).cast("bigint")))
+    one = F.lit(1).cast("bigint")
+    steps = moved.select(*SHOTS, F.explode(F.array(
+        F.struct(F.col("_held").alias("rejection_reason"), (-one).alias("pairs"), F.lit(0).cast("bigint").alias("formed")),
+        F.struct("rejection_reason", one.alias("pairs"), F.col("_formed").alias("formed")),
+    )).alias("_e")).select(*SHOTS, "_e.*")
+    return listed.unionByName(steps).groupBy(*SHOTS, "rejection_reason").agg(F.sum("pairs").alias("pairs"), F.sum("formed").alias("formed")).filter("pairs > 0")
+
+
 def resolve_plays(
     plays: DataFrame, samples: DataFrame, teams: DataFrame, rows: DataFrame, attributes: DataFrame,
     cues: DataFrame | None = None, threshold: float = 0.65, margin: float = 0.1, full_evidence: bool = True, **limits,
@@ -246,7 +287,8 @@ def resolve_plays(
     """All shot pairs of every play at once: evidence, links, accepted links and one status row per play.
 
     plays(play_id, shot_id) lists the aligned shots; a shot without samples cannot take part.
-    ``full_evidence`` keeps a record for every pair; without it only pairs that can be eligible are formed.
+    ``full_evidence`` keeps a record for every pair; without it only pairs that can be eligible are formed, and
+    ``evidence_counts`` tells how many others fail which gate.
     """
     tracks = cut_lineage(samples.select("play_id", "shot_id", "tracklet_id").distinct())
     lefts, pairs = shot_pair_tracks(tracks)
@@ -268,7 +310,8 @@ def resolve_plays(
         "rejection_reason", F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "component_conflict").otherwise(F.col("rejection_reason"))
     ).drop("accepted")
     final = cut_lineage(final)
-    return {"evidence": evidence, "links": final, "status": play_status(plays, tracks, scores, final)}
+    counts = evidence_counts(tracks, teams, evidence, cues)
+    return {"evidence": evidence, "evidence_counts": counts, "links": final, "status": play_status(plays, tracks, scores, final)}
 
 
 def play_status(plays: DataFrame, tracks: DataFrame, scores: DataFrame, links: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def run_analytics(
     final = observations.join(ids, "tracklet_id")
     out = {
         "rejects": rejects, "tracks": tracked, "conflicts": TR.conflict_report(tracked), "teams": teams, "observations": final, "clock": clock_ok,
-        "evidence": resolved["evidence"], "links": resolved["links"], "plays": resolved["status"], "identities": ids, "coverage": ID.identity_coverage(ids),
+        "evidence": resolved["evidence"], "evidence_counts": resolved["evidence_counts"], "links": resolved["links"], "plays": resolved["status"], "identities": ids, "coverage": ID.identity_coverage(ids),
     }
     if references is not None and frames is not None and global_map is not None:
         out.update(score_run(final, ids, references, frames, global_map, timeline))
