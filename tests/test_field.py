@@ -144,3 +144,23 @@ def test_suppression_keeps_the_strongest(spark):
     rows = [("s", 0, 10.0, 10.0, 0, 1, 9.0), ("s", 0, 15.0, 10.0, 0, 2, 8.0), ("s", 0, 40.0, 10.0, 1, 2, 7.0), ("s", 0, 22.0, 10.0, 1, 3, 6.0)]
     df = spark.createDataFrame(rows, "source_id string, frame_index bigint, x double, y double, first_line int, second_line int, support double")
     assert [r.kx for r in RV.suppress_points(df).orderBy("point_no").collect()] == [10.0, 40.0, 22.0]
+
+
+def test_gate_inputs_of_a_run(spark):
+    from trackspark.plans import run as RUN
+
+    fit = "struct<status:string,inlier_count:int,median_error_px:double,reprojection_threshold_px:double,median_error_yards:double,withheld_point_count:int,withheld_p95_error_yards:double,m00:double,m01:double,m02:double,m10:double,m11:double,m12:double,m20:double,m21:double,m22:double>"
+    one = ("valid", 8, 1.0, 3.0, 0.25, 4, 0.5, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    timeline = spark.createDataFrame([("s", one), ("t", one)], f"shot_id string, fit {fit}")
+    errors = spark.createDataFrame([(0.25,)] * 60 + [(3.0,)] * 40, "error_yards double")
+    got = RUN.pooled_quality(timeline, errors).first()
+    assert (got.withheld_point_count, got.median_error_yards, got.p95_error_yards, got.status) == (100, 0.25, 3.0, "invalid")
+    assert RUN.pooled_quality(timeline, None).first().status == "unvalidated"
+    sources = spark.createDataFrame([("a",), ("b",)], "source_id string")
+    known = lambda *rows: spark.createDataFrame(list(rows), "source_id string, proxy boolean")
+    proxy = lambda detectors: RUN.detector_state(sources, detectors).first().proxy_detector
+    assert not proxy(known(("a", False), ("b", False)))
+    assert proxy(None) and proxy(known(("a", False))) and proxy(known(("a", False), ("b", None))) and proxy(known(("a", False), ("b", True)))
+    frames = spark.createDataFrame([("s", 1, True, True), ("s", 2, False, False)], "shot_id string, frame_index long, labeled boolean, ignore_frame boolean")
+    assert RUN.standard_state(frames).first().standard_status == "not_evaluated"
+    assert RUN.standard_state(frames.withColumn("labeled", frames.shot_id.isNotNull())).first().standard_status == "evaluated"

@@ -246,6 +246,7 @@ def analytics(v, scored: bool = True):
     truth = smooth(v.ref_sep)
     ids = truth.select("shot_id", "object_id").distinct().withColumn("global_id", F.concat(F.lit("G"), "object_id"))
     extra = {"references": truth, "frames": frames, "global_map": ids} if scored else {}
+    extra |= {"withheld": v.withheld, "detectors": v.spark.createDataFrame([("src", False)], "source_id string, proxy boolean")}
     return RUN.run_analytics(dets, ranges, no_splits, crops, PROTOTYPES, line, points(0), points(100), anchors, threshold=0.5, **extra)
 
 
@@ -256,6 +257,7 @@ def e1(v):
         out["gate"].select(F.lit("gate").alias("kind"), F.col("gate_status").alias("name"), F.concat_ws("; ", "reasons").alias("value")),
         out["plays"].select(F.lit("play").alias("kind"), F.col("play_id").alias("name"), F.col("status").alias("value")),
         out["evidence_counts"].groupBy(F.lit("pairs").alias("kind"), F.coalesce("rejection_reason", F.lit("eligible")).alias("name")).agg(F.concat_ws(" of ", F.sum("formed"), F.sum("pairs")).alias("value")),
+        out["calibration_quality"].select(F.lit("calibration").alias("kind"), F.col("status").alias("name"), F.concat_ws(" ", "withheld_point_count", F.round("median_error_yards", 6), F.round("p95_error_yards", 6)).alias("value")),
         out["coverage"].select(F.lit("coverage").alias("kind"), F.lit("player_ids").alias("name"), F.col("player_id_count").cast("string").alias("value")),
         out["standard"].select(F.lit("standard").alias("kind"), F.col("shot_id").alias("name"), F.round("IDF1", 6).cast("string").alias("value")),
         out["observations"].groupBy(F.lit("observations").alias("kind"), F.col("shot_id").alias("name")).agg(F.count("*").cast("string").alias("value")),

@@ -29,6 +29,7 @@ def run_analytics(
     detections: DataFrame, ranges: DataFrame, splits: DataFrame, crops: DataFrame, prototypes: Mapping[str, Sequence[float]], timeline: DataFrame,
     correspondences: DataFrame, checks: DataFrame, anchors: DataFrame, references: DataFrame | None = None, frames: DataFrame | None = None,
     global_map: DataFrame | None = None, run_id: str = "run", tb: tuple[int, int] = (1, 30000), fps: float = 30.0, threshold: float = 0.65,
+    withheld: DataFrame | None = None, detectors: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Detections to tracks, teams, field positions, play clock, identities and, with truth, scores and a gate.
 
@@ -37,7 +38,9 @@ def run_analytics(
     ``shot_ranges`` with corpus-wide shot ids, splits(tracklet_id, segment_id, start_frame, end_frame),
     crops(shot_id, frame_index, x-centre aligned det_index, r, g, b), timeline(shot_id, pts_start, pts_end, fit),
     correspondences/checks(play_id, shot_id, pts, play_time_s, event),
-    anchors(play_id, shot_id, source_pts, source_frame, anchor_s).
+    anchors(play_id, shot_id, source_pts, source_frame, anchor_s). For the gate: withheld(error_yards) has all
+    withheld landmark errors (without it calibration is unvalidated), detectors(source_id, proxy) the detector of each
+    source (a source without one counts as a proxy).
     """
     good, rejects = split_rejects(detections, C.detection_rules())
     players = good.filter(is_player(F.col("class_id"), F.col("class_name")))
@@ -72,31 +75,56 @@ def run_analytics(
         "evidence": resolved["evidence"], "evidence_counts": resolved["evidence_counts"], "links": resolved["links"], "plays": resolved["status"], "identities": ids, "coverage": ID.identity_coverage(ids),
     }
     if references is not None and frames is not None and global_map is not None:
-        out.update(score_run(final, ids, references, frames, global_map, timeline))
+        out.update(score_run(final, ids, references, frames, global_map, timeline, withheld, detector_state(detections.select("source_id").distinct(), detectors)))
     return out
 
 
-def score_run(observations: DataFrame, ids: DataFrame, references: DataFrame, frames: DataFrame, global_map: DataFrame, timeline: DataFrame) -> dict[str, DataFrame]:
+def detector_state(sources: DataFrame, detectors: DataFrame | None) -> DataFrame:
+    """One row: ``proxy_detector`` unless every source is known to have a real detector."""
+    if detectors is None:
+        return sources.agg(F.lit(True).alias("proxy_detector"))
+    known = detectors.groupBy("source_id").agg((F.bool_or("proxy") | (F.count("proxy") < F.count(F.lit(1)))).alias("proxy"))
+    return sources.join(known, "source_id", "left").agg(F.coalesce(F.bool_or(F.coalesce("proxy", F.lit(True))), F.lit(True)).alias("proxy_detector"))
+
+
+def standard_state(frames: DataFrame) -> DataFrame:
+    """One row: standard metrics are evaluated only where a frame is scored."""
+    return EV.evaluated_frames(frames).agg(F.when(F.count(F.lit(1)) > 0, "evaluated").otherwise("not_evaluated").alias("standard_status"))
+
+
+def pooled_quality(timeline: DataFrame, withheld: DataFrame | None) -> DataFrame:
+    """Calibration quality of the run over all withheld errors, not over one figure per keyframe."""
+    fits = timeline.select(F.lit("all").alias("source_id"), F.col("fit.status").alias("status"), CAL.G.identity_eligible("fit.").alias("eligible"))
+    if withheld is None:
+        errors = fits.select("source_id", F.lit(None).cast("double").alias("error_yards")).filter(F.lit(False))
+    else:
+        errors = withheld.select(F.lit("all").alias("source_id"), "error_yards")
+    return CAL.quality_report(fits, errors, ["source_id"])
+
+
+def score_run(
+    observations: DataFrame, ids: DataFrame, references: DataFrame, frames: DataFrame, global_map: DataFrame, timeline: DataFrame,
+    withheld: DataFrame | None, detector: DataFrame,
+) -> dict[str, DataFrame]:
     """Tracking, contact, team and cross-shot scores and the promotion gate of a run."""
     shots = EV.shot_metrics(references, observations, frames)
     standard = cut_lineage(EV.standard_metrics(references, observations, frames))
     contact = EV.contact_report(EV.contact_rows(references, observations, frames))
     team = EV.team_report(EV.team_rows(references, observations, frames))
     cross = EV.cross_shot_report(ids, observations, references, frames, global_map)
-    fits = timeline.select(F.lit("all").alias("source_id"), F.col("fit.status").alias("status"), CAL.G.identity_eligible("fit.").alias("eligible"), F.col("fit.withheld_p95_error_yards").alias("error_yards"))
-    quality = CAL.quality_report(fits, fits.select("source_id", "error_yards"), ["source_id"])
+    quality = pooled_quality(timeline, withheld)
     total = standard.filter("shot_id = '*'").select(F.col("IDF1").alias("idf1"))
     worst = standard.filter("shot_id <> '*'").agg(F.min("IDF1").alias("worst_shot_idf1"), F.max("id_switches").alias("worst_shot_switches"))
     one = lambda df, **cols: df.select(*[F.col(v).alias(k) for k, v in cols.items()])
     passed = lambda df, *columns: df.filter("shot_id = '*'").select(F.col("status").alias("_status"), (F.col(columns[0]) & F.col(columns[1]) & F.col("every_shot_gate_passes")).alias("_gate"))
     named = lambda df, kind: df.select(F.col("_status").alias(f"{kind}_status"), F.col("_gate").alias(f"{kind}_gate"))
     gate_in = one_row(
-        total, worst,
+        total, worst, detector, standard_state(frames),
         one(quality, calibration_status="status", calibration_median_ok="median_at_most_1_yard", calibration_p95_ok="p95_at_most_2_yards"),
         one(cross, cross_status="status", false_merges="false_merges", false_merges_zero="false_merges_zero", components_clean="components_clean", shared_eligible="eligible_shared_players", shared_correct="correct_shared_players", coverage="coverage"),
         named(passed(contact, "median_at_most_1_5_yards", "valid_fraction_at_least_0_90"), "contact"),
         named(passed(team, "accuracy_at_least_0_98", "coverage_at_least_0_95"), "team"),
-    ).select("*", F.lit(False).alias("proxy_detector"), F.lit("evaluated").alias("standard_status"), F.lit(True).alias("contact_supplied"), F.lit(True).alias("team_supplied"))
+    ).select("*", F.lit(True).alias("contact_supplied"), F.lit(True).alias("team_supplied"))
     return {"shot_metrics": shots, "standard": standard, "contact": contact, "team": team, "cross_shot": cross, "calibration_quality": quality, "gate": EV.promotion_gate(gate_in)}
 
 
