@@ -119,8 +119,8 @@ def test_bpe_equals_the_library(docs, rows, empty):
     for doc, text, *_ in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
         want.append((str(doc if doc is not None else ""), ids, library.decode(ids, skip_special_tokens=False)))
-    for hot in (0, 5, 500_000):
-        got = bpe.decode(bpe.encode(docs, path, hot), path).select("doc", "ids", "decoded").collect()
+    for chars in (1, 500, 8 << 20):  # a block a document, some, one a task
+        got = bpe.decode(bpe.encode(docs, path, chars), path).select("doc", "ids", "decoded").collect()
         assert sorted((r[0], list(r[1]), r[2]) for r in got) == sorted(want)
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
 

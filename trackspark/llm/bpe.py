@@ -1,12 +1,14 @@
 """BPE encoding through a table of distinct words, decoding through an id-to-piece table.
 
 A text is cut at every single space between two visible characters. The tokenizer's own splitting always starts a new
-piece there, so each word (with the space before it) can be encoded alone and the ids put side by side. Words are
-counted, each distinct word is encoded once, and ids go back by position:
+piece there, so each word (with the space before it) can be encoded alone and the ids put side by side.
 
-* the ``HOT`` most frequent words (at most ``HOT_CHARS`` characters each, so the table has a fixed size) are looked up
-  where the text is; they never move, however often they occur;
-* every other word travels as (document, place, word), is joined with the word table and goes back to its document.
+* Documents are written once as blocks of local word numbers (``blocks.py``); they stay where they are.
+* The blocks' dictionaries travel to the word table, cut into parts of the hash space. A part encodes each of its
+  distinct words once and returns every block the ids of the words it asked for, in order.
+* A block puts ids back by position.
+
+A frequent word travels once per block, so no word is hot. Memory: one block, or one part of the word table.
 
 Defined cases: a null text is encoded as ''. Rows that repeat a document are each encoded. A string like a special
 token inside a text is treated as the tokenizers library does. An empty table gives an empty result. Only doc_id and
@@ -18,19 +20,16 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trackspark.session import cut_lineage
+from trackspark.llm.blocks import BLOCK_CHARS, BLOCK_WORDS, Blocks, ask_words, by_part, key_order, loosen, numbers_of, part_bits, rows_of, squeeze, unpack_words
 
-HOT, HOT_CHARS = 500_000, 64
-FLUSH, ROWS = 300_000, 50_000
+#: Words put into one output batch, or one document if it has more.
+ROWS = 200_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -72,120 +71,60 @@ def piece_table(path: str) -> list[bytes]:
     return pieces
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= FLUSH:
-                yield _counted(counts)
-                counts = Counter()
-    yield _counted(counts)
-
-
 def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
-        for batch in batches:
-            found = tokenizer.encode_batch([word_text(w) for w in batch["word"].to_pylist()], add_special_tokens=False)
-            ids = pa.array([np.array(e.ids, np.uint32).tobytes() for e in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], ids], ["word", "n", "ids"])
-
-    return run
-
-
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """``word, n, ids``: every distinct word of the corpus, encoded once (ids as little-endian 32-bit numbers)."""
-    counted = docs.select("text").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return cut_lineage(counted.mapInArrow(_encode(path), "word string, n bigint, ids binary"))
-
-
-def _rare(hot):
-    """Words that are not in the frequent table, with their place among such words of their text."""
+    """Rows come sorted by part; each distinct word of a part is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, th, text in zip(batch["doc"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist()):
-                missing = [w for w in words_of(text) if w not in known]
-                rows += zip([doc] * len(missing), [th] * len(missing), range(len(missing)), missing)
-                while len(rows) >= ROWS:
-                    yield _rare_rows(rows[:ROWS])
-                    rows = rows[ROWS:]
-            yield _rare_rows(rows)
-
-    return run
-
-
-def _rare_rows(rows: list[tuple]) -> pa.RecordBatch:
-    doc, th, place, word = zip(*rows) if rows else ((), (), (), ())
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((doc, th, place, word), kinds)], ["doc", "th", "place", "word"])
-
-
-def _known(hot):
-    """Ids of the frequent words, and where the ids of each other word belong."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, squeeze = hot.value, zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            blobs, gaps = [], []
-            for text in batch["text"].to_pylist():
-                parts = list(map(known.get, words_of(text)))
-                where: list[int] = []
-                if None in parts:
-                    at = 0
-                    for p in parts:
-                        if p is None:
-                            where.append(at)
-                        else:
-                            at += len(p)
-                    parts = filter(None, parts)
-                blobs.append(squeeze.compress(b"".join(parts)))
-                gaps.append(where)
-            arrays = [batch["doc"], batch["th"], pa.array(blobs, pa.binary()), pa.array(gaps, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "th", "blob", "gaps"])
+        tokenizer = load_tokenizer(path)
+        at, known = None, {}
+        for row in rows_of(batches):
+            if row["part"] != at:
+                at, known = row["part"], {}
+            words = unpack_words(row["words"])
+            new = [w for w in words if w not in known]
+            for i in range(0, len(new), 4096):
+                some = new[i : i + 4096]
+                found = tokenizer.encode_batch([word_text(w.decode()) for w in some], add_special_tokens=False)
+                known.update(zip(some, [np.array(e.ids, np.uint32).tobytes() for e in found]))
+            ids = list(map(known.__getitem__, words))
+            answer = squeeze(np.concatenate([np.array([len(ids), *[len(x) // 4 for x in ids]], np.uint32), np.frombuffer(b"".join(ids), np.uint32)]))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((row["block"], pa.int64()), (at, pa.int64()), (answer, pa.binary()))], ["block", "part", "answer"])
 
     return run
 
 
-def _lists(values: list[bytes]) -> pa.Array:
-    """One list of 32-bit numbers per byte string, without a Python object per number."""
-    ends = np.cumsum([0, *[len(v) // 4 for v in values]], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))
-
-
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    loose = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for blob, gaps, rare in zip(batch["blob"].to_pylist(), batch["gaps"].to_pylist(), batch["rare"].to_pylist()):
-            ids = loose.decompress(blob)
-            if gaps:
-                if rare is None or len(rare) != len(gaps):
-                    raise ValueError("a word is missing from the word table")
-                ends = [*gaps[1:], len(ids)]
-                ids = ids[: gaps[0]] + b"".join([x for w, start, end in zip(rare, gaps, ends) for x in (w, ids[start:end])])
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], _lists(out)], ["doc", "th", "ids"])
-
-
-def encode(docs: DataFrame, path: str, hot_words: int = HOT) -> DataFrame:
+    """Per block: ids of its words from the answers, then the ids of its documents by position."""
+    for row in rows_of(batches):
+        answers = [loosen(a, np.uint32) for a in row["answer0"] or []]
+        sizes = np.concatenate([np.zeros(0, np.uint32), *[a[1 : 1 + a[0]] for a in answers]]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *[a[1 + a[0] :] for a in answers]])
+        if len(sizes) != row["n_words"]:
+            raise ValueError("a word is missing from the word table")
+        starts = np.cumsum(sizes) - sizes
+        place = np.argsort(key_order(unpack_words(row["words"]))[1])  # of each word of the dictionary among the answers
+        sizes, starts, numbers = sizes[place], starts[place], numbers_of(row)
+        ends = np.cumsum([0, *row["sizes"]])
+        first = 0
+        while first < len(row["docs"]):  # some documents at a time, by their words
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + ROWS, side="right")) - 1)
+            taken = numbers[ends[first] : ends[last]]
+            each = sizes[taken]
+            upto = np.cumsum(each)
+            places = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - each, each) + np.repeat(starts[taken], each)
+            cuts = np.concatenate([[0], upto])[ends[first : last + 1] - ends[first]]
+            ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[places].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(row["docs"][first:last], pa.string()), pa.array(row["ths"][first:last], pa.int64()), ids], ["doc", "th", "ids"])
+            first = last
+
+
+def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
     """``doc, th, ids`` per input row: the document's id as text ('' for null), xxhash64 of the text, its token ids."""
-    table = word_table(docs, path)
-    top = table.filter(F.char_length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids")
-    hot = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in top.toLocalIterator(prefetchPartitions=False)})
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.xxhash64("text").alias("th"), "text")
-    rare = slim.mapInArrow(_rare(hot), "doc string, th bigint, place int, word string").join(table.select("word", "ids"), "word")
-    rare = rare.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("rare"))
-    rare = rare.select("doc", "th", F.transform("rare", lambda x: x["ids"]).alias("rare"))
-    known = slim.mapInArrow(_known(hot), "doc string, th bigint, blob binary, gaps array<int>")
-    return known.join(rare, ["doc", "th"], "left").mapInArrow(_assemble, "doc string, th bigint, ids array<int>")
+    blocks = Blocks(docs, words_of, chars=chars, words=words)
+    bits = part_bits(blocks.words)
+    answers = by_part(ask_words(blocks, bits).select("part", "block", "words"), bits).mapInArrow(_encode(path), "block bigint, part bigint, answer binary")
+    told = blocks.answered(answers).select("docs", "ths", "sizes", "numbers", "n_words", "words", "answer0")
+    return told.mapInArrow(_assemble, "doc string, th bigint, ids array<int>")
 
 
 def _decode(pieces):
