@@ -30,6 +30,8 @@ from trackspark.llm.blocks import BLOCK_CHARS, BLOCK_WORDS, Blocks, ask_words, b
 
 #: Words put into one output batch, or one document if it has more.
 ROWS = 200_000
+#: Documents decoded into one output batch.
+DECODED = 64
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -130,9 +132,11 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BL
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
-        for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace") for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], batch["ids"], pa.array(texts, pa.string())], ["doc", "th", "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED):  # a batch of ids is small, as Python numbers and texts it is not
+                batch = whole.slice(at, DECODED)
+                texts = [b"".join(map(table.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace") for ids in batch["ids"]]
+                yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], batch["ids"], pa.array(texts, pa.string())], ["doc", "th", "ids", "decoded"])
 
     return run
 
