@@ -26,7 +26,30 @@ def shot_detections(v):
     )
 
 
-@query("g7_iou_tracker")
+#: The whole greedy tracker, one frame of every shot per step: live tracks and picks are lists, the best pair of those left is taken first.
+GREEDY = """, d AS (SELECT shot_id, frame_index AS f, list({'d': det, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY det) AS dets, row_number() OVER (PARTITION BY shot_id ORDER BY frame_index) AS k
+  FROM (SELECT *, CAST(string_split(tracklet_id, ':t')[2] AS INT) AS det FROM obs) GROUP BY shot_id, frame_index)
+SELECT shot_id, concat(shot_id, ':t', CAST(no AS STRING)) AS tracklet_id, CAST(count(*) AS BIGINT) AS n, min(f) AS first_frame, max(f) AS last_frame FROM (
+WITH RECURSIVE walk AS (
+  SELECT shot_id, k, f, CAST(len(dets) AS BIGINT) AS made, list_transform(dets, lambda x, i: {'no': CAST(i AS BIGINT), 'f': f, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'now': true}) AS live
+  FROM d WHERE k = 1
+  UNION ALL
+  SELECT shot_id, k, f, made + len(dets) - len(got),
+    list_concat(
+      list_transform(alive, lambda t: CASE WHEN len(list_filter(got, lambda g: g.no = t.no)) = 0 THEN {'no': t.no, 'f': t.f, 'x1': t.x1, 'y1': t.y1, 'x2': t.x2, 'y2': t.y2, 'now': false}
+        ELSE list_transform(list_filter(got, lambda g: g.no = t.no), lambda g: {'no': t.no, 'f': f, 'x1': g.x1, 'y1': g.y1, 'x2': g.x2, 'y2': g.y2, 'now': true})[1] END),
+      list_transform(list_filter(dets, lambda x: len(list_filter(got, lambda g: g.d = x.d)) = 0), lambda x, i: {'no': made + i, 'f': f, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'now': true})) AS live
+  FROM (
+    SELECT *, CASE WHEN len(pairs) = 0 THEN [] ELSE list_reduce(list_transform(pairs, lambda p: [p]), lambda a, b: CASE WHEN len(list_filter(a, lambda q: q.no = b[1].no OR q.d = b[1].d)) > 0 THEN a ELSE list_concat(a, b) END) END AS got FROM (
+      SELECT *, list_sort(list_filter(flatten(list_transform(alive, lambda t: list_transform(dets, lambda x: {'s': -(greatest(0, least(t.x2, x.x2) - greatest(t.x1, x.x1)) * greatest(0, least(t.y2, x.y2) - greatest(t.y1, x.y1))
+          / ((t.x2 - t.x1) * (t.y2 - t.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - greatest(0, least(t.x2, x.x2) - greatest(t.x1, x.x1)) * greatest(0, least(t.y2, x.y2) - greatest(t.y1, x.y1)))),
+        'no': t.no, 'd': x.d, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2}))), lambda p: p.s <= -0.2E0)) AS pairs FROM (
+        SELECT w.shot_id, d.k, d.f, w.made, d.dets, list_filter(w.live, lambda t: d.f - t.f <= 31) AS alive FROM walk w JOIN d ON d.shot_id = w.shot_id AND d.k = w.k + 1))))
+SELECT shot_id, k, f, unnest(list_transform(list_filter(live, lambda t: t.now), lambda t: t.no)) AS no FROM walk)
+GROUP BY 1, 2"""
+
+
+@query("g7_iou_tracker", "obs", GREEDY)
 def g7(v):
     out = TK.track_shots(shot_detections(v))
     return out.groupBy("shot_id", "tracklet_id").agg(F.count("*").alias("n"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"))
@@ -58,7 +81,7 @@ def collected(v, stream, name: str):
     return rows.filter(F.col(key) != END)
 
 
-@query("st1_stateful_tracking")
+@query("st1_stateful_tracking", "obs", GREEDY)
 def st1(v):
     dets = shot_detections(v).select("source_id", "shot_id", "frame_index", "det_index", "x1", "y1", "x2", "y2")
     out = collected(v, ST.track_stream(as_stream(v, dets, "tracker-in"), "60 seconds"), "tracker-out")

@@ -1,13 +1,12 @@
 """Stateful streams: overlap tracking and the stride throttle.
 
-Rows wait in state until the watermark has passed them and are then taken in
-frame order, so late arrivals inside the watermark change nothing.
+Rows wait in state until the watermark has passed their slot of time and are then
+taken in frame order, so late arrivals inside the watermark change nothing. Event
+time must grow with the frame number of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
@@ -29,14 +28,22 @@ def use_rocksdb(spark) -> None:
 
 
 class _InOrder(StatefulProcessor):
-    """Buffers rows per key and hands over those the watermark has passed, in frame order."""
+    """Holds rows in slots of event time and hands over a slot, in frame order, once the watermark has passed its end.
+
+    A slot is one entry of a map state with one timer, so a trigger reads and writes the slots its rows fall into and those
+    that end, never the rest of what waits. Rows older than the watermark never arrive here, so an ended slot stays ended;
+    timers of a key expire in time order.
+    """
 
     waiting_schema = ""
     waiting_columns: list[str] = []
+    slot_ms = 2_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        fields = [f.split() for f in self.waiting_schema.split(", ")]
+        held = ", ".join(f"{name} array<{kind}>" for name, kind in fields)
+        self.waiting = handle.getMapState("waiting", "slot bigint", held)
         self.open_state(handle)
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
@@ -45,30 +52,28 @@ class _InOrder(StatefulProcessor):
     def take(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _release(self, key, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows += fresh
-        mark = timers.getCurrentWatermarkInMs()
-        ready = [r for r in rows if r[0] <= mark]
-        later = [r for r in rows if r[0] > mark]
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later))
-        if ready:
-            out = self.take(key, pd.DataFrame(ready, columns=self.waiting_columns))
-            if len(out):
-                yield out
-
     def handleInputRows(self, key, rows, timerValues):
-        fresh: list[tuple] = []
+        fresh: dict[int, list[tuple]] = {}
         for batch in rows:
-            batch = batch.assign(at_ms=(batch.ts.astype("int64") // (10 ** 6 if str(batch.ts.dtype).startswith("datetime64[ns") else 10 ** 3)))
-            fresh += [tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in batch[self.waiting_columns].itertuples(index=False, name=None)]
-        yield from self._release(key, fresh, timerValues)
+            at = batch.ts.astype("int64") // (10 ** 6 if str(batch.ts.dtype).startswith("datetime64[ns") else 10 ** 3)
+            for slot, *row in zip(at // self.slot_ms, *[batch[c].tolist() for c in self.waiting_columns]):
+                fresh.setdefault(int(slot), []).append(tuple(row))
+        for slot, new in sorted(fresh.items()):
+            columns = [list(c) for c in zip(*new)]
+            if self.waiting.containsKey((slot,)):
+                columns = [[*old, *c] for old, c in zip(self.waiting.getValue((slot,)), columns)]
+            else:
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+            self.waiting.updateValue((slot,), tuple(columns))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._release(key, [], timerValues)
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
+        held = self.waiting.getValue((slot,))
+        self.waiting.removeKey((slot,))
+        out = self.take(key, pd.DataFrame(dict(zip(self.waiting_columns, held))))
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -77,8 +82,8 @@ class _InOrder(StatefulProcessor):
 class OverlapTracking(_InOrder):
     """The batch tracker with its live tracks in state."""
 
-    waiting_schema = "at_ms bigint, frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double"
-    waiting_columns = ["at_ms", "frame_index", "det_index", *BOX]
+    waiting_schema = "frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double"
+    waiting_columns = ["frame_index", "det_index", *BOX]
 
     def __init__(self, lost_track_buffer: int = 30, iou_threshold: float = 0.2) -> None:
         self.buffer, self.threshold = lost_track_buffer, iou_threshold
@@ -112,8 +117,8 @@ class OverlapTracking(_InOrder):
 class StrideThrottle(_InOrder):
     """Keeps a row only ``stride`` or more frames after the last kept one."""
 
-    waiting_schema = "at_ms bigint, frame_index bigint"
-    waiting_columns = ["at_ms", "frame_index"]
+    waiting_schema = "frame_index bigint"
+    waiting_columns = ["frame_index"]
 
     def __init__(self, stride: int) -> None:
         self.stride = stride
