@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackspark.operators import evaluation as EV
 from trackspark.operators import identity as ID
@@ -236,3 +237,35 @@ def test_player_ids_follow_the_smallest_member(spark):
     pair = spark.createDataFrame([("shot-1:t1", "shot-2:t1")], "left_key string, right_key string")
     got = {r.tracklet_id: r.player_id for r in ID.player_ids(tracklets, pair).collect()}
     assert got == {"shot-0:t1": "P01", "shot-10:t1": "P02", "shot-1:t1": "P03", "shot-2:t1": "P03"}
+
+
+def contested_run(frames, seed, lock):
+    """One long contested run; with ``lock`` two players share two tracks throughout, so the first choice lasts."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(frames):
+        edges = {("p0", "t0"), ("p0", "t1"), ("p1", "t0"), ("p1", "t1")} if lock else {("p0", "t0"), ("p0", "t1")}
+        edges |= {(f"p{rng.randrange(2, 5)}", f"t{rng.randrange(2, 5)}") for _ in range(4)}
+        for o, t in sorted(edges):
+            share = rng.choice([0.5, 0.6, 0.7])
+            rows.append(("s", 1, 10 * f, f, o, t, share, "t1" if f == 0 and o == "p0" else ("t0" if f == 0 and o == "p1" else "")))
+    return rows
+
+
+@pytest.mark.parametrize("frames,block,lock", [(10_000, 256, False), (600, 32, True), (90, 1, False), (40, 64, True)])
+def test_contested_runs_in_blocks_equal_one_pass(spark, frames, block, lock):
+    rows = contested_run(frames, frames, lock)
+    by_frame, previous, want = {}, {}, set()
+    for _, _, _, f, o, t, share, held in rows:
+        by_frame.setdefault(f, []).append((o, t, share, held))
+    for f in sorted(by_frame):
+        edges = by_frame[f]
+        weight = [w + 1000.0 * ((previous.get(o) == t) if previous else (held == t)) for o, t, w, held in edges]
+        picks = match_edges([e[0] for e in edges], [e[1] for e in edges], weight)
+        previous = {edges[i][0]: edges[i][1] for i in picks}
+        want |= {(f, o, t) for o, t in previous.items()}
+    work = spark.createDataFrame(rows, "shot_id string, run_no bigint, frame_index bigint, frame_no bigint, object_id string, tracklet_id string, iou double, held string")
+    other = work.withColumn("shot_id", F.lit("u")).filter("frame_no < 5")
+    got = EV.solve_runs(work.union(other), block).collect()
+    assert {(r.frame_no, r.object_id, r.tracklet_id) for r in got if r.shot_id == "s"} == want
+    assert {(r.frame_no, r.object_id, r.tracklet_id) for r in got if r.shot_id == "u"} == {w for w in want if w[0] < 5}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -435,40 +437,137 @@ def idf1(pairs: DataFrame, per_object: DataFrame, per_track: DataFrame, threshol
     return out.select("shot_id", (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("_gts") + F.col("_trs"))).alias("IDF1"))
 
 
-RUN_COLUMNS = ["shot_id", "frame_index", "frame_no", "object_id", "tracklet_id"]
-
-
-def _solve_runs(batches):
-    """Sorted frames of many runs, one frame at a time: keeping the previous partner beats any overlap."""
-    state: dict = {"run": None, "previous": {}, "last": None}
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        run, number = (frame.shot_id.iloc[0], frame.run_no.iloc[0]), frame.frame_no.iloc[0]
-        if run != state["run"] or number != state["last"] + 1:
-            state["previous"] = {}
-        previous = state["previous"]
-        weight = [
-            s + 1000.0 if (previous.get(o) == t if previous else p == t) else s
-            for o, t, s, p in zip(frame.object_id, frame.tracklet_id, frame.iou, frame.held)
-        ]
-        chosen = frame.iloc[match_edges(frame.object_id.tolist(), frame.tracklet_id.tolist(), weight)]
-        state.update(run=run, last=number, previous=dict(zip(chosen.object_id, chosen.tracklet_id)))
-        return chosen[RUN_COLUMNS]
-
-    held = None
+#: Frames of a contested run that one task solves, frames before it that it guesses its entry from, and guesses at most.
+RUN_BLOCK, RUN_WARM, RUN_STARTS = 256, 24, 8
+_SOLVED = "shot_id string, run_no bigint, block bigint, entry string, leaving string, frame_index bigint, frame_no bigint, object_id string, tracklet_id string"
+_SOLVED_COLUMNS = [part.split()[0] for part in _SOLVED.split(", ")]
+
+
+def _state(matching: dict) -> str:
+    return json.dumps(sorted(matching.items()))
+
+
+def _next_matching(frame: list[tuple], previous: dict) -> list[int]:
+    """Chosen edges of one frame: keeping the previous partner beats any overlap; at a run's start the last sure partner counts."""
+    kept = [(previous.get(o) == t) if previous else (held == t) for o, t, _, held in frame]
+    weight = [iou + 1000.0 * keep for (_, _, iou, _), keep in zip(frame, kept)]
+    return match_edges([e[0] for e in frame], [e[1] for e in frame], weight)
+
+
+class _BlockRun:
+    """One block of a run: its frames, and in front of them a few of the block before."""
+
+    def __init__(self, head: tuple, entry: str | None) -> None:
+        self.head, self.entry = head, entry
+        self.warm: list[list[tuple]] = []
+        self.own: list[tuple[int, int, list[tuple]]] = []
+
+    def entries(self) -> list[dict]:
+        """Matchings that may enter: the asked one, or what every start of the frames before leads to."""
+        if self.entry is not None:
+            return [dict(json.loads(self.entry))]
+        if not self.warm:
+            return [{}]
+        starts = [{}, *[{o: t} for o, t, _, _ in self.warm[0]]]
+        found: dict[str, dict] = {}
+        for start in starts:
+            previous = start
+            for frame in self.warm:
+                previous = {frame[i][0]: frame[i][1] for i in _next_matching(frame, previous)}
+            found.setdefault(_state(previous), previous)
+            if len(found) == RUN_STARTS:
+                break
+        return list(found.values())
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for entry in self.entries():
+            name, previous = _state(entry), entry
+            for index, number, frame in self.own:
+                picks = _next_matching(frame, previous)
+                previous = {frame[i][0]: frame[i][1] for i in picks}
+                out += [(*self.head, name, None, index, number, frame[i][0], frame[i][1]) for i in picks]
+            out.append((*self.head, name, _state(previous), None, None, None, None))
+        return out
+
+
+def _solve_blocks(batches):
+    """Rows sorted by run, block and frame; a task holds the rows of one block at a time."""
+    columns = ["shot_id", "run_no", "block", "entry", "frame_index", "frame_no", "own", "object_id", "tracklet_id", "iou", "held"]
+    block: _BlockRun | None = None
+    last = None
     for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        if batch.empty:
-            continue
-        turns = (batch[["shot_id", "run_no", "frame_no"]] != batch[["shot_id", "run_no", "frame_no"]].shift()).any(axis=1).to_numpy()
-        edges = [*np.flatnonzero(turns).tolist(), len(batch)]
-        held = batch.iloc[edges[-2]:]  # the last frame may go on in the next batch
-        done = [solve(batch.iloc[low:high]) for low, high in zip(edges[:-2], edges[1:-1])]
-        if done:
-            yield pd.concat(done)
-    if held is not None and len(held):
-        yield solve(held)
+        out: list[tuple] = []
+        for shot, run, number, entry, index, frame, own, *edge in zip(*[batch[c].tolist() for c in columns]):
+            head = (shot, int(run), int(number))
+            if block is None or head != block.head:
+                out += block.rows() if block is not None else []
+                block, last = _BlockRun(head, entry), None
+            if frame != last:
+                block.own.append((int(index), int(frame), [])) if own else block.warm.append([])
+                last = frame
+            (block.own[-1][2] if own else block.warm[-1]).append(tuple(edge))
+        yield _solved(out)
+    if block is not None:
+        yield _solved(block.rows())
+
+
+def _solved(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_SOLVED_COLUMNS).astype({c: "Int64" for c in ("run_no", "block", "frame_index", "frame_no")})
+
+
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of one run as functions from the entering to the leaving matching, applied one after another.
+
+    An entry that a block has no answer for is asked for; the chain goes on from the block's latest answer, so later
+    blocks are asked in the same round.
+    """
+    known: dict[int, dict[str, str]] = {}
+    for block, entry, leaving in zip(pdf.block, pdf.entry, pdf.leaving):
+        known.setdefault(int(block), {})[entry] = leaving
+    state, out = _state({}), []
+    for block in sorted(known):
+        sure = state in known[block]
+        out.append((pdf.shot_id.iloc[0], int(pdf.run_no.iloc[0]), block, state, sure))
+        state = known[block][state] if sure else next(reversed(known[block].values()))
+    return pd.DataFrame(out, columns=["shot_id", "run_no", "block", "entry", "sure"])
+
+
+def solve_runs(work: DataFrame, block_frames: int = RUN_BLOCK, max_rounds: int = 100_000) -> DataFrame:
+    """Matchings of contested runs, where a frame's matching depends on the one before.
+
+    work(shot_id, run_no, frame_index, frame_no, object_id, tracklet_id, iou, held). A run is cut into blocks of
+    frames. Every block tabulates which matching leaves for each matching that may enter it; the tables are chained per run,
+    one row a block. Blocks that lack an entry are solved again for it, all of them at once, until every chain is
+    closed. The result equals one pass over the run, and no task holds more than one block.
+    """
+    key = ["shot_id", "run_no", "block"]
+    home = cut_lineage(work.withColumn("block", F.floor(F.col("frame_no") / block_frames).cast("bigint")))
+    ahead = home.withColumn("block", F.col("block") + 1).filter(F.col("frame_no") >= F.col("block") * block_frames - RUN_WARM)
+    ahead = ahead.join(home.select(*key).distinct(), key, "left_semi")
+    columns = [*key, "frame_index", "frame_no", "object_id", "tracklet_id", "iou", "held"]
+
+    def solved(rows: DataFrame) -> DataFrame:
+        ordered = spread(rows, *key).sortWithinPartitions(*key, "frame_no", "object_id", "tracklet_id")
+        return cut_lineage(ordered.mapInPandas(_solve_blocks, _SOLVED))
+
+    told = solved(
+        home.select(*columns, F.lit(None).cast("string").alias("entry"), F.lit(True).alias("own"))
+        .unionByName(ahead.select(*columns, F.lit(None).cast("string").alias("entry"), F.lit(False).alias("own")))
+    )
+    for _ in range(max_rounds):
+        tables = told.filter("leaving is not null").select(*key, "entry", "leaving")
+        run = Window.partitionBy("shot_id", "run_no")
+        tables = tables.withColumn("long", F.min("block").over(run) < F.max("block").over(run))
+        chain = tables.filter("long").groupBy("shot_id", "run_no").applyInPandas(_chain, "shot_id string, run_no bigint, block bigint, entry string, sure boolean")
+        chain = cut_lineage(chain.unionByName(tables.filter(~F.col("long") & (F.col("entry") == _state({}))).select(*key, "entry", F.lit(True).alias("sure"))))
+        asked = chain.filter("not sure").drop("sure")
+        if asked.isEmpty():
+            final = told.filter("leaving is null").join(chain.drop("sure"), [*key, "entry"], "left_semi")
+            return final.select("shot_id", "frame_index", "frame_no", "object_id", "tracklet_id")
+        more = solved(home.join(asked, key).select(*columns, "entry", F.lit(True).alias("own")))
+        told = told.unionByName(more)  # answers of earlier rounds stay where they were written
+    raise RuntimeError("runs did not settle")
 
 
 def clear_switches(
@@ -478,7 +577,7 @@ def clear_switches(
 
     A frame's matching depends on the previous one only while edges are
     contested. Frames without a contested edge are decided on their own and cut
-    the rest into independent runs.
+    the rest into independent runs, which are solved in blocks.
     """
     scored = evaluated_frames(frames)
     both = (
@@ -502,10 +601,7 @@ def clear_switches(
         marked.filter("_contested").join(runs, ["shot_id", "frame_no"]).join(held, ["shot_id", "frame_no", "object_id"], "left")
         .select(*FRAME, "frame_no", "object_id", "tracklet_id", "iou", F.coalesce("held", F.lit("")).alias("held"), "run_no")
     )
-    schema = "shot_id string, frame_index bigint, frame_no bigint, object_id string, tracklet_id string"
-    ordered = spread(work, "shot_id", "run_no").sortWithinPartitions("shot_id", "run_no", "frame_no", "object_id", "tracklet_id")
-    solved = ordered.mapInPandas(_solve_runs, schema)
-    matched = final.unionByName(solved).withColumn("_bucket", frame_bucket("frame_no"))
+    matched = final.unionByName(solve_runs(work)).withColumn("_bucket", frame_bucket("frame_no"))
     steps = adjacent_row(matched, ["shot_id", "object_id"], ["frame_no"], "_bucket", {"_track": "tracklet_id", "_no": "frame_no"})
     flags = steps.groupBy("shot_id").agg(
         F.count_if(F.col("_track") != F.col("tracklet_id")).alias("id_switches"),
