@@ -203,8 +203,12 @@ def test_links_refuse_members_that_cannot_be_one_player(spark):
     jersey = {"shot-0:t4": [7], "shot-1:t4": [7, 9]}
     ids = [f"shot-{s}:t{t}" for s in (0, 1) for t in (1, 2, 3, 4)]
     attributes = spark.createDataFrame([(i, "p", team.get(i), jersey.get(i)) for i in ids], "tracklet_id string, play_id string, team string, jerseys array<int>")
-    overlaps = spark.createDataFrame([("shot-0:t1", "shot-0:t2")], "a string, b string")
-    got = {(r.left_key, r.right_key): r.accepted for r in ID.safe_links(proposed, attributes, overlaps).collect()}
+    seen = [("shot-0", f, "shot-0:t1") for f in (0, 7, 32_768, 90_001)] + [("shot-0", f, "shot-0:t2") for f in (1, 8, 32_769, 90_001)]
+    seen += [("shot-1", 5, f"shot-1:t{t}") for t in (1, 3, 4)] + [("shot-0", 5 + t, f"shot-0:t{t}") for t in (3, 4)]
+    rows = spark.createDataFrame(seen, "shot_id string, frame_index bigint, tracklet_id string")
+    got = {(r.left_key, r.right_key): r.accepted for r in ID.safe_links(proposed, attributes, rows).collect()}
+    apart = ID.safe_links(proposed, attributes, rows.filter("frame_index <> 90001")).collect()
+    assert all(r.accepted for r in apart if r.right_key == "shot-1:t1")  # same chunks, no common frame
     assert got == {("shot-0:t1", "shot-1:t1"): True, ("shot-0:t2", "shot-1:t1"): False, ("shot-0:t3", "shot-1:t3"): False, ("shot-0:t4", "shot-1:t4"): True}
 
 

@@ -76,3 +76,14 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     ids = {x for pair in chain + hub for x in pair} | {"lone"}
     got = {r["id"]: r["component"] for r in S.connected_components(spark.createDataFrame([(i,) for i in ids], "id string"), edges).collect()}
     assert got == {i: "lone" if i == "lone" else "h00" if i[0] == "h" else "n000" for i in ids}
+
+
+def test_total_order_numbers_rows_without_one_task_for_all(spark):
+    rows = [(i * 7919 % 1000, f"n{i % 13}") for i in range(5000)]
+    out = S.total_order(spark.createDataFrame(rows, "a int, b string"), ["a", "b"], "no")
+    got = out.select("no", "a", "b").collect()
+    assert [r.no for r in sorted(got, key=lambda r: (r.a, r.b, r.no))] == list(range(5000))
+    assert sorted((r.a, r.b) for r in got) == sorted(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Aggregate" in plan.split("Window")[1]  # the one window runs over counts of ranges
+    assert S.total_order(spark.createDataFrame([], "a int"), ["a"]).count() == 0

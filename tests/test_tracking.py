@@ -72,6 +72,26 @@ def test_blocks_equal_one_pass(spark, seed, block, buffer):
     assert got == want
 
 
+def test_a_round_writes_only_the_blocks_it_reruns(spark, monkeypatch):
+    from trackspark.operators import tracking
+
+    written = []
+    real = tracking.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        if "piece_frame" in out.columns and "turn" in out.columns:
+            written.append((out.select("source_id", "shot_id", "block").distinct().count(), out.agg(F.max("turn")).first()[0]))
+        return out
+
+    monkeypatch.setattr(tracking, "cut_lineage", counted)
+    rows = [("s", f"shot-{k}", *r) for k in range(3) for r in crowd(20 + k, frames=400, objects=8)]
+    df = spark.createDataFrame(rows, "source_id string, shot_id string, frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double")
+    tracking.track_shots(df, 12, 0.2, block_frames=20).collect()
+    assert written[0] == (60, 0) and len(written) > 1
+    assert all(0 < blocks < 60 for blocks, _ in written[1:]) and [turn for _, turn in written] == list(range(len(written)))
+
+
 def test_gap_opens_a_new_track_only_after_the_buffer(spark):
     box = (0.0, 0.0, 10.0, 10.0)
     rows = [("s", "shot-0", f, 0, *box) for f in (0, 1, 4, 9)]

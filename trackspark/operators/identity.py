@@ -11,7 +11,7 @@ from trackspark.functions.scalars import shot_of
 from trackspark.operators.assignment import best_matching, best_total, components
 from trackspark.operators.pairs import eligible_scores, pair_evidence
 from trackspark.operators.teams import team_eligible
-from trackspark.scale import connected_components, edge_components, fresh, positions
+from trackspark.scale import connected_components, edge_components, fresh, total_order
 from trackspark.session import cut_lineage
 
 SHOTS = ["play_id", "left_shot", "right_shot"]
@@ -93,18 +93,22 @@ def dedupe_links(links: DataFrame) -> DataFrame:
     )
 
 
-def same_shot_overlaps(rows: DataFrame, tracklets: DataFrame) -> DataFrame:
-    """(a, b) tracklets of one shot that share a frame, restricted to the given ids."""
-    kept = rows.select("shot_id", "frame_index", "tracklet_id").join(tracklets.select("tracklet_id"), "tracklet_id", "left_semi")
-    a = kept.select("shot_id", "frame_index", F.col("tracklet_id").alias("a"))
-    b = kept.select("shot_id", "frame_index", F.col("tracklet_id").alias("b"))
-    return a.join(b, ["shot_id", "frame_index"]).filter("a < b").select("a", "b").distinct()
+def frame_sets(rows: DataFrame, tracklets: DataFrame) -> DataFrame:
+    """(shot_id, tracklet_id, chunk, frames): the frames of each given tracklet as bitmaps of 32,768 frames.
+
+    Whether two tracklets share a frame is a bitwise and of their bitmaps, so no pairs are formed to find out.
+    """
+    kept = rows.select("shot_id", "frame_index", "tracklet_id").join(tracklets.select("tracklet_id").distinct(), "tracklet_id", "left_semi")
+    chunked = kept.groupBy("shot_id", "tracklet_id", F.bitmap_bucket_number("frame_index").alias("chunk"))
+    return chunked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("frame_index")).alias("frames"))
 
 
-def _accept_in_order(links: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFrame:
+def _accept_in_order(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """Take links in order; refuse one that would join incompatible members."""
     links = links.sort_values(["left_key", "right_key"]).reset_index(drop=True)
-    clash = set(zip(overlaps.a, overlaps.b)) if len(overlaps) else set()
+    seen: dict[str, dict[tuple, np.ndarray]] = {}
+    for shot, key, chunk, frames in zip(sets.shot_id, sets.tracklet_id, sets.chunk, sets.frames):
+        seen.setdefault(key, {})[(shot, chunk)] = np.frombuffer(frames, np.uint64)
     members: dict[str, set[str]] = {}
     traits: dict[str, tuple[set, set, set]] = {}
     for side in ("left", "right"):
@@ -125,7 +129,8 @@ def _accept_in_order(links: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFram
             return False
         for x in members[a]:
             for y in members[b]:
-                if x.split(":", 1)[0] == y.split(":", 1)[0] and (min(x, y), max(x, y)) in clash:
+                own, other = seen.get(x, {}), seen.get(y, {})
+                if any((own[at] & other[at]).any() for at in own.keys() & other.keys()):
                     return False
         return True
 
@@ -143,13 +148,13 @@ def _accept_in_order(links: pd.DataFrame, overlaps: pd.DataFrame) -> pd.DataFram
     return pd.DataFrame({"play_id": links.play_id, "left_key": links.left_key, "right_key": links.right_key, "accepted": accepted})
 
 
-def safe_links(links: DataFrame, attributes: DataFrame, overlaps: DataFrame) -> DataFrame:
+def safe_links(links: DataFrame, attributes: DataFrame, rows: DataFrame) -> DataFrame:
     """``same`` links with ``accepted``: order decides, so each connected component is walked on its own.
 
     Components of the proposed links never interact, so a group is one
     player's candidate views, not a play or a run.
 
-    attributes(tracklet_id, play_id, team, jerseys array<int>), overlaps(a, b) as from ``same_shot_overlaps``
+    attributes(tracklet_id, play_id, team, jerseys array<int>), rows(shot_id, frame_index, tracklet_id)
     """
     same = links.filter("decision = 'same'").select("play_id", "left_key", "right_key").distinct()
     ends = same.select(F.col("left_key").alias("id")).union(same.select(F.col("right_key").alias("id"))).distinct()
@@ -161,9 +166,7 @@ def safe_links(links: DataFrame, attributes: DataFrame, overlaps: DataFrame) ->
         same.join(on("left"), "left_key", "left").join(on("right"), "right_key", "left")
         .join(parts.select(F.col("id").alias("left_key"), "component"), "left_key")
     )
-    inside = overlaps.join(parts.select(F.col("id").alias("a"), "component"), "a").join(
-        parts.select(F.col("id").alias("b"), F.col("component").alias("_other")), "b"
-    ).filter("component = _other").select("component", "a", "b")
+    inside = frame_sets(rows, ends.select(F.col("id").alias("tracklet_id"))).join(parts.select(F.col("id").alias("tracklet_id"), "component"), "tracklet_id")
     return fresh(keyed).groupBy("component").cogroup(fresh(inside).groupBy("component")).applyInPandas(
         lambda l, o: _accept_in_order(l, o) if len(l) else pd.DataFrame(columns=["play_id", "left_key", "right_key", "accepted"]),
         "play_id string, left_key string, right_key string, accepted boolean",
@@ -178,10 +181,7 @@ def player_ids(tracklets: DataFrame, links: DataFrame) -> DataFrame:
     parts = connected_components(
         tracklets.select(F.col("tracklet_id").alias("id")), links.select(F.col("left_key").alias("src"), F.col("right_key").alias("dst"))
     )
-    # the text up to and including the first colon orders ids like the ids themselves
-    roots = parts.select("component").distinct().withColumn("_bucket", F.concat(F.substring_index("component", ":", 1), F.lit(":")))
-    numbered = positions(roots.withColumn("_all", F.lit(1)), ["_all"], ["component"], "_bucket", "_no")
-    named = numbered.select("component", (F.col("_no") + 1).alias("_no"))
+    named = total_order(parts.select("component").distinct(), ["component"], "_no").select("component", (F.col("_no") + 1).alias("_no"))
     digits = F.when(F.col("_no") < 100, F.lpad(F.col("_no").cast("string"), 2, "0")).otherwise(F.col("_no").cast("string"))
     return parts.join(named, "component").select(F.col("id").alias("tracklet_id"), F.concat(F.lit("P"), digits).alias("player_id"))
 
@@ -303,8 +303,7 @@ def resolve_plays(
     )))
     links = links.join(agreed, ["play_id", "left_key", "right_key"], "left").withColumn("evidence_keys", keys).drop("_agreed")
     links = cut_lineage(links)
-    overlaps = same_shot_overlaps(rows, tracks)
-    decided = safe_links(links, attributes, overlaps)
+    decided = safe_links(links, attributes, rows)
     joined = links.join(decided, ["play_id", "left_key", "right_key"], "left")
     final = joined.withColumn("decision", F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "insufficient_evidence").otherwise(F.col("decision"))).withColumn(
         "rejection_reason", F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "component_conflict").otherwise(F.col("rejection_reason"))

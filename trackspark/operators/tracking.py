@@ -179,23 +179,31 @@ def track_shots(
     ahead = home.withColumn("block", F.col("block") + 1).filter(F.col("frame_index") >= F.col("block") * block_frames - warm_frames)
     both = home.withColumn("warm", F.lit(False)).unionByName(ahead.withColumn("warm", F.lit(True)))
     key = [*SHOT, "block"]
-    done = cut_lineage(spread(both, *key).groupBy(*key).applyInPandas(_first_run(lost_track_buffer, iou_threshold), _BLOCK))
-
-    def replay(done: DataFrame, wrong: DataFrame) -> DataFrame:
-        again = spread(home.join(wrong, key), *key).groupBy(*key).applyInPandas(_rerun(lost_track_buffer, iou_threshold), _BLOCK)
-        return cut_lineage(done.join(wrong.select(*key), key, "left_anti").unionByName(again))
-
-    for _ in range(max_rounds):
-        along = Window.partitionBy(*SHOT).orderBy("block")  # one row per block
-        links = done.filter("summary").select(*key, "first_frame", "entry", F.lag("leaving").over(along).alias("_before"))
-        still = lambda name: F.filter(F.coalesce(F.col(name), F.array().cast(_STATE)), lambda t: F.col("first_frame") - t["f"] <= lost_track_buffer + 1)
-        links = links.select(*key, still("_before").alias("alive"), still("entry").alias("_guess"))
+    done = cut_lineage(spread(both, *key).groupBy(*key).applyInPandas(_first_run(lost_track_buffer, iou_threshold), _BLOCK).withColumn("turn", F.lit(0)))
+    along = Window.partitionBy(*SHOT).orderBy("block")  # one row per block
+    order = cut_lineage(done.filter("summary").select(*key, F.lead("block").over(along).alias("following")).filter("following is not null"))
+    still = lambda name: F.filter(F.coalesce(F.col(name), F.array().cast(_STATE)), lambda t: F.col("first_frame") - t["f"] <= lost_track_buffer + 1)
+
+    def heads() -> DataFrame:
+        """The latest summary of every block."""
+        fields = F.struct("first_frame", "entry", "leaving", "tied")
+        return done.filter("summary").groupBy(*key).agg(F.max_by(fields, "turn").alias("h"), F.max("turn").alias("turn")).select(*key, "turn", "h.*")
+
+    # a round reads summaries, reruns the wrong blocks and writes those alone; earlier versions stay where they are
+    for turn in range(1, max_rounds):
+        latest = heads()
+        left = latest if turn == 1 else latest.filter(F.col("turn") == turn - 1)  # only what changed can change its follower
+        ahead = left.join(order, key).select(*SHOT, F.col("following").alias("block"), F.col("leaving").alias("_before"))
+        links = latest.join(ahead, key).select(*key, still("_before").alias("alive"), still("entry").alias("_guess"))
         wrong = cut_lineage(links.filter(F.array_sort("alive") != F.array_sort("_guess")).select(*key, "alive"))
         if wrong.isEmpty():
-            wrong = _misordered(done, key)
+            final = cut_lineage(latest.select(*key, "turn"))
+            whole = done.join(final, [*key, "turn"], "left_semi").drop("turn")
+            wrong = _misordered(whole, key)
             if wrong is None:
-                return _number_tracks(done.filter(~F.col("summary")), detections)
-        done = replay(done, wrong)
+                return _number_tracks(whole.filter(~F.col("summary")), detections)
+        again = spread(home.join(wrong, key), *key).groupBy(*key).applyInPandas(_rerun(lost_track_buffer, iou_threshold), _BLOCK)
+        done = done.unionByName(cut_lineage(again.withColumn("turn", F.lit(turn))))
     raise RuntimeError("blocks did not settle")
 
 

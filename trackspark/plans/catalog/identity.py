@@ -138,7 +138,7 @@ def g3(v):
     nodes, links = chain_links(v)
     extra = nodes.join(nodes.select(F.col("tracklet_id").alias("right_key"), "k", (F.col("line") - 2).alias("line")), ["k", "line"]).select(F.col("tracklet_id").alias("left_key"), "right_key")
     proposed = links.unionByName(extra).withColumn("decision", F.lit("same")).withColumn("play_id", F.lit("all"))
-    return ID.safe_links(proposed, _attributes(v), ID.same_shot_overlaps(v.obs, nodes))
+    return ID.safe_links(proposed, _attributes(v), v.obs)
 
 
 @query("g4_play_resolution")

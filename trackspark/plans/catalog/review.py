@@ -8,6 +8,7 @@ from trackspark.operators import review as RV
 from trackspark.plans.catalog import query
 from trackspark.plans.catalog.identity import EVIDENCE, evidence
 from trackspark.plans.views import with_views
+from trackspark.scale import total_order
 from trackspark.session import cut_lineage
 
 # links that SQL can state as well: by evidence score, plus unmatched tracklets
@@ -105,10 +106,8 @@ def t5(v):
 @query("t3_ordered_export", "obs", """
 SELECT rank_no, shot_id, tracklet_id, frame_index FROM (SELECT *, CAST(row_number() OVER (ORDER BY frame_index, shot_id, tracklet_id) - 1 AS BIGINT) AS rank_no FROM obs)""")
 def t3(v):
-    from trackspark.scale import frame_bucket, positions
-
-    rows = v.obs.select("shot_id", "tracklet_id", "frame_index", F.lit(1).alias("_all"), frame_bucket("frame_index").alias("_bucket"))
-    return positions(rows, ["_all"], ["frame_index", "shot_id", "tracklet_id"], "_bucket", "rank_no").select("rank_no", "shot_id", "tracklet_id", "frame_index")
+    rows = v.obs.select("shot_id", "tracklet_id", "frame_index")
+    return total_order(rows, ["frame_index", "shot_id", "tracklet_id"], "rank_no").select("rank_no", "shot_id", "tracklet_id", "frame_index")
 
 
 @query("p19_review_pack", "obs frames", """

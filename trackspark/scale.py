@@ -53,6 +53,19 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: str,
     )
 
 
+def total_order(df: DataFrame, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Zero-based row number over the whole table.
+
+    The rows are dealt by ranges of the full key and written in order; the only thing that meets in one task is one
+    count per range. Rows that are equal in the key lie in one range, so name enough columns.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("_held").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_held")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.join(starts, "_range").withColumn(out, F.col("_start") + F.col("_at")).drop("_id", "_range", "_at", "_start")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: str, value: Column, out: str) -> DataFrame:
     """Inclusive running sum per key."""
     df = df.withColumn("_value", value)
