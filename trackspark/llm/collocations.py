@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.blocks import (
     BLOCK_CHARS, BLOCK_WORDS, Blocks, ask_words, by_part, key_order, loosen, mixed, numbers_of, part_bits, part_slices, parts_of, rows_of, squeeze, unpack_words,
 )
 from trackspark.llm.text import ASCII_LOWER
+from trackspark.scale import total_order
 from trackspark.session import cut_lineage
 
 #: Ends a piece; no word can hold it.
@@ -296,6 +297,8 @@ def mine(
         F.first("a").alias("a"), F.first("cut").alias("cut"), F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words")
     )
     spelled = spelled.select("lang", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = spelled.withColumn("rank", rank).filter(F.col("rank") <= top).join(counts.totals, "lang")
-    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # ranks come from ranges of the full order, so that a language with most of the phrases is many tasks
+    ordered = total_order(spelled.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), ["lang", "_score", "_a", "phrase"], "at")
+    starts = ordered.groupBy("lang").agg(F.min("at").alias("start"))
+    ranked = ordered.join(starts, "lang").withColumn("rank", F.col("at") - F.col("start") + 1).filter(F.col("rank") <= top).join(counts.totals, "lang")
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
