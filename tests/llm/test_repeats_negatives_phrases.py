@@ -139,7 +139,7 @@ def test_packed_words_and_numbers_come_back():
 def phrase_rows():
     text = "New York City, the big big big City. in New York; of the\tday\nof the day! New York City"
     rows = [(i, text, ("en", None, "de")[i % 3]) for i in range(8)] + [(50, "und und und", "und"), (50, "und und und", "und"), (60, None, "en"), (61, "", "fr"), (62, " ,;. ", "xx")]
-    rows += [(70, prose(4000, "n") + " " + prose(4000, "n"), "en"), (None, "x" * 30_000 + " New\x0bYork É é", "en")]
+    rows += [(70, prose(4000, "n") + " " + prose(4000, "n"), "en"), (None, "x" * 30_000 + " New\x0bYork É é a\u00a0b a\u00a0b c\x1cd c\x1cd\u2003e", "en")]
     return [(doc, body, lang, "s", 1, "clash", 5) for doc, body, lang in rows]
 
 

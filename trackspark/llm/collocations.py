@@ -31,22 +31,25 @@ from pyspark.sql import functions as F
 from trackspark.llm.blocks import (
     BLOCK_CHARS, BLOCK_WORDS, Blocks, ask_words, by_part, key_order, loosen, mixed, numbers_of, part_bits, part_slices, parts_of, rows_of, squeeze, unpack_words,
 )
-from trackspark.llm.text import ASCII_LOWER
 from trackspark.scale import total_order
 from trackspark.session import cut_lineage
 
 #: Ends a piece; no word can hold it.
-STOP = "\n"
+STOP = "."
+#: Keys of a part of the filters.
+GRAMS = 1 << 20
 _BREAK = re.compile(r"[.,;:!?\x0A-\x0D]+")
 _WORD = re.compile(r"[^\x20\x09]+")
+#: Characters that str.split() takes for white space beyond blank, tab and the separators.
+_ODD = re.compile(r"[\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
 ROUNDS = 4
 SCALE = 2_000_000
 
 
 def pieces(text: str) -> list[str]:
     """The words of the text, lower-cased, with ``STOP`` behind every piece."""
-    low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-    return [*_WORD.findall(_BREAK.sub(f" {STOP} ", low)), STOP]
+    cut = _BREAK.sub(f" {STOP} ", text.encode().lower().decode())  # bytes know no other letters than A-Z
+    return [*(_WORD.findall(cut) if _ODD.search(cut) else cut.split()), STOP]
 
 
 # Quotient filters
@@ -263,7 +266,7 @@ class Counts:
         phrases = self.words.select(F.array("id").alias("ids"), "f")
         for n in range(2, longest + 1):
             h = (width * n + 1) // 2
-            cut = min(h, part_bits(blocks.total))
+            cut = min(h, part_bits(blocks.total, GRAMS))
             rows = blocks.answered(*answers).select("block", "numbers", "words", *[f"answer{i}" for i in range(n - 1)])
             asks = by_part(rows.mapInArrow(_ask_grams(n, width, cut), "part bigint, block bigint, q int, held binary"), cut)
             told = cut_lineage(asks.mapInArrow(_merge_grams(n, width, cut, min_count), _GRAMS))
