@@ -129,14 +129,39 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BL
     return told.mapInArrow(_assemble, "doc string, th bigint, ids array<int>")
 
 
+class Pieces:
+    """The id-to-piece table as one byte string with places."""
+
+    def __init__(self, table: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.array([len(p) for p in table], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: pieces looked up and put side by side, bytes that are no UTF-8 replaced."""
+        ids = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        each = self.sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        data = self.data[np.repeat(self.starts[ids] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        raw = data.tobytes()
+        heads = data[cuts[:-1][cuts[:-1] < len(data)]]
+        try:
+            if ((heads & 0xC0) == 0x80).any():  # a text starts inside a character
+                raise UnicodeError
+            raw.decode("utf-8")
+            return pa.StringArray.from_buffers(len(lists), pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw))
+        except UnicodeError:
+            return pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:])], pa.string())
+
+
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
+        table = Pieces(pieces.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, DECODED):  # a batch of ids is small, as Python numbers and texts it is not
+            for at in range(0, whole.num_rows, DECODED):  # a batch of ids is small, as texts it is not
                 batch = whole.slice(at, DECODED)
-                texts = [b"".join(map(table.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace") for ids in batch["ids"]]
-                yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], batch["ids"], pa.array(texts, pa.string())], ["doc", "th", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], batch["ids"], table.texts(batch["ids"])], ["doc", "th", "ids", "decoded"])
 
     return run
 
