@@ -1,6 +1,7 @@
 """Calibration, timing, teams, review picks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,46 @@ def test_clusters_equal_the_plain_algorithm(spark):
         assert r.team == f"team_{winner}" and abs(r.score - np.mean(1 / (1 + 4 * d[labels == winner, winner]))) < 1e-9
 
 
+@pytest.mark.parametrize("shape", ["cube", "ball", "sphere", "line", "twins"])
+def test_farthest_pair_of_colours_that_share_a_cell(spark, shape):
+    """100,000 colours inside one 64th of the colour cube: the exact pair, from a number of candidates that stays linear."""
+    rng = np.random.default_rng(11)
+    n = 2_000 if shape == "sphere" else 100_000
+    x = rng.normal(size=(n, 3)) if shape in ("ball", "sphere") else rng.uniform(-1, 1, (n, 3))
+    if shape in ("ball", "sphere"):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    if shape == "ball":
+        x *= rng.uniform(0, 1, (n, 1)) ** (1 / 3)
+    if shape == "line":
+        x[:, 1:] = 0
+    if shape == "twins":
+        x = np.round(x, 1)  # many equal colours, and ties for the farthest pair
+    rgb = 0.507 + 0.004 * x
+    frame = pd.DataFrame({"k": "a", "no": np.arange(n), "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+    points = spark.createDataFrame(frame).groupBy("k", "r", "g", "b").agg(F.min(F.struct("no")).alias("_order"))
+    found = TE._farthest_candidates(points, ["k"]).cache()
+    assert found.count() <= n
+    apart = F.sqrt(sum(F.pow(F.col(f"_p.{c}") - F.col(f"_q.{c}"), 2) for c in "rgb"))
+    directed = found.withColumn("d", apart).filter("_p._order < _q._order")
+    best = directed.agg(F.max("d")).first()[0]
+    first = directed.filter(F.col("d") == best).agg(F.min(F.struct("_p._order", "_q._order"))).first()[0]
+    # points near the middle of a ball around all of them cannot be in the pair
+    middle = (rgb.max(axis=0) + rgb.min(axis=0)) / 2
+    out = np.linalg.norm(rgb - middle, axis=1)
+    far = np.flatnonzero(out >= best - out.max() - 1e-12)
+    _, once = np.unique(rgb[far], axis=0, return_index=True)
+    far = np.sort(far[once])
+    top, pair = -1.0, None
+    for i in range(0, len(far), 256):
+        diff = rgb[far[i : i + 256], None] - rgb[None, far]
+        d = np.sqrt((diff[..., 0] ** 2 + diff[..., 1] ** 2) + diff[..., 2] ** 2)
+        if d.max() > top:
+            a, b = np.unravel_index(d.argmax(), d.shape)
+            top, pair = d.max(), (int(far[i + a]), int(far[b]))
+    assert best == pytest.approx(top, rel=1e-12)
+    assert tuple(x[0] for x in first) == pair
+
+
 def test_separated_picks_equal_the_greedy_walk(spark):
     rng = np.random.default_rng(8)
     scores = rng.integers(0, 40, 300) / 10.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,38 +82,65 @@ def team_by_prototype(tracklets: DataFrame, crops: DataFrame, prototypes: Mappin
     )
 
 
-def _farthest_candidates(points: DataFrame, keys: list[str], levels: int = 6) -> DataFrame:
-    """Point pairs that may be the farthest pair of a key, found by halving grid cells.
+#: Halvings at most; double precision ends before.
+HALVINGS = 48
+#: Share by which a bound is loosened, so that rounding can never cut off the winner.
+_LOOSE = 1e-9
 
-    A pair of cells survives while its largest possible distance reaches the
-    best distance any pair of cells guarantees. At most 8 x 8 child pairs follow
-    from a surviving pair, so no level compares all points.
+
+def _length(values: list[Column]) -> Column:
+    return F.sqrt(F.pow(values[0], 2) + F.pow(values[1], 2) + F.pow(values[2], 2))
+
+
+def _extreme_bound(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the box and ball around its points, and the best distance from a point outermost in one of 13 directions."""
+    directions = [d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
+    along = [F.col("r") * d[0] + F.col("g") * d[1] + F.col("b") * d[2] for d in directions]
+    outermost = [pick(F.struct(*RGB), to) for to in along for pick in (F.min_by, F.max_by)]
+    box = [f(c).alias(f"_{n}_{c}") for c in RGB for n, f in (("lo", F.min), ("hi", F.max))]
+    held = points.groupBy(*keys).agg(F.array(*outermost).alias("_out"), *box)
+    farthest = F.array_max(F.transform("_out", lambda p: _length([F.col(c) - p[c] for c in RGB])))
+    middle = _length([F.col(c) - (F.col(f"_lo_{c}") + F.col(f"_hi_{c}")) / 2 for c in RGB])
+    reached = points.join(held, keys).groupBy(*keys).agg(F.max(farthest).alias("_far"), F.max(middle).alias("_radius"))
+    return held.drop("_out").join(reached, keys).withColumn("_best", F.col("_far") * (1 - _LOOSE)).drop("_far")
+
+
+def _farthest_candidates(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Point pairs that may be the farthest pair of a key.
+
+    A distance that surely exists comes from the outermost points in fixed directions. Points go that cannot be part of
+    as long a pair: by the farthest corner of the key's box and by the ball around it. What is left is halved: pairs of
+    cells survive while the boxes of their own points can be that far apart, and cells are halved on until the
+    survivors hold no more point pairs than there are points. Colours that lie close together are told apart like any
+    others, as cells are shares of the key's own box. (Points spread evenly over a sphere are the worst case: about
+    n ** 1.5 cell pairs on the way.)
     """
-    cell = lambda level: F.array(*[F.least(F.floor(F.col(c) * (2 ** level)), F.lit(2 ** level - 1)).cast("int") for c in RGB])
+    bound = cut_lineage(_extreme_bound(points, keys))
+    reach = _length([F.greatest(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(c)) for c in RGB])
+    middle = _length([F.col(c) - (F.col(f"_lo_{c}") + F.col(f"_hi_{c}")) / 2 for c in RGB])
+    share = lambda c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0)
+    alive = points.join(bound, keys).filter((reach * (1 + _LOOSE) >= F.col("_best")) & ((middle + F.col("_radius")) * (1 + _LOOSE) >= F.col("_best")))
+    alive = cut_lineage(alive.select(*keys, "_order", *RGB, F.array(*[share(c) for c in RGB]).alias("_at")))
+    limits, many = bound.select(*keys, "_best"), alive.count()
+    cell = lambda level: F.transform("_at", lambda x: F.least(F.floor(x * F.lit(2.0**level)), F.lit(2**level - 1)).cast("bigint"))
+    box = [f(c).alias(f"{n}_{c}") for c in RGB for n, f in (("lo", F.min), ("hi", F.max))]
     pairs = None
-    for level in range(1, levels + 1):
-        side = 1.0 / (2 ** level)
-        cells = points.select(*keys, cell(level).alias("_cell")).distinct()
-        parent = F.transform("_cell", lambda x: F.floor(x / 2).cast("int"))
-        cells = cells.withColumn("_parent", parent)
-        left = cells.select(*keys, F.col("_cell").alias("_a"), F.col("_parent").alias("_pa"))
-        right = cells.select(*keys, F.col("_cell").alias("_b"), F.col("_parent").alias("_pb"))
+    for level in range(1, HALVINGS + 1):
+        cells = alive.groupBy(*keys, cell(level).alias("cell")).agg(F.count(F.lit(1)).alias("held"), *box)
+        cells = cells.withColumn("parent", F.transform("cell", lambda x: F.shiftright(x, 1)))
+        named = lambda side: cells.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in cells.columns if c not in keys])
         if pairs is None:
-            grown = left.join(right, keys)  # at most 8 cells on each side
+            grown = named("a").join(named("b"), keys)  # at most 8 cells on each side
         else:
-            kept = pairs.select(*keys, F.col("_a").alias("_pa"), F.col("_b").alias("_pb"))
-            grown = kept.join(left, [*keys, "_pa"]).join(right, [*keys, "_pb"])
-        gap = F.zip_with("_a", "_b", lambda a, b: F.abs(a - b))
-        total = lambda values: F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-        upper = total(F.transform(gap, lambda g: (g + 1) * F.lit(side)))
-        lower = total(F.transform(gap, lambda g: F.greatest(g - 1, F.lit(0)) * F.lit(side)))
-        sized = grown.select(*keys, "_a", "_b", upper.alias("_upper"), lower.alias("_lower"))
-        best = sized.groupBy(*keys).agg(F.max("_lower").alias("_best"))
-        pairs = cut_lineage(sized.join(best, keys).filter(F.col("_upper") >= F.col("_best")).select(*keys, "_a", "_b"))
-    side_of = lambda name, alias: points.withColumn(name, cell(levels)).select(
-        *keys, name, F.struct("_order", *RGB).alias(alias)
-    )
-    return pairs.join(side_of("_a", "_p"), [*keys, "_a"]).join(side_of("_b", "_q"), [*keys, "_b"])
+            kept = pairs.select(*keys, F.col("a_cell").alias("a_parent"), F.col("b_cell").alias("b_parent"))
+            grown = kept.join(named("a"), [*keys, "a_parent"]).join(named("b"), [*keys, "b_parent"])
+        upper = _length([F.greatest(F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"), F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}")) for c in RGB])
+        near = grown.join(limits, keys).filter(upper * (1 + _LOOSE) >= F.col("_best"))
+        pairs = cut_lineage(near.select(*keys, "a_cell", "b_cell", (F.col("a_held") * F.col("b_held")).alias("held")))
+        if (pairs.agg(F.sum("held")).first()[0] or 0) <= many:
+            break
+    side_of = lambda name, alias: alive.withColumn(name, cell(level)).select(*keys, name, F.struct("_order", *RGB).alias(alias))
+    return pairs.select(*keys, "a_cell", "b_cell").join(side_of("a_cell", "_p"), [*keys, "a_cell"]).join(side_of("b_cell", "_q"), [*keys, "b_cell"])
 
 
 def team_by_clusters(tracklets: DataFrame, crops: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
