@@ -273,3 +273,24 @@ def test_contested_runs_in_blocks_equal_one_pass(spark, frames, block, lock):
     got = EV.solve_runs(work.union(other), block).collect()
     assert {(r.frame_no, r.object_id, r.tracklet_id) for r in got if r.shot_id == "s"} == want
     assert {(r.frame_no, r.object_id, r.tracklet_id) for r in got if r.shot_id == "u"} == {w for w in want if w[0] < 5}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_pairs_equal_a_walk_over_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(70):
+        shot = f"shot-{rng.randrange(5)}"
+        rows.append((f"{shot}:t{i}", shot, rng.choice(["G1", "G2", "G3"]), rng.choice(["P1", "P1", "P2", None]) if seed < 3 else rng.choice(["P1", None])))
+    df = spark.createDataFrame(rows, "tracklet_id string, shot_id string, global_id string, player_id string")
+    missed, wrong = [], []
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if a[1] == b[1]:
+            continue
+        same_id = a[3] is not None and a[3] == b[3]
+        if a[2] == b[2] and not same_id:
+            missed.append((a[0], b[0], a[2]))
+        if same_id and a[2] != b[2]:
+            wrong.append((a[0], b[0], a[2], b[2]))
+    assert [tuple(r) for r in EV.missed_link_examples(df, 9).orderBy("left", "right").collect()] == missed[:9]
+    assert [tuple(r) for r in EV.false_merge_examples(df, 9).orderBy("left", "right").collect()] == wrong[:9]

@@ -264,17 +264,8 @@ def cross_shot_report(
     owned = identities.withColumn("shot_id", shot_of("tracklet_id"))
     attributed = truth.join(identities, "tracklet_id", "left")
 
-    visible = objects.join(evaluated_frames(frames), FRAME, "left_semi").select("shot_id", "object_id").distinct()
-    shared = (
-        global_map.filter(meaningful_id(F.col("global_id"))).join(visible, ["shot_id", "object_id"], "left_semi")
-        .groupBy(F.trim("global_id").alias("global_id")).agg(F.count_distinct("shot_id").alias("shots")).filter("shots >= 2")
-    )
-    per_player = attributed.groupBy("global_id").agg(
-        F.count_distinct("shot_id").alias("seen_shots"), F.count_distinct("player_id").alias("ids")
-    )
-    covered = shared.join(per_player, "global_id", "left").agg(
-        F.count(F.lit(1)).alias("eligible_shared_players"),
-        F.count_if((F.col("seen_shots") >= 2) & (F.col("ids") == 1)).alias("correct_shared_players"),
+    covered = shared_player_state(attributed, shared_players(objects, frames, global_map)).agg(
+        F.count(F.lit(1)).alias("eligible_shared_players"), F.count_if("correct").alias("correct_shared_players")
     )
     named = attributed.filter("player_id is not null")
     resolvable = _cross_pairs(attributed, ["global_id"]).withColumnRenamed("pairs", "resolvable_tracklet_pairs")
@@ -315,27 +306,79 @@ def cross_shot_report(
     )
 
 
+def _first_pairs(rows: DataFrame, key: str, other: str, limit: int) -> DataFrame:
+    """First (left, right) tracklets, left < right, of one ``key`` in two shots that do not share ``other``; null shares nothing.
+
+    No pairs are formed to find them: five summary groups of a key tell the largest partner of any of its
+    tracklets, so the first ``limit`` tracklets with a partner behind them are known, and only they are joined.
+    """
+    apart = lambda a, b: F.coalesce(a != b, F.lit(True))
+    tops = cut_lineage(rows.groupBy(key, "shot_id", other).agg(F.max("tracklet_id").alias("top")))
+    group = F.struct("shot_id", F.col(other).alias("o"), "top")
+    best = lambda name, table: table.groupBy(key).agg(F.max_by(group, "top").alias(name))
+    summary = best("a", tops)
+    for name, near, fits in (
+        ("b", "a", lambda: F.col("shot_id") != F.col("a.shot_id")),
+        ("c", "b", lambda: (F.col("shot_id") != F.col("a.shot_id")) & apart(F.col(other), F.col("b.o"))),
+        ("d", "a", lambda: apart(F.col(other), F.col("a.o"))),
+        ("e", "d", lambda: apart(F.col(other), F.col("a.o")) & (F.col("shot_id") != F.col("d.shot_id"))),
+    ):
+        summary = summary.join(best(name, tops.join(summary, key).filter(F.col(near).isNotNull() & fits())), key, "left")
+    shot, own = F.col("shot_id"), F.col(other)
+    partner = (
+        F.when((shot != F.col("a.shot_id")) & apart(own, F.col("a.o")), F.col("a.top"))
+        .when(shot == F.col("a.shot_id"), F.when(apart(own, F.col("b.o")), F.col("b.top")).otherwise(F.col("c.top")))
+        .otherwise(F.when(F.col("d.shot_id") != shot, F.col("d.top")).otherwise(F.col("e.top")))
+    )
+    first = rows.join(summary, key).filter(partner > F.col("tracklet_id")).select(
+        key, F.col("tracklet_id").alias("left"), shot.alias("_ls"), own.alias("_lo")
+    ).distinct().orderBy("left").limit(limit)
+    right = rows.select(key, F.col("tracklet_id").alias("right"), shot.alias("_rs"), own.alias("_ro"))
+    return (
+        right.join(F.broadcast(first), key)  # at most ``limit`` rows
+        .filter((F.col("right") > F.col("left")) & (F.col("_ls") != F.col("_rs")) & apart(F.col("_lo"), F.col("_ro")))
+        .orderBy("left", "right").limit(limit)
+    )
+
+
 def false_merge_examples(attributed: DataFrame, limit: int = 20) -> DataFrame:
     """First ``limit`` (left, right) pairs of one player id and two reviewed players, in pair order.
 
-    Only the first ``limit`` left tracklets that have such a partner are joined.
     attributed(tracklet_id, shot_id, global_id, player_id)
     """
-    named = attributed.filter("player_id is not null")
-    # a partner to the right exists when the largest id of another player and shot is larger
-    tops = named.groupBy("player_id", "global_id", "shot_id").agg(F.max("tracklet_id").alias("_top"))
-    left = named.alias("l").join(tops.alias("t"), "player_id").filter(
-        (F.col("t.global_id") != F.col("l.global_id")) & (F.col("t.shot_id") != F.col("l.shot_id")) & (F.col("t._top") > F.col("l.tracklet_id"))
-    ).select("player_id", F.col("l.tracklet_id").alias("left"), F.col("l.shot_id").alias("_ls"), F.col("l.global_id").alias("left_player")).distinct()
-    first = left.orderBy("left").limit(limit)
-    right = named.select("player_id", F.col("tracklet_id").alias("right"), F.col("shot_id").alias("_rs"), F.col("global_id").alias("right_player"))
+    found = _first_pairs(attributed.filter("player_id is not null"), "player_id", "global_id", limit)
+    return found.select("left", "right", F.col("_lo").alias("left_player"), F.col("_ro").alias("right_player"))
+
+
+def missed_link_examples(attributed: DataFrame, limit: int = 20) -> DataFrame:
+    """First ``limit`` (left, right) pairs of one reviewed player in two shots without a common player id, in pair order.
+
+    attributed(tracklet_id, shot_id, global_id, player_id); a tracklet without an id is linked with nothing
+    """
+    return _first_pairs(attributed, "global_id", "player_id", limit).select("left", "right", F.col("global_id").alias("player"))
+
+
+def shared_players(objects: DataFrame, frames: DataFrame, global_map: DataFrame) -> DataFrame:
+    """Reviewed players visible in two or more shots, whatever the detector saw."""
+    visible = objects.join(evaluated_frames(frames), FRAME, "left_semi").select("shot_id", "object_id").distinct()
     return (
-        right.join(F.broadcast(first), "player_id")  # at most ``limit`` rows
-        .filter((F.col("right") > F.col("left")) & (F.col("_ls") != F.col("_rs")) & (F.col("left_player") != F.col("right_player")))
-        .orderBy("left", "right").limit(limit).select("left", "right", "left_player", "right_player")
+        global_map.filter(meaningful_id(F.col("global_id"))).join(visible, ["shot_id", "object_id"], "left_semi")
+        .groupBy(F.trim("global_id").alias("global_id")).agg(F.count_distinct("shot_id").alias("shots")).filter("shots >= 2")
     )
 
 
+def shared_player_state(attributed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(global_id, correct): found in two shots under one player id."""
+    per_player = attributed.groupBy("global_id").agg(F.count_distinct("shot_id").alias("seen_shots"), F.count_distinct("player_id").alias("ids"))
+    correct = F.coalesce((F.col("seen_shots") >= 2) & (F.col("ids") == 1), F.lit(False))
+    return shared.join(per_player, "global_id", "left").select("global_id", correct.alias("correct"))
+
+
+def missing_shared_players(attributed: DataFrame, objects: DataFrame, frames: DataFrame, global_map: DataFrame) -> DataFrame:
+    """Shared players that were not found in two shots under one id."""
+    return shared_player_state(attributed, shared_players(objects, frames, global_map)).filter("not correct").select("global_id")
+
+
 def first_examples(rows: DataFrame, keys: list[str], order: list[str], limit: int = 20) -> DataFrame:
     """First ``limit`` rows per report in a stated order; map tasks already cut to ``limit``."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -181,6 +181,24 @@ def t2_merges(v):
     return EV.false_merge_examples(truth.join(identities(v), "tracklet_id", "left"))
 
 
+def attributed(v):
+    truth = EV.truth_of_tracklets(EV.dominant_objects(EV.reference_votes(EV.matches(v.ref_sep, v.obs_sep, v.frames))), global_map(v))
+    return truth.join(identities(v), "tracklet_id", "left")
+
+
+@query("t2_missed_link_examples", "obs_sep ref_sep frames", f""", {CROSS}
+SELECT l AS "left", r AS "right", lg AS player FROM pairs WHERE same_player AND NOT same_id ORDER BY l, r LIMIT 20""")
+def t2_missed(v):
+    return EV.missed_link_examples(attributed(v))
+
+
+@query("t2_missing_shared_players", "obs_sep ref_sep frames", f""", {TRUTH}, seen AS (SELECT g.global_id, count(DISTINCT g.shot_id) AS shots FROM gmap g JOIN (SELECT DISTINCT r.shot_id, r.object_id FROM ref_sep r JOIN frames f ON f.shot_id = r.shot_id AND f.frame_index = r.frame_index AND f.labeled AND NOT f.ignore_frame) o ON o.shot_id = g.shot_id AND o.object_id = g.object_id
+  WHERE lower(trim(g.global_id)) NOT IN ('', 'unknown', 'unresolved', 'ambiguous') GROUP BY 1 HAVING count(DISTINCT g.shot_id) >= 2), per AS (SELECT t.global_id, count(DISTINCT t.shot_id) AS shots, count(DISTINCT i.player_id) AS ids FROM truth t LEFT JOIN ids i ON i.tracklet_id = t.tracklet_id GROUP BY 1)
+SELECT s.global_id FROM seen s LEFT JOIN per p ON p.global_id = s.global_id WHERE NOT coalesce(p.shots >= 2 AND p.ids = 1, false)""")
+def t2_missing(v):
+    return EV.missing_shared_players(attributed(v), v.ref_sep, v.frames, global_map(v))
+
+
 @query("t2_contact_examples", "obs_sep ref_sep frames", f""", {CONTACTS}
 SELECT shot_id, frame_index, object_id, round(err, 9) AS error_yards, example_no FROM (SELECT *, CAST(row_number() OVER (PARTITION BY shot_id ORDER BY frame_index, object_id) AS INT) AS example_no FROM errs WHERE err IS NOT NULL) WHERE example_no <= 20""")
 def t2_contacts(v):
