@@ -41,6 +41,21 @@ def test_logs_from_files(spark, folder):
     assert gap.missing == 7 and gap.first_missing == [2, 3, 4, 5, 6]
 
 
+def test_logs_are_held_against_the_hashes_wanted_of_each_file(spark, folder):
+    head = lambda h, c: json.dumps({"_meta": {"source_hash": h, "detector_config_hash": c}})
+    frame = json.dumps({"frame_index": 3, "detections": []})
+    texts = {"a": [head("h1", "c"), frame], "b": [head("h2", "c"), frame, "{broken"], "c": [head("h3", "old"), "{broken"], "d": [frame], "e": [head("h5", "c"), frame], "f": [head(None, "c"), frame, "{broken"]}
+    lines = spark.createDataFrame([(k, line) for k, some in texts.items() for line in some], "file_path string, value string")
+    wanted = spark.createDataFrame([("a", "h1", "c"), ("b", "other", "c"), ("c", "h3", "c"), ("d", "h4", "c"), ("f", None, "c"), ("gone", "h", "c")], "file_path string, source_hash string, detector_config_hash string")
+    t = L.parse_logs(lines, wanted=wanted)
+    assert sorted(r.file_path for r in t["frames"].collect()) == ["a", "f"]
+    assert sorted((r.file_path, r.rule) for r in t["rejects"].collect()) == [
+        ("b", "hash_mismatch"), ("c", "detector_config_mismatch"), ("d", "metadata_missing"), ("e", "hash_not_wanted"), ("f", "unreadable_line"), ("gone", "file_missing"),
+    ]
+    plan = t["frames"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("StructField(detections") < plan.index("LeftSemi") and "StructField(detections" not in plan[plan.index("LeftSemi"):]  # whole lines are parsed above the join with accepted files
+
+
 def test_observation_csv_round_trip(spark, folder):
     rows = [("run", "shot-0", f, f * 10, 1, 30, f"shot-0:t{t}", None, "p", 1.0, 2.0, 3.5, 4.0, 0.5, "A", 0.5, None, 1.5 if t else None, 2.5 if t else None, None, None, 2, "valid", None, None, 0.1 * f, None, None) for f in range(4) for t in range(2)]
     schema = (

@@ -45,15 +45,33 @@ def log_lines(v):
     return K.detection_log_lines(frames, logs).select(F.col("log_id").alias("file_path"), "value")
 
 
+def wanted_hashes(v):
+    """What is asked of each log: every fourth another source hash, every fifth another detector; the last row asks for no log at all."""
+    number = F.substring_index("file_path", "-", -1).cast("int")
+    logs = v.dets.select(F.col("source_id").alias("file_path")).distinct()
+    asked = logs.select(
+        "file_path", F.when(number % 4 == 1, "moved").otherwise(F.col("file_path")).alias("source_hash"),
+        F.when(number % 5 == 3, "cfg-2").when(number % 5 == 2, F.lit(None)).otherwise("cfg-1").alias("detector_config_hash"),
+    )
+    return asked.unionByName(logs.agg(F.concat(F.max("file_path"), F.lit("-gone")).alias("file_path")).select("file_path", F.lit("x").alias("source_hash"), F.lit("cfg-1").alias("detector_config_hash")))
+
+
 @query("s1_detection_log_scan", "dets", """
-SELECT source_id AS source_hash, frame_index, CAST(row_number() OVER (PARTITION BY source_id, frame_index ORDER BY det_index) - 1 AS INT) AS det_index, x1, y2, score, class_name, class_id FROM dets WHERE source_id <> 'src-1'""")
+SELECT source_id AS source_hash, frame_index, CAST(row_number() OVER (PARTITION BY source_id, frame_index ORDER BY det_index) - 1 AS INT) AS det_index, x1, y2, score, class_name, class_id FROM dets
+WHERE CAST(substr(source_id, 5) AS INT) % 4 <> 1 AND CAST(substr(source_id, 5) AS INT) % 5 <> 3""")
 def s1(v):
-    # a log with another hash is dropped whole
-    parsed = L.parse_logs(log_lines(v))
-    kept = parsed["detections"].filter("source_hash <> 'src-1'")
+    # a log with another hash than the one wanted of it is turned away whole
+    kept = L.parse_logs(log_lines(v), wanted=wanted_hashes(v))["detections"]
     return kept.select("source_hash", "frame_index", "det_index", "x1", "y2", "score", "class_name", "class_id")
 
 
+@query("s1_hash_rejects", "dets", """
+SELECT source_id AS file_path, CASE WHEN k % 4 = 1 THEN 'hash_mismatch' ELSE 'detector_config_mismatch' END AS rule FROM (SELECT DISTINCT source_id, CAST(substr(source_id, 5) AS INT) AS k FROM dets) WHERE k % 4 = 1 OR k % 5 = 3
+UNION ALL SELECT concat(max(source_id), '-gone'), 'file_missing' FROM dets""")
+def s1_rejects(v):
+    return L.parse_logs(log_lines(v), wanted=wanted_hashes(v))["rejects"].select("file_path", "rule")
+
+
 @query("s2_detection_log_provenance", "dets", """
 SELECT source_id AS file_path, CASE WHEN k % 3 <> 2 THEN CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END END AS proxy, CASE WHEN k % 3 <> 2 THEN concat('ck-', source_id) END AS checkpoint, n AS frames FROM (SELECT source_id, CAST(substr(source_id, 5) AS INT) AS k, count(DISTINCT frame_index) AS n FROM dets GROUP BY 1)""")
 def s2(v):

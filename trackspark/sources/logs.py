@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from trackspark.scale import FRAME_BUCKET
 
 DETECTION = "struct<box_xyxy:array<double>,score:double,class_name:string,class_id:int>"
+META = "struct<source_hash:string,detector_config_hash:string,provenance:map<string,string>>"
+HEAD = f"struct<_meta:{META}>"
 LINE = (
-    "struct<_meta:struct<source_hash:string,detector_config_hash:string,provenance:map<string,string>>,"
+    f"struct<_meta:{META},"
     f"frame_index:bigint,detections:array<{DETECTION}>>"
 )
 
@@ -18,23 +20,53 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), "value")
 
 
-def parse_logs(lines: DataFrame, source_hash: str | None = None, detector_config_hash: str | None = None) -> dict[str, DataFrame]:
+def read_heads(lines: DataFrame) -> DataFrame:
+    """(file_path, source_hash, detector_config_hash, provenance) of every log; only lines that name ``_meta`` are parsed."""
+    named = lines.filter(F.col("value").contains('"_meta"')).select("file_path", F.from_json("value", HEAD)["_meta"].alias("m")).filter("m is not null")
+    return named.select("file_path", "m.source_hash", "m.detector_config_hash", "m.provenance")
+
+
+def gate_logs(lines: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
+    """Which logs carry the hashes wanted of them: ``logs`` that do, and one reject for every other file.
+
+    wanted(file_path, source_hash, detector_config_hash); a null hash there accepts any. Rules in order:
+    ``file_missing`` (wanted, but no line), ``metadata_missing``, ``hash_not_wanted`` (no row in wanted),
+    ``hash_mismatch``, ``detector_config_mismatch``.
+    """
+    heads = read_heads(lines)
+    want = wanted.select("file_path", F.col("source_hash").alias("_source"), F.col("detector_config_hash").alias("_config"), F.lit(True).alias("_wanted"))
+    seen = lines.select("file_path").distinct().withColumn("_seen", F.lit(True))
+    told = heads.withColumn("_head", F.lit(True)).join(seen, "file_path", "full").join(want, "file_path", "full")
+    fits = lambda column, asked: F.col(asked).isNull() | F.col(column).eqNullSafe(F.col(asked))
+    rule = (
+        F.when(F.col("_seen").isNull(), "file_missing").when(F.col("_head").isNull(), "metadata_missing").when(F.col("_wanted").isNull(), "hash_not_wanted")
+        .when(~fits("source_hash", "_source"), "hash_mismatch").when(~fits("detector_config_hash", "_config"), "detector_config_mismatch")
+    )
+    told = told.withColumn("rule", rule)
+    return {
+        "logs": told.filter("rule is null").select("file_path", "source_hash", "detector_config_hash", "provenance"),
+        "rejects": told.filter("rule is not null").select("file_path", F.lit(None).cast("string").alias("value"), "rule"),
+    }
+
+
+def parse_logs(
+    lines: DataFrame, source_hash: str | None = None, detector_config_hash: str | None = None, wanted: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """``logs``, ``frames``, ``detections`` and ``rejects`` of many logs at once; lines(file_path, value).
 
-    A wanted hash drops every line of a log that carries another one.
+    The scan takes two steps: heads are held against the hashes wanted per file (``wanted`` as in ``gate_logs``, or one
+    pair of hashes for all files), then the lines of accepted files alone are parsed. A file that is turned away is one
+    reject, whatever its lines hold.
     """
-    parsed = lines.filter(F.trim("value") != "").select("file_path", "value", F.from_json("value", LINE).alias("l"))
+    if wanted is None:
+        wanted = lines.select("file_path").distinct().select(
+            "file_path", F.lit(source_hash).cast("string").alias("source_hash"), F.lit(detector_config_hash).cast("string").alias("detector_config_hash")
+        )
+    gate = gate_logs(lines, wanted)
+    kept = gate["logs"]
+    accepted = lines.filter(F.trim("value") != "").join(kept.select("file_path").distinct(), "file_path", "left_semi")
+    parsed = accepted.select("file_path", "value", F.from_json("value", LINE).alias("l"))
     is_meta, is_frame = F.col("l._meta").isNotNull(), F.col("l.frame_index").isNotNull() & F.col("l.detections").isNotNull()
-    logs = parsed.filter(is_meta).select(
-        "file_path", F.col("l._meta.source_hash").alias("source_hash"), F.col("l._meta.detector_config_hash").alias("detector_config_hash"),
-        F.col("l._meta.provenance").alias("provenance"),
-    )
-    wanted = F.lit(True)
-    if source_hash is not None:
-        wanted = wanted & F.col("source_hash").eqNullSafe(F.lit(source_hash))
-    if detector_config_hash is not None:
-        wanted = wanted & F.col("detector_config_hash").eqNullSafe(F.lit(detector_config_hash))
-    kept = logs.filter(wanted)
     frames = parsed.filter(is_frame & ~is_meta).select("file_path", "l.frame_index", "l.detections").join(kept.drop("provenance"), "file_path")
     detections = frames.select(
         "file_path", "source_hash", "detector_config_hash", "frame_index", F.posexplode("detections").alias("det_index", "d")
@@ -43,11 +75,7 @@ def parse_logs(lines: DataFrame, source_hash: str | None = None, detector_config
         *[F.get("d.box_xyxy", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "d.score", "d.class_name", "d.class_id",
     )
     broken = parsed.filter(~F.coalesce(is_meta | is_frame, F.lit(False))).select("file_path", "value", F.lit("unreadable_line").alias("rule"))
-    no_meta = lines.select("file_path").distinct().join(logs, "file_path", "left_anti").select(
-        "file_path", F.lit(None).cast("string").alias("value"), F.lit("metadata_missing").alias("rule")
-    )
-    foreign = logs.filter(~wanted).select("file_path", F.lit(None).cast("string").alias("value"), F.lit("hash_mismatch").alias("rule"))
-    return {"logs": kept, "frames": frames, "detections": detections, "rejects": broken.unionByName(no_meta).unionByName(foreign)}
+    return {"logs": kept, "frames": frames, "detections": detections, "rejects": broken.unionByName(gate["rejects"])}
 
 
 def expected_frames(ranges: DataFrame, keys: list[str]) -> DataFrame:
