@@ -8,8 +8,8 @@ whole text shortest wins; the score is its share of 2 ** -length among all langu
 The trees are folded into tables of finished code lengths, so coding a text is one lookup per byte: a hashed table of
 seen byte quadruples, then seen triples with the escape of their context, then dense pairs.
 
-Trees are learned from at most ``PER_LANG`` texts of a language (those with the smallest hash of doc_id) of at most
-``MOST_BYTES`` bytes each; more than ``MAX_LANGS`` languages are refused. Texts are always coded whole.
+Trees are learned from at most ``PER_LANG`` texts of a language (those with the smallest hash of doc_id), of longer ones from a
+seeded piece of at most ``MOST_BYTES`` bytes; more than ``MAX_LANGS`` languages are refused. Texts are always coded whole.
 
 Defined cases: null text, or one without a letter: ``und`` with score 0. No language learned: ``und`` for all. Rows
 without doc_id belong to no fold: they are not learned from and held_out is null. Ties go to the smaller name.
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, MOST_BYTES, MAX_LANGS = 300, 16_384, 256
+PER_LANG, MOST_BYTES, MAX_LANGS, SALTS = 300, 16_384, 256, 64
 PAD = b"\n\n\n"
 CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -46,16 +46,27 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "quad": keys.astype(np.int64), "n": n})
 
 
+def bounded(text: Column) -> Column:
+    """The text, or a seeded piece of a long one, of at most ``MOST_BYTES`` bytes."""
+    length = MOST_BYTES // 4
+    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.char_length(text) - length, F.lit(1))) + 1
+    return F.when(F.octet_length(text) <= MOST_BYTES, text).otherwise(F.substring(text, start.cast("int"), F.lit(length)))
+
+
 def learn(docs: DataFrame, usable: Column) -> "Model":
     """Counts of byte quadruples per language, summed in Spark; their number is bounded by the sample's bytes."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.filter((F.octet_length("text") <= MOST_BYTES) & (F.octet_length("text") > 0))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = rows.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= PER_LANG)
+    rows = rows.filter(F.octet_length("text") > 0)
+    ids = rows.select("doc_id", "lang")
+    by = lambda *keys: Window.partitionBy("lang", *keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+    # the first places of every salt first, so that a frequent language is many tasks and the last step is bounded
+    drawn = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("place", F.dense_rank().over(by("salt"))).filter(F.col("place") <= PER_LANG)
+    drawn = drawn.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(by())).filter(F.col("place") <= PER_LANG)
     names = [r["lang"] for r in drawn.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
     if len(names) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    sample = sample.select("doc_id", "lang", bounded(F.col("text")).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     counted = sample.select("lang", "text").mapInPandas(_count, "lang string, quad bigint, n bigint").groupBy("lang", "quad").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     return Model(sorted(names), table)

@@ -9,8 +9,9 @@ A bucket is dealt over blocks of about ``BLOCK`` vectors, so vectors of one leng
 out; queries stream past a block. Ties go to the smaller id and survive every bound, which all are "less than".
 
 Defined cases: vectors that are null or hold null or non-finite components take no part. Vectors of another dimension
-are no candidates of a query. A zero vector scores 0 with everything. Repeated ids: a query never meets rows of its
-own id; repeated candidates each count. Scores are exact while they fit 64 bits. Only the two named columns are read.
+are no candidates of a query. A zero vector scores 0 with everything. Repeated ids: equal query rows are one
+query, query rows of one id with other vectors are queries of their own; a query never meets rows of its own id; repeated
+candidates each count. Scores are exact while they fit 64 bits. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def _search(k: int):
         at, rows, block = None, [], None
         for batch in batches:
             found: list[tuple] = []
-            for dim, bucket, part, asks, vec_id, norm, floor, q in zip(*[batch[c] for c in ("dim", "bucket", "part", "asks", "vec_id", "norm", "floor", "q")]):
+            for dim, bucket, part, asks, vec_id, qkey, norm, floor, q in zip(*[batch[c] for c in ("dim", "bucket", "part", "asks", "vec_id", "qkey", "norm", "floor", "q")]):
                 if (dim, bucket, part) != at:
                     at, rows, block = (dim, bucket, part), [], None
                 if not asks:
@@ -115,8 +116,9 @@ def _search(k: int):
                 if block is None and rows:
                     block, rows = Block(rows), []
                 if block is not None:
-                    found += block.best(vec_id, np.asarray(q, np.int64), norm, floor if floor == floor and floor is not None else -np.inf, k)
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                    best = block.best(vec_id, np.asarray(q, np.int64), norm, floor if floor == floor and floor is not None else -np.inf, k)
+                    found += [(*row, qkey) for row in best]
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score", "qkey"])
 
     return run
 
@@ -137,17 +139,17 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, identit
     for dim in {r["dim"] for r in drawn}:
         own = [r for r in drawn if r["dim"] == dim]
         seeds[dim] = (np.array([r["vec_id"] for r in own]), np.array([r["q"] for r in own], np.int64).reshape(len(own), -1))
-    schema = "vec_id bigint, dim int, norm double, q array<bigint>, floor double"
-    queries = vectors.filter(is_query).select("vec_id", "dim", "norm", "q")
+    schema = "vec_id bigint, qkey bigint, dim int, norm double, q array<bigint>, floor double"
+    queries = vectors.filter(is_query).select("vec_id", F.xxhash64("q").alias("qkey"), "dim", "norm", "q").distinct()
     queries = cut_lineage(queries.mapInPandas(_floors(spark.sparkContext.broadcast(seeds), k), schema))
 
     asks = queries.join(sized, "dim").filter(F.col("floor").isNull() | (F.col("norm") * F.col("top") * (1 + _SLACK) + _SLACK >= F.col("floor")))
-    asks = asks.select("dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "norm", "floor", "q")
+    asks = asks.select("dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "qkey", "norm", "floor", "q")
     held = vectors.join(sized, ["dim", "bucket"]).select(
-        "dim", "bucket", F.pmod(F.xxhash64("vec_id", F.lit(7)), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "norm",
+        "dim", "bucket", F.pmod(F.xxhash64("vec_id", F.lit(7)), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("bigint").alias("qkey"), "norm",
         F.lit(None).cast("double").alias("floor"), "q",
     )
     blocks = held.union(asks).repartition("dim", "bucket", "part").sortWithinPartitions("dim", "bucket", "part", "asks")
-    found = blocks.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = blocks.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint, qkey bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

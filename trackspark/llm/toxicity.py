@@ -19,7 +19,7 @@ zstandard's own dictionary builder was tried and left: it makes 150 bytes of a t
 raw content and the optimal parser is used, so that text added in front does not change how other text is coded.
 
 Defined cases: null and empty texts have no windows and get the curve's value for none. Without labelled rows of both
-kinds every score is 0. Repeated rows are scored alike; of several labels of a document the largest counts. Rows
+kinds every score is 0; with fewer than ``FEW_TOXIC`` toxic or ``FEW_ORDINARY`` ordinary ones both halves are all of them. Repeated rows are scored alike; of several labels of a document the largest counts. Rows
 without doc_id are scored but never learned from. Only doc_id, text and the two label columns are read.
 """
 
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 4500, 12_288
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 18, 1 << 14
 LIFT, SIGMAS = 8.0, 3.0
+FEW_TOXIC, FEW_ORDINARY = 4, 8
 LONGEST, REMEMBERED = 256, 400_000
 PIECES, THRESHOLDS = 4, (1, 2, 3, 4)
 GROUPS, PROFILE, CLEAN_LIMIT, FEWEST = 8, 512, 0.01, 50
@@ -243,11 +244,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
         drawn = part if drawn is None else drawn.union(part)
     ids = sorted(drawn.collect(), key=lambda r: r["doc_id"])
     toxic, ordinary = ([r for r in ids if r["toxic"] == kind] for kind in (1, 0))
-    if len(toxic) < 4 or len(ordinary) < 8:
+    if not toxic or not ordinary:
         return None
+    few = len(toxic) < FEW_TOXIC or len(ordinary) < FEW_ORDINARY  # both steps then learn from all of them
 
     def named_texts(half: int) -> DataFrame:
-        part = spark.createDataFrame([tuple(r) for r in toxic[half::2] + ordinary[half::2]], drawn.schema)
+        part = spark.createDataFrame([tuple(r) for r in (toxic + ordinary if few else toxic[half::2] + ordinary[half::2])], drawn.schema)
         return texts.join(F.broadcast(part), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     rows = named_texts(0).select("doc_id", "toxic", _bounded(F.col("text")).alias("text")).collect()
