@@ -46,20 +46,22 @@ def as_fit(df: DataFrame, id_column: str, extra: list[str] | None = None) -> Col
 
 
 def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame | None = None) -> DataFrame:
-    """Adds ``fit``: the timeline estimate holding the PTS, else the shot's fit, else the shared ``*`` fit.
+    """Adds ``fit``: the timeline estimate holding the PTS, else the shot's fit, else the shared ``*`` fit of the row's source.
 
-    More than one shared fit raises: which one holds would be chance.
-    timeline(shot_id, pts_start, pts_end, fit), shot_fits(shot_id, fit)
+    timeline(shot_id, pts_start, pts_end, fit), shot_fits([source_id,] shot_id, fit). Without source_id in both tables
+    there is one shared fit for all. More than one shared fit of a source raises: which one holds would be chance.
     """
     spans = timeline.select("shot_id", F.col("pts_start").alias("_s"), F.col("pts_end").alias("_e"), "fit")
     found = interval_join(rows, spans, ["shot_id"], "pts", "_s", "_e", PTS_BUCKET, how="left").drop("_s", "_e")
     if shot_fits is None:
         return found
-    own = shot_fits.select("shot_id", F.col("fit").alias("_own"))
+    own = shot_fits.filter("shot_id <> '*'").select("shot_id", F.col("fit").alias("_own"))
     doubled = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one shared fit"))).otherwise(F.first("fit"))
-    shared = shot_fits.filter("shot_id = '*'").agg(doubled.alias("_shared")).withColumn("_one", F.lit(1))
-    joined = found.join(own, "shot_id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one", "left")  # one row
-    return joined.withColumn("fit", F.coalesce("fit", "_own", "_shared")).drop("_own", "_shared", "_one")
+    keyed = "source_id" in shot_fits.columns and "source_id" in rows.columns
+    source = F.col("source_id") if keyed else F.lit("")
+    shared = shot_fits.filter("shot_id = '*'").groupBy(source.alias("_source")).agg(doubled.alias("_shared"))  # a row a source
+    joined = found.join(own, "shot_id", "left").withColumn("_source", source).join(shared, "_source", "left")
+    return joined.withColumn("fit", F.coalesce("fit", "_own", "_shared")).drop("_own", "_shared", "_source")
 
 
 def project_rows(rows: DataFrame, pixel_uncertainty_px: float | None = None) -> DataFrame:
@@ -100,28 +102,37 @@ def project_rows(rows: DataFrame, pixel_uncertainty_px: float | None = None) ->
     )
 
 
-def quality_report(fits: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+def quality_report(fits: DataFrame, errors: DataFrame, keys: list[str], sources: DataFrame | None = None) -> DataFrame:
     """Pooled withheld error per source: no errors means unvalidated (or invalid), never valid.
 
-    fits(*keys, status, eligible), errors(*keys, error_yards)
+    fits(*keys, status, eligible), errors(*keys, error_yards). With ``fit_id`` in both and ``withheld_median_error_yards``
+    in fits, a fit without errors of its own counts with that median. ``sources`` (keys) adds a ``not_provided`` row for
+    every source without a fit.
     """
     per = fits.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("entries"),
         F.bool_and((F.col("status") == "valid") & F.col("eligible")).alias("_all_valid"),
         F.bool_or(F.col("status") == "invalid").alias("_any_invalid"),
     )
+    errors = errors.filter("error_yards is not null")
+    if "fit_id" in fits.columns and "fit_id" in errors.columns:
+        bare = fits.join(errors.select(*keys, "fit_id").distinct(), [*keys, "fit_id"], "left_anti").filter("withheld_median_error_yards is not null")
+        errors = errors.select(*keys, "error_yards").unionByName(bare.select(*keys, F.col("withheld_median_error_yards").alias("error_yards")))
     pooled = exact_quantiles(errors, keys, "error_yards", {"median_error_yards": 0.5, "p95_error_yards": 0.95})
-    counts = errors.filter("error_yards is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("withheld_point_count"))
+    counts = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("withheld_point_count"))
     joined = per.join(pooled, keys, "left").join(counts, keys, "left")
+    if sources is not None:
+        joined = sources.select(*keys).distinct().join(joined, keys, "left")
     median_ok = F.col("median_error_yards") <= MEDIAN_GATE_YARDS
     p95_ok = F.col("p95_error_yards") <= P95_GATE_YARDS
     empty = F.col("withheld_point_count").isNull()
+    none = F.lit(0).cast("bigint")
     return joined.select(
-        *keys, "entries",
-        F.coalesce("withheld_point_count", F.lit(0).cast("bigint")).alias("withheld_point_count"),
+        *keys, F.coalesce("entries", none).alias("entries"),
+        F.coalesce("withheld_point_count", none).alias("withheld_point_count"),
         "median_error_yards", "p95_error_yards",
         median_ok.alias("median_at_most_1_yard"), p95_ok.alias("p95_at_most_2_yards"),
-        F.when(empty & F.col("_any_invalid"), "invalid").when(empty, "unvalidated")
+        F.when(F.col("entries").isNull(), "not_provided").when(empty & F.col("_any_invalid"), "invalid").when(empty, "unvalidated")
         .when(F.col("_all_valid") & median_ok & p95_ok, "valid").otherwise("invalid").alias("status"),
     )
 

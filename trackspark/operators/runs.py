@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.sources.artifacts import missing_artifacts
+from trackspark.sources.artifacts import REQUIRED, missing_artifacts
 
 
 def _as_value(text: Column) -> Column:
@@ -16,6 +16,9 @@ def _as_value(text: Column) -> Column:
 def run_consistency(listing: DataFrame, documents: DataFrame, observation_counts: DataFrame) -> DataFrame:
     """One row per run: ``valid`` or ``invalid`` with the broken cross-file rules.
 
+    Errors keep the order of the checks: missing files in the order of the required list, unreadable documents, then the
+    rules between files. A run whose observation file cannot be counted has no row (or a null) in observation_counts.
+
     listing(run_id, name), documents(run_id, name, value), observation_counts(run_id, rows)
     """
     doc = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
@@ -23,28 +26,34 @@ def run_consistency(listing: DataFrame, documents: DataFrame, observation_counts
         doc("run-manifest.json").alias("manifest"), doc("analysis-config.json").alias("config"), doc("metrics.json").alias("metrics"), doc("identity-links.json").alias("links"),
         doc("identities.json").alias("identities"), doc("tracking-evaluation.json").alias("evaluation"), doc("review.json").alias("review"), doc("calibration.json").alias("calibration"), doc("calibration-quality.json").alias("quality"),
     )
-    gone = missing_artifacts(listing).groupBy("run_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("missing "), "name"))).alias("_missing"))  # a fixed list of names
-    broken_json = documents.filter(F.expr("try_parse_json(value)").isNull()).groupBy("run_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("invalid JSON "), "name"))).alias("_bad"))
-    joined = listing.select("run_id").distinct().join(wide, "run_id", "left").join(gone, "run_id", "left").join(broken_json, "run_id", "left").join(observation_counts, "run_id", "left")
+    # missing and unreadable files in the order of the required list, which is fixed and short
+    place = F.array_position(F.array(*[F.lit(n) for n in REQUIRED]), F.col("name"))
+    broken = documents.filter(F.expr("try_parse_json(value)").isNull()).select("run_id", "name", F.lit("invalid JSON ").alias("rule"))
+    files = missing_artifacts(listing).select("run_id", "name", F.lit("missing ").alias("rule")).unionByName(broken).distinct()
+    files = files.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), "rule", "name"))), lambda e: F.concat(e["rule"], e["name"])).alias("_files"))
+    joined = listing.select("run_id").distinct().join(wide, "run_id", "left").join(files, "run_id", "left").join(observation_counts, "run_id", "left")
     get = lambda doc_name, path: F.get_json_object(doc_name, path)
     differs = lambda a, b: ~a.eqNullSafe(b)
     source = get("manifest", "$.input_sha256")
     ids = F.from_json("identities", "map<string,string>")
-    counted = get("metrics", "$.observation_count").try_cast("bigint")
+    told = get("metrics", "$.observation_count")
+    counted = told.try_cast("bigint")
+    uncountable = told.isNotNull() & (counted.isNull() | F.col("rows").isNull())
+    # fixed values: the sentences of the report
     rules = F.array_compact(F.array(
         F.when(differs(get("manifest", "$.config_hash"), get("config", "$.analysis_hash")), "manifest config_hash does not match analysis-config analysis_hash"),
         F.when(source.isNotNull() & differs(get("config", "$.source_sha256"), source), "analysis-config source_sha256 does not match manifest input_sha256"),
         F.when(differs(get("metrics", "$.analysis.analysis_hash"), get("config", "$.analysis_hash")), "metrics analysis hash does not match analysis-config"),
-        F.when(counted.isNotNull() & differs(counted, F.col("rows")), "metrics observation_count does not match observations"),
+        F.when(uncountable, "unable to count observations.csv").when(told.isNotNull() & (counted != F.col("rows")), "metrics observation_count does not match observations.csv"),
         F.when(differs(get("links", "$.schema_version").try_cast("int"), F.lit(2)), "identity-links schema_version is not 2"),
-        F.when(differs(get("links", "$.tracklet_count").try_cast("int"), F.coalesce(F.size(ids), F.lit(0))), "identity-links tracklet_count does not match identities"),
-        F.when(differs(get("links", "$.player_id_count").try_cast("int"), F.coalesce(F.size(F.array_distinct(F.map_values(ids))), F.lit(0))), "identity-links player_id_count does not match identities"),
+        F.when(differs(get("links", "$.tracklet_count").try_cast("int"), F.coalesce(F.size(ids), F.lit(0))), "identity-links tracklet_count does not match identities.json"),
+        F.when(differs(get("links", "$.player_id_count").try_cast("int"), F.coalesce(F.size(F.array_distinct(F.map_values(ids))), F.lit(0))), "identity-links player_id_count does not match identities.json"),
         F.when(differs(_as_value(get("evaluation", "$.promotion_gate")), _as_value(get("review", "$.promotion_gate"))), "review and tracking-evaluation promotion gates differ"),
         F.when(source.isNotNull() & get("calibration", "$.source_sha256").isNotNull() & differs(get("calibration", "$.source_sha256"), source), "calibration source_sha256 does not match manifest input_sha256"),
         F.when(differs(get("quality", "$.schema_version").try_cast("int"), F.lit(1)), "calibration-quality schema_version is not 1"),
     ))
     none = F.array().cast("array<string>")
-    errors = F.concat(F.coalesce("_missing", none), F.coalesce("_bad", none), rules)
+    errors = F.concat(F.coalesce("_files", none), rules)
     return joined.select("run_id", errors.alias("errors")).withColumn("status", F.when(F.size("errors") == 0, "valid").otherwise("invalid"))
 
 

@@ -189,21 +189,21 @@ def s17(v):
     return missing_artifacts(listing).groupBy("run_id").agg(F.count("*").alias("missing"))
 
 
-RUNS = """SELECT o_custkey AS run_no, count(*) AS n, min(o_orderkey) % 3 = 0 AS bad_hash, min(o_orderkey) % 5 = 0 AS bad_count, min(o_orderkey) % 7 = 0 AS bad_gate, min(o_orderkey) % 11 = 0 AS no_shots FROM orders GROUP BY o_custkey"""
+RUNS = """SELECT o_custkey AS run_no, count(*) AS n, min(o_orderkey) % 3 = 0 AS bad_hash, min(o_orderkey) % 5 = 0 AS bad_count, min(o_orderkey) % 7 = 0 AS bad_gate, min(o_orderkey) % 11 = 0 AS no_shots, max(o_orderkey) % 13 = 0 AS no_count, max(o_orderkey) % 17 = 0 AS broken_review FROM orders GROUP BY o_custkey"""
 
 
 @query("a20_run_consistency", "", f"""
-SELECT concat('run-', CAST(run_no AS STRING)) AS run_id, concat_ws('; ', CASE WHEN no_shots THEN 'missing shots.json' END, CASE WHEN bad_hash THEN 'manifest config_hash does not match analysis-config analysis_hash' END, CASE WHEN bad_count THEN 'metrics observation_count does not match observations' END,
- CASE WHEN bad_gate THEN 'review and tracking-evaluation promotion gates differ' END) AS errors, CASE WHEN bad_hash OR bad_count OR bad_gate OR no_shots THEN 'invalid' ELSE 'valid' END AS status FROM ({RUNS})""")
+SELECT concat('run-', CAST(run_no AS STRING)) AS run_id, concat_ws('; ', CASE WHEN broken_review THEN 'invalid JSON review.json' END, CASE WHEN no_shots THEN 'missing shots.json' END, CASE WHEN bad_hash THEN 'manifest config_hash does not match analysis-config analysis_hash' END, CASE WHEN no_count THEN 'unable to count observations.csv' WHEN bad_count THEN 'metrics observation_count does not match observations.csv' END,
+ CASE WHEN bad_gate OR broken_review THEN 'review and tracking-evaluation promotion gates differ' END) AS errors, CASE WHEN bad_hash OR bad_count OR bad_gate OR no_shots OR no_count OR broken_review THEN 'invalid' ELSE 'valid' END AS status FROM ({RUNS})""")
 def a20(v):
     runs = v.spark.sql(with_views("", f"SELECT * FROM ({RUNS})", v.sf_dir)).withColumn("run_id", F.concat(F.lit("run-"), F.col("run_no").cast("string")))
     js = lambda *fields: F.to_json(F.struct(*fields))
     lit = lambda value, name: F.lit(value).alias(name)
     docs = {
         "run-manifest.json": js(F.when(F.col("bad_hash"), "x").otherwise("h").alias("config_hash"), lit("s", "input_sha256")), "analysis-config.json": js(lit("h", "analysis_hash"), lit("s", "source_sha256")),
-        "metrics.json": js(F.struct(lit("h", "analysis_hash")).alias("analysis"), (F.col("n") + F.when(F.col("bad_count"), 1).otherwise(0)).alias("observation_count")),
+        "metrics.json": js(F.struct(lit("h", "analysis_hash")).alias("analysis"), F.when(F.col("no_count"), "many").otherwise((F.col("n") + F.when(F.col("bad_count"), 1).otherwise(0)).cast("string")).alias("observation_count")),
         "identity-links.json": js(lit(2, "schema_version"), lit(2, "tracklet_count"), lit(1, "player_id_count")), "identities.json": js(lit("P01", "a"), lit("P01", "b")),
-        "tracking-evaluation.json": js(F.struct(lit("failed", "status")).alias("promotion_gate")), "review.json": js(F.struct(F.when(F.col("bad_gate"), "passed").otherwise("failed").alias("status")).alias("promotion_gate")),
+        "tracking-evaluation.json": js(F.struct(lit("failed", "status")).alias("promotion_gate")), "review.json": F.when(F.col("broken_review"), "{").otherwise(js(F.struct(F.when(F.col("bad_gate"), "passed").otherwise("failed").alias("status")).alias("promotion_gate"))),
         "calibration.json": js(lit("s", "source_sha256")), "calibration-quality.json": js(lit(1, "schema_version")), "tracklet-refinement.json": js(lit(1, "schema_version")), "shots.json": js(lit(1, "schema_version")),
     }
     documents = runs.select("run_id", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), d.alias("value")) for k, d in docs.items()])).alias("d"), "no_shots").select("run_id", "d.name", "d.value", "no_shots")

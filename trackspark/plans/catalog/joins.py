@@ -60,18 +60,23 @@ def j2(v):
     return rows.groupBy("source_id", "shot_id", "overlapping").agg(F.count("*").alias("n"))
 
 
-@query("j3_calibration_at_pts", "obs keyframes", f""", {CLOSED}
-SELECT o.shot_id, o.tracklet_id, o.frame_index, coalesce(k.keyframe_id, s.keyframe_id, g.keyframe_id) AS calibration_id FROM obs o
+SOURCE = "concat('game-', CAST(CAST(substr(shot_id, 6) AS INT) % 3 AS STRING))"
+
+
+@query("j3_calibration_at_pts", "obs keyframes", f""", {CLOSED}, o AS (SELECT *, {SOURCE} AS source_id FROM obs)
+SELECT o.shot_id, o.tracklet_id, o.frame_index, coalesce(k.keyframe_id, s.keyframe_id, g.keyframe_id) AS calibration_id FROM o
 LEFT JOIN closed k ON k.shot_id = o.shot_id AND o.pts >= k.pts_start AND (k.pts_end IS NULL OR o.pts < k.pts_end)
 LEFT JOIN (SELECT shot_id, max(keyframe_id) AS keyframe_id FROM keyframes GROUP BY shot_id HAVING count(*) > 4 AND max(key_no) % 2 = 0) s ON s.shot_id = o.shot_id
-CROSS JOIN (SELECT min(keyframe_id) AS keyframe_id FROM keyframes) g""")
+LEFT JOIN (SELECT {SOURCE} AS source_id, min(keyframe_id) AS keyframe_id FROM keyframes GROUP BY 1) g ON g.source_id = o.source_id AND o.source_id <> 'game-2'""")
 def j3(v):
+    """Shared fits of two games; the third has none."""
     keys = v.keyframes
     per_shot = keys.groupBy("shot_id").agg(F.count("*").alias("n"), F.max_by(F.struct(*keys.columns), "keyframe_id").alias("k"), F.max("key_no").alias("last"))
-    own = per_shot.filter("n > 4 AND last % 2 = 0").select("k.*")
-    shared = keys.agg(F.min_by(F.struct(*keys.columns), "keyframe_id").alias("k")).select("k.*").withColumn("shot_id", F.lit("*"))
+    own = per_shot.filter("n > 4 AND last % 2 = 0").select("k.*").withColumn("source_id", F.lit(None).cast("string"))
+    of_game = keys.withColumn("source_id", F.expr(SOURCE)).filter("source_id <> 'game-2'").groupBy("source_id")
+    shared = of_game.agg(F.min_by(F.struct(*keys.columns), "keyframe_id").alias("k")).select("k.*", "source_id").withColumn("shot_id", F.lit("*"))
     fits = own.unionByName(shared)
-    rows = CAL.calibration_at(v.obs, timeline(v), fits.select("shot_id", CAL.as_fit(fits, "keyframe_id").alias("fit")))
+    rows = CAL.calibration_at(v.obs.withColumn("source_id", F.expr(SOURCE)), timeline(v), fits.select("source_id", "shot_id", CAL.as_fit(fits, "keyframe_id").alias("fit")))
     return rows.select("shot_id", "tracklet_id", "frame_index", F.col("fit.calibration_id").alias("calibration_id"))
 
 
