@@ -173,10 +173,11 @@ def a14(v):
 SELECT k.keyframe_id, k.entries, coalesce(q.n, 0) AS withheld_point_count, round(med,6) AS median_error_yards, round(p95,6) AS p95_error_yards, med <= 1 AS median_at_most_1_yard, p95 <= 2 AS p95_at_most_2_yards,
  CASE WHEN n IS NULL AND status = 'invalid' THEN 'invalid' WHEN n IS NULL THEN 'unvalidated' WHEN ok AND med <= 1 AND p95 <= 2 THEN 'valid' ELSE 'invalid' END AS status
 FROM (SELECT keyframe_id, shot_id, key_no, status, CAST(1 AS BIGINT) AS entries, status = 'valid' AND {ELIGIBLE} AS ok FROM keyframes) k
-LEFT JOIN (SELECT key_no, shot_id, count(*) AS n, median(error_yards) AS med, quantile_cont(error_yards, 0.95) AS p95 FROM withheld WHERE error_yards > 0.25 GROUP BY 1, 2) q ON q.key_no = k.key_no AND q.shot_id = k.shot_id""")
+LEFT JOIN (SELECT key_no, shot_id, nullif(count(e), 0) AS n, median(e) AS med, quantile_cont(e, 0.95) AS p95 FROM (SELECT *, CASE WHEN error_yards > 0.25 THEN error_yards END AS e FROM withheld) GROUP BY 1, 2) q ON q.key_no = k.key_no AND q.shot_id = k.shot_id""")
 def a15(v):
     keys = v.keyframes
-    errors = v.withheld.filter("error_yards > 0.25").join(keys.select("shot_id", "key_no", "keyframe_id"), ["shot_id", "key_no"])
+    # small errors are unknown
+    errors = v.withheld.withColumn("error_yards", F.expr("CASE WHEN error_yards > 0.25 THEN error_yards END")).join(keys.select("shot_id", "key_no", "keyframe_id"), ["shot_id", "key_no"])
     out = CAL.quality_report(keys.withColumn("eligible", G.identity_eligible()), errors, ["keyframe_id"])
     return out.withColumn("median_error_yards", F.round("median_error_yards", 6)).withColumn("p95_error_yards", F.round("p95_error_yards", 6))
 

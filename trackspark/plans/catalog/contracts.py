@@ -99,9 +99,11 @@ def v10(v):
 SELECT rule, {COUNT} FROM (SELECT unnest(list_filter([CASE WHEN f.frame_index IS NULL THEN 'unknown_frame' END,
   CASE WHEN f.pts <> o.pts + (CASE WHEN o.score > 0.7 THEN 1 ELSE 0 END) THEN 'pts_mismatch' END,
   CASE WHEN o.x1 < 0 OR o.x2 > 100 OR o.y1 < 0 OR o.y2 > 60 THEN 'outside_image' END], lambda x: x IS NOT NULL)) AS rule
- FROM obs o LEFT JOIN (SELECT * FROM frames WHERE labeled) f ON f.frame_index = o.frame_index AND f.shot_id = o.shot_id) GROUP BY rule""")
+ FROM obs o LEFT JOIN (SELECT * REPLACE (CASE WHEN labeled THEN frame_index ELSE -1 - frame_index END AS frame_index) FROM frames) f ON f.frame_index = o.frame_index AND f.shot_id = o.shot_id) GROUP BY rule""")
 def v8(v):
-    index = v.frames.filter("labeled").select(F.col("shot_id").alias("source_id"), "frame_index", F.col("pts").alias("index_pts"))
+    # frames without a label carry numbers that no row has
+    number = F.when(F.col("labeled"), F.col("frame_index")).otherwise(-1 - F.col("frame_index"))
+    index = v.frames.select(F.col("shot_id").alias("source_id"), number.alias("frame_index"), F.col("pts").alias("index_pts"))
     rows = v.obs.select(
         F.col("shot_id").alias("source_id"), "frame_index",
         (F.col("pts") + F.when(F.col("score") > 0.7, 1).otherwise(0)).alias("pts"), "x1", "y1", "x2", "y2",
@@ -111,12 +113,12 @@ def v8(v):
 
 @query("v8_frame_index_order", "", """
 SELECT shot_no, CAST(sum(CASE WHEN prev >= pts THEN 1 ELSE 0 END) AS BIGINT) AS not_increasing, CAST(sum(CASE WHEN frame - pf > 1 THEN 1 ELSE 0 END) AS BIGINT) AS gaps
-FROM (SELECT floor(event_id/500.0) AS shot_no, event_id AS frame, CAST(floor(value*4) AS BIGINT) AS pts,
-  lag(CAST(floor(value*4) AS BIGINT)) OVER (PARTITION BY floor(event_id/500.0) ORDER BY event_id) AS prev,
-  lag(event_id) OVER (PARTITION BY floor(event_id/500.0) ORDER BY event_id) AS pf FROM events WHERE value > 1) GROUP BY shot_no""")
+FROM (SELECT *, lag(pts) OVER (PARTITION BY shot_no ORDER BY frame) AS prev, lag(frame) OVER (PARTITION BY shot_no ORDER BY frame) AS pf
+  FROM (SELECT floor(event_id/500.0) AS shot_no, event_id + CAST(floor(event_id/7.0) AS BIGINT) AS frame, CAST(floor(value*4) AS BIGINT) AS pts FROM events)) GROUP BY shot_no""")
 def v8_order(v):
-    index = v.events.filter("value > 1").select(
-        F.floor(F.col("event_id") / 500.0).cast("double").alias("shot_no"), F.col("event_id").alias("frame_index"),
+    # every seventh frame number is skipped
+    index = v.events.select(
+        F.floor(F.col("event_id") / 500.0).cast("double").alias("shot_no"), (F.col("event_id") + F.floor(F.col("event_id") / 7.0)).alias("frame_index"),
         F.floor(F.col("value") * 4).alias("pts"),
     )
     return C.index_order(index, ["shot_no"])

@@ -129,7 +129,7 @@ def _attributes(v):
     from trackspark.operators.cues import reviewed_numbers
     from trackspark.plans.catalog.aggregates import candidates
 
-    numbers = reviewed_numbers(v.reads, candidates(v)).filter("number between 1 and 3").groupBy("tracklet_id").agg(F.sort_array(F.collect_set("number")).alias("jerseys"))
+    numbers = reviewed_numbers(v.reads, candidates(v)).withColumn("number", F.col("number") % 4).groupBy("tracklet_id").agg(F.sort_array(F.collect_set("number")).alias("jerseys"))
     return plays.join(t, "tracklet_id", "left").join(numbers, "tracklet_id", "left")
 
 

@@ -14,7 +14,7 @@ from trackspark.plans.catalog.identity import RAW_LINKS
 from trackspark.plans.catalog.scans import scratch
 from trackspark.plans.views import with_views
 from trackspark.session import cut_lineage
-from trackspark.sources.artifacts import REQUIRED, missing_artifacts
+from trackspark.sources.artifacts import REQUIRED, list_artifacts, missing_artifacts
 from trackspark.streaming import stateful as ST
 from trackspark.streaming import windows as SW
 
@@ -178,15 +178,19 @@ def x3(v):
     return injective_matches(edges).groupBy("shot_id").agg(F.count("*").alias("matches"), F.round(F.sum("iou"), 6).alias("total_iou"))
 
 
-PRESENT = """SELECT o_custkey AS run_no, CAST(o_orderkey % 15 AS INT) AS i FROM orders"""
+#: One line per order, dealt over the files of 40 runs; every fourth file of a run got another name.
+PRESENT = """SELECT o_custkey % 40 AS run_no, CAST(o_orderkey % 15 AS INT) AS i, (o_custkey % 40 + o_orderkey % 15) % 4 = 0 AS renamed, concat(CAST(o_orderkey AS STRING), ' ', o_orderpriority) AS line FROM orders"""
 
 
 @query("s17_run_artifact_scan", "", f"""
-WITH p AS (SELECT DISTINCT run_no, i FROM ({PRESENT})) SELECT concat('run-', CAST(run_no AS STRING)) AS run_id, CAST(15 - count(*) AS BIGINT) AS missing FROM p GROUP BY run_no HAVING count(*) < 15""")
+WITH p AS (SELECT DISTINCT run_no, i FROM ({PRESENT}) WHERE NOT renamed) SELECT concat('run-', CAST(run_no AS STRING)) AS run_id, CAST(15 - count(*) AS BIGINT) AS missing FROM p GROUP BY run_no HAVING count(*) < 15""")
 def s17(v):
     names = F.array(*[F.lit(n) for n in REQUIRED])
-    listing = v.spark.sql(with_views("", f"SELECT * FROM ({PRESENT})", v.sf_dir)).select(F.concat(F.lit("run-"), F.col("run_no").cast("string")).alias("run_id"), F.get(names, F.col("i")).alias("name")).distinct()
-    return missing_artifacts(listing).groupBy("run_id").agg(F.count("*").alias("missing"))
+    name = F.when(F.col("renamed"), "notes.txt").otherwise(F.get(names, F.col("i")))
+    lines = v.spark.sql(with_views("", f"SELECT * FROM ({PRESENT})", v.sf_dir)).select(F.concat(F.lit("run-"), F.col("run_no").cast("string")).alias("run_id"), name.alias("name"), "line")
+    root = scratch(v, "runs")
+    lines.repartition("run_id").write.partitionBy("run_id", "name").text(root)
+    return missing_artifacts(list_artifacts(v.spark, root)).groupBy("run_id").agg(F.count("*").alias("missing"))
 
 
 RUNS = """SELECT o_custkey AS run_no, count(*) AS n, min(o_orderkey) % 3 = 0 AS bad_hash, min(o_orderkey) % 5 = 0 AS bad_count, min(o_orderkey) % 7 = 0 AS bad_gate, min(o_orderkey) % 11 = 0 AS no_shots, max(o_orderkey) % 13 = 0 AS no_count, max(o_orderkey) % 17 = 0 AS broken_review FROM orders GROUP BY o_custkey"""

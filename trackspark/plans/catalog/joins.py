@@ -95,17 +95,19 @@ def j4(v):
 ANCHORS = """SELECT play_id, shot_id, CASE WHEN sum(n) % 3 = 0 THEN NULL ELSE min(pts) END AS source_pts, min(frame_index) AS source_frame, CASE WHEN sum(n) % 2 = 0 THEN min(play_time_s) END AS anchor_s FROM events_map GROUP BY play_id, shot_id HAVING sum(n) % 7 <> 1"""
 
 
-@query("j5_play_time_by_anchor", "obs events_map", f""", seg AS (SELECT *, lead(pts) OVER w AS to_pts, lead(play_time_s) OVER w AS to_s, lag(pts) OVER w IS NULL AS is_first FROM events_map WHERE play_id = (SELECT max(play_id) FROM events_map) WINDOW w AS (PARTITION BY play_id, shot_id ORDER BY pts)), {TIMED},
+HAS_MAP = "CAST(substr(play_id, 6) AS INT) % 2 = 0"
+
+
+@query("j5_play_time_by_anchor", "obs events_map", f""", seg AS (SELECT *, lead(pts) OVER w AS to_pts, lead(play_time_s) OVER w AS to_s, lag(pts) OVER w IS NULL AS is_first FROM (SELECT * REPLACE (CASE WHEN {HAS_MAP} THEN play_id ELSE concat('lost-', play_id) END AS play_id) FROM events_map) WINDOW w AS (PARTITION BY play_id, shot_id ORDER BY pts)), {TIMED},
  anchors AS ({ANCHORS})
-SELECT t.play_id, t.shot_id, t.tracklet_id, t.frame_index, CASE WHEN t.play_id = (SELECT max(play_id) FROM events_map) THEN 'play-time-map' ELSE 'legacy-anchor-offset' END AS time_map_id,
- round(CASE WHEN t.play_id = (SELECT max(play_id) FROM events_map) THEN mapped_s WHEN a.source_pts IS NOT NULL THEN coalesce(a.anchor_s,0) + (t.pts - a.source_pts)*1.0E0/30000 ELSE (t.frame_index - a.source_frame)/30.0E0 END, 9) AS play_time_s
+SELECT t.play_id, t.shot_id, t.tracklet_id, t.frame_index, CASE WHEN {HAS_MAP.replace('play_id', 't.play_id')} THEN 'play-time-map' ELSE 'legacy-anchor-offset' END AS time_map_id,
+ round(CASE WHEN {HAS_MAP.replace('play_id', 't.play_id')} THEN mapped_s WHEN a.source_pts IS NOT NULL THEN coalesce(a.anchor_s,0) + (t.pts - a.source_pts)*1.0E0/30000 ELSE (t.frame_index - a.source_frame)/30.0E0 END, 9) AS play_time_s
 FROM timed t LEFT JOIN anchors a ON a.play_id = t.play_id AND a.shot_id = t.shot_id""")
 def j5(v):
     from trackspark.plans.views import with_views
 
-    events = v.events_map
-    last = events.agg(F.max("play_id").alias("play_id"))
-    segments = TM.time_segments(events.join(last, "play_id", "left_semi"))
+    # the events of every second play carry a play id that no row has
+    segments = TM.time_segments(v.events_map.withColumn("play_id", F.expr(f"CASE WHEN {HAS_MAP} THEN play_id ELSE concat('lost-', play_id) END")))
     anchors = v.spark.sql(with_views("events_map", ANCHORS, v.sf_dir))
     rows = v.obs.drop("play_time_s").select("*", F.lit(1.0).alias("tb_num"), F.lit(30000).alias("tb_den"), F.lit(30.0).alias("fps"))
     out = TM.play_clock(rows, segments, anchors)

@@ -239,9 +239,9 @@ def timeline_docs(v):
 
 
 @query("s6_static_calibration_scan", "keyframes", f"""
-SELECT shot_id, concat('homography-', keyframe_id) AS calibration_id, round(m00/m22, 9) AS m00, inlier_count, median_error_px, status, concat_ws(',', CASE WHEN inlier_count > point_count THEN 'point_counts' END) AS broken FROM keyframes k WHERE pts_start = (SELECT min(pts_start) FROM keyframes x WHERE x.shot_id = k.shot_id)""")
+SELECT concat(shot_id, '-', keyframe_id) AS shot_id, concat('homography-', keyframe_id) AS calibration_id, round(m00/m22, 9) AS m00, inlier_count, median_error_px, status, concat_ws(',', CASE WHEN inlier_count > point_count THEN 'point_counts' END) AS broken FROM keyframes""")
 def s6(v):
-    first = v.keyframes.groupBy("shot_id").agg(F.min_by(F.struct(*[c for c in v.keyframes.columns if c != "shot_id"]), "pts_start").alias("k")).select("shot_id", "k.*")
+    first = v.keyframes.withColumn("shot_id", F.concat_ws("-", "shot_id", "keyframe_id"))  # a fixed camera per keyframe
     doc = F.struct(F.lit(1).alias("schema_version"), F.create_map("shot_id", F.struct(
         F.array(*[F.array(*[F.col(f"m{r}{c}") for c in range(3)]) for r in range(3)]).alias("matrix"), "inlier_count", "point_count", F.col("median_error_px"), "median_error_yards",
         "reprojection_threshold_px", "withheld_point_count", "withheld_p95_error_yards", "status", F.concat(F.lit("homography-"), "keyframe_id").alias("calibration_id"),

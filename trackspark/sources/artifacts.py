@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,17 @@ REQUIRED = (
 
 
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id, name, length) of ``root/<run_id>/<name>``; file content is never read."""
+    """(run_id, name, length) of ``root/<run_id>/<name>``; file content is never read.
+
+    An artifact may be a folder, as Spark writes them: its files count as one. Folders named ``key=value`` go by the value.
+    """
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.select(
-        F.element_at(F.split("path", "/"), -2).alias("run_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "length"
-    )
+    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    part = F.split(F.substring(path, F.lit(len(bare) + 2), F.length(path)), "/")
+    named = lambda i: F.regexp_replace(F.get(part, F.lit(i)), "^[^=]+=", "")
+    listed = files.select(named(0).alias("run_id"), named(1).alias("name"), "length").filter("name is not null")
+    return listed.groupBy("run_id", "name").agg(F.sum("length").alias("length"))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
