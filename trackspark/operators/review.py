@@ -201,10 +201,17 @@ def motion_bursts(motion: DataFrame, reach: int = 4) -> DataFrame:
     )
 
 
-def burst_proposals(bursts: DataFrame, fps: float, min_separation_s: float = 0.5, picks: int = 8) -> DataFrame:
-    """Separated motion bursts and camera keyframes with a half-second window on each side."""
+def burst_proposals(bursts: DataFrame, fps: float, min_separation_s: float = 0.5, picks: int = 8, ranges: DataFrame | None = None) -> DataFrame:
+    """Separated motion bursts and camera keyframes with a half-second window on each side.
+
+    Windows are clipped to the frames asked for, ranges(source_id, start_frame, end_frame), even where no motion was
+    measured there; a source without a range is clipped to the frames it has.
+    """
     gap, radius = round(min_separation_s * fps), round(0.5 * fps)
     span = bursts.groupBy("source_id").agg(F.min("frame_index").alias("_lo"), (F.max("frame_index") + 1).alias("_hi"))
+    if ranges is not None:
+        asked = ranges.groupBy("source_id").agg(F.min("start_frame").alias("_from"), F.max("end_frame").alias("_to"))
+        span = span.join(asked, "source_id", "left").select("source_id", F.coalesce("_from", "_lo").alias("_lo"), F.coalesce("_to", "_hi").alias("_hi"))
     burst = separated_top(bursts.filter("not dip"), ["source_id"], gap, picks).withColumn("kind", F.lit("motion_burst"))
     camera = separated_top(
         bursts.filter("camera").withColumn("score", F.col("camera_motion")), ["source_id"], gap, picks

@@ -90,7 +90,7 @@ def t6(v):
 
 
 @query("j16_segment_intersections", "", f"""
-WITH {LONGEST}, p AS (SELECT a.frame_index, a.line_no AS f, b.line_no AS s, a.x1, a.y1, a.x2-a.x1 AS adx, a.y2-a.y1 AS ady, b.x2-b.x1 AS bdx, b.y2-b.y1 AS bdy, b.x1-a.x1 AS dx, b.y1-a.y1 AS dy, a.length AS al, b.length AS bl FROM top a JOIN top b ON a.frame_index = b.frame_index AND a.line_no < b.line_no WHERE a.line_no < 100 AND b.line_no < 100),
+WITH {LONGEST.replace("top AS (", "top AS MATERIALIZED (")}, p AS (SELECT a.frame_index, a.line_no AS f, b.line_no AS s, a.x1, a.y1, a.x2-a.x1 AS adx, a.y2-a.y1 AS ady, b.x2-b.x1 AS bdx, b.y2-b.y1 AS bdy, b.x1-a.x1 AS dx, b.y1-a.y1 AS dy, a.length AS al, b.length AS bl FROM top a JOIN top b ON a.frame_index = b.frame_index AND a.line_no < b.line_no WHERE a.line_no < 100 AND b.line_no < 100),
  q AS (SELECT *, adx*bdy - ady*bdx AS c FROM p), m AS (SELECT *, (dx*bdy-dy*bdx)/c AS t, (dx*ady-dy*adx)/c AS u FROM q WHERE al >= 1 AND bl >= 1 AND abs(c) >= 0.25*al*bl)
 SELECT frame_index, f AS first_line, s AS second_line, round(x1+t*adx, 6) AS x, round(y1+t*ady, 6) AS y, round(least(al,bl)*(0.5+0.5*abs(c)/(al*bl)), 6) AS support FROM m WHERE t BETWEEN -0.15 AND 1.15 AND u BETWEEN -0.15 AND 1.15 AND x1+t*adx >= 4 AND x1+t*adx < 636 AND y1+t*ady >= 4 AND y1+t*ady < 356""")
 def j16(v):

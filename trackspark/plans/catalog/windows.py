@@ -31,9 +31,12 @@ def w4(v):
 MOTION = "motion AS (SELECT source_no AS source_id, frame_index, score*64 AS p95, score*32 AS mean, score*512*(1 + frame_index % 3)/64.0E0 AS camera_motion FROM scores)"
 
 
+MOTION_RATED = """ near AS (SELECT *, list(p95) OVER w AS a, list(p95) OVER x AS b, list(camera_motion) OVER w AS ca, list(camera_motion) OVER x AS cb, lag(p95) OVER o AS before, lead(p95) OVER o AS after FROM motion WINDOW o AS (PARTITION BY source_id ORDER BY frame_index), w AS (PARTITION BY source_id ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), x AS (PARTITION BY source_id ORDER BY frame_index ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+ rated AS (SELECT *, coalesce(list_aggregate(list_concat(coalesce(a, []), coalesce(b, [])), 'median'), 0) AS base, coalesce(list_aggregate(list_concat(coalesce(ca, []), coalesce(cb, [])), 'median'), 0) AS cbase FROM near)"""
+
+
 @query("w5_motion_bursts", "scores", f""", {MOTION},
- near AS (SELECT *, list(p95) OVER w AS a, list(p95) OVER x AS b, list(camera_motion) OVER w AS ca, list(camera_motion) OVER x AS cb, lag(p95) OVER o AS before, lead(p95) OVER o AS after FROM motion WINDOW o AS (PARTITION BY source_id ORDER BY frame_index), w AS (PARTITION BY source_id ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), x AS (PARTITION BY source_id ORDER BY frame_index ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
- rated AS (SELECT *, coalesce(list_aggregate(list_concat(coalesce(a, []), coalesce(b, [])), 'median'), 0) AS base, coalesce(list_aggregate(list_concat(coalesce(ca, []), coalesce(cb, [])), 'median'), 0) AS cbase FROM near)
+{MOTION_RATED}
 SELECT source_id, frame_index, round(greatest(0, p95-base)/greatest(0.25, base), 9) AS score, coalesce(p95 < before AND p95 < after, false) AS dip, camera_motion > greatest(0.5, cbase*1.5) AS camera FROM rated""")
 def w5(v):
     return RV.motion_bursts(motion(v)).select("source_id", "frame_index", F.round("score", 9).alias("score"), "dip", "camera")
@@ -47,9 +50,21 @@ def motion(v):
     )
 
 
-@query("t4_separated_bursts")
+@query("t4_separated_bursts", "scores", f""", {MOTION},
+{MOTION_RATED}, found AS (
+ SELECT source_id, 'motion_burst' AS kind, greatest(0, p95-base)/greatest(0.25, base) AS score, frame_index AS f FROM rated WHERE NOT coalesce(p95 < before AND p95 < after, false)
+ UNION ALL SELECT source_id, 'camera_motion_keyframe_candidate', camera_motion, frame_index FROM rated WHERE camera_motion > greatest(0.5, cbase*1.5)),
+ lists AS (SELECT source_id, kind, list({{'s': score, 'f': f}} ORDER BY score DESC, f) AS rest FROM found GROUP BY 1, 2),
+ span AS (SELECT source_id, min(frame_index) AS lo, max(frame_index) + 1 AS hi FROM motion GROUP BY 1)
+SELECT p.source_id, p.kind, p.pick_no, p.head.f AS frame_index, CAST(floor(round(p.head.s, 4)*1000 + 0.01E0) AS BIGINT) AS score_milli, greatest(CASE WHEN p.source_id % 3 = 0 THEN lo ELSE lo - 5 END, p.head.f - 2) AS window_start_frame, least(CASE WHEN p.source_id % 3 = 0 THEN hi ELSE hi + 1 END, p.head.f + 3) AS window_end_frame
+FROM (WITH RECURSIVE pick AS (SELECT source_id, kind, CAST(0 AS INT) AS pick_no, rest[1] AS head, list_filter(rest, lambda x: abs(x.f - rest[1].f) >= 2) AS rest FROM lists
+  UNION ALL SELECT source_id, kind, CAST(pick_no + 1 AS INT), rest[1], list_filter(rest, lambda x: abs(x.f - rest[1].f) >= 2) FROM pick WHERE len(rest) > 0 AND pick_no < 7) SELECT * FROM pick) p JOIN span s ON s.source_id = p.source_id""")
 def t4(v):
-    return RV.burst_proposals(RV.motion_bursts(motion(v)), fps=4.0)
+    """Two of three sources are asked for from five frames before their first on."""
+    found = motion(v)
+    asked = found.groupBy("source_id").agg((F.min("frame_index") - 5).alias("start_frame"), (F.max("frame_index") + 2).alias("end_frame")).filter("source_id % 3 <> 0")
+    told = RV.burst_proposals(RV.motion_bursts(found), fps=4.0, ranges=asked)
+    return told.withColumn("score_milli", F.floor(F.col("score") * 1000 + 0.01)).drop("score")  # both engines round halves their own way
 
 
 @query("w7_play_windows", "boundaries dets", f""", {RANGES}, shots AS (SELECT *, start_frame*1001 AS start_pts, CASE WHEN end_frame < max(end_frame) OVER (PARTITION BY source_id) THEN end_frame*1001 END AS end_pts FROM ranges),

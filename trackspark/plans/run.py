@@ -155,7 +155,7 @@ def stage_review(
     labels = LB.label_proposals(observations.withColumn("file_path", F.col("shot_id")), frame_map)
     return {
         "play_windows": SH.play_windows(ranges), "review_frames": wanted, "review_pack": RV.review_pack_rows(observations, wanted),
-        "timing_proposals": RV.burst_proposals(RV.motion_bursts(motion), fps), "label_boxes": labels["boxes"], "label_contacts": labels["contacts"],
+        "timing_proposals": RV.burst_proposals(RV.motion_bursts(motion), fps, ranges=ranges.select("source_id", "start_frame", "end_frame")), "label_boxes": labels["boxes"], "label_contacts": labels["contacts"],
         "jersey_samples": TR.best_per_bucket(observations.withColumn("score", F.col("detection_score")), 30, 6),
         "queue": RV.review_queue(links, evidence, observations), "readiness": readiness(inputs),
     }
