@@ -89,16 +89,24 @@ def t6(v):
     return RV.longest_segments(segments(v)).select("frame_index", "line_no", "x1", "y1", F.round("length", 9).alias("length"))
 
 
+CROSSINGS = f"""WITH {LONGEST.replace("top AS (", "top AS MATERIALIZED (")}, p AS (SELECT a.frame_index, a.line_no AS f, b.line_no AS s, a.x1, a.y1, a.x2-a.x1 AS adx, a.y2-a.y1 AS ady, b.x2-b.x1 AS bdx, b.y2-b.y1 AS bdy, b.x1-a.x1 AS dx, b.y1-a.y1 AS dy, a.length AS al, b.length AS bl FROM top a JOIN top b ON a.frame_index = b.frame_index AND a.line_no < b.line_no WHERE a.line_no < 100 AND b.line_no < 100),
+ q AS (SELECT *, adx*bdy - ady*bdx AS c FROM p), m AS (SELECT *, (dx*bdy-dy*bdx)/c AS t, (dx*ady-dy*adx)/c AS u FROM q WHERE al >= 1 AND bl >= 1 AND abs(c) >= 0.25*al*bl)"""
+
+
 @query("j16_segment_intersections", "", f"""
-WITH {LONGEST.replace("top AS (", "top AS MATERIALIZED (")}, p AS (SELECT a.frame_index, a.line_no AS f, b.line_no AS s, a.x1, a.y1, a.x2-a.x1 AS adx, a.y2-a.y1 AS ady, b.x2-b.x1 AS bdx, b.y2-b.y1 AS bdy, b.x1-a.x1 AS dx, b.y1-a.y1 AS dy, a.length AS al, b.length AS bl FROM top a JOIN top b ON a.frame_index = b.frame_index AND a.line_no < b.line_no WHERE a.line_no < 100 AND b.line_no < 100),
- q AS (SELECT *, adx*bdy - ady*bdx AS c FROM p), m AS (SELECT *, (dx*bdy-dy*bdx)/c AS t, (dx*ady-dy*adx)/c AS u FROM q WHERE al >= 1 AND bl >= 1 AND abs(c) >= 0.25*al*bl)
+{CROSSINGS}
 SELECT frame_index, f AS first_line, s AS second_line, round(x1+t*adx, 6) AS x, round(y1+t*ady, 6) AS y, round(least(al,bl)*(0.5+0.5*abs(c)/(al*bl)), 6) AS support FROM m WHERE t BETWEEN -0.15 AND 1.15 AND u BETWEEN -0.15 AND 1.15 AND x1+t*adx >= 4 AND x1+t*adx < 636 AND y1+t*ady >= 4 AND y1+t*ady < 356""")
 def j16(v):
     out = RV.line_intersections(RV.longest_segments(segments(v)), 640, 360)
     return out.select("frame_index", "first_line", "second_line", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("support", 6).alias("support"))
 
 
-@query("t5_suppressed_points")
+@query("t5_suppressed_points", "", f"""
+{CROSSINGS}, hit AS (SELECT frame_index, f, s, x1+t*adx AS x, y1+t*ady AS y, least(al,bl)*(0.5+0.5*abs(c)/(al*bl)) AS support FROM m WHERE t BETWEEN -0.15 AND 1.15 AND u BETWEEN -0.15 AND 1.15 AND x1+t*adx >= 4 AND x1+t*adx < 636 AND y1+t*ady >= 4 AND y1+t*ady < 356),
+ lists AS (SELECT frame_index, list({{'x': x, 'y': y, 'support': support, 'f': f, 's': s}} ORDER BY -support, x, y, f, s) AS rest FROM hit GROUP BY 1)
+SELECT 'src' AS source_id, frame_index, point_no, round_even(head.x, 3) AS kx, round_even(head.y, 3) AS ky, round_even(head.support, 3) AS support, head.f AS first_line, head.s AS second_line FROM (
+WITH RECURSIVE pick AS (SELECT frame_index, CAST(0 AS INT) AS point_no, rest[1] AS head, list_filter(rest, lambda p: pow(round_even(rest[1].x, 3) - p.x, 2) + pow(round_even(rest[1].y, 3) - p.y, 2) >= 144) AS rest FROM lists
+ UNION ALL SELECT frame_index, CAST(point_no + 1 AS INT), rest[1], list_filter(rest, lambda p: pow(round_even(rest[1].x, 3) - p.x, 2) + pow(round_even(rest[1].y, 3) - p.y, 2) >= 144) FROM pick WHERE len(rest) > 0 AND point_no < 199) SELECT * FROM pick)""")
 def t5(v):
     return RV.suppress_points(RV.line_intersections(RV.longest_segments(segments(v)), 640, 360))
 
