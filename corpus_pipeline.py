@@ -57,8 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every document."""
     ship_package(spark)
-    path = vocabulary()
-    told = bpe.decode(bpe.encode(docs, path), path)
+    told = bpe.round_trip(docs, vocabulary())
     return told.select(
         F.expr("try_cast(doc as bigint)").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -122,6 +122,8 @@ def test_bpe_equals_the_library(docs, rows, empty):
     for chars in (1, 500, 8 << 20):  # a block a document, some, one a task
         got = bpe.decode(bpe.encode(docs, path, chars), path).select("doc", "ids", "decoded").collect()
         assert sorted((r[0], list(r[1]), r[2]) for r in got) == sorted(want)
+    got = bpe.round_trip(docs, path, 500).select("doc", "ids", "decoded").collect()
+    assert sorted((r[0], list(r[1]), r[2]) for r in got) == sorted(want)
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
 
 

@@ -120,13 +120,17 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
-def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc, th, ids`` per input row: the document's id as text ('' for null), xxhash64 of the text, its token ids."""
+def _answered(docs: DataFrame, path: str, chars: int, words: int) -> DataFrame:
+    """Blocks with the ids of their dictionaries."""
     blocks = Blocks(docs, words_of, chars=chars, words=words)
     bits = part_bits(blocks.words)
     answers = by_part(ask_words(blocks, bits).select("part", "block", "words"), bits).mapInArrow(_encode(path), "block bigint, part bigint, answer binary")
-    told = blocks.answered(answers).select("docs", "ths", "sizes", "numbers", "n_words", "words", "answer0")
-    return told.mapInArrow(_assemble, "doc string, th bigint, ids array<int>")
+    return blocks.answered(answers).select("docs", "ths", "sizes", "numbers", "n_words", "words", "answer0")
+
+
+def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc, th, ids`` per input row: the document's id as text ('' for null), xxhash64 of the text, its token ids."""
+    return _answered(docs, path, chars, words).mapInArrow(_assemble, "doc string, th bigint, ids array<int>")
 
 
 class Pieces:
@@ -171,3 +175,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     entry, so its size is fixed), pieces joined in order and read as UTF-8."""
     pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(path))
     return encoded.mapInArrow(_decode(pieces), "doc string, th bigint, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the blocks: ids meet the id-to-piece table in the task that made them."""
+    decoded = _decode(docs.sparkSession.sparkContext.broadcast(piece_table(path)))
+    schema = "doc string, th bigint, ids array<int>, decoded string"
+    return _answered(docs, path, chars, words).mapInArrow(lambda batches: decoded(_assemble(batches)), schema)

@@ -64,8 +64,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    told = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    told = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
     return told.select(
         F.expr("try_cast(doc as bigint)").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
