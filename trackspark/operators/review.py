@@ -210,8 +210,8 @@ def burst_proposals(bursts: DataFrame, fps: float, min_separation_s: float = 0.5
     gap, radius = round(min_separation_s * fps), round(0.5 * fps)
     span = bursts.groupBy("source_id").agg(F.min("frame_index").alias("_lo"), (F.max("frame_index") + 1).alias("_hi"))
     if ranges is not None:
-        asked = ranges.groupBy("source_id").agg(F.min("start_frame").alias("_from"), F.max("end_frame").alias("_to"))
-        span = span.join(asked, "source_id", "left").select("source_id", F.coalesce("_from", "_lo").alias("_lo"), F.coalesce("_to", "_hi").alias("_hi"))
+        asked = ranges.groupBy(F.col("source_id").cast("string").alias("_asked")).agg(F.min("start_frame").alias("_from"), F.max("end_frame").alias("_to"))
+        span = span.join(asked, F.col("source_id").cast("string") == F.col("_asked"), "left").select("source_id", F.coalesce("_from", "_lo").alias("_lo"), F.coalesce("_to", "_hi").alias("_hi"))
     burst = separated_top(bursts.filter("not dip"), ["source_id"], gap, picks).withColumn("kind", F.lit("motion_burst"))
     camera = separated_top(
         bursts.filter("camera").withColumn("score", F.col("camera_motion")), ["source_id"], gap, picks
