@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, MOST_BYTES, MAX_LANGS, SALTS = 300, 16_384, 256, 64
+PER_LANG, MOST_BYTES, MAX_LANGS, SALTS = 300, 16_384, 256, 16
 PAD = b"\n\n\n"
 CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -67,7 +67,7 @@ def learn(docs: DataFrame, usable: Column) -> "Model":
         raise ValueError(f"more than {MAX_LANGS} languages")
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     sample = sample.select("doc_id", "lang", bounded(F.col("text")).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    counted = sample.select("lang", "text").mapInPandas(_count, "lang string, quad bigint, n bigint").groupBy("lang", "quad").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").repartition("lang").mapInPandas(_count, "lang string, quad bigint, n bigint").groupBy("lang", "quad").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     return Model(sorted(names), table)
 
