@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from trackspark.session import shared_dir
 
 BLOCK_CHARS, BLOCK_WORDS = 8 << 20, 400_000
+#: Input bytes behind one bucket, buckets at most (Spark's own limit), and estimates that stand for "unknown".
+BUCKET_BYTES, MOST_BUCKETS, UNKNOWN_SIZE = 128 << 20, 100_000, 1 << 60
 #: Keys in a part, counted once per block that holds them.
 PART_KEYS = 1 << 18
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -134,6 +136,16 @@ def _gather(cut, chars: int, words: int):
     return run
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of the block table: two a shuffle partition, more for inputs that would fill a bucket over ``BUCKET_BYTES``.
+
+    The size is Spark's own estimate of the input (file sizes); where it has none, the first number holds.
+    """
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < UNKNOWN_SIZE else least
+
+
 class Blocks:
     """The written blocks and what their sizes say about parts."""
 
@@ -144,7 +156,7 @@ class Blocks:
             F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.xxhash64("text").alias("th"),
             (F.lit("") if group is None else group).alias("grp"), "text",
         )
-        self.buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = bucket_count(docs)
         name = f"blocks_{uuid.uuid4().hex}"
         made = slim.mapInArrow(_gather(cut, chars, words), _DDL)
         made.write.bucketBy(self.buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
