@@ -142,7 +142,7 @@ def bucket_count(docs: DataFrame) -> int:
     The size is Spark's own estimate of the input (file sizes); where it has none, the first number holds.
     """
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < UNKNOWN_SIZE else least
 
 
