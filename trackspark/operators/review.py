@@ -75,14 +75,18 @@ def _priority(kind: Column, has_link: Column, has_evidence: Column) -> tuple[Col
 def review_queue(links: DataFrame, evidence: DataFrame, rows: DataFrame, max_items: int | None = 100, samples_per_pair: int = 3) -> DataFrame:
     """Ordered review items per play: every pair with a link or evidence, and every unmatched tracklet.
 
-    ``max_items`` of None emits all; each item carries its play's total and emitted count.
+    ``max_items`` of None emits all; each item carries its play's total and emitted count. A side of a sample without
+    a row says why, but for unmatched tracklets, which are shown by their middle row.
 
-    links(play_id, left_key, right_key, decision, score, alternative_score, ambiguity_margin, rejection_reason),
+    links(play_id, left_key, right_key, decision, score, alternative_score, ambiguity_margin, rejection_reason and, if
+    there, evidence_keys array<string>),
     evidence as from ``pair_evidence``, rows(tracklet_id, frame_index, pts, play_time_s)
     """
     key = ["play_id", "left_key", "right_key"]
+    no_keys = F.array().cast("array<string>")
     linked = links.select(
-        *key, "decision", F.col("score").alias("link_score"), "alternative_score", "ambiguity_margin", F.col("rejection_reason").alias("link_reason"), F.lit(True).alias("_linked")
+        *key, "decision", F.col("score").alias("link_score"), "alternative_score", "ambiguity_margin", F.col("rejection_reason").alias("link_reason"), F.lit(True).alias("_linked"),
+        (F.col("evidence_keys") if "evidence_keys" in links.columns else no_keys).alias("evidence_keys"),
     )
     known = evidence.select(
         *key, "eligible", F.col("score").alias("evidence_score"), "review_rank_score", "reviewed_jersey_conflict", "left_team", "right_team",
@@ -104,7 +108,11 @@ def review_queue(links: DataFrame, evidence: DataFrame, rows: DataFrame, max_ite
     items = items.select(
         *key, "kind", F.coalesce("decision", unmatched_default).alias("decision"), priority.alias("priority"), reasons.alias("priority_reasons"),
         F.coalesce("link_score", rank_or_score).alias("score"), "alternative_score", "ambiguity_margin",
-        F.coalesce("link_reason", "evidence_reason").alias("rejection_reason"),
+        F.coalesce("link_reason", "evidence_reason").alias("rejection_reason"), F.coalesce("evidence_keys", no_keys).alias("evidence_keys"),
+        F.lit("unreviewed").alias("review_status"), F.when(has_evidence, F.struct(
+            "eligible", F.col("evidence_score").alias("score"), "review_rank_score", "left_team", "right_team", "paired_sample_count",
+            "combined_uncertainty_yards", "overlap_start_s", "overlap_end_s", "overlap_span_s", F.col("evidence_reason").alias("rejection_reason"),
+        )).alias("evidence"),
         review_item_id(F.col("play_id"), F.col("left_key"), F.col("right_key"), F.col("kind")).alias("review_item_id"),
         "overlap_start_s", "overlap_end_s",
     )
@@ -137,8 +145,14 @@ def _queue_samples(top: DataFrame, rows: DataFrame, samples_per_pair: int) -> Da
     found = by_time.unionByName(by_middle).groupBy("review_item_id", "_no").agg(
         F.max(F.when(F.col("side") == "left", F.col("row"))).alias("left"), F.max(F.when(F.col("side") == "right", F.col("row"))).alias("right")
     )
-    full = wanted.join(found, ["review_item_id", "_no"], "left").select(
-        "review_item_id", "_no", "right_key", F.struct(F.col("target_s").alias("requested_play_time_s"), "left", "right").alias("sample")
+    seen = rows.select("tracklet_id").distinct()
+    has = lambda side: seen.select(F.col("tracklet_id").alias(f"{side}_key"), F.lit(True).alias(f"_{side}_seen"))
+    why = lambda side: F.when(F.col("right_key").isNotNull() & F.col(side).isNull(), F.when(
+        F.col(f"_{side}_seen"), "no_observation_within_time_tolerance").otherwise("no_tracklet_observations")).alias(f"{side}_missing_reason")
+    known = wanted.join(has("left"), "left_key", "left").join(has("right"), "right_key", "left")
+    full = known.join(found, ["review_item_id", "_no"], "left").select(
+        "review_item_id", "_no", "right_key",
+        F.struct(F.col("target_s").alias("requested_play_time_s"), "left", "right", why("left"), why("right")).alias("sample"),
     )
     listed = full.groupBy("review_item_id").agg(  # at most ``samples_per_pair`` entries
         F.sort_array(F.collect_list(F.struct("_no", "sample"))).alias("_all"), F.first("right_key").alias("_right")

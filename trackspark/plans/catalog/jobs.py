@@ -9,7 +9,7 @@ from trackspark.operators import runs as RN
 from trackspark.operators import tracking as TK
 from trackspark.plans import run as RUN
 from trackspark.plans.catalog import query
-from trackspark.plans.catalog.aggregates import PROTOTYPES
+from trackspark.plans.catalog.aggregates import PROTOTYPES, candidates
 from trackspark.plans.catalog.identity import RAW_LINKS
 from trackspark.plans.catalog.scans import scratch
 from trackspark.plans.views import with_views
@@ -270,9 +270,14 @@ def analytics(v, scored: bool = True):
     anchors = frames.groupBy("shot_id").agg(F.min("frame_index").alias("source_frame")).select(
         F.concat(F.lit("play-"), F.floor(F.col("source_frame") / 7500).cast("string")).alias("play_id"), "shot_id", (F.col("source_frame") * 1001).alias("source_pts"), "source_frame", F.lit(0.0).alias("anchor_s")
     )
+    # a play leaves out the last frame of each of its shots
+    play_ranges = frames.groupBy("shot_id").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame")).select(
+        F.concat(F.lit("play-"), F.floor(F.col("start_frame") / 7500).cast("string")).alias("play_id"), "shot_id", "start_frame", "end_frame"
+    )
     truth = smooth(v.ref_sep)
     ids = truth.select("shot_id", "object_id").distinct().withColumn("global_id", F.concat(F.lit("G"), "object_id"))
     extra = {"references": truth, "frames": frames, "global_map": ids} if scored else {}
+    extra |= {"reads": v.reads, "read_candidates": candidates(v), "crop_embeddings": v.embeds, "play_ranges": play_ranges}
     extra |= {"withheld": v.withheld, "detectors": v.spark.createDataFrame([("src", False)], "source_id string, proxy boolean")}
     return RUN.run_analytics(dets, ranges, no_splits, crops, PROTOTYPES, line, points(0), points(100), anchors, threshold=0.5, **extra)
 

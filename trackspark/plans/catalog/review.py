@@ -30,17 +30,21 @@ def simple_links(ev):
     return made.unionByName(alone)
 
 
-@query("t1_review_queue", "obs crops reads embeds", f""", {EVIDENCE}, {LINKS}, play AS (SELECT DISTINCT tracklet_id, play_id FROM obs),
- ev2 AS (SELECT *, CASE WHEN gate IS NULL THEN n ELSE 0 END AS pn, CASE WHEN gate IS NULL AND n >= 5 THEN s2 - s1 ELSE 0 END AS span, CASE WHEN gate IS NULL AND n >= 5 AND s2-s1 >= 0.4 THEN u50 END AS unc, CASE WHEN reason IS NULL THEN CASE WHEN rank IS NOT NULL THEN round_even(0.75*score + 0.25*rank, 6) ELSE score END END AS rr FROM ev),
- items AS (SELECT coalesce(e.left_key, k.l) AS l, coalesce(e.right_key, k.r) AS r, e.left_key IS NOT NULL AS he, k.l IS NOT NULL AS hl, decision, sc, alt, margin, why, pn, span, unc, rr, reason, lt, rt, e.conflict, e.score FROM ev2 e LEFT JOIN lk k ON k.l = e.left_key AND k.r = e.right_key
-   UNION ALL SELECT l, NULL, false, true, decision, sc, alt, margin, why, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lk WHERE r IS NULL),
+#: Every review item with its kind, priority (``p2`` before rounding) and reasons.
+ITEMS = f""", {EVIDENCE}, {LINKS}, play AS (SELECT DISTINCT tracklet_id, play_id FROM obs),
+ ev2 AS (SELECT *, CASE WHEN gate IS NULL THEN n ELSE 0 END AS pn, CASE WHEN gate IS NULL AND n >= 5 THEN s2 - s1 ELSE 0 END AS span, CASE WHEN gate IS NULL AND n >= 5 THEN s1 END AS os, CASE WHEN gate IS NULL AND n >= 5 THEN s2 END AS oe, CASE WHEN gate IS NULL AND n >= 5 AND s2-s1 >= 0.4 THEN u50 END AS unc, CASE WHEN reason IS NULL THEN CASE WHEN rank IS NOT NULL THEN round_even(0.75*score + 0.25*rank, 6) ELSE score END END AS rr FROM ev),
+ items AS (SELECT coalesce(e.left_key, k.l) AS l, coalesce(e.right_key, k.r) AS r, e.left_key IS NOT NULL AS he, k.l IS NOT NULL AS hl, decision, sc, alt, margin, why, pn, span, unc, rr, reason, lt, rt, e.conflict, e.score, os, oe FROM ev2 e LEFT JOIN lk k ON k.l = e.left_key AND k.r = e.right_key
+   UNION ALL SELECT l, NULL, false, true, decision, sc, alt, margin, why, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lk WHERE r IS NULL),
  kinds AS (SELECT *, CASE WHEN r IS NULL THEN 'unmatched' WHEN decision = 'same' THEN 'accepted' WHEN decision = 'insufficient_evidence' THEN 'ambiguous' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'ambiguous' END AS kind,
    CASE WHEN he THEN (lt = 'unknown')::INT + (rt = 'unknown')::INT + (pn = 0)::INT + (coalesce(unc, 0) = 0)::INT ELSE 0 END AS blanks FROM items),
  v1 AS (SELECT *, CASE kind WHEN 'ambiguous' THEN 0.92E0 WHEN 'accepted' THEN 0.72E0 WHEN 'unmatched' THEN 0.52E0 ELSE 0.28E0 END + CASE WHEN margin IS NOT NULL THEN 0.2E0*(1 - least(1, margin/0.5)) ELSE 0 END + CASE WHEN sc IS NOT NULL THEN 0.1E0*(1 - abs(sc - 0.65)/0.65) ELSE 0 END + CASE WHEN rr IS NOT NULL THEN 0.15E0*rr ELSE 0 END AS p1 FROM kinds),
  v2 AS (SELECT *, CASE WHEN conflict THEN greatest(p1, 0.96E0) ELSE p1 END + CASE WHEN blanks > 0 THEN least(0.08E0, 0.02E0*blanks) ELSE 0 END + CASE WHEN he AND span < 1 THEN 0.03E0 ELSE 0 END AS p2 FROM v1),
  v3 AS (SELECT *, round(greatest(0, least(1, p2)), 4) AS priority, array_to_string(list_sort(list_distinct(list_filter([CASE kind WHEN 'ambiguous' THEN 'assignment_ambiguity' WHEN 'accepted' THEN 'accepted_link_needs_audit' WHEN 'unmatched' THEN 'unmatched_tracklet' ELSE 'candidate_rejection' END,
    CASE WHEN margin < 0.1 THEN 'low_assignment_margin' END, CASE WHEN hl THEN why END, CASE WHEN rr IS NOT NULL THEN 'multi_cue_review_rank' END, CASE WHEN conflict THEN 'reviewed_jersey_conflict' END, CASE WHEN he AND lt = 'unknown' THEN 'missing_left_team' END, CASE WHEN he AND rt = 'unknown' THEN 'missing_right_team' END,
-   CASE WHEN he AND pn = 0 THEN 'missing_paired_sample_count' END, CASE WHEN he AND coalesce(unc,0) = 0 THEN 'missing_combined_uncertainty_yards' END, CASE WHEN he AND span < 1 THEN 'short_overlap' END, CASE WHEN he THEN reason END], lambda x: x IS NOT NULL))), ',') AS reasons FROM v2)
+   CASE WHEN he AND pn = 0 THEN 'missing_paired_sample_count' END, CASE WHEN he AND coalesce(unc,0) = 0 THEN 'missing_combined_uncertainty_yards' END, CASE WHEN he AND span < 1 THEN 'short_overlap' END, CASE WHEN he THEN reason END], lambda x: x IS NOT NULL))), ',') AS reasons FROM v2)"""
+
+
+@query("t1_review_queue", "obs crops reads embeds", f"""{ITEMS}
 SELECT p.play_id, l AS left_key, r AS right_key, kind, priority, reasons, substring(sha256(concat_ws(chr(0), p.play_id, l, coalesce(r, ''), kind)),1,16) AS review_item_id, coalesce(why, reason) AS rejection_reason, count(*) OVER (PARTITION BY p.play_id) AS total_item_count, count(*) OVER (PARTITION BY p.play_id) AS emitted_item_count FROM v3 JOIN play p ON p.tracklet_id = l""")
 def t1(v):
     ev = cut_lineage(evidence(v))  # read by the links and the queue
@@ -51,11 +55,32 @@ def t1(v):
     )
 
 
-@query("t1_review_samples")
+@query("t1_review_samples", "obs crops reads embeds", f"""{ITEMS},
+ queue AS (SELECT *, CAST(row_number() OVER (PARTITION BY play_id ORDER BY p6 DESC, l, coalesce(r, ''), id) AS INT) AS queue_no FROM (SELECT p.play_id, l, r, os, oe, round(greatest(0, least(1, p2)), 6) AS p6, substring(sha256(concat_ws(chr(0), p.play_id, l, coalesce(r, ''), kind)),1,16) AS id FROM v3 JOIN play p ON p.tracklet_id = l)),
+ counted AS (SELECT *, CASE WHEN oe >= os THEN CAST(least(3, greatest(1, floor((oe-os)/0.2E0) + 1)) AS INT) END AS c FROM queue WHERE queue_no <= 100),
+ wanted AS (SELECT * EXCLUDE (c), c, unnest(range(0, coalesce(c, 1))) AS i FROM counted),
+ timed AS (SELECT *, CASE WHEN c = 1 THEN (os+oe)/2 WHEN c > 1 THEN os + (oe-os)*i/(c-1) END AS target FROM wanted),
+ ends AS (SELECT id, i, target, 'left' AS side, l AS tracklet_id FROM timed UNION ALL SELECT id, i, target, 'right', r FROM timed WHERE r IS NOT NULL),
+ middle AS (SELECT tracklet_id, frame_index FROM (SELECT tracklet_id, frame_index, row_number() OVER (PARTITION BY tracklet_id ORDER BY frame_index, pts) - 1 AS rn, count(*) OVER (PARTITION BY tracklet_id) AS n FROM obs) WHERE rn = n // 2),
+ hits AS (SELECT e.id, e.i, e.side, o.frame_index, row_number() OVER (PARTITION BY e.id, e.i, e.side ORDER BY abs(o.play_time_s - e.target), o.frame_index) AS rn FROM ends e JOIN obs o ON o.tracklet_id = e.tracklet_id AND abs(o.play_time_s - e.target) <= 0.1E0),
+ found AS (SELECT id, i, side, frame_index FROM hits WHERE rn = 1 UNION ALL SELECT e.id, e.i, e.side, m.frame_index FROM ends e JOIN middle m ON m.tracklet_id = e.tracklet_id WHERE e.target IS NULL),
+ seen AS (SELECT DISTINCT tracklet_id FROM obs),
+ drawn AS (SELECT t.play_id, t.queue_no, t.id, t.i, t.target, t.r, a.frame_index AS lf, b.frame_index AS rf,
+   CASE WHEN t.r IS NOT NULL AND a.frame_index IS NULL THEN CASE WHEN t.l IN (FROM seen) THEN 'no_observation_within_time_tolerance' ELSE 'no_tracklet_observations' END END AS lwhy,
+   CASE WHEN t.r IS NOT NULL AND b.frame_index IS NULL THEN CASE WHEN t.r IN (FROM seen) THEN 'no_observation_within_time_tolerance' ELSE 'no_tracklet_observations' END END AS rwhy
+   FROM timed t LEFT JOIN found a ON a.id = t.id AND a.i = t.i AND a.side = 'left' LEFT JOIN found b ON b.id = t.id AND b.i = t.i AND b.side = 'right')
+SELECT play_id, queue_no, id AS review_item_id, CAST(count(DISTINCT concat(coalesce(CAST(lf AS STRING), '-'), ':', coalesce(CAST(rf AS STRING), '-'))) AS INT) AS sample_count, bool_or(lf IS NOT NULL AND (r IS NULL OR rf IS NOT NULL)) AS source_frames_available,
+ round(max(CASE WHEN i = 0 THEN target END), 6) AS first_time_s, max(CASE WHEN i = 0 THEN lf END) AS first_left_frame, max(CASE WHEN i = 0 THEN rf END) AS first_right_frame, max(CASE WHEN i = 0 THEN lwhy END) AS first_left_missing, max(CASE WHEN i = 0 THEN rwhy END) AS first_right_missing
+FROM drawn GROUP BY play_id, queue_no, id""")
 def t1_samples(v):
     ev = cut_lineage(evidence(v))  # read by the links and the queue
     queue = RV.review_queue(simple_links(ev), ev, v.obs, max_items=100)
-    return queue.select("play_id", "queue_no", "review_item_id", F.size("samples").alias("sample_count"), "source_frames_available", F.to_json(F.get("samples", F.lit(0))).alias("first_sample"))
+    first = F.get("samples", F.lit(0))
+    return queue.select(
+        "play_id", "queue_no", "review_item_id", F.size("samples").alias("sample_count"), "source_frames_available", F.round(first["requested_play_time_s"], 6).alias("first_time_s"),
+        first["left"]["frame_index"].alias("first_left_frame"), first["right"]["frame_index"].alias("first_right_frame"),
+        first["left_missing_reason"].alias("first_left_missing"), first["right_missing_reason"].alias("first_right_missing"),
+    )
 
 
 TARGETS = """SELECT event_id, tracklet_id, (event_id % 2500)*0.125E0 + (event_id % 7)/32.0E0 AS target_s FROM (SELECT event_id, concat('shot-', CAST(user_id % 6 AS STRING), ':t', CAST(1 + user_id % 7 AS STRING)) AS tracklet_id FROM events)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.scalars import is_player, split_rejects
 from trackspark.operators import calibrate as CAL
 from trackspark.operators import contracts as C
+from trackspark.operators import cues as CU
 from trackspark.operators import evaluation as EV
 from trackspark.operators import identity as ID
 from trackspark.operators import labels as LB
@@ -24,12 +25,15 @@ from trackspark.operators.tracking import track_shots
 from trackspark.scale import one_row
 from trackspark.session import cut_lineage
 
+PAIR_TOLERANCE_S = 0.05
+
 
 def run_analytics(
     detections: DataFrame, ranges: DataFrame, splits: DataFrame, crops: DataFrame, prototypes: Mapping[str, Sequence[float]], timeline: DataFrame,
     correspondences: DataFrame, checks: DataFrame, anchors: DataFrame, references: DataFrame | None = None, frames: DataFrame | None = None,
     global_map: DataFrame | None = None, run_id: str = "run", tb: tuple[int, int] = (1, 30000), fps: float = 30.0, threshold: float = 0.65,
-    withheld: DataFrame | None = None, detectors: DataFrame | None = None,
+    withheld: DataFrame | None = None, detectors: DataFrame | None = None, play_ranges: DataFrame | None = None,
+    reads: DataFrame | None = None, read_candidates: DataFrame | None = None, crop_embeddings: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Detections to tracks, teams, field positions, play clock, identities and, with truth, scores and a gate.
 
@@ -40,7 +44,9 @@ def run_analytics(
     correspondences/checks(play_id, shot_id, pts, play_time_s, event),
     anchors(play_id, shot_id, source_pts, source_frame, anchor_s). For the gate: withheld(error_yards) has all
     withheld landmark errors (without it calibration is unvalidated), detectors(source_id, proxy) the detector of each
-    source (a source without one counts as a proxy).
+    source (a source without one counts as a proxy). play_ranges(play_id, shot_id, start_frame, end_frame) limits a play to
+    part of a shot; a shot without one belongs to its play whole. Jersey reads, read_candidates and crop_embeddings as in
+    ``operators.cues`` rank pairs; reviewed numbers forbid links.
     """
     good, rejects = split_rejects(detections, C.detection_rules())
     players = good.filter(is_player(F.col("class_id"), F.col("class_name")))
@@ -52,7 +58,7 @@ def run_analytics(
     teams = cut_lineage(TE.team_by_prototype(rows, coloured, prototypes))
     positioned = CAL.project_rows(CAL.calibration_at(rows, timeline))
     play_shots = correspondences.select("play_id", "shot_id").union(anchors.select("play_id", "shot_id")).distinct()
-    in_play = positioned.join(play_shots, "shot_id", "left")
+    in_play = SH.play_of_frame(positioned, declared_spans(play_shots, play_ranges))
     timed_in = in_play.select("*", F.lit(float(tb[0])).alias("tb_num"), F.lit(tb[1]).alias("tb_den"), F.lit(fps).alias("fps"))
     segments = TM.time_segments(correspondences)
     clock = TM.play_clock(timed_in, segments, anchors)
@@ -64,21 +70,76 @@ def run_analytics(
     ))
     clock_ok = TM.validate_clock(checks, segments)
     samples = PR.field_samples(observations)
-    eligible = samples.join(clock_ok.filter("gate").select("play_id"), "play_id", "left_semi")
-    attributes = observations.select("tracklet_id", "play_id", "team").distinct().withColumn("jerseys", F.lit(None).cast("array<int>"))
-    resolved = ID.resolve_plays(play_shots, eligible, teams, observations, attributes, threshold=threshold, full_evidence=False)
+    ladder = cut_lineage(play_ladder(play_shots, samples, clock_ok, timeline))
+    open_plays = ladder.filter("status = 'resolve'").select("play_id")
+    eligible = samples.join(open_plays, "play_id", "left_semi")
+    attributes = observations.select("tracklet_id", "play_id", "team").distinct()
+    cues = None
+    if reads is not None and read_candidates is not None:
+        reviewed = CU.reviewed_numbers(reads, read_candidates)
+        jerseys = reviewed.groupBy("tracklet_id").agg(F.sort_array(F.collect_set("number")).alias("jerseys"))  # shirt numbers, so at most a hundred
+        attributes = attributes.join(jerseys, "tracklet_id", "left")
+        pairs = ID.comparable_pairs(eligible, teams, PAIR_TOLERANCE_S)
+        cues = cut_lineage(pair_cues(pairs, reads, read_candidates, crop_embeddings))
+    else:
+        attributes = attributes.withColumn("jerseys", F.lit(None).cast("array<int>"))
+    resolved = ID.resolve_plays(
+        play_shots.join(open_plays, "play_id", "left_semi"), eligible, teams, observations, attributes, cues=cues, threshold=threshold,
+        full_evidence=False, sample_tolerance_s=PAIR_TOLERANCE_S,
+    )
+    status = resolved["status"].unionByName(abstained_plays(ladder, play_shots, samples), allowMissingColumns=True)
     accepted = resolved["links"].filter("decision = 'same'").select("left_key", "right_key")
     ids = cut_lineage(ID.player_ids(observations.select("tracklet_id").distinct(), accepted))
     final = observations.join(ids, "tracklet_id")
     out = {
         "rejects": rejects, "tracks": tracked, "conflicts": TR.conflict_report(tracked), "teams": teams, "observations": final, "clock": clock_ok,
-        "evidence": resolved["evidence"], "evidence_counts": resolved["evidence_counts"], "links": resolved["links"], "plays": resolved["status"], "identities": ids, "coverage": ID.identity_coverage(ids),
+        "evidence": resolved["evidence"], "evidence_counts": resolved["evidence_counts"], "links": resolved["links"], "plays": status, "identities": ids, "coverage": ID.identity_coverage(ids),
     }
     if references is not None and frames is not None and global_map is not None:
-        out.update(score_run(final, ids, references, frames, global_map, timeline, withheld, detector_state(detections.select("source_id").distinct(), detectors)))
+        out.update(score_run(tracked, final, ids, references, frames, global_map, timeline, withheld, detector_state(detections.select("source_id").distinct(), detectors)))
     return out
 
 
+def declared_spans(play_shots: DataFrame, play_ranges: DataFrame | None) -> DataFrame:
+    """(play_id, shot_id, start_frame, end_frame) of every shot of a play; null without a declared range."""
+    if play_ranges is None:
+        return play_shots.withColumns({"start_frame": F.lit(None).cast("bigint"), "end_frame": F.lit(None).cast("bigint")})
+    return play_shots.join(play_ranges.select("play_id", "shot_id", "start_frame", "end_frame"), ["play_id", "shot_id"], "left")
+
+
+def play_ladder(play_shots: DataFrame, samples: DataFrame, clock: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Which plays may be resolved, and why the others may not. timeline(shot_id, fit)"""
+    fitted = timeline.filter(CAL.G.identity_eligible("fit.")).select("shot_id").distinct().withColumn("_fitted", F.lit(True))
+    present = samples.select("play_id", "shot_id").distinct().join(fitted, "shot_id", "left").groupBy("play_id").agg(
+        F.count(F.lit(1)).alias("_present"), F.count_if(F.col("_fitted").isNull()).alias("_open")
+    )
+    plays = play_shots.select("play_id").distinct().join(present, "play_id", "left").join(clock.select("play_id", "gate"), "play_id", "left")
+    zero = F.lit(0).cast("bigint")
+    return ID.resolution_ladder(plays.select(
+        "play_id", F.coalesce("_present", zero).alias("present_shots"), F.lit(True).alias("has_timeline"), F.lit(False).alias("has_static"),
+        F.lit(False).alias("has_shared"), F.coalesce("gate", F.lit(False)).alias("timing_eligible"), F.coalesce("_open", zero).alias("uncalibrated_shots"),
+    ))
+
+
+def abstained_plays(ladder: DataFrame, play_shots: DataFrame, samples: DataFrame) -> DataFrame:
+    """Status rows of the plays that the ladder holds back, with their aligned shots that have no usable position."""
+    held = ladder.filter("status = 'abstained'").select("play_id", "status", "reason", F.col("present_shots").alias("present"))
+    missing = play_shots.join(samples.select("play_id", "shot_id").distinct(), ["play_id", "shot_id"], "left_anti")
+    per = play_shots.groupBy("play_id").agg(F.count(F.lit(1)).alias("shots")).join(
+        missing.groupBy("play_id").agg(F.sort_array(F.collect_list("shot_id")).alias("unresolved_shots")), "play_id", "left"  # at most the views of a play
+    )
+    none = {name: F.lit(0).cast("bigint") for name in ("unmatched_tracklets", "accepted_links", "rejected_links", "candidate_pairs", "failed_pairs")}
+    return held.join(per, "play_id").withColumn("unresolved_shots", F.coalesce("unresolved_shots", F.array().cast("array<string>"))).withColumns(none)
+
+
+def pair_cues(pairs: DataFrame, reads: DataFrame, candidates: DataFrame, embeddings: DataFrame | None) -> DataFrame:
+    """Jersey and appearance cues of the pairs that can still be linked."""
+    looks = pairs.select(F.col("left_key").alias("tracklet_id"), F.lit("none").alias("model"), F.array().cast("array<double>").alias("vector")).filter(F.lit(False))
+    if embeddings is not None:
+        looks = CU.mean_embeddings(embeddings)
+    return CU.compare_cues(pairs, CU.number_distribution(reads, candidates), CU.number_distribution(reads, candidates, True), looks)
+
+
 def detector_state(sources: DataFrame, detectors: DataFrame | None) -> DataFrame:
     """One row: ``proxy_detector`` unless every source is known to have a real detector."""
     if detectors is None:
@@ -103,12 +164,15 @@ def pooled_quality(timeline: DataFrame, withheld: DataFrame | None) -> DataFrame
 
 
 def score_run(
-    observations: DataFrame, ids: DataFrame, references: DataFrame, frames: DataFrame, global_map: DataFrame, timeline: DataFrame,
+    tracked: DataFrame, observations: DataFrame, ids: DataFrame, references: DataFrame, frames: DataFrame, global_map: DataFrame, timeline: DataFrame,
     withheld: DataFrame | None, detector: DataFrame,
 ) -> dict[str, DataFrame]:
-    """Tracking, contact, team and cross-shot scores and the promotion gate of a run."""
-    shots = EV.shot_metrics(references, observations, frames)
-    standard = cut_lineage(EV.standard_metrics(references, observations, frames))
+    """Tracking, contact, team and cross-shot scores and the promotion gate of a run.
+
+    Tracking is scored on the tracker's own tracks, before reviewed splits; the rest on the observations.
+    """
+    shots = EV.shot_metrics(references, tracked, frames)
+    standard = cut_lineage(EV.standard_metrics(references, tracked, frames))
     contact = EV.contact_report(EV.contact_rows(references, observations, frames))
     team = EV.team_report(EV.team_rows(references, observations, frames))
     cross = EV.cross_shot_report(ids, observations, references, frames, global_map)
