@@ -119,6 +119,30 @@ def test_tracker_plugin_sees_frames_in_order(spark):
     assert {(r.shot_id, r.n, r.rows) for r in out} == {(f"shot-{k}", 20, 40) for k in range(3)}
 
 
+def test_tracker_plugin_may_take_many_whole_frames(spark):
+    class Pairs:
+        def reset(self, shot_id):
+            self.shot = shot_id
+
+        def update(self, frame):
+            raise AssertionError("frames come together")
+
+        def update_many(self, frames):
+            sizes = frames.groupby("frame_index").det_index.transform("size")
+            return frames.assign(tracklet_id=[f"{self.shot}:{n}" for n in sizes])[["frame_index", "det_index", "tracklet_id"]]
+
+    register_tracker("pairs", Pairs)
+    schema = "source_id string, shot_id string, frame_index bigint, det_index int, x1 double, y1 double, x2 double, y2 double, score double"
+    rows = [("s", f"shot-{k}", f, d, 0.0, 0.0, 1.0, 1.0, 0.5) for k in range(3) for f in range(30) for d in range(3)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # batches end inside frames
+    try:
+        out = run_tracker(spark.createDataFrame(rows, schema), "pairs").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r.shot_id, r.frame_index, r.det_index, r.tracklet_id) for r in out) == [(f"shot-{k}", f, d, f"shot-{k}:3") for k in range(3) for f in range(30) for d in range(3)]
+
+
 def test_stream_state_reads_follow_arrivals_not_the_backlog(spark, tmp_path):
     """Nothing is released while the backlog grows twelvefold; every trigger brings as many rows and must read as much."""
     schema = "tracklet_id string, frame_index bigint, ts timestamp"

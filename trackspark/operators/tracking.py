@@ -247,7 +247,11 @@ def _number_tracks(rows: DataFrame, detections: DataFrame) -> DataFrame:
 # --- plug-ins --------------------------------------------------------------
 
 class Tracker(Protocol):
-    """A tracker plug-in: sees the frames of one shot in order."""
+    """A tracker plug-in: sees the frames of one shot in order.
+
+    One that also has ``update_many`` is given runs of whole frames of a shot instead and answers what ``update`` would
+    frame by frame; a table a frame costs more than most trackers.
+    """
 
     def reset(self, shot_id: str) -> None: ...
 
@@ -272,35 +276,50 @@ def register_detector(name: str, build: Callable[[], Callable[[pd.DataFrame], pd
 
 
 def run_tracker(detections: DataFrame, name: str) -> DataFrame:
-    """Run a plug-in over every shot; a task streams sorted rows and holds one frame at a time."""
+    """Run a plug-in over every shot; a task streams sorted rows and holds one batch and one frame at a time.
+
+    Answers leave the task in one table per batch, not per frame.
+    """
     build = TRACKERS[name]
+    given = ["frame_index", "det_index", "tracklet_id"]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, current, held = build(), None, None
-
-        def flush(frame: pd.DataFrame) -> pd.DataFrame:
-            out = tracker.update(frame)
-            return out.assign(source_id=current[0], shot_id=current[1])[["source_id", "shot_id", "frame_index", "det_index", "tracklet_id"]]
-
-        for batch in batches:
-            sources, shots, frames = (batch[c].to_numpy() for c in ("source_id", "shot_id", "frame_index"))
-            turns = (sources[1:] != sources[:-1]) | (shots[1:] != shots[:-1]) | (frames[1:] != frames[:-1])
-            edges = [0, *(np.flatnonzero(turns) + 1).tolist(), len(batch)]
+        many = getattr(tracker, "update_many", None)
+
+        def starts(rows: pd.DataFrame, names: list[str]) -> np.ndarray:
+            turns = np.zeros(max(len(rows) - 1, 0), bool)
+            for values in (rows[c].to_numpy() for c in names):
+                turns |= values[1:] != values[:-1]
+            return np.flatnonzero(turns) + 1
+
+        def answered(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal current
+            edges = [0, *starts(rows, SHOT if many else [*SHOT, "frame_index"]).tolist(), len(rows)]
+            sources, shots = rows.source_id.to_numpy(), rows.shot_id.to_numpy()
+            owners, answers = [], []
             for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                frame, owner = batch.iloc[low:high], (sources[low], shots[low])
-                if held is not None and owner == current and frames[low] == held.frame_index.iloc[0]:
-                    held = pd.concat([held, frame])  # one frame split over two batches
-                    continue
-                if held is not None:
-                    yield flush(held)
+                owner = (sources[low], shots[low])
                 if owner != current:
                     current = owner
                     tracker.reset(owner[1])
-                held = frame
+                out = (many or tracker.update)(rows.iloc[low:high])
+                owners.append((*owner, len(out)))
+                answers.append([out[c].to_numpy() for c in given])
+            sizes = [n for *_, n in owners]
+            named = {c: np.repeat(np.array([o[i] for o in owners], dtype=object), sizes) for i, c in enumerate(SHOT)}
+            return pd.DataFrame({**named, **{c: np.concatenate([a[i] for a in answers]) for i, c in enumerate(given)}})
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            if len(rows) == 0:
+                continue
+            last = max([0, *starts(rows, [*SHOT, "frame_index"])[-1:]])  # the last frame may go on in the next batch
+            held = rows.iloc[last:]
+            if last:
+                yield answered(rows.iloc[:last])
         if held is not None:
-            yield flush(held)
+            yield answered(held)
 
     columns = [*SHOT, "frame_index", "det_index", *BOX, "score"]
     ordered = spread(detections.select(*columns), *SHOT).sortWithinPartitions(*SHOT, "frame_index", "det_index")

@@ -141,6 +141,8 @@ class NearestColumn:
     def update(self, frame):
         return frame.assign(tracklet_id=[f"{self.shot_id}:c{int(x // 24)}" for x in frame.x1])[["frame_index", "det_index", "tracklet_id"]]
 
+    update_many = update  # a box is named by itself, so frames may come together
+
 
 def bright_boxes():
     def predict(frames):
