@@ -54,6 +54,29 @@ def test_logs_are_held_against_the_hashes_wanted_of_each_file(spark, folder):
     ]
 
 
+def test_strict_check_reads_the_lines_of_a_log_once(spark):
+    """Rules are counted from one table of frames: the lines are not parsed again per rule."""
+    head = json.dumps({"_meta": {"source_hash": "h", "detector_config_hash": "c", "provenance": {"proxy": "true"}}})
+    texts = [head, *[json.dumps({"frame_index": f, "detections": []}) for f in (0, 1, 1, 4)]]
+    parses = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parses.add(len(batch))
+            yield batch
+
+    lines = spark.createDataFrame([("a", t) for t in texts], "file_path string, value string").mapInPandas(counted, "file_path string, value string")
+    parsed = L.parse_logs(lines)
+    before = parses.value
+    counts = spark.createDataFrame([("a", 4)], "file_path string, frame_count bigint")
+    found = L.strict_violations(parsed["frames"], parsed["logs"], counts, {"proxy": "true"}).collect()
+    assert sorted((r.rule, r.frame_index) for r in found) == [("duplicate_frame", 1), ("missing_frame", 2), ("missing_frame", 3), ("out_of_range", 4)]
+    assert parses.value - before == len(texts)
+    huge = spark.createDataFrame([("a", 10**15)], "file_path string, frame_count bigint")  # a gap is one row, whatever its length
+    told = L.strict_counts(parsed["frames"], parsed["logs"], huge, {"proxy": "true"}).collect()
+    assert {(r.rule, r.n) for r in told} == {("duplicate_frame", 1), ("missing_frame", 10**15 - 3)}
+
+
 def test_observation_csv_round_trip(spark, folder):
     rows = [("run", "shot-0", f, f * 10, 1, 30, f"shot-0:t{t}", None, "p", 1.0, 2.0, 3.5, 4.0, 0.5, "A", 0.5, None, 1.5 if t else None, 2.5 if t else None, None, None, 2, "valid", None, None, 0.1 * f, None, None) for f in range(4) for t in range(2)]
     schema = (
