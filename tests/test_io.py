@@ -77,6 +77,38 @@ def test_strict_check_reads_the_lines_of_a_log_once(spark):
     assert {(r.rule, r.n) for r in told} == {("duplicate_frame", 1), ("missing_frame", 10**15 - 3)}
 
 
+def counted(df):
+    """The rows and how often one was read."""
+    reads = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), reads
+
+
+def test_reference_documents_are_parsed_once(spark):
+    frame = lambda *ids: {"labeled": True, "pts": 5, "objects": [{"id": i, "bbox_xyxy": [0, 0, 2, 2]} for i in ids]}
+    docs = [("a", json.dumps({"reviewed": True, "sequences": {"s": {"frames": {"0": frame("x", "x", "y"), "1": frame("z")}}}})), ("b", json.dumps({"reviewed": False}))]
+    lines, reads = counted(spark.createDataFrame(docs, "file_path string, value string"))
+    t = D.parse_references(lines)
+    assert sorted(r.object_id for r in t["objects"].collect()) == ["y", "z"] and t["frames"].count() == 2
+    assert sorted(r.rule for r in t["rejects"].collect()) == ["duplicate_object", "not_reviewed", "pts_not_increasing"]
+    assert reads.value <= 2 * len(docs)  # once for the tables, once for what is not reviewed
+
+
+def test_observation_cells_are_read_once(spark):
+    cells = lambda frame, name: {**dict.fromkeys(K.OBSERVATION_COLUMNS), "tracklet_id": name, "frame_index": frame, "pts": "1", "time_base": "[1, 30]", "bbox_xyxy_px": "[0, 0, 1, 1]"}
+    rows = [cells("0", "a"), cells("1", "a"), cells("1", "a"), cells("late", "a")]
+    raw, reads = counted(spark.createDataFrame([tuple(r[c] for c in K.OBSERVATION_COLUMNS) for r in rows], ", ".join(f"{c} string" for c in K.OBSERVATION_COLUMNS)))
+    t = O.parse_rows(raw)
+    assert [r.frame_index for r in t["rows"].collect()] == [0]
+    assert sorted(r.rule for r in t["rejects"].collect()) == ["duplicate_frame", "duplicate_frame", "frame_or_pts"]
+    assert reads.value == len(rows)
+
+
 def test_observation_csv_round_trip(spark, folder):
     rows = [("run", "shot-0", f, f * 10, 1, 30, f"shot-0:t{t}", None, "p", 1.0, 2.0, 3.5, 4.0, 0.5, "A", 0.5, None, 1.5 if t else None, 2.5 if t else None, None, None, 2, "valid", None, None, 0.1 * f, None, None) for f in range(4) for t in range(2)]
     schema = (

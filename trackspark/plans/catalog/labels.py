@@ -12,6 +12,7 @@ from trackspark.plans.catalog import query
 from trackspark.plans.catalog.geometry import CLOSED, ELIGIBLE, FX, OK, _inside_sql, quad
 from trackspark.plans.catalog.scans import DOC_FRAMES, scratch
 from trackspark.plans.views import with_views
+from trackspark.session import cut_lineage
 from trackspark.sources import label_xml as LX
 from trackspark.sources import manifest as SM
 
@@ -81,7 +82,7 @@ SELECT 'annotation' AS kind, label AS name, CAST(count(*) AS BIGINT) AS n, round
 UNION ALL SELECT 'frame_label', CAST(ignore_frame AS STRING), count(*), sum(frame_index)*1.0E0 FROM frames WHERE labeled GROUP BY 2 UNION ALL SELECT 'timing_event', event, count(*), round(sum(play_time_s), 6) FROM events_map GROUP BY 2
 UNION ALL SELECT 'shot', 'side', count(*), sum(c*500)*1.0E0 FROM (SELECT DISTINCT shot_id, floor(frame_index/500.0) AS c FROM obs)""")
 def s12(v):
-    t = SM.parse_manifests(manifest_docs(v))
+    t = SM.parse_manifests(cut_lineage(manifest_docs(v)))
     g = lambda df, kind, name, total: df.groupBy(F.lit(kind).alias("kind"), name.cast("string").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum(total), 6).cast("double").alias("total"))
     return (
         g(t["annotations"], "annotation", F.col("label"), F.get("bbox_xyxy_px", F.lit(0))).unionByName(g(t["landmarks"], "landmark", F.col("role"), F.get("image_xy_px", F.lit(0))))

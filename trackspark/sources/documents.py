@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.geometry import finite
 from trackspark.functions.field import on_field
 from trackspark.scale import adjacent_row, frame_bucket
+from trackspark.session import cut_lineage
 
 REVIEW_STATUSES = ("unreviewed", "reviewed", "accepted", "rejected")
 
@@ -91,9 +92,9 @@ def parse_references(docs: DataFrame) -> dict[str, DataFrame]:
     parsed = _parse(docs, REFERENCE)
     ok = F.coalesce(F.col("d.reviewed"), F.lit(False))
     reviewed = parsed.filter(ok).select("file_path", F.col("d.source_sha256").alias("source_sha256"), F.explode(F.map_entries("d.sequences")).alias("s"))
-    raw = reviewed.select("file_path", "source_sha256", F.col("s.key").alias("shot_id"), F.explode(F.map_entries("s.value.frames")).alias("f")).select(
+    raw = cut_lineage(reviewed.select("file_path", "source_sha256", F.col("s.key").alias("shot_id"), F.explode(F.map_entries("s.value.frames")).alias("f")).select(
         "file_path", "source_sha256", "shot_id", F.col("f.key").try_cast("bigint").alias("frame_index"), F.col("f.value").alias("v")
-    )
+    ))  # documents are parsed once
     frames = raw.filter("frame_index >= 0").select(
         "file_path", "source_sha256", "shot_id", "frame_index", (F.col("frame_index") + 1).alias("evaluator_frame"),
         F.coalesce("v.labeled", F.lit(False)).alias("labeled"), F.coalesce("v.ignore", F.lit(False)).alias("ignore_frame"), F.col("v.pts").alias("pts"),
@@ -113,7 +114,7 @@ def parse_references(docs: DataFrame) -> dict[str, DataFrame]:
         .when(F.col("contact_confidence").isNotNull() & (~held | ~F.col("contact_confidence").between(0, 1)), "contact_confidence")
     )
     marked = objects.withColumn("rule", rule).drop("_size")
-    repeats = marked.groupBy("file_path", "shot_id", "frame_index", "object_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeats = cut_lineage(marked.groupBy("file_path", "shot_id", "frame_index", "object_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     place = ["file_path", "shot_id", "frame_index"]
     near = adjacent_row(
         frames.filter("pts is not null").withColumn("_bucket", frame_bucket("frame_index")), ["file_path", "shot_id"], ["frame_index"], "_bucket", {"_before": "pts"}

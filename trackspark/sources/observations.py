@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import box_ok, finite
+from trackspark.session import cut_lineage
 from trackspark.sinks.tables import OBSERVATION_COLUMNS
 
 
@@ -38,9 +39,9 @@ def parse_rows(raw: DataFrame) -> dict[str, DataFrame]:
         .when((F.col("frame_index") < 0) | (F.col("pts") < 0) | (F.col("_tb_size") != 2) | (F.col("_box_size") != 4), "source_coordinates")
         .when(F.col("tb_num").isNull() | F.col("tb_den").isNull() | (F.col("tb_num") <= 0) | (F.col("tb_den") <= 0) | ~box_ok(), "time_base_or_box")
     )
-    marked = typed.withColumn("rule", rule).drop("_tb_size", "_box_size")
+    marked = cut_lineage(typed.withColumn("rule", rule).drop("_tb_size", "_box_size"))  # cells are read once
     rows = marked.filter("rule is null").drop("rule")
-    repeats = rows.groupBy("tracklet_id", "frame_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeats = cut_lineage(rows.groupBy("tracklet_id", "frame_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     repeated = rows.join(repeats.drop("n"), ["tracklet_id", "frame_index"], "left_semi").withColumn("rule", F.lit("duplicate_frame"))
     rejects = marked.filter("rule is not null").unionByName(repeated, allowMissingColumns=True)
     return {"rows": rows.join(repeats.drop("n"), ["tracklet_id", "frame_index"], "left_anti"), "rejects": rejects}
