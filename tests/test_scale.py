@@ -87,3 +87,10 @@ def test_total_order_numbers_rows_without_one_task_for_all(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "Aggregate" in plan.split("Window")[1]  # the one window runs over counts of ranges
     assert S.total_order(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_spread_adds_partitions_with_the_rows(spark):
+    df = spark.range(10)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S.spread(df, "id", rows=S.TASK_ROWS).rdd.getNumPartitions() == few
+    assert S.spread(df, "id", rows=S.TASK_ROWS * 3 * few + 1).rdd.getNumPartitions() == 3 * few + 1

@@ -120,13 +120,22 @@ def _chain_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*PAIR, "block", "chosen", "merge_at"])
 
 
+def _joined_rows(base: DataFrame, samples: DataFrame) -> int:
+    """How many samples the pairs' longer side has; a tracklet counts once per pair it is in."""
+    held = samples.groupBy("play_id", F.col("tracklet_id").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    ends = base.select("play_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_key").alias("key")), F.struct(F.lit(1).alias("side"), F.col("right_key").alias("key")))).alias("e"))
+    per = ends.select("play_id", "e.side", F.col("e.key").alias("_key")).join(held, ["play_id", "_key"]).groupBy("side").agg(F.sum("n").alias("n"))
+    return per.agg(F.max("n")).first()[0] or 0
+
+
 def paired_samples(pairs: DataFrame, samples: DataFrame, tolerance_s: float = 0.05, block_s: float = 512.0) -> DataFrame:
     """Monotone nearest-time pairs of each tracklet pair, one row per paired sample.
 
     pairs(play_id, left_key, right_key), samples as from ``field_samples``. A
     long tracklet is cut into blocks that are solved side by side.
     """
-    base = pairs.select(*PAIR)
+    base, samples = cut_lineage(pairs.select(*PAIR)), cut_lineage(samples.select("play_id", "tracklet_id", "play_time_s", "x", "y", "uncertainty"))
+    rows = _joined_rows(base, samples)
     side = lambda name: samples.select(
         "play_id", F.col("tracklet_id").alias(name), F.col("play_time_s").alias("s"), "x", "y", F.col("uncertainty").alias("u")
     )
@@ -137,14 +146,14 @@ def paired_samples(pairs: DataFrame, samples: DataFrame, tolerance_s: float = 0.
     )
     key = [*PAIR, "block"]
     walked = cut_lineage(
-        spread(fresh(left), *key).groupBy(*key).cogroup(spread(fresh(right), *key).groupBy(*key)).applyInPandas(_pair_block(tolerance_s, block_s), _OUT)
+        spread(fresh(left), *key, rows=rows).groupBy(*key).cogroup(spread(fresh(right), *key, rows=rows).groupBy(*key)).applyInPandas(_pair_block(tolerance_s, block_s), _OUT)
     )
-    entries = walked.filter("summary").select(*key, "entry", "exit", "merge_s").groupBy(*PAIR).applyInPandas(
+    entries = spread(walked.filter("summary").select(*key, "entry", "exit", "merge_s"), *PAIR).groupBy(*PAIR).applyInPandas(
         _chain_entries, "play_id string, left_key string, right_key string, block bigint, chosen double, merge_at double"
     )
     chosen = F.col("entry") == F.col("chosen")
     tail = (F.col("entry") == F.lit(START)) & (F.col("left_s") >= F.col("merge_at"))
-    return walked.filter(~F.col("summary")).join(entries, key).filter(chosen | tail).select(
+    return spread(walked.filter(~F.col("summary")), *key, rows=rows).join(entries, key).filter(chosen | tail).select(
         *PAIR, "left_s", "right_s", "lx", "ly", "rx", "ry", "uncertainty"
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trackspark.session import cut_lineage
 
 FRAME_BUCKET = 4096
+TASK_ROWS = 500_000
 
 
 def frame_bucket(column: str | Column, width: int = FRAME_BUCKET) -> Column:
@@ -29,9 +30,12 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions for Python-heavy groups: small rows that take long must not be coalesced by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Hash partitions for Python-heavy groups: small rows that take long must not be coalesced by size.
+
+    ``rows``, if known, adds partitions so that one has about ``TASK_ROWS`` of them, whatever the input's size.
+    """
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
 
 
 def _carried(df: DataFrame, keys: Sequence[str], bucket: str, summary: Column, chain: Callable) -> DataFrame:
