@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from trackspark.operators import calibrate as CAL
 from trackspark.operators.tracking import LiveTracks
 
 
@@ -14,3 +16,25 @@ def test_overlaps_of_few_equal_the_arrays(seed):
     tracks = LiveTracks(30, 0.2, [(1, d, *box()) for d in range(8)] + [(1, 8, 0.0, float("nan"), 9.0, 9.0)])
     boxes = [box() for _ in range(7)] + [(0.0, 0.0, float("nan"), 9.0), tracks.boxes[0]]
     assert tracks._overlaps_of_few(boxes) == tracks._overlaps(boxes) != []
+
+
+def landmarks_with_noise(seed):
+    rng = np.random.default_rng(seed)
+    field = rng.uniform(0, 100, (10, 2))
+    w = 1.0 + 0.002 * field[:, 0] + 0.004 * field[:, 1]
+    image = np.c_[(9.0 * field[:, 0] + 1.5 * field[:, 1] + 40.0) / w, (0.5 * field[:, 0] + 11.0 * field[:, 1] + 60.0) / w] + rng.normal(0, 1, (10, 2))
+    image[:2] += 40.0
+    field[4:7] = field[3]  # picks of these do not span a plane
+    return field, image
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_are_fitted_together(seed, monkeypatch):
+    field, image = landmarks_with_noise(seed)
+    picks = CAL._picks(10, 60, 7)
+    one_by_one = [CAL._direct_fit(field[p], image[p]) for p in picks if CAL._spread(field[p]) and CAL._spread(image[p])]
+    np.testing.assert_allclose(CAL._direct_fits(field, image, picks), [m for m in one_by_one if m is not None], rtol=1e-9)
+    calls, real = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, **k: calls.append(1) or real(*a, **k))
+    CAL._robust_fit(field, image, 3.0)
+    assert len(calls) <= 30  # 400 candidates took some 1,200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -197,23 +199,73 @@ def _direct_fit(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
     return None if abs(matrix[2, 2]) <= 1e-12 or not np.isfinite(matrix).all() else matrix / matrix[2, 2]
 
 
+#: Candidates of a consensus fit that are solved together; a fit that takes in every point ends there.
+FIT_CHUNK = 50
+
+
+@lru_cache(maxsize=256)
+def _picks(n: int, rounds: int, seed: int) -> np.ndarray:
+    """The seeded draws of four of ``n`` points; every keyframe with as many points has the same."""
+    rng = np.random.default_rng(seed)
+    return np.array([rng.choice(n, 4, replace=False) for _ in range(rounds)])
+
+
+def _spread_each(points: np.ndarray) -> np.ndarray:
+    """``_spread`` of many point sets at once."""
+    s = np.linalg.svd(points - points.mean(axis=1, keepdims=True), compute_uv=False)
+    return (s[:, 1] > 1e-8) & (s[:, 1] / np.maximum(s[:, 0], 1e-12) > 1e-6)
+
+
+def _normalisers(points: np.ndarray) -> np.ndarray:
+    centre = points.mean(axis=1)
+    scale = np.sqrt(2.0) / np.maximum(np.linalg.norm(points - centre[:, None, :], axis=2).mean(axis=1), 1e-12)
+    out = np.zeros((len(points), 3, 3))
+    out[:, 0, 0] = out[:, 1, 1] = scale
+    out[:, 0, 2], out[:, 1, 2], out[:, 2, 2] = -scale * centre[:, 0], -scale * centre[:, 1], 1.0
+    return out
+
+
+def _direct_fits(source: np.ndarray, target: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """``_direct_fit`` of every pick whose points span a plane, in the order of the picks."""
+    a, b = source[picks], target[picks]
+    usable = _spread_each(a) & _spread_each(b)
+    a, b = a[usable], b[usable]
+    if not len(a):
+        return np.empty((0, 3, 3))
+    ts, tt = _normalisers(a), _normalisers(b)
+    one = np.ones((*a.shape[:2], 1))
+    mapped = lambda m, p: np.concatenate([p, one], axis=2) @ m.transpose(0, 2, 1)
+    a, b = mapped(ts, a), mapped(tt, b)
+    a, b = a[..., :2] / a[..., 2:3], b[..., :2] / b[..., 2:3]
+    zero, x, y = np.zeros_like(one), b[..., :1], b[..., 1:2]
+    top = np.concatenate([a, one, zero, zero, zero, -x * a[..., :1], -x * a[..., 1:2], -x], axis=2)
+    low = np.concatenate([zero, zero, zero, a, one, -y * a[..., :1], -y * a[..., 1:2], -y], axis=2)
+    null = np.linalg.svd(np.concatenate([top, low], axis=1))[2][:, -1].reshape(-1, 3, 3)
+    matrices = np.linalg.inv(tt) @ null @ ts
+    kept = (np.abs(matrices[:, 2, 2]) > 1e-12) & np.isfinite(matrices).all(axis=(1, 2))
+    return matrices[kept] / matrices[kept][:, 2:3, 2:3]
+
+
 def _robust_fit(source: np.ndarray, target: np.ndarray, threshold: float, rounds: int = 400, seed: int = 7):
     """Seeded consensus fit; threshold in units of ``target``."""
-    rng = np.random.default_rng(seed)
     best, best_score = None, (-1, 0.0)
     n = len(source)
-    for _ in range(1 if n == 4 else rounds):
-        pick = np.arange(4) if n == 4 else rng.choice(n, 4, replace=False)
-        if not _spread(source[pick]) or not _spread(target[pick]):
-            continue
-        candidate = _direct_fit(source[pick], target[pick])
-        if candidate is None:
+    picks = np.arange(4)[None, :] if n == 4 else _picks(n, rounds, seed)
+    for low in range(0, len(picks), FIT_CHUNK):
+        candidates = _direct_fits(source, target, picks[low:low + FIT_CHUNK])
+        if not len(candidates):
             continue
-        error = np.linalg.norm(_apply(candidate, source) - target, axis=1)
-        inside = np.nan_to_num(error, nan=np.inf) <= threshold
-        score = (int(inside.sum()), -float(error[inside].sum()))
-        if score > best_score:
-            best, best_score = inside, score
+        homogeneous = np.c_[source, np.ones(n)] @ candidates.transpose(0, 2, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            errors = np.linalg.norm(homogeneous[..., :2] / homogeneous[..., 2:3] - target, axis=2)
+        inside = np.nan_to_num(errors, nan=np.inf) <= threshold
+        held = inside.sum(axis=1)
+        for i in np.flatnonzero(held == held.max()) if held.max() >= best_score[0] else []:
+            score = (int(held[i]), -float(errors[i][inside[i]].sum()))
+            if score > best_score:
+                best, best_score = inside[i], score
+            if best_score[0] == n:
+                break
         if best_score[0] == n:
             break
     if best is None or best.sum() < 4:
