@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trackspark.operators import calibrate as CAL
+from trackspark.operators import pairs as PR
 from trackspark.operators.tracking import LiveTracks
 
 
@@ -38,3 +40,24 @@ def test_candidates_are_fitted_together(seed, monkeypatch):
     monkeypatch.setattr(np.linalg, "svd", lambda *a, **k: calls.append(1) or real(*a, **k))
     CAL._robust_fit(field, image, 3.0)
     assert len(calls) <= 30  # 400 candidates took some 1,200
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_settled_walks_equal_the_walk(seed):
+    rng = np.random.default_rng(seed)
+    left, right = (np.sort(rng.choice(400, 60, replace=False) * 0.04 + rng.uniform(-0.02, 0.02, 60)) for _ in range(2))
+    walk = PR._settled(left, right, 0.015)
+    if walk is not None:
+        assert walk.tolist() == PR._walk(left.tolist(), right.tolist(), 0.015, -1)
+    assert PR._settled(left, np.sort(np.r_[right, right[3]]), 20.0) is None
+
+
+def test_block_without_a_possible_entry_is_final():
+    row = lambda key, s, own=True: ("p", 1, key, s, s, s, 0.0, own)
+    columns = ["play_id", "block", "tracklet_id", "s", "x", "y", "u", "own"]
+    pairs = pd.DataFrame([("p", 1, "a", "b")], columns=["play_id", "block", "left_key", "right_key"])
+    run = lambda rows: PR._pair_block(0.05, 64.0)(pd.DataFrame(rows, columns=columns), pairs)
+    apart = run([row("a", 64.0), row("b", 64.0), row("a", 65.0), row("b", 65.0)])
+    assert apart.alone.tolist() == [True] and apart.left_s.iloc[0].tolist() == [64.0, 65.0]
+    near = run([row("a", 63.99, False), row("a", 64.0), row("b", 64.0), row("b", 64.02)])
+    assert near.alone.tolist() == [False] * 3  # the sample before the border may have taken either

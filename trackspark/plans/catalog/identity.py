@@ -10,6 +10,7 @@ from trackspark.plans.catalog import query
 from trackspark.plans.catalog.aggregates import CUE_SQL, PAIRS, TEAM_CTE, cue_comparison, shot_pairs, teams
 from trackspark.plans.catalog.evaluation import IDENTITIES, identities
 from trackspark.plans.views import with_views
+from trackspark.session import cut_lineage
 
 SAMPLES = """SELECT play_id, shot_id, tracklet_id, frame_index, pts, play_time_s, (x1+x2)/2.0E0*0.5 AS field_x, y2*0.25E0 AS field_y,
  CASE WHEN tracklet_id LIKE '%t6' THEN score*4 WHEN frame_index % 11 = 0 THEN NULL ELSE score END AS position_uncertainty_yards,
@@ -44,7 +45,7 @@ EVIDENCE = f"""{PAIRS}, {CUE_SQL}, {TEAM_CTE}, {SAMPLE_CTE}, rated AS (SELECT *,
 
 
 def evidence(v, with_cues: bool = True):
-    pairs = shot_pairs(v)
+    pairs = cut_lineage(shot_pairs(v))
     return PR.pair_evidence(pairs, samples(v), teams(v), cue_comparison(v, pairs) if with_cues else None)
 
 
@@ -70,11 +71,11 @@ def j10(v):
 @query("a26_shape_agreement", "obs crops reads embeds", f""", {EVIDENCE}
 SELECT left_key, right_key, round(shape, 9) AS shape FROM ev WHERE gate IS NULL AND n >= 5""")
 def a26(v):
-    pairs = shot_pairs(v)
-    open_pairs = PR.pair_evidence(pairs, samples(v), teams(v), cue_comparison(v, pairs)).filter(
+    pairs, placed = cut_lineage(shot_pairs(v)), cut_lineage(samples(v))
+    open_pairs = PR.pair_evidence(pairs, placed, teams(v), cue_comparison(v, pairs)).filter(
         "rejection_reason is null or rejection_reason in ('position_uncertainty_exceeds_limit','field_distance_exceeds_limit','insufficient_overlap_duration')"
     )
-    joined = PR.paired_samples(open_pairs, samples(v))
+    joined = PR.paired_samples(open_pairs, placed)
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ends = joined.groupBy("left_key", "right_key").agg(
         F.count("*").alias("n"), F.min_by(p("lx", "ly"), "left_s").alias("fl"), F.max_by(p("lx", "ly"), "left_s").alias("ll"),
