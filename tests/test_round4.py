@@ -9,6 +9,7 @@ import pytest
 from trackspark.operators import calibrate as CAL
 from trackspark.operators import pairs as PR
 from trackspark.operators.tracking import LiveTracks
+from trackspark.sources import label_xml as LX
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -61,3 +62,15 @@ def test_block_without_a_possible_entry_is_final():
     assert apart.alone.tolist() == [True] and apart.left_s.iloc[0].tolist() == [64.0, 65.0]
     near = run([row("a", 63.99, False), row("a", 64.0), row("b", 64.0), row("b", 64.02)])
     assert near.alone.tolist() == [False] * 3  # the sample before the border may have taken either
+
+
+def test_label_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "labels.xml").write_text("""<annotations>
+<track id="1" label="player"><attribute name="a">1</attribute><box frame="0" xtl="1" ytl="2" xbr="5" ybr="6"><attribute name="b"/></box><box frame="1" xtl="1" ytl="2" xbr="5" ybr="6"><attribute>x</attribute></box></track>
+<track id="2" label="p"><attribute name="a">1</attribute><attribute name="a">2</attribute><points frame="0" points="3,4"/></track>
+</annotations>""")
+    t = LX.read_tracks(spark, str(tmp_path))
+    for name in ("boxes", "points"):
+        assert not any(f.endswith(".xml") for f in t[name].inputFiles())
+    assert [r.attributes for r in t["boxes"].orderBy("task_frame").collect()] == [{"a": "1", "b": ""}, {"a": "1"}]
+    assert [r.attributes for r in t["points"].collect()] == [{"a": "1"}]

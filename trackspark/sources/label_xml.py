@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackspark.session import cut_lineage
+
 ATTRIBUTE = "array<struct<_name:string,_VALUE:string>>"
 SHAPE = "_frame bigint,_outside int,_occluded int,_keyframe int"
 TRACK = (
@@ -16,10 +18,15 @@ TAG = f"_frame bigint, _label string, attribute {ATTRIBUTE}"
 
 
 def _attributes(column: str) -> Column:
+    """Name to value, the first of a repeated name; mostly there is one attribute or none."""
     entries = F.transform(F.coalesce(F.col(column), F.array().cast(ATTRIBUTE)), lambda a: F.struct(a["_name"].alias("key"), F.coalesce(a["_VALUE"], F.lit("")).alias("value")))
     named = F.filter(entries, lambda e: e["key"].isNotNull())
     first = F.filter(F.transform(named, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.exists(F.slice(named, F.lit(1), e["i"]), lambda p: p["key"] == e["key"]))
-    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
+    only = F.get(F.col(column), F.lit(0))
+    one = (F.size(F.col(column)) == 1) & only["_name"].isNotNull()
+    return F.when(one, F.create_map(F.coalesce(only["_name"], F.lit("")), F.coalesce(only["_VALUE"], F.lit("")))).otherwise(
+        F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
+    )
 
 
 def _merged(outer: Column, inner: Column) -> Column:
@@ -31,6 +38,7 @@ def _merged(outer: Column, inner: Column) -> Column:
 def read_tracks(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
     """``boxes``, ``points`` (one row per coordinate pair), ``tags`` and ``rejects`` of many label files."""
     raw = spark.read.format("xml").option("rowTag", "track").schema(TRACK).load(paths).withColumn("file_path", F.col("_metadata.file_path"))
+    raw = cut_lineage(raw)  # boxes, points and rejects read the parsed tracks, not the files
     tags = spark.read.format("xml").option("rowTag", "tag").schema(TAG).load(paths).withColumn("file_path", F.col("_metadata.file_path"))
     tracks = raw.select("file_path", F.col("_id").alias("track_id"), F.coalesce("_label", F.lit("")).alias("label"), F.coalesce("_source", F.lit("manual")).alias("track_source"), _attributes("attribute").alias("_track"), "box", "points")
     on = lambda c, default: F.coalesce(F.col(c), F.lit(default)) == 1
@@ -58,4 +66,6 @@ def read_tracks(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFr
         .unionByName(bad_points.select("file_path", "track_id", "task_frame", F.lit("points").alias("rule")))
         .unionByName(tag_rows.filter("task_frame is null or task_frame < 0").select("file_path", none.alias("track_id"), "task_frame", F.lit("tag_frame").alias("rule")))
     )
+    # the written tracks look small, their shapes are as many as the detections: never to be broadcast
+    boxes, shapes = boxes.hint("merge"), shapes.hint("merge")
     return {"boxes": boxes, "points": shapes, "tags": tag_rows, "rejects": rejects}
