@@ -8,6 +8,7 @@ import pytest
 
 from trackspark.operators import calibrate as CAL
 from trackspark.operators import pairs as PR
+from trackspark.operators import teams as TE
 from trackspark.operators.tracking import LiveTracks
 from trackspark.sources import label_xml as LX
 
@@ -74,3 +75,12 @@ def test_label_files_are_parsed_once(spark, tmp_path):
         assert not any(f.endswith(".xml") for f in t[name].inputFiles())
     assert [r.attributes for r in t["boxes"].orderBy("task_frame").collect()] == [{"a": "1", "b": ""}, {"a": "1"}]
     assert [r.attributes for r in t["points"].collect()] == [{"a": "1"}]
+
+
+def test_colours_are_counted_once(spark, monkeypatch):
+    written, real = [], TE.cut_lineage
+    monkeypatch.setattr(TE, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    crops = spark.createDataFrame([("s", f"t{i % 2}", i, 0.1 + 0.8 * (i % 2), 0.1, 0.01 * (i // 4)) for i in range(12)], "shot_id string, tracklet_id string, frame_index bigint, r double, g double, b double")
+    teams = {r.tracklet_id: r for r in TE.team_by_clusters(crops, crops, ["shot_id"]).collect()}
+    assert teams["t0"].team == "team_0" and teams["t1"].team == "team_1" and teams["t0"].crop_count == 6
+    assert sum({"_n", "_order"} <= set(columns) for columns in written) == 1

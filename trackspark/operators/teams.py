@@ -150,7 +150,8 @@ def team_by_clusters(tracklets: DataFrame, crops: DataFrame, keys: list[str], ro
     farthest pair. Only the two centres of a key are carried between rounds.
     """
     ordered = crops.withColumn("_order", F.struct("tracklet_id", "frame_index"))
-    distinct = ordered.groupBy(*keys, *RGB).agg(F.min("_order").alias("_order"))
+    weighted = cut_lineage(ordered.groupBy(*keys, *RGB).agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_order")))  # equal colours count once with weight; read every round
+    distinct = weighted.drop("_n")
     first = distinct.groupBy(*keys).agg(F.min_by(F.struct(*RGB), "_order").alias("_c0"))
     candidates = _farthest_candidates(distinct, keys)
     apart = F.sqrt(sum((F.pow(F.col(f"_p.{c}") - F.col(f"_q.{c}"), 2) for c in RGB[1:]), F.pow(F.col("_p.r") - F.col("_q.r"), 2)))
@@ -164,7 +165,6 @@ def team_by_clusters(tracklets: DataFrame, crops: DataFrame, keys: list[str], ro
     )
     seeds = first.join(tied, keys, "left").withColumn("_c1", F.coalesce("_c1", "_c0"))
     centres = cut_lineage(seeds.select(*keys, "_c0", "_c1"))
-    weighted = ordered.groupBy(*keys, *RGB).agg(F.count(F.lit(1)).alias("_n"))  # equal colours count once with weight
     to = lambda name: _distance(RGB, [F.col(f"{name}.{c}") for c in RGB])
     for _ in range(rounds):
         labelled = weighted.join(centres, keys).withColumn("_label", F.when(to("_c1") < to("_c0"), 1).otherwise(0))
