@@ -110,10 +110,12 @@ def _accept_in_order(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     for shot, key, chunk, frames in zip(sets.shot_id, sets.tracklet_id, sets.chunk, sets.frames):
         seen.setdefault(key, {})[(shot, chunk)] = np.frombuffer(frames, np.uint64)
     members: dict[str, set[str]] = {}
+    taken: dict[str, dict[tuple, np.ndarray]] = {}  # frames of all members together
     traits: dict[str, tuple[set, set, set]] = {}
     for side in ("left", "right"):
         for key, play, team, jerseys in zip(links[f"{side}_key"], links[f"{side}_play"], links[f"{side}_team"], links[f"{side}_jerseys"]):
             members[key] = {key}
+            taken[key] = dict(seen.get(key, {}))
             traits[key] = (
                 {play} - {None}, {team} - {None, "unknown"}, set() if jerseys is None else {int(j) for j in jerseys},
             )
@@ -127,12 +129,7 @@ def _accept_in_order(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             return False
         if numbers[0] and numbers[1] and numbers[0].isdisjoint(numbers[1]):
             return False
-        for x in members[a]:
-            for y in members[b]:
-                own, other = seen.get(x, {}), seen.get(y, {})
-                if any((own[at] & other[at]).any() for at in own.keys() & other.keys()):
-                    return False
-        return True
+        return not any((taken[a][at] & taken[b][at]).any() for at in taken[a].keys() & taken[b].keys())
 
     accepted = []
     for left, right in zip(links.left_key, links.right_key):
@@ -140,37 +137,75 @@ def _accept_in_order(links: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         ok = a == b or compatible(a, b)
         accepted.append(ok)
         if ok and a != b:
-            keep, gone = min(a, b), max(a, b)
+            keep, gone = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+            for key in members[gone]:
+                home[key] = keep
             members[keep] |= members.pop(gone)
+            for at, frames in taken.pop(gone).items():
+                taken[keep][at] = taken[keep][at] | frames if at in taken[keep] else frames
             traits[keep] = tuple(x | y for x, y in zip(traits[keep], traits.pop(gone)))
-            for key in members[keep]:
-                home[key] = keep
     return pd.DataFrame({"play_id": links.play_id, "left_key": links.left_key, "right_key": links.right_key, "accepted": accepted})
 
 
+def _meeting_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct (left_key, right_key) that share a frame; bitmaps travel only where both have one."""
+    keys, at = ["left_key", "right_key"], ["shot_id", "chunk"]
+    on = lambda side: sets.select(F.col("tracklet_id").alias(f"{side}_key"), *at)
+    near = pairs.join(on("left"), "left_key").join(on("right"), ["right_key", *at])
+    sides = near.select(*keys, *at, F.explode(F.array(*keys)).alias("tracklet_id")).join(sets, ["tracklet_id", *at])
+    common = sides.groupBy(*keys, *at).agg(F.bitmap_count(F.bitmap_and_agg("frames")).alias("_common"))
+    return common.filter("_common > 0").select(*keys).distinct()
+
+
+def _contested_components(parts: DataFrame, known: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components in which some pair of members may be incompatible, their (component, shot, chunk) with two members or more)."""
+    numbers = F.when(F.size("jerseys") > 0, F.array_sort("jerseys"))
+    differ = [F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in (F.col("play"), F.col("team"), numbers)]
+    unlike = parts.join(known, "id").groupBy("component").agg((differ[0] | differ[1] | differ[2]).alias("_unlike")).filter("_unlike").select("component")
+    places = parts.join(sets.select(F.col("tracklet_id").alias("id"), "shot_id", "chunk"), "id")
+    crowded = cut_lineage(places.groupBy("component", "shot_id", "chunk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    return cut_lineage(unlike.union(crowded.select("component")).distinct()), crowded
+
+
 def safe_links(links: DataFrame, attributes: DataFrame, rows: DataFrame) -> DataFrame:
     """``same`` links with ``accepted``: order decides, so each connected component is walked on its own.
 
-    Components of the proposed links never interact, so a group is one
-    player's candidate views, not a play or a run.
+    A group never holds two plays, two teams or two tracklets of one frame, so a link whose own ends differ in one of them
+    is refused whatever was taken before, and joins nothing. Components of the other links never interact, so a
+    group is one player's candidate views, not a play or a run; where all members agree, every link is taken, and only the
+    rest is walked.
 
     attributes(tracklet_id, play_id, team, jerseys array<int>), rows(shot_id, frame_index, tracklet_id)
     """
-    same = links.filter("decision = 'same'").select("play_id", "left_key", "right_key").distinct()
-    ends = same.select(F.col("left_key").alias("id")).union(same.select(F.col("right_key").alias("id"))).distinct()
-    parts = connected_components(ends, same.select(F.col("left_key").alias("src"), F.col("right_key").alias("dst")))
-    on = lambda side: attributes.select(
-        F.col("tracklet_id").alias(f"{side}_key"), F.col("play_id").alias(f"{side}_play"), F.col("team").alias(f"{side}_team"), F.col("jerseys").alias(f"{side}_jerseys")
-    )
-    keyed = (
-        same.join(on("left"), "left_key", "left").join(on("right"), "right_key", "left")
-        .join(parts.select(F.col("id").alias("left_key"), "component"), "left_key")
+    keys = ["left_key", "right_key"]
+    same = cut_lineage(links.filter("decision = 'same'").select("play_id", *keys).distinct())
+    ids = lambda df: df.select(F.explode(F.array(*keys)).alias("id")).distinct()
+    traits = attributes.select(
+        F.col("tracklet_id").alias("id"), F.col("play_id").alias("play"), F.when(F.col("team") != "unknown", F.col("team")).alias("team"), "jerseys"
     )
-    inside = frame_sets(rows, ends.select(F.col("id").alias("tracklet_id"))).join(parts.select(F.col("id").alias("tracklet_id"), "component"), "tracklet_id")
-    return fresh(keyed).groupBy("component").cogroup(fresh(inside).groupBy("component")).applyInPandas(
+    known = cut_lineage(ids(same).join(traits, "id", "left"))
+    sets = cut_lineage(frame_sets(rows, ids(same).withColumnRenamed("id", "tracklet_id")))
+    on = lambda side: known.select(F.col("id").alias(f"{side}_key"), *[F.col(c).alias(f"{side}_{c}") for c in ("play", "team", "jerseys")])
+    unlike = F.coalesce(F.col("left_play") != F.col("right_play"), F.lit(False)) | F.coalesce(F.col("left_team") != F.col("right_team"), F.lit(False))
+    keyed = same.join(on("left"), "left_key").join(on("right"), "right_key").withColumn("_refused", unlike)
+    met = _meeting_pairs(keyed.filter("not _refused and left_key <> right_key").select(*keys).distinct(), sets).withColumn("_met", F.lit(True))
+    judged = keyed.join(met, keys, "left").withColumn("_refused", F.col("_refused") | F.col("_met").isNotNull()).drop("_met")
+    judged = cut_lineage(judged)
+    out = ["play_id", *keys]
+    refused = judged.filter("_refused").select(*out, F.lit(False).alias("accepted"))
+
+    free = judged.filter("not _refused").drop("_refused")
+    parts = connected_components(ids(free), free.select(F.col("left_key").alias("src"), F.col("right_key").alias("dst")))
+    contested, crowded = _contested_components(parts, known, sets)
+    placed = free.join(parts.select(F.col("id").alias("left_key"), "component"), "left_key")
+    taken = placed.join(contested, "component", "left_anti").select(*out, F.lit(True).alias("accepted"))
+    walked = placed.join(contested, "component", "left_semi")
+    inside = sets.join(parts.withColumnRenamed("id", "tracklet_id"), "tracklet_id").join(crowded, ["component", "shot_id", "chunk"], "left_semi")
+    decided = fresh(walked).groupBy("component").cogroup(fresh(inside).groupBy("component")).applyInPandas(
         lambda l, o: _accept_in_order(l, o) if len(l) else pd.DataFrame(columns=["play_id", "left_key", "right_key", "accepted"]),
         "play_id string, left_key string, right_key string, accepted boolean",
     )
+    return refused.unionByName(taken).unionByName(decided)
 
 
 def player_ids(tracklets: DataFrame, links: DataFrame) -> DataFrame:

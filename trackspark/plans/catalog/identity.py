@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from trackspark.operators import identity as ID
 from trackspark.operators import pairs as PR
+from trackspark.operators import teams as TE
 from trackspark.plans.catalog import query
-from trackspark.plans.catalog.aggregates import CUE_SQL, PAIRS, TEAM_CTE, cue_comparison, shot_pairs, teams
+from trackspark.plans.catalog.aggregates import CUE_SQL, PAIRS, PROTOTYPES, TEAM_CTE, cue_comparison, shot_pairs, teams
 from trackspark.plans.catalog.evaluation import IDENTITIES, identities
 from trackspark.plans.views import with_views
 from trackspark.session import cut_lineage
@@ -108,9 +109,9 @@ LINK_SQL = """nodes AS (SELECT DISTINCT tracklet_id, CAST(substr(split_part(trac
 
 
 def chain_links(v):
-    nodes = v.obs.select("tracklet_id").distinct().select(
-        "tracklet_id", F.regexp_extract("tracklet_id", r"shot-(\d+)", 1).cast("int").alias("k"), F.substring_index("tracklet_id", ":t", -1).cast("int").alias("line")
-    )
+    nodes = cut_lineage(v.obs.select("tracklet_id", "play_id").distinct().select(  # one row per tracklet, read often
+        "tracklet_id", "play_id", F.regexp_extract("tracklet_id", r"shot-(\d+)", 1).cast("int").alias("k"), F.substring_index("tracklet_id", ":t", -1).cast("int").alias("line")
+    ))
     right = nodes.select(F.col("tracklet_id").alias("right_key"), (F.col("k") - 1).alias("k"), "line")
     return nodes, nodes.join(right, ["k", "line"]).filter((F.col("line") + F.col("k")) % 3 != 0).select(F.col("tracklet_id").alias("left_key"), "right_key")
 
@@ -124,9 +125,9 @@ def g2(v):
     return ID.player_ids(nodes, links)
 
 
-def _attributes(v):
-    t = teams(v).select("tracklet_id", "team")
-    plays = v.obs.select("tracklet_id", "play_id").distinct()
+def _attributes(v, plays=None):
+    plays = v.obs.select("tracklet_id", "play_id").distinct() if plays is None else plays.select("tracklet_id", "play_id")
+    t = TE.team_by_prototype(plays, v.crops, PROTOTYPES).select("tracklet_id", "team")
     from trackspark.operators.cues import reviewed_numbers
     from trackspark.plans.catalog.aggregates import candidates
 
@@ -139,7 +140,7 @@ def g3(v):
     nodes, links = chain_links(v)
     extra = nodes.join(nodes.select(F.col("tracklet_id").alias("right_key"), "k", (F.col("line") - 2).alias("line")), ["k", "line"]).select(F.col("tracklet_id").alias("left_key"), "right_key")
     proposed = links.unionByName(extra).withColumn("decision", F.lit("same")).withColumn("play_id", F.lit("all"))
-    return ID.safe_links(proposed, _attributes(v), v.obs)
+    return ID.safe_links(proposed, _attributes(v, nodes), v.obs)
 
 
 @query("g4_play_resolution")
