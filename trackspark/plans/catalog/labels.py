@@ -125,18 +125,26 @@ def p15(v):
 
 
 def label_files(v) -> str:
-    """Label XML per 500 frames of a shot, written by Spark; task frames count from the block's first frame."""
-    rows = v.obs.withColumn("chunk", F.floor(F.col("frame_index") / DOC_FRAMES)).withColumn("task", F.col("frame_index") - F.col("chunk") * DOC_FRAMES)
+    """Label XML per 500 frames of a shot, written by Spark, compressed; task frames count from the block's first frame.
+
+    The numbers of a block are dealt once and become text where they meet, so no text is shuffled.
+    """
+    rows = v.obs.withColumn("chunk", F.floor(F.col("frame_index") / DOC_FRAMES)).select("shot_id", "chunk", "tracklet_id", "frame_index", "x1", "y1", "x2", "y2")
+    rows = rows.repartition("shot_id", "chunk").withColumn("task", F.col("frame_index") - F.col("chunk") * DOC_FRAMES)
     number = F.substring_index("tracklet_id", ":t", -1)
-    box = F.concat(
-        F.lit('<box frame="'), F.col("task").cast("string"), F.lit('" outside="'), F.when(F.col("frame_index") % 31 == 0, "1").otherwise("0"), F.lit('" occluded="'), F.when(F.col("frame_index") % 7 == 0, "1").otherwise("0"), F.lit('" keyframe="1" xtl="'), F.col("x1").cast("string"),
-        F.lit('" ytl="'), F.col("y1").cast("string"), F.lit('" xbr="'), F.col("x2").cast("string"), F.lit('" ybr="'), F.col("y2").cast("string"), F.lit('"><attribute name="review_status">'), F.when(F.col("frame_index") % 13 == 0, "rejected").otherwise("accepted"), F.lit("</attribute></box>"),
+    text = lambda c: c.cast("string")
+    box = lambda e: F.concat(
+        F.lit('<box frame="'), text(e["task"]), F.lit('" outside="'), F.when(e["frame_index"] % 31 == 0, "1").otherwise("0"), F.lit('" occluded="'), F.when(e["frame_index"] % 7 == 0, "1").otherwise("0"), F.lit('" keyframe="1" xtl="'), text(e["x1"]),
+        F.lit('" ytl="'), text(e["y1"]), F.lit('" xbr="'), text(e["x2"]), F.lit('" ybr="'), text(e["y2"]), F.lit('"><attribute name="review_status">'), F.when(e["frame_index"] % 13 == 0, "rejected").otherwise("accepted"), F.lit("</attribute></box>"),
     )
-    points = F.concat(
-        F.lit('<points frame="'), F.col("task").cast("string"), F.lit('" outside="0" occluded="0" keyframe="1" points="'), G.contact_x().cast("string"), F.lit(","), G.contact_y().cast("string"),
+    points = lambda e: F.concat(
+        F.lit('<points frame="'), text(e["task"]), F.lit('" outside="0" occluded="0" keyframe="1" points="'), text(e["cx"]), F.lit(","), text(e["cy"]),
         F.lit('"><attribute name="review_status">accepted</attribute></points>'),
     )
-    tracks = rows.groupBy("shot_id", "chunk", "tracklet_id").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("task", box.alias("x")))), lambda e: e["x"])).alias("boxes"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("task", points.alias("x")))), lambda e: e["x"])).alias("pts"))
+    shape = F.struct("task", "frame_index", "x1", "y1", "x2", "y2", G.contact_x().alias("cx"), G.contact_y().alias("cy"))
+    tracks = rows.groupBy("shot_id", "chunk", "tracklet_id").agg(F.sort_array(F.collect_list(shape)).alias("_s")).select(
+        "shot_id", "chunk", "tracklet_id", F.concat_ws("", F.transform("_s", box)).alias("boxes"), F.concat_ws("", F.transform("_s", points)).alias("pts")
+    )
     track = lambda label, offset, body: F.concat(
         F.lit('<track id="'), (number.cast("int") + offset).cast("string"), F.lit(f'" label="{label}" source="auto"><attribute name="tracklet_id">'), F.col("tracklet_id"), F.lit("</attribute>"), F.col(body), F.lit("</track>")
     )
@@ -148,7 +156,7 @@ def label_files(v) -> str:
         F.concat(F.lit("<annotations><version>1.1</version>\n"), "tracks", F.lit("\n"), F.coalesce("tags", F.lit("")), F.lit("\n</annotations>")).alias("value"),
     )
     path = scratch(v, "labels")
-    doc.write.partitionBy("doc").text(path)
+    doc.write.option("compression", "gzip").partitionBy("doc").text(path)
     return path
 
 
