@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,5 +59,5 @@ def broken_rules(rules: dict[str, Column]) -> Column:
 def split_rejects(df, rules: dict[str, Column]):
     """(rows that keep every rule, one reject row per broken rule)."""
     marked = df.withColumn("broken", broken_rules(rules))
-    good = marked.filter(F.size("broken") == 0).drop("broken")
+    good = df.filter(reduce(lambda a, b: a & b, [F.coalesce(ok, F.lit(False)) for ok in rules.values()], F.lit(True)))  # the same, without a list a row
     return good, marked.filter(F.size("broken") > 0).withColumn("rule", F.explode("broken")).drop("broken")

@@ -47,14 +47,14 @@ def as_fit(df: DataFrame, id_column: str, extra: list[str] | None = None) -> Col
     )
 
 
-def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame | None = None) -> DataFrame:
+def calibration_at(rows: DataFrame, timeline: DataFrame, shot_fits: DataFrame | None = None, extent: DataFrame | None = None) -> DataFrame:
     """Adds ``fit``: the timeline estimate holding the PTS, else the shot's fit, else the shared ``*`` fit of the row's source.
 
     timeline(shot_id, pts_start, pts_end, fit), shot_fits([source_id,] shot_id, fit). Without source_id in both tables
     there is one shared fit for all. More than one shared fit of a source raises: which one holds would be chance.
     """
     spans = timeline.select("shot_id", F.col("pts_start").alias("_s"), F.col("pts_end").alias("_e"), "fit")
-    found = interval_join(rows, spans, ["shot_id"], "pts", "_s", "_e", PTS_BUCKET, how="left").drop("_s", "_e")
+    found = interval_join(rows, spans, ["shot_id"], "pts", "_s", "_e", PTS_BUCKET, how="left", extent=extent).drop("_s", "_e")
     if shot_fits is None:
         return found
     own = shot_fits.filter("shot_id <> '*'").select("shot_id", F.col("fit").alias("_own"))

@@ -62,7 +62,7 @@ def declared_shot_of_frame(rows: DataFrame, declared: DataFrame, ranges: DataFra
     )
 
 
-def play_of_frame(rows: DataFrame, play_shots: DataFrame) -> DataFrame:
+def play_of_frame(rows: DataFrame, play_shots: DataFrame, extent: DataFrame | None = None) -> DataFrame:
     """play_id only for shots of the play and inside the declared range (null range = whole shot)."""
     spans = play_shots.select(
         "shot_id",
@@ -70,7 +70,7 @@ def play_of_frame(rows: DataFrame, play_shots: DataFrame) -> DataFrame:
         F.coalesce("start_frame", F.lit(0).cast("bigint")).alias("_s"),
         F.col("end_frame").alias("_e"),
     )
-    return interval_join(rows, spans, ["shot_id"], "frame_index", "_s", "_e", FRAME_BUCKET, how="left").drop("_s", "_e")
+    return interval_join(rows, spans, ["shot_id"], "frame_index", "_s", "_e", FRAME_BUCKET, how="left", extent=extent).drop("_s", "_e")
 
 
 def scene_scores(thumbs: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ def time_segments(correspondences: DataFrame) -> DataFrame:
     )
 
 
-def time_at(rows: DataFrame, segments: DataFrame, out: str = "play_time_s") -> DataFrame:
+def time_at(rows: DataFrame, segments: DataFrame, out: str = "play_time_s", extent: DataFrame | None = None) -> DataFrame:
     """Piecewise-linear play time, null outside the reviewed support. rows(play_id, shot_id, pts, ..)"""
-    joined = interval_join(rows, segments, ["play_id", "shot_id"], "pts", "first_pts", "to_pts", PTS_BUCKET, how="left", closed=True)
+    joined = interval_join(rows, segments, ["play_id", "shot_id"], "pts", "first_pts", "to_pts", PTS_BUCKET, how="left", closed=True, extent=extent)
     ratio = (F.col("pts") - F.col("from_pts")) / (F.col("to_pts") - F.col("from_pts")).cast("double")
     return joined.withColumn(out, F.col("from_s") + ratio * (F.col("to_s") - F.col("from_s"))).drop(
         "from_pts", "from_s", "to_pts", "to_s", "first_pts"
@@ -38,14 +38,14 @@ def anchor_time(pts: Column, frame: Column, tb_num: Column, tb_den: Column, fps:
     return F.when(F.col("source_pts").isNotNull(), by_pts).otherwise((frame - F.col("source_frame")) / fps)
 
 
-def play_clock(rows: DataFrame, segments: DataFrame, anchors: DataFrame) -> DataFrame:
+def play_clock(rows: DataFrame, segments: DataFrame, anchors: DataFrame, extent: DataFrame | None = None) -> DataFrame:
     """A play with a map uses only the map; one without uses its anchors.
 
     rows(play_id, shot_id, pts, frame_index, tb_num, tb_den, fps, ..),
     anchors(play_id, shot_id, source_pts, source_frame, anchor_s)
     """
     mapped = segments.select("play_id").distinct().withColumn("_mapped", F.lit(True))
-    timed = time_at(rows, segments, "_map_s").join(mapped, "play_id", "left").join(anchors, ["play_id", "shot_id"], "left")
+    timed = time_at(rows, segments, "_map_s", extent).join(mapped, "play_id", "left").join(anchors, ["play_id", "shot_id"], "left")
     by_anchor = anchor_time(F.col("pts"), F.col("frame_index"), F.col("tb_num"), F.col("tb_den"), F.col("fps"))
     return timed.select(
         *rows.columns,

@@ -7,10 +7,10 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.scale import connected_components, frame_bucket, positions, spread
+from trackspark.scale import frame_bucket, spread
 from trackspark.session import cut_lineage
 
 SHOT = ["source_id", "shot_id"]
@@ -66,6 +66,8 @@ class LiveTracks:
         for t, (ax1, ay1, ax2, ay2) in enumerate(self.boxes):
             area = clipped(ax2 - ax1) * clipped(ay2 - ay1)
             for d, (bx1, by1, bx2, by2) in enumerate(boxes):
+                if ax2 <= bx1 or bx2 <= ax1:
+                    continue
                 width = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
                 if width <= 0:
                     continue
@@ -79,6 +81,17 @@ class LiveTracks:
         out.sort()
         return out
 
+    def _order_matters(self, scored: list[tuple[float, int, int]]) -> bool:
+        """Whether two inherited tracks overlap one detection equally: only then does their order decide anything."""
+        for low, (one, two) in enumerate(zip(scored, scored[1:])):
+            if one[0] == two[0] and two[1] < self.inherited:
+                for other in scored[low + 1:]:
+                    if other[0] != one[0]:
+                        break
+                    if other[2] == one[2] and other[1] != one[1] and max(one[1], other[1]) < self.inherited:
+                        return True
+        return False
+
     def step(self, frame: int, numbers: list[int], boxes: list[tuple]) -> list[int]:
         """Assign the detections of one frame; returns the track index of each (new tracks at the end)."""
         self.expire(frame)
@@ -89,9 +102,7 @@ class LiveTracks:
             else:
                 scored = self._overlaps(boxes)
             if len(scored) > 1 and not self.tied:
-                self.tied = any(
-                    one[0] == two[0] and one[1] != two[1] and one[1] < self.inherited and two[1] < self.inherited for one, two in zip(scored, scored[1:])
-                )
+                self.tied = self._order_matters(scored)
             used: set[int] = set()
             for _, t, d in scored:
                 if t in used or taken[d] >= 0:
@@ -123,18 +134,18 @@ def frames_of(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple]]]
             yield int(frames[low]), numbers[low:high], boxes[low:high]
 
 
-_STATE = "array<struct<f:bigint,d:int,x1:double,y1:double,x2:double,y2:double>>"
+_STATE = "array<struct<f:bigint,d:int,x1:double,y1:double,x2:double,y2:double,no:int>>"
+#: One row a block. ``no`` and ``local`` number the tracks of a block: those it entered with, then its own in order of creation.
 _BLOCK = (
-    f"source_id string, shot_id string, block bigint, summary boolean, first_frame bigint, entry {_STATE}, leaving {_STATE}, tied boolean, "
-    "frame_index bigint, det_index int, piece_frame bigint, piece_det int, prev_frame bigint, prev_det int"
+    f"source_id string, shot_id string, block bigint, first_frame bigint, entry {_STATE}, leaving {_STATE}, tied boolean, "
+    "frames array<bigint>, dets array<int>, local array<int>, piece_frame array<bigint>"
 )
-_NAMES = [part.split()[0] for part in (
-    "source_id s, shot_id s, block b, summary b, first_frame b, entry a, leaving a, tied b, frame_index b, det_index i, piece_frame b, piece_det i, prev_frame b, prev_det i"
-).split(", ")]
+_CHAIN = f"source_id string, shot_id string, block bigint, turn int, alive {_STATE}, entry_no array<bigint>, made_before bigint"
+_NAMES = ["source_id", "shot_id", "block", "first_frame", "entry", "leaving", "tied", "frames", "dets", "local", "piece_frame"]
 
 
-def _as_state(rows: list[tuple]) -> list[dict]:
-    return [dict(zip(("f", "d", *BOX), row)) for row in rows]
+def _as_state(rows: list[tuple], numbers: list[int]) -> list[dict]:
+    return [dict(zip(("f", "d", *BOX, "no"), (*row, no))) for row, no in zip(rows, numbers)]
 
 
 def _from_state(value: Any) -> list[tuple]:
@@ -146,23 +157,25 @@ def _walk_block(pdf: pd.DataFrame, live: LiveTracks) -> pd.DataFrame:
     head = (pdf.source_id.iloc[0], pdf.shot_id.iloc[0], int(pdf.block.iloc[0]))
     first = int(pdf.frame_index.min())
     live.expire(first)
-    entry = live.state()
-    live.inherited, live.tied = len(live.last), False
-    live.label = [None] * len(live.last)  # the first own detection of each track
-    out = []
+    made = len(live.last)
+    entry = _as_state(live.state(), list(range(made)))
+    live.inherited, live.tied = made, False
+    live.label = list(range(made))
+    frames, dets, local, begun = [], [], [], []
     for frame, numbers, boxes in frames_of(pdf):
-        known = len(live.last)
-        live.expire(frame)
-        known = len(live.last)
         taken = live.step(frame, numbers, boxes)
-        for d, t in enumerate(taken):
-            previous = live.last[t] if t < known else (None, None)
+        for t in taken:
             if live.label[t] is None:
-                live.label[t] = (frame, numbers[d])
-            out.append((*head, False, None, None, None, None, frame, numbers[d], *live.label[t], *previous))
+                live.label[t] = made
+                made += 1
+                begun.append(frame)
+            local.append(live.label[t])
+        frames.extend([frame] * len(numbers))
+        dets.extend(numbers)
         live.commit(frame, numbers, boxes, taken)
-    out.append((*head, True, first, _as_state(entry), _as_state(live.state()), live.tied, None, None, None, None, None, None))
-    return pd.DataFrame(out, columns=_NAMES)
+    leaving = _as_state(live.state(), live.label)
+    lists = [np.array(frames, "int64"), np.array(dets, "int32"), np.array(local, "int32"), np.array(begun, "int64")]
+    return pd.DataFrame([(*head, first, entry, leaving, live.tied, *lists)], columns=_NAMES)
 
 
 def _first_run(buffer: int, threshold: float):
@@ -186,6 +199,33 @@ def _rerun(buffer: int, threshold: float):
     return run
 
 
+def _chain(buffer: int):
+    """The blocks of a shot in order, without their frames: which of them began with other tracks than their predecessor left.
+
+    Tracks are numbered through the shot on the way. A track is named by its last detection, so equal names are equal tracks.
+    Where a block met a tie, its tracks must also have been in order of creation; that order is only known as long as no
+    earlier block of the shot is wrong.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, before, made, sure = [], [], 0, True
+        for row in pdf.sort_values("block").itertuples(index=False):
+            alive = [(t, no) for t, no in before if row.first_frame - t["f"] <= buffer + 1]
+            if sure:
+                alive.sort(key=lambda e: e[1])
+            names = [(t["f"], t["d"]) for t, _ in alive]
+            guess = [(t["f"], t["d"]) for t in row.entry]
+            wrong = sorted(names) != sorted(guess) or (sure and row.tied and names != guess)
+            number = dict(zip(names, (no for _, no in alive)))
+            entry_no = [number.get(name, 0) for name in guess]
+            out.append((row.source_id, row.shot_id, row.block, row.turn, [t for t, _ in alive] if wrong else None, entry_no, made))
+            sure = sure and not wrong
+            before = [(t, entry_no[t["no"]] if t["no"] < len(guess) else made + t["no"] - len(guess) + 1) for t in row.leaving]
+            made += row.made
+        return pd.DataFrame(out, columns=[part.split()[0] for part in _CHAIN.split(", ")])
+
+    return run
+
+
 def track_shots(
     detections: DataFrame, lost_track_buffer: int = 30, iou_threshold: float = 0.2, block_frames: int = BLOCK_FRAMES, max_rounds: int = 10_000
 ) -> DataFrame:
@@ -195,82 +235,42 @@ def track_shots(
     is only the set of live tracks. Every block first guesses that set from the
     frames just before it and all blocks run at once. A block whose guess
     differs from what its predecessor really left is run again from the real
-    set; blocks whose guess holds are final. Creation order only decides exact
-    ties, so only blocks that met such a tie are checked against the real
-    order. The result equals one pass over the whole shot, while no task ever
+    set; blocks whose guess holds are final. Creation order only decides which
+    of two tracks gets a detection that both overlap equally, so only blocks
+    that met such a tie are checked against the real order. The result equals one pass over the whole shot, while no task ever
     holds more than one block.
 
     detections(source_id, shot_id, frame_index, det_index, x1, y1, x2, y2, ..)
     """
     warm_frames = min(block_frames, 4 * (lost_track_buffer + 1))
-    core = detections.select(*SHOT, "frame_index", F.col("det_index").cast("int").alias("det_index"), *BOX)
+    detections = cut_lineage(detections.withColumn("det_index", F.col("det_index").cast("int")))  # every round and the last join read them
+    core = detections.select(*SHOT, "frame_index", "det_index", *BOX)
     home = core.withColumn("block", frame_bucket("frame_index", block_frames))
     ahead = home.withColumn("block", F.col("block") + 1).filter(F.col("frame_index") >= F.col("block") * block_frames - warm_frames)
     both = home.withColumn("warm", F.lit(False)).unionByName(ahead.withColumn("warm", F.lit(True)))
     key = [*SHOT, "block"]
     done = cut_lineage(spread(both, *key).groupBy(*key).applyInPandas(_first_run(lost_track_buffer, iou_threshold), _BLOCK).withColumn("turn", F.lit(0)))
-    along = Window.partitionBy(*SHOT).orderBy("block")  # one row per block
-    order = cut_lineage(done.filter("summary").select(*key, F.lead("block").over(along).alias("following")).filter("following is not null"))
-    still = lambda name: F.filter(F.coalesce(F.col(name), F.array().cast(_STATE)), lambda t: F.col("first_frame") - t["f"] <= lost_track_buffer + 1)
-
-    def heads() -> DataFrame:
-        """The latest summary of every block."""
-        fields = F.struct("first_frame", "entry", "leaving", "tied")
-        return done.filter("summary").groupBy(*key).agg(F.max_by(fields, "turn").alias("h"), F.max("turn").alias("turn")).select(*key, "turn", "h.*")
-
-    # a round reads summaries, reruns the wrong blocks and writes those alone; earlier versions stay where they are
+    # a round reads one row a block, reruns the wrong blocks and writes those alone; earlier versions stay where they are
     for turn in range(1, max_rounds):
-        latest = heads()
-        left = latest if turn == 1 else latest.filter(F.col("turn") == turn - 1)  # only what changed can change its follower
-        ahead = left.join(order, key).select(*SHOT, F.col("following").alias("block"), F.col("leaving").alias("_before"))
-        links = latest.join(ahead, key).select(*key, still("_before").alias("alive"), still("entry").alias("_guess"))
-        wrong = cut_lineage(links.filter(F.array_sort("alive") != F.array_sort("_guess")).select(*key, "alive"))
+        fields = F.struct("first_frame", "entry", "leaving", "tied", F.size("piece_frame").alias("made"))
+        latest = done.groupBy(*key).agg(F.max_by(fields, "turn").alias("h"), F.max("turn").alias("turn")).select(*key, "turn", "h.*")
+        chain = cut_lineage(latest.groupBy(*SHOT).applyInPandas(_chain(lost_track_buffer), _CHAIN))
+        wrong = chain.filter("alive is not null").select(*key, "alive")
         if wrong.isEmpty():
-            final = cut_lineage(latest.select(*key, "turn"))
-            whole = done.join(final, [*key, "turn"], "left_semi").drop("turn")
-            wrong = _misordered(whole, key)
-            if wrong is None:
-                return _number_tracks(whole.filter(~F.col("summary")), detections)
+            return _number_tracks(done, chain, detections)
         again = spread(home.join(wrong, key), *key).groupBy(*key).applyInPandas(_rerun(lost_track_buffer, iou_threshold), _BLOCK)
         done = done.unionByName(cut_lineage(again.withColumn("turn", F.lit(turn))))
     raise RuntimeError("blocks did not settle")
 
 
-def _misordered(done: DataFrame, key: list[str]) -> DataFrame | None:
-    """Blocks that met an exact tie while their inherited tracks were not in creation order."""
-    tied = done.filter(F.col("summary") & F.col("tied") & (F.size("entry") > 1)).select(*key, "entry")
-    if tied.isEmpty():
-        return None
-    owners = _tracks_of(done.filter(~F.col("summary"))).select(*SHOT, F.col("frame_index").alias("f"), F.col("det_index").alias("d"), "track")
-    parts = tied.select(*key, F.explode("entry").alias("t")).withColumn("f", F.col("t.f")).withColumn("d", F.col("t.d")).join(owners, [*SHOT, "f", "d"])
-    ordered = parts.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("track", "t"))), lambda e: e["t"]).alias("alive"))
-    wrong = cut_lineage(tied.join(ordered, key).filter(F.col("alive") != F.col("entry")).select(*key, "alive"))
-    return None if wrong.isEmpty() else wrong
-
-
-def _tracks_of(rows: DataFrame) -> DataFrame:
-    """Each detection with its track, named by the track's first detection so that names sort by creation."""
-    text = lambda frame, det: F.concat_ws("|", *SHOT, F.lpad(F.col(frame).cast("string"), 12, "0"), F.lpad(F.col(det).cast("string"), 6, "0"))
-    named = rows.select(*SHOT, "frame_index", "det_index", text("piece_frame", "piece_det").alias("piece"), "piece_frame", "piece_det", "prev_frame", "prev_det")
-    is_head = (F.col("frame_index") == F.col("piece_frame")) & (F.col("det_index") == F.col("piece_det"))
-    named = named.withColumn("is_start", is_head & F.col("prev_frame").isNull())
-    carried = named.filter(is_head & F.col("prev_frame").isNotNull()).select(*SHOT, "piece", F.col("prev_frame").alias("frame_index"), F.col("prev_det").alias("det_index"))
-    bonds = carried.withColumnRenamed("piece", "src").join(named.select(*SHOT, "frame_index", "det_index", F.col("piece").alias("dst")), [*SHOT, "frame_index", "det_index"]).select("src", "dst")
-    bonds = cut_lineage(bonds)  # one row per track and block border it crosses
-    if bonds.isEmpty():
-        return named.withColumn("track", F.col("piece"))
-    ends = bonds.select(F.col("src").alias("id")).union(bonds.select(F.col("dst").alias("id"))).distinct()
-    roots = connected_components(ends, bonds).select(F.col("id").alias("piece"), F.col("component").alias("_root"))
-    return named.join(roots, "piece", "left").withColumn("track", F.coalesce("_root", "piece"))
-
-
-def _number_tracks(rows: DataFrame, detections: DataFrame) -> DataFrame:
+def _number_tracks(done: DataFrame, chain: DataFrame, detections: DataFrame) -> DataFrame:
     """Number the tracks of a shot by their first detection and put the ids on the detections."""
-    whole = _tracks_of(rows)
-    starts = whole.filter("is_start").select(*SHOT, "frame_index", "det_index", "track", frame_bucket("frame_index").alias("_bucket"))
-    numbered = positions(starts, SHOT, ["frame_index", "det_index"], "_bucket", "_no").select("track", (F.col("_no") + 1).alias("track_no"))
-    assigned = whole.join(numbered, "track").select(*SHOT, "frame_index", "det_index", F.concat_ws(":t", "shot_id", F.col("track_no").cast("string")).alias("tracklet_id"))
-    return detections.withColumn("det_index", F.col("det_index").cast("int")).join(assigned, [*SHOT, "frame_index", "det_index"])
+    final = done.join(chain.select(*SHOT, "block", "turn", "entry_no", "made_before"), [*SHOT, "block", "turn"])
+    rows = final.select(*SHOT, "entry_no", "made_before", F.explode(F.arrays_zip("frames", "dets", "local")).alias("_d"))
+    known = F.size("entry_no")
+    number = F.when(F.col("_d.local") < known, F.get("entry_no", F.col("_d.local"))).otherwise(F.col("made_before") + F.col("_d.local") - known + 1)
+    assigned = rows.select(*SHOT, F.col("_d.frames").alias("frame_index"), F.col("_d.dets").alias("det_index"), F.concat_ws(":t", "shot_id", number.cast("string")).alias("tracklet_id"))
+    return detections.join(assigned, [*SHOT, "frame_index", "det_index"])
 
 
 # --- plug-ins --------------------------------------------------------------

@@ -253,6 +253,7 @@ def smooth(rows):
 
 def analytics(v, scored: bool = True):
     """The whole chain on the separated views."""
+    v = v.written("obs_sep", "frames")
     rows = smooth(v.obs_sep)
     dets = rows.select(
         F.lit("src").alias("source_id"), "frame_index", "pts", F.substring_index("tracklet_id", ":t", -1).cast("int").alias("det_index"), "x1", "y1", "x2", "y2", F.least("score", F.lit(1.0)).alias("score"), F.lit(0).alias("class_id"), F.lit("player").alias("class_name"),
@@ -276,7 +277,7 @@ def analytics(v, scored: bool = True):
     play_ranges = frames.groupBy("shot_id").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame")).select(
         F.concat(F.lit("play-"), F.floor(F.col("start_frame") / 7500).cast("string")).alias("play_id"), "shot_id", "start_frame", "end_frame"
     )
-    truth = smooth(v.ref_sep)
+    truth = cut_lineage(smooth(v.ref_sep)) if scored else v.ref_sep
     ids = truth.select("shot_id", "object_id").distinct().withColumn("global_id", F.concat(F.lit("G"), "object_id"))
     extra = {"references": truth, "frames": frames, "global_map": ids} if scored else {}
     extra |= {"reads": v.reads, "read_candidates": candidates(v), "crop_embeddings": v.embeds, "play_ranges": play_ranges}
@@ -316,6 +317,7 @@ def e3(v):
     from trackspark.plans.catalog.review import simple_links
     from trackspark.plans.catalog.windows import motion
 
+    v = v.written("obs", "frames", "scores")
     ranges = v.frames.groupBy("shot_id").agg(F.min("frame_index").alias("start_frame"), (F.max("frame_index") + 1).alias("end_frame")).select(
         F.lit("src").alias("source_id"), "shot_id", F.regexp_extract("shot_id", r"(\d+)", 1).cast("bigint").alias("shot_no"), "start_frame", "end_frame", (F.col("start_frame") * 1001).alias("start_pts"), (F.col("end_frame") * 1001).alias("end_pts"),
         F.lit(1.0).alias("tb_num"), F.lit(60000).alias("tb_den"), F.lit(60.0).alias("fps"),

@@ -22,7 +22,7 @@ from trackspark.operators import timing as TM
 from trackspark.operators import tracks as TR
 from trackspark.operators.runs import batch_status, readiness
 from trackspark.operators.tracking import track_shots
-from trackspark.scale import one_row
+from trackspark.scale import extent_of, one_row
 from trackspark.session import cut_lineage
 
 PAIR_TOLERANCE_S = 0.05
@@ -48,20 +48,22 @@ def run_analytics(
     part of a shot; a shot without one belongs to its play whole. Jersey reads, read_candidates and crop_embeddings as in
     ``operators.cues`` rank pairs; reviewed numbers forbid links.
     """
+    detections = cut_lineage(detections)  # rules and conditions on columns, not on whatever made them
     good, rejects = split_rejects(detections, C.detection_rules())
     players = good.filter(is_player(F.col("class_id"), F.col("class_name")))
     placed = SH.shot_of_frame(players, ranges)
     tracked = cut_lineage(track_shots(placed))
+    extent = extent_of(tracked, ["shot_id"], "frame_index", "pts")
     refined = TR.refine_tracklets(tracked, splits).withColumn("source_tracklet_id", F.col("tracklet_id"))
     rows = refined.withColumn("tracklet_id", F.coalesce("segment_id", "tracklet_id")).drop("segment_id")
     coloured = rows.select("tracklet_id", "shot_id", "frame_index", "det_index").join(crops, ["shot_id", "frame_index", "det_index"])
     teams = cut_lineage(TE.team_by_prototype(rows, coloured, prototypes))
-    positioned = CAL.project_rows(CAL.calibration_at(rows, timeline))
+    positioned = CAL.project_rows(CAL.calibration_at(rows, timeline, extent=extent))
     play_shots = correspondences.select("play_id", "shot_id").union(anchors.select("play_id", "shot_id")).distinct()
-    in_play = SH.play_of_frame(positioned, declared_spans(play_shots, play_ranges))
+    in_play = SH.play_of_frame(positioned, declared_spans(play_shots, play_ranges), extent)
     timed_in = in_play.select("*", F.lit(float(tb[0])).alias("tb_num"), F.lit(tb[1]).alias("tb_den"), F.lit(fps).alias("fps"))
     segments = TM.time_segments(correspondences)
-    clock = TM.play_clock(timed_in, segments, anchors)
+    clock = TM.play_clock(timed_in, segments, anchors, extent)
     labelled = clock.join(teams.select("tracklet_id", "team", F.col("score").alias("team_score")), "tracklet_id", "left")
     observations = cut_lineage(labelled.select(
         F.lit(run_id).alias("run_id"), "source_id", "shot_id", "frame_index", "pts", F.col("tb_num").cast("int").alias("tb_num"), "tb_den", "tracklet_id", "source_tracklet_id", "play_id", "x1", "y1", "x2", "y2",

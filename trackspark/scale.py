@@ -193,17 +193,24 @@ def interval_join(
     width: int,
     how: str = "inner",
     closed: bool = False,
+    extent: DataFrame | None = None,
 ) -> DataFrame:
     """Range join as an equi join on (key, time bucket).
 
     Intervals are clipped to the span of the points and repeated once per
     bucket they touch; an open end (null) reaches to the last point.
+    ``extent``, as ``extent_of`` makes it, holds all points of some of the
+    keys: then the points, which may be a long plan, are read once.
     """
-    span = points.groupBy(*on).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    if extent is None:
+        by, span = list(on), points.groupBy(*on).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    else:
+        by = [name for name in on if name in extent.columns]
+        span = extent.select(*by, F.col(f"{at}_lo").alias("_lo"), F.col(f"{at}_hi").alias("_hi"))
     clipped_end = F.least(F.coalesce(F.col(end), F.col("_hi") + 1), F.col("_hi") + 1)
     clipped_start = F.greatest(F.col(start), F.col("_lo"))
     pieces = (
-        intervals.join(span, list(on))
+        intervals.join(span, by)
         .filter(clipped_end >= clipped_start)
         .withColumn("_b", F.explode(F.sequence(F.floor(clipped_start / width), F.floor(clipped_end / width))))
         .drop("_lo", "_hi")
@@ -221,6 +228,12 @@ def interval_join(
     return joined.drop("_b", "_on_b", *[f"_on_{name}" for name in on])
 
 
+def extent_of(points: DataFrame, keys: Sequence[str], *at: str) -> DataFrame:
+    """First and last position per key, written once; rows derived from the points lie inside."""
+    ends = [end for name in at for end in (F.min(name).alias(f"{name}_lo"), F.max(name).alias(f"{name}_hi"))]
+    return cut_lineage(points.groupBy(*keys).agg(*ends))
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``id -> component`` (smallest member) over ``edges(src, dst)``.
 
