@@ -10,6 +10,7 @@ from trackspark.functions.field import landmark_point
 from trackspark.functions.geometry import contact_x, contact_y
 from trackspark.functions.scalars import UNDECIDED_IDS
 from trackspark.operators.tracks import gap_segments
+from trackspark.session import cut_lineage
 
 SETTLED = ("reviewed", "accepted")
 FRAME_TAGS = ("reviewed_frame", "empty_frame", "ignored_frame")
@@ -174,7 +175,8 @@ def label_proposals(rows: DataFrame, frame_map: DataFrame, max_gap_frames: int =
     runs = rows.groupBy("file_path", "tracklet_id").agg(F.count_distinct("run_id").alias("n"), F.count_if(F.coalesce("run_id", F.lit("")) == "").alias("blank"))
     torn = runs.filter("n <> 1 or blank > 0").select("file_path", "tracklet_id", F.lit(None).cast("bigint").alias("frame_index"), F.lit("run_id").alias("rule"))
     exact = joined.filter(F.col("pts") == F.col("source_pts"))
-    parts = gap_segments(exact, max_gap_frames)
+    exact = exact.select(*[c for c in exact.columns if c not in ("pts", "source_id", "play_time_s")])
+    parts = cut_lineage(gap_segments(exact, max_gap_frames))  # boxes and contacts read them
     clipped = parts.withColumn("_c", K.clip_to_crop()).withColumn("_t", F.when(F.col("_c").isNotNull(), K.box_to_task([F.col(f"_c.{c}") for c in ("x1", "y1", "x2", "y2")])))
     boxes = clipped.filter("_t is not null").select(
         "file_path", "run_id", "shot_id", "tracklet_id", "segment_no", "frame_index", "source_pts", "task_frame", *[F.col(f"_t.{c}").alias(f"task_{c}") for c in ("x1", "y1", "x2", "y2")],
